@@ -96,6 +96,23 @@ VIEWS: dict[str, str] = {
                case u.conv_id % 4 when 0 then 1.0E0 when 1 then 2.0E0 when 2 then 1.5E0 end as preference
         from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
         where u.turn = 0 and u.role = 'user'""",
+    # Binarised preferences from two sources: 'wide' (shared evaluation source)
+    # and 'narrow' (train source); chosen/rejected carry the full template.
+    "v_binarized": """
+        with b as (
+          select u.conv_id as ord, u.text as prompt, a.text as answer
+          from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+          where u.turn = 0 and u.role = 'user' and a.role = 'assistant')
+        select 'wide' as source, ord, prompt,
+               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: ' || answer as chosen,
+               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: '
+                 || case when ord % 11 = 0 then '</s>' else '' end || 'alt: ' || answer as rejected
+        from b
+        union all
+        select 'narrow' as source, ord, prompt,
+               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: narrow: ' || answer as chosen,
+               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: ' || answer as rejected
+        from b""",
     # Policy/reference sequence log-probs per example.
     "v_logps": """
         select event_id as example_id, user_id % 4 as step, -value as pc,
@@ -146,8 +163,10 @@ def duck_sql(name: str) -> str:
 
 def with_views(names: list[str], body: str) -> str:
     """Prefix ``body`` with a WITH clause defining the named views for DuckDB."""
-    ctes = ",\n".join(f"{n} as ({duck_sql(n)})" for n in names)
     body = body.strip()
+    if not names:
+        return body
+    ctes = ",\n".join(f"{n} as ({duck_sql(n)})" for n in names)
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
