@@ -138,6 +138,14 @@ VIEWS: dict[str, str] = {
         from (select vec_id, posexplode(embedding) as (i, e) from {embeddings}) t""",
 }
 
+# DuckDB spellings of views whose Spark SQL uses Spark-only generator syntax.
+DUCK_VIEWS: dict[str, str] = {
+    "v_token_logps": """
+        select vec_id as example_id, cast(i - 1 as bigint) as pos, -abs(cast(embedding[i] as double)) as logp,
+               case when vec_id % 50 = 0 or i - 1 < vec_id % 16 then -100 else cast(i as bigint) end as label
+        from (select vec_id, embedding, generate_subscripts(embedding, 1) as i from {embeddings}) t""",
+}
+
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
@@ -158,7 +166,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck_sql(name: str) -> str:
     """The same view for DuckDB, where base tables are registered by name."""
-    return _PLACEHOLDER.sub(lambda m: m.group(1), VIEWS[name])
+    return _PLACEHOLDER.sub(lambda m: m.group(1), DUCK_VIEWS.get(name, VIEWS[name]))
 
 
 def with_views(names: list[str], body: str) -> str:
