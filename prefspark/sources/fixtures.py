@@ -121,7 +121,7 @@ VIEWS: dict[str, str] = {
         from {events}""",
     # Judged comparisons: 1 win, 0.5 tie, 0 loss, null = no label.
     "v_battles": """
-        select event_id, 'm' || cast(user_id % 8 as string) as generator,
+        select event_id, user_id, 'm' || cast(user_id % 8 as string) as generator,
                'j' || cast(event_id % 2 as string) as evaluator,
                case event_type when 'click' then 1.0E0 when 'purchase' then 1.0E0
                                when 'view' then 0.0E0 when 'signup' then 0.5E0 end as outcome
