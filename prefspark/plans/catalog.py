@@ -11,6 +11,8 @@ _OPTIONAL = (
     "prefspark.plans.match_queries",
     "prefspark.plans.metric_queries",
     "prefspark.plans.report_queries",
+    "prefspark.plans.bt_queries",
+    "prefspark.plans.html_queries",
     "prefspark.plans.stream_queries",
 )
 
