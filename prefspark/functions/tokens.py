@@ -26,14 +26,19 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
+EOS_TEXT = "</s>"  # the EOS token's text; a text containing it tokenises to EOS
+
+
 def pieces(s) -> Column:
-    """Whitespace pieces of ``s`` (no empties)."""
-    return F.regexp_extract_all(F.coalesce(_c(s), F.lit("")), F.lit(r"(\S+)"), 1)
+    """Whitespace pieces of ``s`` (no empties); the EOS text is its own piece."""
+    spaced = F.replace(F.coalesce(_c(s), F.lit("")), F.lit(EOS_TEXT), F.lit(f" {EOS_TEXT} "))
+    return F.regexp_extract_all(spaced, F.lit(r"(\S+)"), 1)
 
 
 def piece_id(p: Column) -> Column:
     h = F.conv(F.substring(F.md5(p), 1, 8), 16, 10).cast("bigint")
-    return (F.lit(FIRST_ID) + F.pmod(h, F.lit(VOCAB - FIRST_ID))).cast("bigint")
+    return F.when(p == EOS_TEXT, F.lit(EOS_ID).cast("bigint")).otherwise(
+        (F.lit(FIRST_ID) + F.pmod(h, F.lit(VOCAB - FIRST_ID))).cast("bigint"))
 
 
 def default_tokenize(s) -> Column:

@@ -146,6 +146,39 @@ def cached_completions(requests: DataFrame, cache: DataFrame, complete: Callable
     return hits.select(*req_cols, "response", "finish_reason", "source").unionByName(computed)
 
 
+def shard_plan(prompts: DataFrame, n_workers: int, stride: int, start: int, order: str = "ord") -> DataFrame:
+    """Worker i starts at ``stride*i + start`` (0-based prompt index) and
+    runs to the end, so prompt k is processed by every worker whose start is
+    at or before k. Emitted with a generator (bounded by ``n_workers``), not a
+    join; A5 later keeps one result per prompt."""
+    idx = ordinals.dense_index(prompts, order, "_rn").withColumn("prompt_idx", F.col("_rn") - 1).drop("_rn")
+    covering = F.least(F.lit(n_workers), F.floor((F.col("prompt_idx") - start) / stride) + 1)
+    return idx.filter(F.col("prompt_idx") >= start).withColumn(
+        "worker", F.explode(F.sequence(F.lit(0).cast("bigint"), (covering - 1).cast("bigint"))))
+
+
+def annotate(comparisons: DataFrame, judge: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Run a judge over ``(instruction, output_1, output_2)`` rows in Arrow
+    batches; it returns 1 (first better), 2 (second better), 1.5 (tie) or
+    null, stored as ``preference DOUBLE`` next to the input columns."""
+    cols = comparisons.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in comparisons.schema.fields) + ", preference double"
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf.copy()
+            out["preference"] = pd.to_numeric(judge(pdf), errors="coerce").astype("float64")
+            yield out[[*cols, "preference"]]
+
+    return comparisons.mapInPandas(run, schema)
+
+
+def longer_output_judge(pdf: pd.DataFrame) -> pd.Series:
+    """Deterministic stand-in judge: the longer output wins, equal length ties."""
+    a, b = pdf["output_1"].fillna("").str.len(), pdf["output_2"].fillna("").str.len()
+    return (a > b).map({True: 1.0, False: 2.0}).where(a != b, 1.5)
+
+
 def valid_completions(df: DataFrame, response: str = "response", finish_reason: str | None = "finish_reason") -> DataFrame:
     """drop completions that did not finish with 'stop' and blank ones (an
     empty text is first mapped to a single space, which is then dropped)."""

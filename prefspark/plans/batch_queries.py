@@ -42,9 +42,13 @@ def _ordered_sql(epochs: str) -> str:
           from o where rn <= (select nfull from n))"""
 
 
+def _pieces(col: str) -> str:
+    return f"regexp_extract_all(replace(coalesce({col}, ''), '{K.EOS_TEXT}', ' {K.EOS_TEXT} '), '(\\S+)', 1)"
+
+
 def _tok(col: str) -> str:
-    return (f"list_transform(regexp_extract_all(coalesce({col}, ''), '(\\S+)', 1), "
-            f"lambda t: cast({K.FIRST_ID} + (('0x' || substr(md5(t), 1, 8))::bigint % {K.VOCAB - K.FIRST_ID}) as bigint))")
+    return (f"list_transform({_pieces(col)}, lambda t: case when t = '{K.EOS_TEXT}' then cast({K.EOS_ID} as bigint) "
+            f"else cast({K.FIRST_ID} + (('0x' || substr(md5(t), 1, 8))::bigint % {K.VOCAB - K.FIRST_ID}) as bigint) end)")
 
 
 def _tokenized_sql(src: str, chosen: str = "chosen", rejected: str = "rejected") -> str:

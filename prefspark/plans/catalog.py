@@ -13,6 +13,7 @@ _OPTIONAL = (
     "prefspark.plans.report_queries",
     "prefspark.plans.bt_queries",
     "prefspark.plans.html_queries",
+    "prefspark.plans.registry_queries",
     "prefspark.plans.stream_queries",
 )
 
