@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import tokens as K
 from prefspark.operators import ordinals
+from prefspark.session import materialize
 
 EXAMPLE_KEY = ("dataset", "prompt", "pair_ix")
 
@@ -33,10 +34,13 @@ def replicate_epochs(examples: DataFrame, n_epochs: int) -> DataFrame:
 
 
 def epoch_order(examples: DataFrame, n_epochs: int, seed: int = 0, shuffle: bool = True,
-                key=EXAMPLE_KEY, order_col: str = "first_ord") -> DataFrame:
+                key=EXAMPLE_KEY, order_col: str = "first_ord", n: int | None = None) -> DataFrame:
     """W4+W5: add ``epoch`` and ``rn`` (1-based position inside the epoch).
-    Without shuffle the order is insertion order (``order_col``, then pair_ix)."""
-    n = examples.count()
+    Without shuffle the order is insertion order (``order_col``, then pair_ix).
+    ``n`` is the number of examples when the caller already knows it; pass a
+    materialised ``examples`` (``session.materialize``) when it is expensive."""
+    if n is None:
+        n = examples.count()
     rep = replicate_epochs(examples, n_epochs)
     if shuffle:
         rep = rep.withColumn("_h", shuffle_key(seed, "epoch", key[:-1]))
@@ -75,9 +79,10 @@ def budget_stop(n_per_epoch: int, batch_size: int, n_examples: int) -> tuple[int
 def budget_schedule(examples: DataFrame, batch_size: int, n_examples: int, seed: int = 0,
                     shuffle: bool = True) -> DataFrame:
     """The batches the reference yields when stopping by example count."""
+    examples = materialize(examples)
     n = examples.count()
     epochs, stop = budget_stop(n, batch_size, n_examples)
-    batched = assign_batches(epoch_order(examples, epochs, seed, shuffle), batch_size, n)
+    batched = assign_batches(epoch_order(examples, epochs, seed, shuffle, n=n), batch_size, n)
     count_after = F.col("epoch") * F.lit(n) + (F.col("batch_id") + 1) * F.lit(batch_size)
     return batched.filter(count_after <= F.lit(stop))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.session import ensure_checkpoint_dir
+from prefspark.session import materialize
 
 
 def preference_sign(a: str = "a", b: str = "b"):
@@ -49,7 +49,7 @@ def fit_bradley_terry(pairs: DataFrame, steps: int, lr: float = 0.01, checkpoint
     denominator only. Returns ``(item, reward)``. Lineage is cut with
     ``checkpoint()`` (reliable, in the shared checkpoint folder) every
     ``checkpoint_every`` steps."""
-    ensure_checkpoint_dir(pairs.sparkSession)
+    pairs = materialize(pairs)  # small (one row per distinct pair), read every step
     total = pairs.agg(F.sum("n")).first()[0] or 0
     strict = pairs.filter(F.col("w") != F.col("l")).cache()
     items = pairs.select(F.col("w").alias("item")).union(pairs.select(F.col("l").alias("item"))).distinct()

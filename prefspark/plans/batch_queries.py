@@ -10,6 +10,7 @@ from prefspark.plans.dialogue_queries import _sharegpt_sql
 from prefspark.plans.record_queries import _SHP_KEPT, _aiprefs_sql
 from prefspark.plans.registry import register
 from prefspark.sources import dialogue, registry
+from prefspark.session import materialize
 from prefspark.sources.fixtures import view
 
 MAX_LEN, MAX_PROMPT = 64, 16
@@ -71,7 +72,9 @@ def _tokenized_sql(src: str, chosen: str = "chosen", rejected: str = "rejected")
 
 
 def _examples(spark, sf_dir):
-    return registry.mixture(spark, sf_dir, ["sharegpt", "shp"])
+    """Pair rows of the annotation and two-answer datasets, materialised once:
+    the schedule reads them for a count, for range bounds and for the pass."""
+    return materialize(registry.mixture(spark, sf_dir, ["sharegpt", "shp"]))
 
 
 def _ids(c):
@@ -100,7 +103,8 @@ def hash_split_1pct(spark, sf_dir):
     with {_ordered_sql(f'range(0, {EPOCHS})')}
     select epoch, rn, dataset, prompt, pair_ix from o""")
 def epoch_shuffle(spark, sf_dir):
-    ordered = batching.epoch_order(_examples(spark, sf_dir), EPOCHS, seed=SEED)
+    ex = _examples(spark, sf_dir)
+    ordered = batching.epoch_order(ex, EPOCHS, seed=SEED, n=ex.count())
     return ordered.select(F.col("epoch").cast("bigint").alias("epoch"), "rn", "dataset", "prompt", "pair_ix")
 
 
@@ -110,7 +114,7 @@ def epoch_shuffle(spark, sf_dir):
 def batch_assign(spark, sf_dir):
     ex = _examples(spark, sf_dir)
     n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, EPOCHS, seed=SEED), BATCH, n)
+    b = batching.assign_batches(batching.epoch_order(ex, EPOCHS, seed=SEED, n=n), BATCH, n)
     return b.select(F.col("epoch").cast("bigint").alias("epoch"), "rn", "batch_id", "pos_in_batch",
                     "dataset", "prompt", "pair_ix")
 
@@ -137,7 +141,7 @@ def example_budget(spark, sf_dir):
 def shard_slices(spark, sf_dir):
     ex = _examples(spark, sf_dir)
     n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED), BATCH, n)
+    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, n=n), BATCH, n)
     return batching.shard_slices(b, WORLD, BATCH).select(
         F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "shard", "dataset", "prompt", "pair_ix")
 
@@ -203,7 +207,7 @@ _BATCH_TOK = f"""{_ordered_sql('range(0, 1)')},
 def collate_pad(spark, sf_dir):
     ex = _examples(spark, sf_dir)
     n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED), BATCH, n)
+    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, n=n), BATCH, n)
     c = batching.collate(batching.tokenize_examples(b, MAX_LEN, MAX_PROMPT))
     return c.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch",
                     _ids("prompt_input_ids"), _ids("prompt_attention_mask"), _ids("chosen_input_ids"),
@@ -228,7 +232,7 @@ def collate_pad(spark, sf_dir):
 def concat_pad(spark, sf_dir):
     ex = _examples(spark, sf_dir)
     n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED), BATCH, n)
+    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, n=n), BATCH, n)
     c = batching.concat_pad(batching.collate(batching.tokenize_examples(b, MAX_LEN, MAX_PROMPT)))
     return c.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "side",
                     _ids("concatenated_input_ids"), _ids("concatenated_labels"))

@@ -45,3 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="prefspark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage once for a DataFrame that is read several times (a count,
+    range-bound sampling, the main pass): a reliable, eager ``checkpoint()`` into
+    the shared checkpoint folder, so a lost executor does not recompute it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -32,19 +32,15 @@ VIEWS: dict[str, str] = {
     # turn removed (user-first dialogues become assistant-first).
     "v_turns": """
         with x as (
-          select conv_id, turn, role, text, 0 as copy from {conversations}
-          union all
-          select conv_id, turn, role, case when role = 'assistant' then text || ' [v2]' else text end, 1
-            from {conversations}
-          union all
-          select conv_id, turn, role, case when turn >= 2 then text || '</s>' else text end, 2
-            from {conversations}
-          union all
-          select conv_id, turn, role, text, 3 from {conversations} where turn >= 1)
-        select conv_id + cast(copy as bigint) * 1000000000 as conv_id, turn, role, text,
+          select conv_id, turn, role, text, explode(array(0, 1, 2, 3)) as copy from {conversations})
+        select conv_id + cast(copy as bigint) * 1000000000 as conv_id, turn, role,
+               case when copy = 1 and role = 'assistant' then text || ' [v2]'
+                    when copy = 2 and turn >= 2 then text || '</s>'
+                    else text end as text,
                (conv_id + cast(copy as bigint) * 1000000000) * 1000 + turn as ord,
                turn - case when copy = 3 then 1 else 0 end as pos
-        from x""",
+        from x
+        where copy <> 3 or turn >= 1""",
     # Scored Q&A in long form: four answers per question, questions repeat.
     "v_answers": """
         select cast(floor(doc_id / 4) as bigint) as q_ord,
@@ -68,12 +64,11 @@ VIEWS: dict[str, str] = {
                  max(case when turn = 0 then role end) as r0
           from {conversations} group by conv_id),
         q as (
-          select conv_id, 0 as copy, t0, t1, t2, t3 from p where r0 = 'user' and t3 is not null
-          union all
-          select conv_id, 1 as copy, t0, t1, t2, t3 || ' [alt]' from p where r0 = 'user' and t3 is not null)
+          select conv_id, t0, t1, t2, t3, explode(array(0, 1)) as copy from p where r0 = 'user' and t3 is not null)
         select conv_id * 2 + copy as ord,
           chr(10) || chr(10) || 'Human: ' || t0 || chr(10) || chr(10) || 'Assistant: ' || t1
-            || chr(10) || chr(10) || 'Human: ' || t2 || chr(10) || chr(10) || 'Assistant: ' || t3 as chosen,
+            || chr(10) || chr(10) || 'Human: ' || t2 || chr(10) || chr(10) || 'Assistant: '
+            || case when copy = 1 then t3 || ' [alt]' else t3 end as chosen,
           chr(10) || chr(10) || 'Human: ' || t0 || chr(10) || chr(10) || 'Assistant: ' || t1
             || chr(10) || chr(10) || 'Human: ' || t2 || chr(10) || chr(10) || 'Assistant: ' || t1 as rejected
         from q""",
@@ -83,11 +78,12 @@ VIEWS: dict[str, str] = {
           select u.conv_id as ord, u.text as instruction, a.text as output
           from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
           where u.turn = 0 and u.role = 'user' and a.role = 'assistant')
-        select 'teacher' as model, 0 as shard, ord, instruction, output from b
-        union all select 'student', 0, ord, instruction, 'alt: ' || output from b
-        union all select 'sampled', 0, ord, instruction, output || ' #0' from b
-        union all select 'sampled', 1, ord, instruction, output || ' #1' from b where ord >= 5
-        union all select 'sampled', 2, ord, instruction, output || ' #2' from b where ord >= 10
+        , g as (select ord, instruction, output, explode(array(0, 1, 2, 3, 4)) as k from b)
+        select case k when 0 then 'teacher' when 1 then 'student' else 'sampled' end as model,
+               case when k >= 2 then k - 2 else 0 end as shard, ord, instruction,
+               case k when 0 then output when 1 then 'alt: ' || output
+                      else output || ' #' || cast(k - 2 as string) end as output
+        from g where k <= 2 or (k = 3 and ord >= 5) or (k = 4 and ord >= 10)
         union all select 'sampled', 0, doc_id + 10000000, text, 'long' from {documents} where n_chars >= 7000""",
     # Judge annotations: preference 1, 2, 1.5 (tie) or null; some output_2 carry a special token.
     "v_annotations": """
@@ -103,16 +99,14 @@ VIEWS: dict[str, str] = {
           select u.conv_id as ord, u.text as prompt, a.text as answer
           from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
           where u.turn = 0 and u.role = 'user' and a.role = 'assistant')
-        select 'wide' as source, ord, prompt,
-               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: ' || answer as chosen,
+        , g as (select ord, prompt, answer, explode(array(0, 1)) as k from b)
+        select case k when 0 then 'wide' else 'narrow' end as source, ord, prompt,
                'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: '
-                 || case when ord % 11 = 0 then '</s>' else '' end || 'alt: ' || answer as rejected
-        from b
-        union all
-        select 'narrow' as source, ord, prompt,
-               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: narrow: ' || answer as chosen,
-               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: ' || answer as rejected
-        from b""",
+                 || case k when 0 then answer else 'narrow: ' || answer end as chosen,
+               'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: '
+                 || case when k = 0 and ord % 11 = 0 then '</s>' else '' end
+                 || case k when 0 then 'alt: ' || answer else answer end as rejected
+        from g""",
     # Policy/reference sequence log-probs per example.
     "v_logps": """
         select event_id as example_id, user_id % 4 as step, -value as pc,
@@ -166,7 +160,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck_sql(name: str) -> str:
     """The same view for DuckDB, where base tables are registered by name."""
-    return _PLACEHOLDER.sub(lambda m: m.group(1), DUCK_VIEWS.get(name, VIEWS[name]))
+    sql = _PLACEHOLDER.sub(lambda m: m.group(1), DUCK_VIEWS.get(name, VIEWS[name]))
+    # Spark's select-list generator `explode(array(...))` is `unnest(list_value(...))` in DuckDB.
+    return sql.replace("explode(array(", "unnest(list_value(")
 
 
 def with_views(names: list[str], body: str) -> str:

@@ -158,7 +158,7 @@ def test_aiprefs_preference_rules(spark):
 
 # ------------------------------------------------------------------ S12
 def test_wikitext_stops_at_n_distinct(spark):
-    long = " ".join(["w"] * 30)
+    long = " ".join(["w"] * 60)  # over the 100-character minimum
     texts = [f"p{k} " + long for k in (1, 2, 1, 3, 4, 2)]
     docs = spark.createDataFrame([Row(doc_id=i, text=t + f" end{i}") for i, t in enumerate(texts)])
     got = {r.prompt: r.sft_target for r in records.wikitext(docs, "test", test_n=3).collect()}
