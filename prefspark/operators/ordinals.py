@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefspark.session import materialize
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 
@@ -39,14 +41,22 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def _located(df: DataFrame, keys: list[Column], partitions: int | None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``keys`` with (partition, local index).
+
+    The result is checkpointed (eagerly, into the shared checkpoint folder)
+    before the count branch and the main branch read it: each branch would
+    otherwise plan its own range exchange, and Spark seeds the bound sampling
+    with the RDD id, so on large partitions the two could disagree on which
+    partition a row belongs to. The checkpoint also survives lost executors."""
     ranged = df.repartitionByRange(_partitions(df, partitions), *keys).sortWithinPartitions(*keys)
     mid = F.monotonically_increasing_id()
-    return (
+    located = (
         ranged.withColumn("_mid", mid)
         .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
         .drop("_mid")
     )
+    return materialize(located)
 
 
 def dense_index(

@@ -149,7 +149,7 @@ def throughput(spark, sf_dir):
 
 
 @register("eval_predictions", "O5 J8 A10", views=("v_logps",), sql=f"""
-    select round(case when {BETA} * (pc - rc) > {BETA} * (pr - rr) then 1.0 else 0.0 end, 6) as acc,
+    select round(case when {BETA} * (pc - rc) > {BETA} * (pr - rr) then 1.0E0 else 0.0E0 end, 6) as acc,
            round(-{_lsig(f'{BETA} * {_LOGITS}')}, 6) as loss
     from v_logps""")
 def eval_predictions(spark, sf_dir):

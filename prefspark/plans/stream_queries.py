@@ -32,7 +32,7 @@ def stream_dedupe(spark, sf_dir):
         sampled.filter(F.col("shard") == s).write.mode("append").json(src_dir)
         stream = spark.readStream.schema(_SAMPLED_SCHEMA).json(src_dir)
         jobs.keep_first_stream(spark, stream, out, ckpt)
-    res = spark.read.parquet(out)
+    res = jobs.read_latest(spark, out, "instruction")
     return res.select("instruction", "output", F.col("shard").cast("bigint").alias("shard"))
 
 

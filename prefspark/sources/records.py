@@ -52,27 +52,22 @@ def se_pair_tally(answers: DataFrame) -> DataFrame:
     ``score_i > score_j`` else j (a tie goes to the later answer), so
 
         wins_k   = #answers with a lower score + #earlier answers with an equal score
+                 = (rank of k in (score, position) order) - 1
         losses_k = (n - 1) - wins_k
 
-    Score counts per (question, score) are pre-aggregated; the equal-score rank is
-    skew-safe (``index_within``)."""
+    The rank comes from ``index_within`` (a question holding a third of all
+    answers is spread over many range partitions); n is a partial aggregate."""
     a = se_latest(answers).select(
         "question", "q_ord", "pos", F.concat(F.lit(" "), F.col("answer")).alias("response"),
         F.col("pm_score").alias("score"),
     )
-    per_score = a.groupBy("question", "score").agg(F.count(F.lit(1)).alias("_c"))
-    lower = per_score.select(
-        "question", "score",
-        F.coalesce(F.sum("_c").over(Window.partitionBy("question").orderBy("score")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lower"),
-        F.sum("_c").over(Window.partitionBy("question")).alias("_n"),
-    )
-    ranked = ordinals.index_within(a, ["question", "score"], "pos", out="_eq")
-    return ranked.join(lower, ["question", "score"]).select(
+    sizes = a.groupBy("question").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordinals.index_within(a, ["question"], ["score", "pos"], out="_r")
+    return ranked.join(sizes, "question").select(
         T.dialogue_prompt("question").alias("prompt"),
         "pos", "response", "score",
-        (F.col("_lower") + F.col("_eq") - 1).cast("bigint").alias("wins"),
-        (F.col("_n") - F.col("_lower") - F.col("_eq")).cast("bigint").alias("losses"),
+        (F.col("_r") - 1).cast("bigint").alias("wins"),
+        (F.col("_n") - F.col("_r")).cast("bigint").alias("losses"),
     )
 
 

@@ -26,25 +26,31 @@ def _batches_of(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def keep_first_stream(spark: SparkSession, source: DataFrame, out: str, checkpoint: str,
-                      key: str = "instruction", order=("shard", "ord")) -> None:
-    """Incremental keep-first ingest. Each micro-batch is reduced to its first
-    row per key (by ``order``), keys already stored are dropped (anti-join), the
-    rest is written as ``out/batch_id=<id>``. The first *arrived* row wins, the
-    order inside a micro-batch is the file order."""
+                      key: str = "instruction", order=("shard", "ord"), value: str = "output") -> None:
+    """Incremental keep-first ingest as a stateful streaming aggregate: the
+    state store keeps, per key, the row that comes first in (file, position)
+    order; update mode emits only keys whose first row changed in the
+    micro-batch, written as ``out/batch_id=<id>`` (work per batch is bounded by
+    the batch, not by everything ingested so far). Use ``read_latest`` to read
+    the table."""
+    first = source.groupBy(key).agg(
+        F.min_by(F.struct(F.col(value).alias(value), *[F.col(c) for c in order]), F.struct(*order)).alias("_f"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        first = matching.keep_first(batch, key=key, order=order, value="output")
-        seen = _batches_of(spark, out)
-        if seen is not None:
-            seen = seen.filter(F.col("batch_id") < batch_id).select(key)
-            first = first.join(seen, key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    q = (source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+        batch.select(key, "_f.*").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (first.writeStream.outputMode("update").foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_latest(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """Latest version of every key in an update-mode ``foreachBatch`` table."""
+    versions = spark.read.parquet(out)
+    cols = [c for c in versions.columns if c not in (key, "batch_id")]
+    return versions.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v")).select(key, "_v.*")
+
+
 def windowed_means(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, ts: str = "ts",
                    value: str = "value", every: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """One mean per tumbling window (the throttled metric log). Update mode
