@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,6 @@ def default_tokenize(s) -> Column:
 def pandas_tokenizer(encode: Callable[[str], list[int]]):
     """G1: wrap a per-text ``encode`` (e.g. a HuggingFace tokenizer's
     ``encode(text, add_special_tokens=False)``) as an Arrow-batched pandas UDF."""
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def tok(texts: pd.Series) -> pd.Series:

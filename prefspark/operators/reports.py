@@ -68,6 +68,16 @@ def lookup_scores(boards: DataFrame, names: DataFrame) -> DataFrame:
         "run_dir", "name", "evaluator", F.col("win_rate_text").cast("double").alias("win_rate"))
 
 
+def scan_leaderboards(spark, root: str) -> DataFrame:
+    """S15+F10+J5 over the evaluation folder layout ``<run>/name.txt`` and
+    ``<run>/<evaluator>/leaderboard.csv``: excluded runs are skipped, runs or
+    evaluators without files contribute nothing, the last matching row wins."""
+    from prefspark.sources import io
+
+    names = io.read_run_names(spark, root).filter(~excluded_run("run_dir"))
+    return lookup_scores(io.read_leaderboard_rows(spark, root), names)
+
+
 def model_of_run(name: str = "name"):
     """``key[len('llama7b_'):-3]``."""
     return T.run_model_name(name)

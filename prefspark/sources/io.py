@@ -26,10 +26,10 @@ def read_completion_maps(spark: SparkSession, path: str, glob: str | None = None
     Rows ``(file, pos, prompt, completions)``; files are ordered by path and keys
     by their position in the file (dict order). Duplicate keys keep the last
     value, as ``json.load`` does."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     # Keys in file order: parse as an array of entries by re-reading the object
     # as a map, keeping the position that the parser produced.
     parsed = raw.select("file", F.from_json("value", "map<string,array<string>>",
@@ -94,22 +94,26 @@ def save_table(df: DataFrame, path: str) -> str:
 
 
 # ------------------------------------------------------------------- S15
-def read_leaderboards(spark: SparkSession, root: str) -> DataFrame:
-    """``<run>/name.txt`` (first line = run name) and
-    ``<run>/<evaluator>/leaderboard.csv`` (column 1 name, column 2 win rate).
-    A run without name.txt or an evaluator without a leaderboard contributes
-    nothing (inner join)."""
+def read_run_names(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``<root>/<run>/name.txt``; the first line is the run's name. Line
+    order inside these one-line files is the read order (one split per file)."""
     names = (
-        spark.read.text(f"{root}/*/name.txt")
+        spark.read.text(f"{root}/{pattern}/name.txt")
         .select(F.col("_metadata.file_path").alias("f"), "value")
-        .withColumn("run_dir", F.regexp_extract("f", r"^(.*)/name\.txt$", 1))
+        .withColumn("run_dir", F.regexp_extract("f", r"^(?:file:)?(.*)/name\.txt$", 1))
         .withColumn("line_no", F.monotonically_increasing_id())
     )
-    first_line = names.groupBy("run_dir").agg(F.min_by("value", "line_no").alias("name"))
-    boards = (
-        spark.read.schema("c0 string, c1 string").csv(f"{root}/*/*/leaderboard.csv")
+    return names.groupBy("run_dir").agg(F.min_by("value", "line_no").alias("name"))
+
+
+def read_leaderboard_rows(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``<root>/<run>/<evaluator>/leaderboard.csv`` rows ``(c0 name, c1 win
+    rate)`` with their run folder, evaluator and read order (``line_no``)."""
+    return (
+        spark.read.schema("c0 string, c1 string").csv(f"{root}/{pattern}/*/leaderboard.csv")
         .select(F.col("_metadata.file_path").alias("f"), "c0", "c1")
-        .withColumn("run_dir", F.regexp_extract("f", r"^(.*)/[^/]+/leaderboard\.csv$", 1))
+        .withColumn("run_dir", F.regexp_extract("f", r"^(?:file:)?(.*)/[^/]+/leaderboard\.csv$", 1))
         .withColumn("evaluator", F.regexp_extract("f", r"/([^/]+)/leaderboard\.csv$", 1))
+        .withColumn("line_no", F.monotonically_increasing_id())
+        .drop("f")
     )
-    return boards, first_line
