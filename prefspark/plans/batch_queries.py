@@ -71,10 +71,12 @@ def _tokenized_sql(src: str, chosen: str = "chosen", rejected: str = "rejected")
            from tr2)"""
 
 
-def _examples(spark, sf_dir):
-    """Pair rows of the annotation and two-answer datasets, materialised once:
-    the schedule reads them for a count, for range bounds and for the pass."""
-    return materialize(registry.mixture(spark, sf_dir, ["sharegpt", "shp"]))
+def _examples(spark, sf_dir, reused: bool = True):
+    """Pair rows of the annotation and two-answer datasets. A schedule reads them
+    for a count, for range bounds and for the pass, so it gets them materialised
+    once; a single-pass consumer (``reused=False``) streams them."""
+    mix = registry.mixture(spark, sf_dir, ["sharegpt", "shp"])
+    return materialize(mix) if reused else mix
 
 
 def _ids(c):
@@ -147,7 +149,7 @@ def shard_slices(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- K1-K5
-@register("tokenize_truncate", "K1 K2 K3 K4 K5 G1", views=("v_annotations", "v_shp"), sql=f"""
+@register("tokenize_truncate", "K1 K2 K3 K4 K5 G1 D9",views=("v_annotations", "v_shp"), sql=f"""
     with {_EX},
     {_tokenized_sql('ex')}
     select dataset, prompt, pair_ix, array_to_string(p, ' ') as prompt_input_ids,
@@ -158,7 +160,7 @@ def shard_slices(spark, sf_dir):
            cast(len(chosen_input_ids) as bigint) as chosen_len
     from tx""")
 def tokenize_truncate(spark, sf_dir):
-    t = batching.tokenize_examples(_examples(spark, sf_dir), MAX_LEN, MAX_PROMPT)
+    t = batching.tokenize_examples(_examples(spark, sf_dir, reused=False), MAX_LEN, MAX_PROMPT)
     return t.select("dataset", "prompt", "pair_ix", _ids("prompt_input_ids"), _ids("chosen_input_ids"),
                     _ids("chosen_labels"), _ids("rejected_input_ids"), _ids("rejected_labels"),
                     F.size("chosen_input_ids").cast("bigint").alias("chosen_len"))
@@ -194,7 +196,7 @@ _BATCH_TOK = f"""{_ordered_sql('range(0, 1)')},
                   max(len(rejected_input_ids)) over (partition by epoch, batch_id) as wr from tx)"""
 
 
-@register("collate_pad", "K6 K7", views=("v_annotations", "v_shp"), sql=f"""
+@register("collate_pad", "K6 K7 D10",views=("v_annotations", "v_shp"), sql=f"""
     with {_BATCH_TOK}
     select epoch, batch_id, pos_in_batch,
            array_to_string({_pad('p', 'wp', K.PAD_ID, left=True)}, ' ') as prompt_input_ids,

@@ -41,7 +41,7 @@ def _sharegpt_sql(num_turns: int, fraction: float = 1.0) -> str:
     """.replace("with \n", "with ")
 
 
-@register("sharegpt_sft_1turn", "S4 T4 F1 A2", views=("v_turns",), sql=_sharegpt_sql(1))
+@register("sharegpt_sft_1turn", "S4 T3 T4 F1 A2 D3 D4",views=("v_turns",), sql=_sharegpt_sql(1))
 def sharegpt_sft_1turn(spark, sf_dir):
     return dialogue.sharegpt_sft(view(spark, sf_dir, "v_turns"), num_turns=1)
 

@@ -80,7 +80,7 @@ def comparison_cap(spark, sf_dir):
     return matching.cap_comparisons(matched, MAX_COMPARISONS).select("instruction", "output_1", "output_2", "ord")
 
 
-@register("comparison_rows", "O3 W8 J1", views=("v_completions",), sql=f"""
+@register("comparison_rows", "O3 W8 J1 D7",views=("v_completions",), sql=f"""
     with {_MATCHED_SQL},
     c as (select * from m order by ord limit {MAX_COMPARISONS + 2})
     select instruction, output_1 as output, 'sampled' as generator from c
@@ -185,7 +185,7 @@ def fast_forward(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- S5/S6
-@register("teacher_sft", "S5 S6 S10 O4 A2 W11", views=("v_completions",), sql=f"""
+@register("teacher_sft", "S5 S6 S10 O4 A2 W11 U2 D6",views=("v_completions",), sql=f"""
     with c as (select case model when 'teacher' then 'claude' else 'gpt4' end as model, ord, instruction, output
                from v_completions where model in ('teacher', 'student'))
     select model, 'Human: ' || instruction || {NN} || 'Assistant: ' as prompt, max_by(output, ord) as sft_target,
@@ -216,7 +216,7 @@ def stub_completion(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-@register("cache_misses", "J4 G3 T10 F7", views=("v_completions",), sql="""
+@register("cache_misses", "J4 G3 T10 F7 D16",views=("v_completions",), sql="""
     with r as (select distinct instruction, sha256(concat_ws(chr(1), 'gpt4', instruction)) as key
                from v_completions where model = 'teacher'),
     c as (select sha256(concat_ws(chr(1), 'gpt4', instruction)) as key, min_by(output, ord) as response

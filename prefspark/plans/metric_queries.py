@@ -34,7 +34,7 @@ def _policy_reference(spark, sf_dir):
 _LOGITS = "((pc - pr) - (rc - rr))"
 
 
-@register("dpo_loss_variants", "M1 M2 M3 M4 M5 M6 J6 G5", views=("v_logps",), sql=f"""
+@register("dpo_loss_variants", "M1 M2 M3 M4 M5 M6 J6 G5 D11",views=("v_logps",), sql=f"""
     select example_id,
       {_r(_LOGITS, 'logits')},
       {_r(f"-{_lsig(f'{BETA} * {_LOGITS}')}", 'loss_dpo')},

@@ -25,7 +25,7 @@ _SE_LATEST = """latest as (select question, max(q_ord) as q_ord from v_answers g
     a as (select v.* from v_answers v join latest l on v.question = l.question and v.q_ord = l.q_ord)"""
 
 
-@register("se_pairs", "S1 J7 A3", views=("v_answers",), sql=f"""
+@register("se_pairs", "S1 J7 A3 D5 T3",views=("v_answers",), sql=f"""
     with {_SE_LATEST},
     x as (select question, pos, ' ' || answer as response, pm_score as score,
                  count(*) over (partition by question) as n,
@@ -150,7 +150,7 @@ def _aiprefs_sql(fraction: float = 1.0) -> str:
     from r group by prompt"""
 
 
-@register("aiprefs_pairs", "S7 F2 A2", views=("v_annotations",), sql=_aiprefs_sql())
+@register("aiprefs_pairs", "S7 F2 A2 D8",views=("v_annotations",), sql=_aiprefs_sql())
 def aiprefs_pairs(spark, sf_dir):
     return records.aiprefs(view(spark, sf_dir, "v_annotations"))
 
