@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -48,6 +49,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``prefspark`` importable in Python workers (pandas UDFs, mapInPandas
+    and foreachBatch callbacks unpickle references to it): zip the package once
+    per SparkContext and register it with ``addPyFile``, which distributes it
+    to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_prefspark_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="prefspark-pyfiles-"), "prefspark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("prefspark", os.path.relpath(full, pkg)))
+    sc.addPyFile(out)
+    sc._prefspark_shipped = True
+
+
 def materialize(df):
     """Cut lineage once for a DataFrame that is read several times (a count,
     range-bound sampling, the main pass): a reliable, eager ``checkpoint()`` into

@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from prefspark.session import ensure_checkpoint_dir
+    from prefspark.session import ensure_checkpoint_dir, ship_package
 
     s = (
         SparkSession.builder.master("local[*]")
@@ -29,6 +29,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
