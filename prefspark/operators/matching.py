@@ -26,22 +26,23 @@ def keep_first(samples: DataFrame, key: str = "instruction", order=("shard", "or
     ).select(key, F.col("_f._v").alias(value), *[F.col(f"_f.{c}").alias(c) for c in order])
 
 
-def sample_outputs(samples: DataFrame, max_words: int = T.MAX_WORDS, max_chars: int = T.MAX_CHARS) -> DataFrame:
-    """``process_llama_samples_from_dir``: template-trimmed instruction (T5),
-    first sample (W11), first occurrence across shards wins (A5), long
-    instructions dropped (F5)."""
-    rows = samples.select(
+def sample_outputs(firsts: DataFrame, max_words: int = T.MAX_WORDS, max_chars: int = T.MAX_CHARS) -> DataFrame:
+    """``process_llama_samples_from_dir`` over ``io.first_samples`` rows (one per
+    dump entry): template-trimmed instruction (T5), first sample (W11), first
+    occurrence across shards wins (A5), long instructions dropped (F5)."""
+    rows = firsts.select(
         T.strip_template("prompt").alias("instruction"),
-        F.element_at("completions", 1).alias("output"),
+        F.col("completion").alias("output"),
         "shard", "ord",
     )
     return keep_first(rows.filter(~T.too_long("instruction", max_words, max_chars)))
 
 
-def too_long_count(samples: DataFrame, max_words: int = T.MAX_WORDS, max_chars: int = T.MAX_CHARS) -> DataFrame:
-    """F5+A11: one row of counts (every too-long occurrence counts, as in the loop)."""
+def too_long_count(firsts: DataFrame, max_words: int = T.MAX_WORDS, max_chars: int = T.MAX_CHARS) -> DataFrame:
+    """F5+A11: one row of counts over dump entries (every too-long occurrence
+    counts, as in the loop)."""
     instr = T.strip_template("prompt")
-    return samples.agg(
+    return firsts.agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"),
         F.count_if(T.too_long(instr, max_words, max_chars)).cast("bigint").alias("n_too_long"),
         F.count_distinct(F.when(~T.too_long(instr, max_words, max_chars), instr)).cast("bigint").alias("n_kept"),

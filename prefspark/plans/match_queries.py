@@ -23,13 +23,18 @@ _TOO_LONG = ("(len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <
              "or length({c}) >= 8000)")
 
 
-def _samples(spark, sf_dir):
-    """Sampled completions of v_completions as sampler output: prompt template
-    + samples appended per prompt (A4), one row per (shard, prompt)."""
+def _sample_rows(spark, sf_dir):
+    """Sampled completions of v_completions as sampler output: one row per
+    sample, keyed by prompt template, shard and position."""
     s = view(spark, sf_dir, "v_completions").filter(F.col("model") == "sampled")
-    rows = s.select("model", "shard", "ord", T.single_turn_prompt("instruction").alias("prompt"),
+    return s.select("model", F.col("shard").cast("int").alias("shard"), "ord",
+                    T.single_turn_prompt("instruction").alias("prompt"),
                     F.lit(0).alias("sample_ix"), F.col("output").alias("completion"))
-    return io.collect_samples(rows)
+
+
+def _samples(spark, sf_dir):
+    """One row per dump entry (shard, prompt) with its first sample."""
+    return io.first_samples(_sample_rows(spark, sf_dir))
 
 
 def _teacher(spark, sf_dir):
@@ -57,9 +62,9 @@ _MATCHED_SQL = f"""{_SAMPLED_SQL},
 def overlap_shards_merge(spark, sf_dir):
     """Overlapping sampler shards dumped as JSON lines (O1), read back (S10) and
     merged keep-first (A5)."""
-    path = io.write_completions(_samples(spark, sf_dir), io.scratch_path(spark, "samples"))
+    path = io.write_completions(_sample_rows(spark, sf_dir), io.scratch_path(spark, "samples"))
     back = io.read_completion_rows(spark, path)
-    out = matching.sample_outputs(back)
+    out = matching.sample_outputs(io.first_samples(back))
     return out.select("instruction", "output", F.col("shard").cast("bigint").alias("shard"))
 
 
@@ -162,12 +167,9 @@ def template_strip(spark, sf_dir):
     the all-whitespace ``strip()`` of T7."""
     s = view(spark, sf_dir, "v_completions").filter(F.col("model") == "sampled").select(
         "shard", T.single_turn_prompt("instruction").alias("prompt"),
-        F.array(F.concat(F.lit("  "), "output", F.lit(" "))).alias("completions"))
-    return s.select(
-        "shard", T.strip_template("prompt").alias("instruction"),
-        T.strip_spaces(F.element_at("completions", 1)).alias("output"),
-        T.strip_ws(F.element_at("completions", 1)).alias("output_ws"),
-    )
+        F.concat(F.lit("  "), "output", F.lit(" ")).alias("completion"))
+    form = io.alpaca_form(s, keep=("shard", "completion"))
+    return form.select("shard", "instruction", "output", T.strip_ws("completion").alias("output_ws"))
 
 
 @register("fast_forward", "F11 F12", views=("v_turns",), sql=f"""
@@ -197,11 +199,11 @@ def teacher_sft(spark, sf_dir):
     c = view(spark, sf_dir, "v_completions").filter(F.col("model").isin("teacher", "student"))
     rows = c.select(F.when(F.col("model") == "teacher", "claude").otherwise("gpt4").alias("model"),
                     F.col("shard").cast("int").alias("shard"), "ord", F.col("instruction").alias("prompt"),
-                    F.array("output").alias("completions"))
+                    F.lit(0).alias("sample_ix"), F.col("output").alias("completion"))
     path = io.write_completions(rows, io.scratch_path(spark, "teacher"))
-    back = io.read_completion_rows(spark, path)
+    back = io.first_samples(io.read_completion_rows(spark, path))
     recs = back.select("model", T.single_turn_prompt("prompt").alias("prompt"),
-                       F.element_at("completions", 1).alias("target"), "ord")
+                       F.col("completion").alias("target"), "ord")
     return recs.groupBy("model", "prompt").agg(F.max_by("target", "ord").alias("sft_target"),
                                                F.min("ord").alias("first_ord"))
 

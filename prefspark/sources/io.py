@@ -37,41 +37,49 @@ def read_completion_maps(spark: SparkSession, path: str, glob: str | None = None
     return parsed.select("file", F.posexplode("m").alias("pos", "prompt", "completions"))
 
 
+SAMPLE_SCHEMA = "model string, shard int, ord bigint, prompt string, sample_ix int, completion string"
+
+
 def read_completion_rows(spark: SparkSession, path: str) -> DataFrame:
-    """S10 for the JSONL layout written by ``write_completions``."""
-    return spark.read.schema(
-        "model string, shard int, ord bigint, prompt string, completions array<string>"
-    ).json(path)
+    """S10 for the JSON-lines layout written by ``write_completions``: one line
+    per sample ``(model, shard, ord, prompt, sample_ix, completion)``."""
+    return spark.read.schema(SAMPLE_SCHEMA).json(path)
 
 
 # ------------------------------------------------------------------- O1/O4
 def write_completions(df: DataFrame, path: str) -> str:
-    """Completions per prompt as JSON lines, partitioned by model; a
-    rewrite replaces the previous dump (overwrite)."""
+    """The completion dump as JSON lines, one line per sample, partitioned
+    by model; a rewrite replaces the previous dump (overwrite). The reference's
+    ``{prompt: [samples...]}`` object is the same data grouped; writing samples
+    as lines keeps a prompt repeated many times from becoming one huge row."""
     df.write.mode("overwrite").partitionBy("model").json(path)
     return path
 
 
-def collect_samples(samples: DataFrame, key=("model", "shard", "prompt")) -> DataFrame:
-    """A4: samples of one prompt appended in sample order. A prompt holds
-    ``num_samples_per_prefix`` samples (a small configured bound), so the list
-    per key is bounded."""
+def first_samples(samples: DataFrame, key=("model", "shard", "prompt")) -> DataFrame:
+    """A4+W11: the samples of a prompt in one dump are appended in order and
+    consumers read the first (``v[0]``). That first sample is a map-side
+    ``min_by`` on (position, sample index), so a prompt repeated across many
+    rows is reduced before the shuffle and no list is gathered."""
     return samples.groupBy(*key).agg(
         F.min("ord").alias("ord"),
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "sample_ix", "completion"))), lambda s: s["completion"])
-        .alias("completions"),
+        F.min_by("completion", F.struct("ord", "sample_ix")).alias("completion"),
+        F.count(F.lit(1)).cast("bigint").alias("n_samples"),
     )
 
 
 # ------------------------------------------------------------------- O2/O3
-def alpaca_form(responses: DataFrame, prompt: str = "prompt", completions: str = "completions") -> DataFrame:
+def alpaca_form(responses: DataFrame, prompt: str = "prompt", completion: str = "completion",
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """O2: ``{instruction, output}`` with the template trimmed and the first
-    completion stripped of spaces only."""
+    completion (``first_samples``) stripped of spaces only; ``keep`` carries
+    extra columns along."""
     from prefspark.functions import text as T
 
     return responses.select(
+        *keep,
         T.strip_template(prompt).alias("instruction"),
-        T.strip_spaces(F.element_at(F.col(completions), 1)).alias("output"),
+        T.strip_spaces(F.col(completion)).alias("output"),
     )
 
 

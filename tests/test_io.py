@@ -51,14 +51,16 @@ def test_pandas_tokenizer_hook(spark):
 
 
 def test_alpaca_form_strips_spaces_only(spark):
-    df = spark.createDataFrame([("Human: q\n\nAssistant: ", ["  out \n", "second"])], ["prompt", "completions"])
+    df = spark.createDataFrame([("Human: q\n\nAssistant: ", "  out \n")], ["prompt", "completion"])
     r = io.alpaca_form(df).first()
     assert (r.instruction, r.output) == ("q", "out \n")
 
 
-def test_completion_dump_roundtrip(spark):
-    rows = spark.createDataFrame([("m", 0, 1, "p", ["x", "y"])], "model string, shard int, ord bigint, prompt string, completions array<string>")
+def test_completion_dump_roundtrip_and_first_sample(spark):
+    rows = spark.createDataFrame(
+        [("m", 0, 5, "p", 1, "second"), ("m", 0, 5, "p", 0, "first"), ("m", 0, 9, "p", 0, "later row"),
+         ("m", 1, 2, "p", 0, "other shard")], io.SAMPLE_SCHEMA)
     path = io.write_completions(rows, io.scratch_path(spark, "roundtrip"))
-    back = io.read_completion_rows(spark, path).collect()
-    assert [(r.model, r.prompt, list(r.completions)) for r in back] == [("m", "p", ["x", "y"])]
+    back = io.first_samples(io.read_completion_rows(spark, path)).orderBy("shard").collect()
+    assert [(r.shard, r.completion, r.n_samples) for r in back] == [(0, "first", 3), (1, "other shard", 1)]
     assert F is not None
