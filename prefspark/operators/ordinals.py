@@ -100,8 +100,8 @@ def index_within(
     )
     # One row per (partition, group): a group spans at most `partitions` rows here.
     before = per_part.select(
-        "_pid",
-        *group_cols,
+        F.col("_pid").alias("_b_pid"),
+        *[F.col(c).alias(f"_b_{i}") for i, c in enumerate(group_cols)],
         "_loc0",
         F.coalesce(
             F.sum("_cnt").over(
@@ -110,10 +110,14 @@ def index_within(
             F.lit(0),
         ).alias("_before"),
     )
+    # Null-safe on the group keys: a null group is a group, its rows must not vanish.
+    cond = [F.col("_pid") == F.col("_b_pid")] + [
+        F.col(c).eqNullSafe(F.col(f"_b_{i}")) for i, c in enumerate(group_cols)
+    ]
     return (
-        located.join(before, ["_pid", *group_cols])
+        located.join(before, cond)
         .withColumn(out, (F.col("_before") + F.col("_loc") - F.col("_loc0") + 1).cast("bigint"))
-        .drop("_pid", "_loc", "_loc0", "_before")
+        .drop("_pid", "_loc", "_loc0", "_before", "_b_pid", *[f"_b_{i}" for i in range(len(group_cols))])
     )
 
 

@@ -178,8 +178,10 @@ def test_dense_index_matches_sort(spark):
 
 def test_index_within_hot_group(spark):
     rows = [("hot", i) for i in range(3000)] + [(f"g{i % 50}", 10_000 + i) for i in range(6000)]
-    df = spark.createDataFrame(rows, ["g", "o"])
+    rows += [(None, 20_000 + i) for i in range(7)]  # a null group keeps its rows
+    df = spark.createDataFrame(rows, "g string, o long")
     got = ordinals.index_within(df, ["g"], "o", partitions=6).collect()
+    assert len(got) == len(rows)
     by = {}
     for r in got:
         by.setdefault(r.g, []).append((r.o, r.rn))
