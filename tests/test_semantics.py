@@ -355,6 +355,18 @@ def test_bt_first_step_closed_form(spark):
         assert abs(r[item] - 0.01 * (t.wins - t.losses) / (2 * n)) < 1e-12
 
 
+def test_bt_local_and_distributed_paths_agree(spark):
+    rnd = random.Random(11)
+    samples = spark.createDataFrame([(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(500)], ["winner", "loser"])
+    pairs = bt.aggregate_pairs(samples)
+    local = {r.item: r.reward for r in bt.fit_bradley_terry(pairs, 5, lr=0.5).collect()}
+    dist = {r.item: r.reward for r in bt.fit_bradley_terry(pairs, 5, lr=0.5, local_limit=0).collect()}
+    assert local.keys() == dist.keys()
+    assert all(abs(local[k] - dist[k]) < 1e-12 for k in local)
+    # higher true rank ends with a higher learned reward
+    assert local[9] > local[0]
+
+
 def test_policies_sum_to_one(spark):
     samples = spark.createDataFrame([(i % 7,) for i in range(100)], ["item"])
     pol = bt.categorical_mle(samples)
