@@ -37,19 +37,25 @@ def stream_dedupe(spark, sf_dir):
 
 
 @register("stream_metric_windows", "X2 A7", sql="""
-    select time_bucket(interval '1 hour', ts) as window_start,
-           time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end,
+    select cast(epoch(time_bucket(interval '1 hour', ts)) as bigint) as window_start,
+           cast(epoch(time_bucket(interval '1 hour', ts) + interval '1 hour') as bigint) as window_end,
            cast(count(*) as bigint) as n, round(avg(value), 6) as mean_value
     from events group by 1, 2""")
 def stream_metric_windows(spark, sf_dir):
+    """Hourly means of the event stream; windows reported as epoch seconds. The
+    wall-clock event time is read as UTC, so the result does not depend on the
+    session time zone (a watermark needs a TIMESTAMP, not TIMESTAMP_NTZ)."""
     root = io.scratch_path(spark, "stream_windows")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir)
-              .withColumn("ts", F.col("ts").cast("timestamp")))
-    means = jobs.windowed_means(spark, stream, f"{root}/out", f"{root}/ckpt")
-    return means.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    if schema["ts"].dataType.simpleString() == "timestamp_ntz":
+        ts = F.make_timestamp(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.minute("ts"),
+                              F.date_part(F.lit("SECOND"), F.col("ts")), F.lit("UTC"))
+        raw = raw.withColumn("ts", ts)
+    means = jobs.windowed_means(spark, raw, f"{root}/out", f"{root}/ckpt")
+    return means.select(F.unix_seconds("window_start").alias("window_start"),
+                        F.unix_seconds("window_end").alias("window_end"),
                         "n", F.round("mean_value", 6).alias("mean_value"))
 
 
