@@ -34,12 +34,6 @@ def _cols(cols: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _located(df: DataFrame, keys: list[Column], partitions: int | None) -> DataFrame:
     """Rows range-partitioned and sorted by ``keys`` with (partition, local index).
 
@@ -48,7 +42,14 @@ def _located(df: DataFrame, keys: list[Column], partitions: int | None) -> DataF
     otherwise plan its own range exchange, and Spark seeds the bound sampling
     with the RDD id, so on large partitions the two could disagree on which
     partition a row belongs to. The checkpoint also survives lost executors."""
-    ranged = df.repartitionByRange(_partitions(df, partitions), *keys).sortWithinPartitions(*keys)
+    # Without an explicit count AQE may coalesce adjacent range partitions to its
+    # advisory size; a coalesced partition reads its ranges in order and is
+    # re-sorted, so partition index order still follows key order.
+    if partitions:
+        ranged = df.repartitionByRange(partitions, *keys)
+    else:
+        ranged = df.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys)
     mid = F.monotonically_increasing_id()
     located = (
         ranged.withColumn("_mid", mid)
