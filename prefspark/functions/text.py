@@ -21,7 +21,7 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def anthropic_prompt(s: str | Column) -> Column:
+def transcript_prompt(s: str | Column) -> Column:
     """Prefix of ``s`` through the last ``\\n\\nAssistant:``; null when the
     marker is missing (callers route those rows to a reject table)."""
     s = _c(s)

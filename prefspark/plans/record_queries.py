@@ -124,7 +124,7 @@ def prompt_extract(spark, sf_dir):
     from prefspark.functions import text as T
 
     hh = view(spark, sf_dir, "v_hh")
-    p = T.anthropic_prompt("chosen")
+    p = T.transcript_prompt("chosen")
     return hh.select("ord", F.coalesce(p, F.lit("")).alias("prompt"),
                      (F.length("chosen") - F.length(F.coalesce(p, F.lit("")))).cast("bigint").alias("response_chars"))
 

@@ -121,7 +121,7 @@ def hh_rows(hh: DataFrame) -> DataFrame:
     """S3 per row: prompt through the last assistant marker of *chosen*; both
     responses cut at that length. Rows without the marker are dropped (the
     reference asserts); see ``hh_rejects``."""
-    p = T.anthropic_prompt("chosen")
+    p = T.transcript_prompt("chosen")
     return hh.withColumn("prompt", p).filter(F.col("prompt").isNotNull()).select(
         "ord", "prompt",
         F.expr("substring(chosen, length(prompt) + 1)").alias("chosen"),
@@ -130,7 +130,7 @@ def hh_rows(hh: DataFrame) -> DataFrame:
 
 
 def hh_rejects(hh: DataFrame) -> DataFrame:
-    return hh.filter(T.anthropic_prompt("chosen").isNull())
+    return hh.filter(T.transcript_prompt("chosen").isNull())
 
 
 def hh_pairs(hh: DataFrame) -> DataFrame:
