@@ -83,17 +83,59 @@ def dense_index(
     )
 
 
+# A group with more rows than this is "hot": its positions come from the
+# range-split path instead of one window task.
+HOT_GROUP_ROWS = 2_000_000
+# At most this many hot keys are broadcast (their count is checked first).
+MAX_HOT_KEYS = 100_000
+
+
 def index_within(
     df: DataFrame,
     group_cols: Sequence[str],
     order_cols: str | Column | Sequence[str | Column],
     out: str = "rn",
     partitions: int | None = None,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``out``: 1-based position of each row inside its group, ordered by
-    ``order_cols``. Skew-safe: a group holding a third of all rows is split over
-    many range partitions; only per (partition, group) counts are combined."""
+    ``order_cols`` (group + order must be unique).
+
+    Two tiers. A map-side count per group finds the hot groups (more than
+    ``hot_rows`` rows; there are at most n / hot_rows of them). All other groups
+    get a plain ``row_number()`` window: one shuffle, each group sorted in one
+    task. Hot groups - one may hold a third of all rows - take the range-split
+    path (``_index_within_split``), where a group is spread over many range
+    partitions and only per (partition, group) counts are combined."""
     group_cols = list(group_cols)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
+    # Renamed key columns: `hot` derives from `df`, so same-named columns on
+    # both sides of the join would be ambiguous.
+    hot = sizes.filter(F.col("_size") > hot_rows).select(
+        *[F.col(c).alias(f"_h_{i}") for i, c in enumerate(group_cols)])
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _index_within_window(df, group_cols, order_cols, out)
+    hot_keys = F.broadcast(hot) if n_hot <= MAX_HOT_KEYS else hot
+    same = [F.col(c).eqNullSafe(F.col(f"_h_{i}")) for i, c in enumerate(group_cols)]
+    cold_rows = df.join(hot_keys, same, "left_anti")
+    hot_rows_df = df.join(hot_keys, same, "left_semi")
+    return _index_within_window(cold_rows, group_cols, order_cols, out).unionByName(
+        _index_within_split(hot_rows_df, group_cols, order_cols, out, partitions))
+
+
+def _index_within_window(df: DataFrame, group_cols: list[str], order_cols, out: str) -> DataFrame:
+    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
+    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+
+
+def _index_within_split(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: str | Column | Sequence[str | Column],
+    out: str,
+    partitions: int | None,
+) -> DataFrame:
     keys = _cols(group_cols) + _cols(order_cols)
     located = _located(df, keys, partitions)
     per_part = located.groupBy("_pid", *group_cols).agg(

@@ -180,14 +180,25 @@ def test_index_within_hot_group(spark):
     rows = [("hot", i) for i in range(3000)] + [(f"g{i % 50}", 10_000 + i) for i in range(6000)]
     rows += [(None, 20_000 + i) for i in range(7)]  # a null group keeps its rows
     df = spark.createDataFrame(rows, "g string, o long")
-    got = ordinals.index_within(df, ["g"], "o", partitions=6).collect()
-    assert len(got) == len(rows)
-    by = {}
-    for r in got:
-        by.setdefault(r.g, []).append((r.o, r.rn))
-    for g, xs in by.items():
-        xs.sort()
-        assert [rn for _, rn in xs] == list(range(1, len(xs) + 1)), g
+    # hot_rows=1000: the 3000-row group takes the range-split path, the rest the window
+    for hot_rows in (1000, 10**9):
+        got = ordinals.index_within(df, ["g"], "o", partitions=6, hot_rows=hot_rows).collect()
+        assert len(got) == len(rows)
+        by = {}
+        for r in got:
+            by.setdefault(r.g, []).append((r.o, r.rn))
+        for g, xs in by.items():
+            xs.sort()
+            assert [rn for _, rn in xs] == list(range(1, len(xs) + 1)), g
+
+
+def test_hot_group_is_split_over_partitions(spark):
+    from prefspark.operators.ordinals import _located
+
+    df = spark.createDataFrame([("hot", i) for i in range(3000)] + [("c", i) for i in range(10)], "g string, o long")
+    located = _located(df, [F.col("g"), F.col("o")], 6)
+    pids = {r._pid for r in located.filter("g = 'hot'").select("_pid").distinct().collect()}
+    assert len(pids) >= 3
 
 
 def test_hash_rank_split_disjoint(spark):
