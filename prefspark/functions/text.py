@@ -15,6 +15,10 @@ SPECIAL_TOKENS_3 = ("<s>", "</s>", "<|endoftext|>")  # dialogue and annotation f
 SPECIAL_TOKENS_2 = ("<s>", "</s>")  # binarised-preference filter
 MAX_WORDS = 2000  # length filter: drop at or above
 MAX_CHARS = 8000
+# Characters Python's str.split()/str.strip() treat as whitespace, as a regex
+# class in \x{...} form (understood by Java regex and RE2 alike).
+PY_WHITESPACE = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                 r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def _c(x: str | Column) -> Column:
@@ -49,7 +53,7 @@ def strip_template(p: str | Column) -> Column:
 
 def strip_ws(s: str | Column) -> Column:
     """Python ``str.strip()`` (all leading/trailing whitespace)."""
-    return F.regexp_replace(_c(s), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(s), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
 
 
 def strip_spaces(s: str | Column) -> Column:
@@ -59,7 +63,7 @@ def strip_spaces(s: str | Column) -> Column:
 
 def word_count(s: str | Column) -> Column:
     """``len(s.split())`` - whitespace runs, no empty words."""
-    return F.size(F.filter(F.split(_c(s), r"\s+"), lambda w: w != F.lit("")))
+    return F.size(F.filter(F.split(_c(s), f"{PY_WHITESPACE}+"), lambda w: w != F.lit("")))
 
 
 def first_words(s: str | Column, n: int = 10) -> Column:

@@ -19,8 +19,8 @@ MAX_COMPARISONS = 20
 HOLDOUT_FRACTION = 0.1
 FF, CHUNK = 7, 4
 
-_TOO_LONG = ("(len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')) >= 2000 "
-             "or length({c}) >= 8000)")
+_TOO_LONG = ("(len(list_filter(regexp_split_to_array({c}, '" + T.PY_WHITESPACE.replace("{", "{{").replace("}", "}}")
+             + "+'), lambda w: w <> '')) >= 2000 or length({c}) >= 8000)")
 
 
 def _sample_rows(spark, sf_dir):
@@ -160,7 +160,7 @@ def length_filter_counts(spark, sf_dir):
                       '  ' || output || ' ' as completion
                from v_completions where model = 'sampled')
     select shard, substr(prompt, 8, length(prompt) - 20) as instruction, trim(completion, ' ') as output,
-           regexp_replace(completion, '^\\s+|\\s+$', '', 'g') as output_ws
+           regexp_replace(completion, '^{T.PY_WHITESPACE}+|{T.PY_WHITESPACE}+$', '', 'g') as output_ws
     from s""")
 def template_strip(spark, sf_dir):
     """O2 (alpaca form: trimmed template, first completion, ``strip(' ')``) next to

@@ -309,6 +309,15 @@ def test_collate_pads_to_batch_max(spark):
         assert len({len(r.prompt_input_ids) for r in rows}) == 1
 
 
+def test_whitespace_matches_python_split_and_strip(spark):
+    from prefspark.functions import text as T
+
+    samples = ["a b  c", "　x y ", "\x1cq\x1dw ", "tab\tsep\nline", "", "  "]
+    df = spark.createDataFrame([(s,) for s in samples], ["s"])
+    got = [(r.n, r.t) for r in df.select(T.word_count("s").alias("n"), T.strip_ws("s").alias("t")).collect()]
+    assert got == [(len(s.split()), s.strip()) for s in samples]
+
+
 # ------------------------------------------------------------------ matching
 def test_cap_keeps_max_plus_two(spark):
     df = spark.range(50).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("instruction"),
