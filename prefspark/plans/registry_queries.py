@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prefspark.plans import dialogue_queries, record_queries  # noqa: F401  (oracles below reuse theirs)
 from prefspark.plans.registry import QUERIES, register
 from prefspark.sources import registry
-from prefspark.sources.fixtures import view
+from prefspark.sources.fixtures import view, with_views
 
 # dataset -> (oracle of its SFT rows, oracle of its pair rows); None = no pairs
 _PARTS = {
@@ -23,9 +23,23 @@ _PARTS = {
 }
 
 
+# The SE train split drops the first 1% of question rows by seeded md5 rank (W3);
+# its SFT rows are the distinct questions left.
+_SE_TRAIN_SQL = "(" + with_views(["v_answers"], """
+    select cast(count(distinct question) as bigint) from v_answers where q_ord in (
+      select q_ord from (
+        select q_ord, row_number() over (order by substr(md5(concat_ws(chr(1), '42', cast(q_ord as varchar))), 1, 15),
+                                          q_ord) as rn,
+               count(*) over () as n
+        from (select distinct q_ord from v_answers) q) z
+      where rn > cast(floor(n * 0.01E0) as bigint))""") + ")"
+
+
 def _count(name, split):
     if name is None:
         return "cast(0 as bigint)"
+    if name == "se_sft_target":
+        return _SE_TRAIN_SQL
     where = f" where split = '{split}'" if split else ""
     return f"(select cast(count(*) as bigint) from ({QUERIES[name].oracle}) z{where})"
 

@@ -40,6 +40,29 @@ def best_response(responses: DataFrame, group: list[str], text: str = "response"
 
 
 # ---------------------------------------------------------------- S1 scored Q&A
+def se_split(answers: DataFrame, split: str, seed: int = 42, test_fraction: float = 0.01) -> DataFrame:
+    """W3 for S1: rows (one per question row, ``q_ord``) ranked by a seeded md5
+    key; the first ``int(test_fraction * n)`` are 'test', the rest 'train'
+    (disjoint); any other split name keeps everything."""
+    if split not in ("train", "test"):
+        return answers
+    rows = answers.select("q_ord").distinct()
+    n = rows.count()
+    k = int(n * test_fraction)
+    keyed = rows.withColumn("_h", F.substring(F.md5(F.concat_ws("\u0001", F.lit(str(seed)),
+                                                                F.col("q_ord").cast("string"))), 1, 15))
+    ranked = ordinals.dense_index(keyed, ["_h", "q_ord"], out="_rn")
+    chosen = ranked.filter((F.col("_rn") <= k) if split == "test" else (F.col("_rn") > k)).select("q_ord")
+    return answers.join(chosen, "q_ord", "left_semi")
+
+
+def se_clean(answers: DataFrame) -> DataFrame:
+    """T2 on question and answer bodies (Arrow pandas UDF; after all filters)."""
+    from prefspark.functions.html import strip_html
+
+    return answers.withColumn("question", strip_html("question")).withColumn("answer", strip_html("answer"))
+
+
 def se_latest(answers: DataFrame) -> DataFrame:
     """Rows of the last occurrence of every question (duplicate prompt: last replaces all)."""
     latest = answers.groupBy("question").agg(F.max("q_ord").alias("q_ord"))

@@ -116,6 +116,18 @@ def test_se_target_first_occurrence_score(spark):
     assert got["\n\nHuman: R\n\nAssistant:"] == " x"
 
 
+def test_se_split_and_html_cleaning(spark):
+    rows = [Row(q_ord=q, question=f"<p>Q{q % 40}</p>", pos=p, answer=f"<p>a{p}</p><pre><code>x</code></pre>",
+                pm_score=p) for q in range(400) for p in range(2)]
+    df = spark.createDataFrame(rows)
+    test = records.se_split(df, "test").select("q_ord").distinct()
+    train = records.se_split(df, "train").select("q_ord").distinct()
+    assert test.count() == 4 and train.count() == 396
+    assert test.join(train, "q_ord").count() == 0
+    clean = records.se_clean(df).first()
+    assert clean.question.startswith("Q") and clean.answer.endswith("\n\n<code>x</code>")
+
+
 # ------------------------------------------------------------------ S2
 def test_shp_append_and_ratio(spark):
     rows = [Row(ord=0, history="h", human_ref_a="a0", human_ref_b="b0", score_a=10, score_b=2, labels=1),
