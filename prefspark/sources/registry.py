@@ -5,7 +5,7 @@ first_ord, pair_ix, chosen, rejected). Users can add builders to ``DATASETS``.""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +31,22 @@ SFT_SCHEMA = T.StructType([
 KEEP_END = ("hh", "sharegpt")
 
 
-@dataclass
 class Dataset:
-    name: str
-    sft: DataFrame
-    pairs: DataFrame
+    """A named dataset's two tables, conformed to the record schemas on first
+    access (a table given as a callable is built only then)."""
+
+    def __init__(self, name: str, sft, pairs):
+        self.name = name
+        self._sft = sft
+        self._pairs = pairs
+
+    @cached_property
+    def sft(self) -> DataFrame:
+        return _conform(self._sft() if callable(self._sft) else self._sft, SFT_SCHEMA)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return _conform(self._pairs() if callable(self._pairs) else self._pairs, PAIR_SCHEMA)
 
     @property
     def truncation_mode(self) -> str:
@@ -55,14 +66,17 @@ def _pairs_with_first(pairs: DataFrame) -> DataFrame:
     return pairs.join(first, "prompt")
 
 
+# Builders return the two tables, or zero-argument callables for tables whose
+# construction runs jobs (position counts, checkpoints): those are built only
+# when a caller reads them.
 def _hh(spark, sf_dir, split, **kw):
     hh = view(spark, sf_dir, "v_hh")
-    return records.hh_sft_target(hh), _pairs_with_first(records.hh_pairs(hh))
+    return (lambda: records.hh_sft_target(hh)), (lambda: _pairs_with_first(records.hh_pairs(hh)))
 
 
 def _shp(spark, sf_dir, split, **kw):
     shp = view(spark, sf_dir, "v_shp")
-    return records.shp_sft_target(shp), _pairs_with_first(records.shp_pairs(shp))
+    return (lambda: records.shp_sft_target(shp)), (lambda: _pairs_with_first(records.shp_pairs(shp)))
 
 
 def _se(spark, sf_dir, split, strip_html=False, **kw):
@@ -70,10 +84,11 @@ def _se(spark, sf_dir, split, strip_html=False, **kw):
     # (see records.se_pair_tally); the training pairs table stays empty.
     # The fixture bodies are plain text, where T2 would empty them: strip only
     # when the source is HTML.
-    ans = records.se_split(view(spark, sf_dir, "v_answers"), split)
-    if strip_html:
-        ans = records.se_clean(ans)
-    return records.se_sft_target(ans), _empty_pairs(spark)
+    def sft():
+        ans = records.se_split(view(spark, sf_dir, "v_answers"), split)
+        return records.se_sft_target(records.se_clean(ans) if strip_html else ans)
+
+    return sft, _empty_pairs(spark)
 
 
 def _sharegpt(spark, sf_dir, split, prefs=None, num_turns=1, data_fraction=1.0, **kw):
@@ -102,7 +117,8 @@ def _ultrachat(spark, sf_dir, split, **kw):
 
 
 def _wiki(spark, sf_dir, split, fixed_ord=25, **kw):
-    return records.wikitext(table(spark, sf_dir, "documents"), split, fixed_ord=fixed_ord), _empty_pairs(spark)
+    docs = table(spark, sf_dir, "documents")
+    return (lambda: records.wikitext(docs, split, fixed_ord=fixed_ord)), _empty_pairs(spark)
 
 
 def _alpaca(spark, sf_dir, split, **kw):
@@ -128,7 +144,7 @@ def get_dataset(spark: SparkSession, sf_dir: str, name: str, split: str = "train
     if name not in DATASETS:
         raise ValueError(f"Unknown dataset '{name}'")
     sft, pairs = DATASETS[name](spark, sf_dir, split, **kw)
-    return Dataset(name, _conform(sft, SFT_SCHEMA), _conform(pairs, PAIR_SCHEMA))
+    return Dataset(name, sft, pairs)
 
 
 def mixture(spark: SparkSession, sf_dir: str, names: list[str], split: str = "train", **kw) -> DataFrame:
