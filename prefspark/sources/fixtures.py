@@ -53,8 +53,8 @@ VIEWS: dict[str, str] = {
                a.text as human_ref_a, b.text as human_ref_b,
                a.n_chars % 97 as score_a, b.n_chars % 97 as score_b,
                case when a.n_chars % 97 >= b.n_chars % 97 then 1 else 0 end as labels
-        from {documents} a join {documents} b on b.doc_id = a.doc_id + 1
-        where a.doc_id % 2 = 0""",
+        from {documents} a join {documents} b
+          on cast(floor(b.doc_id / 2) as bigint) = cast(floor(a.doc_id / 2) as bigint) and a.doc_id < b.doc_id""",
     # Chosen/rejected transcripts; copy 1 repeats every prompt with another answer.
     "v_hh": """
         with p as (
