@@ -52,23 +52,25 @@ def rewards(beta: float, pc="pc", pr="pr", rc="rc", rr="rr") -> tuple[Column, Co
     return F.lit(beta) * (_c(pc) - _c(rc)), F.lit(beta) * (_c(pr) - _c(rr))
 
 
-def dpo_metric_columns(beta: float, **loss_kw) -> dict[str, Column]:
-    """M7, M8, A10: the per-example metric bag of a DPO step."""
+def dpo_metric_columns(beta: float, split: str = "train", **loss_kw) -> dict[str, Column]:
+    """M7, M8, A10: the per-example metric bag of a DPO step, named as the
+    reference logs them (``rewards_<split>/...``, ``loss/<split>``)."""
     chosen, rejected = rewards(beta)
+    r, lp = f"rewards_{split}", f"logps_{split}"
     return {
-        "rewards/chosen": chosen,
-        "rewards/chosen_logprob_ratio": chosen / beta,
-        "rewards/rejected": rejected,
-        "rewards/rejected_logprob_ratio": rejected / beta,
-        "rewards/accuracies": (chosen > rejected).cast("double"),
-        "rewards/margins": chosen - rejected,
-        "rewards/beta_normalized_margin": (chosen - rejected) / beta,
-        "logps/chosen": F.col("pc"),
-        "logps/rejected": F.col("pr"),
-        "logps/reference_chosen": F.col("rc"),
-        "logps/reference_rejected": F.col("rr"),
-        "importance_weights/rejected": F.exp(F.col("pr") - F.col("rr")),
-        "loss": preference_loss(beta, **loss_kw),
+        f"{r}/chosen": chosen,
+        f"{r}/chosen_logprob_ratio": chosen / beta,
+        f"{r}/rejected": rejected,
+        f"{r}/rejected_logprob_ratio": rejected / beta,
+        f"{r}/accuracies": (chosen > rejected).cast("double"),
+        f"{r}/margins": chosen - rejected,
+        f"{r}/beta_normalized_margin": (chosen - rejected) / beta,
+        f"{lp}/chosen": F.col("pc"),
+        f"{lp}/rejected": F.col("pr"),
+        f"{lp}/reference_chosen": F.col("rc"),
+        f"{lp}/reference_rejected": F.col("rr"),
+        f"importance_weights_{split}/rejected": F.exp(F.col("pr") - F.col("rr")),
+        f"loss/{split}": preference_loss(beta, **loss_kw),
     }
 
 

@@ -62,13 +62,14 @@ def dpo_loss_variants(spark, sf_dir):
 def _metric_sql() -> str:
     ch, rj = f"({BETA} * (pc - rc))", f"({BETA} * (pr - rr))"
     items = [
-        ("rewards/chosen", ch), ("rewards/chosen_logprob_ratio", f"{ch} / {BETA}"),
-        ("rewards/rejected", rj), ("rewards/rejected_logprob_ratio", f"{rj} / {BETA}"),
-        ("rewards/accuracies", f"case when {ch} > {rj} then 1.0 else 0.0 end"),
-        ("rewards/margins", f"{ch} - {rj}"), ("rewards/beta_normalized_margin", f"({ch} - {rj}) / {BETA}"),
-        ("logps/chosen", "pc"), ("logps/rejected", "pr"), ("logps/reference_chosen", "rc"),
-        ("logps/reference_rejected", "rr"), ("importance_weights/rejected", "exp(pr - rr)"),
-        ("loss", f"-{_lsig(f'{BETA} * {_LOGITS}')}"),
+        ("rewards_train/chosen", ch), ("rewards_train/chosen_logprob_ratio", f"{ch} / {BETA}"),
+        ("rewards_train/rejected", rj), ("rewards_train/rejected_logprob_ratio", f"{rj} / {BETA}"),
+        ("rewards_train/accuracies", f"case when {ch} > {rj} then 1.0 else 0.0 end"),
+        ("rewards_train/margins", f"{ch} - {rj}"),
+        ("rewards_train/beta_normalized_margin", f"({ch} - {rj}) / {BETA}"),
+        ("logps_train/chosen", "pc"), ("logps_train/rejected", "pr"), ("logps_train/reference_chosen", "rc"),
+        ("logps_train/reference_rejected", "rr"), ("importance_weights_train/rejected", "exp(pr - rr)"),
+        ("loss/train", f"-{_lsig(f'{BETA} * {_LOGITS}')}"),
     ]
     union = "\n      union all ".join(f"select step, '{m}' as metric, cast({e} as double) as value from v_logps"
                                      for m, e in items)
