@@ -76,7 +76,7 @@ def stream_cache_backfill(spark, sf_dir):
     seed = (v.filter((F.col("model") == "sampled") & (F.col("shard") == 1)).withColumn("key", keyed)
             .groupBy("key").agg(F.min_by("instruction", "ord").alias("instruction"),
                                 F.min_by("output", "ord").alias("response")))
-    seed.write.mode("overwrite").parquet(f"{root}/cache/batch_id=-1")
+    jobs.write_cache(seed, f"{root}/cache", -1)
     req = v.filter(F.col("model") == "teacher").select("instruction", "ord").withColumn("key", keyed)
     waves = [req.filter(F.col("ord") < 10), req]
     for wave in waves:

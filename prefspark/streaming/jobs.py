@@ -72,24 +72,40 @@ def windowed_means(spark: SparkSession, source: DataFrame, out: str, checkpoint:
     return latest.select("window_start", "window_end", "v.n", (F.col("v.total") / F.col("v.n")).alias("mean_value"))
 
 
+def cache_bucket(key: str = "key"):
+    """Cache partition of a request: the first two hex digits of its sha256 key
+    (256 evenly filled buckets)."""
+    return F.substring(F.col(key), 1, 2)
+
+
+def write_cache(df: DataFrame, cache_root: str, batch_id: int, key: str = "key") -> None:
+    """Cache rows of one micro-batch, partitioned by bucket (overwrite = idempotent retry)."""
+    df.withColumn("bucket", cache_bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{cache_root}/batch_id={batch_id}")
+
+
 def cache_backfill(spark: SparkSession, requests: DataFrame, cache_root: str, checkpoint: str,
                    complete: Callable[[pd.DataFrame], pd.DataFrame], key: str = "key") -> None:
     """Resumable backfill. Each micro-batch of requests is answered from the
     cache table where possible; misses go through ``complete`` and are appended
-    to the cache (``cache_root/batch_id=<id>``), so a restart only pays for
-    requests never completed before."""
+    to the cache (``cache_root/batch_id=<id>/bucket=<xx>``), so a restart only
+    pays for requests never completed before. The cache scan is pruned to the
+    key buckets present in the micro-batch (at most 256 values), so a small
+    batch reads a small part of a large cache."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        reqs = batch.dropDuplicates([key])
+        buckets = [r[0] for r in reqs.select(cache_bucket(key)).distinct().collect()]  # <= 256 values
         stored = _batches_of(spark, cache_root)
         if stored is None:
             stored = spark.createDataFrame([], T.StructType([
                 T.StructField(key, T.StringType()), T.StructField("response", T.StringType())]))
         else:
-            stored = stored.filter(F.col("batch_id") != batch_id).select(key, "response")
-        reqs = batch.dropDuplicates([key])
+            stored = stored.filter(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id)).select(
+                key, "response")
         done = matching.cached_completions(reqs, stored, complete, key=key)
         new = done.filter(F.col("source") == "miss").select(key, "instruction", "response")
-        new.write.mode("overwrite").parquet(f"{cache_root}/batch_id={batch_id}")
+        write_cache(new, cache_root, batch_id, key)
 
     q = (requests.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
