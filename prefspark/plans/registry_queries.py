@@ -20,8 +20,25 @@ _PARTS = {
     "ultrafeedback": ("ultrafeedback_pairs", "ultrafeedback_pairs", None),
     "ultrafeedbacknarrow": ("ultrafeedback_narrow_routing", "ultrafeedback_narrow_routing", "train"),
     "alpaca_eval": ("alpaca_prompts", None, None),
+    "shareclaude": ("maps:teacher", None, None),
+    "sharegpt4": ("maps:student", None, None),
 }
 
+# Completion-map datasets read the teacher / student completions of
+# v_completions as map rows (file = model, position = ord).
+_MAP_MODELS = {"shareclaude": "teacher", "sharegpt4": "student"}
+
+
+def _maps_count_sql(model: str) -> str:
+    return "(" + with_views(["v_completions"], f"""
+        select cast(count(distinct instruction) as bigint) from v_completions where model = '{model}'""") + ")"
+
+
+def _completion_maps(spark, sf_dir, model):
+    v = view(spark, sf_dir, "v_completions").filter(F.col("model") == model)
+    return v.select(F.col("model").alias("file"), F.col("ord").alias("pos"), F.col("instruction").alias("prompt"),
+                    F.array("output").alias("completions"))
+
 
 # The SE train split drops the first 1% of question rows by seeded md5 rank (W3);
 # its SFT rows are the distinct questions left.
@@ -40,6 +57,8 @@ def _count(name, split):
         return "cast(0 as bigint)"
     if name == "se_sft_target":
         return _SE_TRAIN_SQL
+    if name.startswith("maps:"):
+        return _maps_count_sql(name.split(":", 1)[1])
     where = f" where split = '{split}'" if split else ""
     return f"(select cast(count(*) as bigint) from ({QUERIES[name].oracle}) z{where})"
 
@@ -56,7 +75,8 @@ def dataset_registry(spark, sf_dir):
     ann = view(spark, sf_dir, "v_annotations")
     sft_parts, pair_parts = [], []
     for name in _PARTS:
-        ds = registry.get_dataset(spark, sf_dir, name, "train", prefs=ann if name == "sharegpt" else None)
+        extra = {"maps": _completion_maps(spark, sf_dir, _MAP_MODELS[name])} if name in _MAP_MODELS else {}
+        ds = registry.get_dataset(spark, sf_dir, name, "train", prefs=ann if name == "sharegpt" else None, **extra)
         sft_parts.append(ds.sft.select(F.lit(name).alias("dataset")))
         pair_parts.append(ds.pairs.select(F.lit(name).alias("dataset")))
     names = spark.createDataFrame([(n,) for n in _PARTS], ["dataset"])

@@ -246,6 +246,22 @@ def wikitext(docs: DataFrame, split: str = "test", fixed_ord: int | None = None,
     return rec
 
 
+# ------------------------------------------------------- S5/S6 completion maps
+def completion_map_sft(maps: DataFrame, split: str = "train", data_fraction: float = 1.0,
+                       test_n: int = 256) -> DataFrame:
+    """S5/S6 over ``io.read_completion_maps`` rows ``(file, pos, prompt,
+    completions)``: entries are concatenated in (sorted file path, position)
+    order (U2), the first ``int(n * data_fraction)`` kept (W1), each becomes
+    prompt ``Human: <key>\\n\\nAssistant: `` with the first completion as
+    target (W11); a repeated prompt keeps its first position and the last
+    value; 'test' is the first ``test_n`` prompts (256 for S5, 512 for S6)."""
+    ordered = ordinals.dense_index(maps, ["file", "pos"], out="ord")
+    ordered = ordinals.prefix_fraction(ordered, "ord", data_fraction)
+    rows = ordered.select(T.single_turn_prompt("prompt").alias("prompt"),
+                          F.element_at("completions", 1).alias("target"), "ord")
+    return split_prompts(last_wins(rows), split, test_n)
+
+
 # ------------------------------------------------------- S13 evaluation set
 def alpaca_prompts(bench: DataFrame, instruction: str = "text", output: str | None = None,
                    order: str = "item_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.sources import dialogue, records
+from prefspark.sources import dialogue, io, records
 from prefspark.sources.fixtures import table, view
 
 PAIR_SCHEMA = T.StructType([
@@ -125,7 +125,23 @@ def _alpaca(spark, sf_dir, split, **kw):
     return records.alpaca_prompts(table(spark, sf_dir, "benchmark")), _empty_pairs(spark)
 
 
+def _completion_maps(suffix: str, test_n: int):
+    """SFT records from teacher completion maps: ``maps`` rows shaped like
+    ``io.read_completion_maps`` output, or files ``<maps_dir>/*<suffix>``."""
+
+    def build(spark, sf_dir, split, maps=None, maps_dir=None, data_fraction=1.0, **kw):
+        if maps is None:
+            if maps_dir is None:
+                raise ValueError("completion maps are needed: pass maps= or maps_dir=")
+            maps = io.read_completion_maps(spark, maps_dir, f"*{suffix}")
+        return (lambda: records.completion_map_sft(maps, split, data_fraction, test_n)), _empty_pairs(spark)
+
+    return build
+
+
 DATASETS: dict[str, Callable] = {
+    "shareclaude": _completion_maps("claude_completions.json", 256),
+    "sharegpt4": _completion_maps("gpt4_completions.json", 512),
     "shp": _shp,
     "hh": _hh,
     "se": _se,

@@ -25,6 +25,37 @@ def test_completion_map_files(spark):
         (0, "Human: b\n\nAssistant: ", ["B1", "B2"]), (1, "Human: a\n\nAssistant: ", ["A1"])]
 
 
+def test_completion_map_files_to_sft_records(spark):
+    from prefspark.sources import records
+
+    d = tempfile.mkdtemp(prefix="maps-", dir="/tmp")
+    with open(os.path.join(d, "a_claude_completions.json"), "w") as f:
+        json.dump({"x": ["X1", "X2"], "y": ["Y1"]}, f)
+    with open(os.path.join(d, "b_claude_completions.json"), "w") as f:
+        json.dump({"z": ["Z1"], "x": ["X-late"]}, f)
+    maps = io.read_completion_maps(spark, d, "*claude_completions.json")
+    got = sorted((r.first_ord, r.prompt, r.sft_target) for r in records.completion_map_sft(maps).collect())
+    # x keeps its first position (file a) and takes the last value (file b)
+    assert got == [(1, "Human: x\n\nAssistant: ", "X-late"), (2, "Human: y\n\nAssistant: ", "Y1"),
+                   (3, "Human: z\n\nAssistant: ", "Z1")]
+    test = records.completion_map_sft(maps, split="test", test_n=2).collect()
+    assert sorted(r.prompt for r in test) == ["Human: x\n\nAssistant: ", "Human: y\n\nAssistant: "]
+    half = records.completion_map_sft(maps, data_fraction=0.5).collect()  # first 2 of 4 entries
+    assert sorted(r.sft_target for r in half) == ["X1", "Y1"]
+
+
+def test_registry_names_and_unknown_name(spark):
+    import pytest
+
+    from prefspark.sources import registry
+
+    assert len(registry.DATASETS) == 11
+    with pytest.raises(ValueError):
+        registry.get_dataset(spark, "/root/testdata/sf0.001", "no_such_dataset")
+    with pytest.raises(ValueError):
+        registry.get_dataset(spark, "/root/testdata/sf0.001", "shareclaude").sft
+
+
 def test_leaderboard_folders(spark):
     root = tempfile.mkdtemp(prefix="evals-", dir="/tmp")
 
