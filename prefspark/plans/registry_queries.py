@@ -68,7 +68,7 @@ _SQL = "\nunion all\n".join(
     for ds, (s, p, split) in _PARTS.items())
 
 
-@register("dataset_registry", "S14 G6 U1", sql=_SQL)
+@register("dataset_registry", "S14 G6 U1 S5 S6 W3", sql=_SQL)
 def dataset_registry(spark, sf_dir):
     """Each dataset name goes through ``get_dataset`` (train split) and its
     record tables are counted; conformed schemas are part of the build."""
