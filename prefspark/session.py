@@ -44,6 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        # A machine-local folder is invisible to other executors.
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS/S3/...)")
     path = tempfile.mkdtemp(prefix="prefspark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
