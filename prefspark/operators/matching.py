@@ -38,6 +38,19 @@ def sample_outputs(firsts: DataFrame, max_words: int = T.MAX_WORDS, max_chars: i
     return keep_first(rows.filter(~T.too_long("instruction", max_words, max_chars)))
 
 
+def sample_outputs_from_rows(samples: DataFrame, max_words: int = T.MAX_WORDS,
+                             max_chars: int = T.MAX_CHARS) -> DataFrame:
+    """Same result as ``sample_outputs(io.first_samples(samples))`` in one
+    aggregation: the first sample of the first entry per instruction is the
+    minimum over (shard, position, sample index)."""
+    rows = samples.select(
+        T.strip_template("prompt").alias("instruction"),
+        F.col("completion").alias("output"),
+        "shard", "ord", "sample_ix",
+    ).filter(~T.too_long("instruction", max_words, max_chars))
+    return keep_first(rows, order=("shard", "ord", "sample_ix")).drop("sample_ix")
+
+
 def too_long_count(firsts: DataFrame, max_words: int = T.MAX_WORDS, max_chars: int = T.MAX_CHARS) -> DataFrame:
     """F5+A11: one row of counts over dump entries (every too-long occurrence
     counts, as in the loop)."""

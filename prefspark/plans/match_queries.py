@@ -72,7 +72,7 @@ def overlap_shards_merge(spark, sf_dir):
     with {_MATCHED_SQL}
     select instruction, output_1, output_2, ord from m""")
 def match_outputs(spark, sf_dir):
-    left = matching.sample_outputs(_samples(spark, sf_dir))
+    left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
     return matching.match_outputs(left, _teacher(spark, sf_dir)).select("instruction", "output_1", "output_2", "ord")
 
 
@@ -80,7 +80,7 @@ def match_outputs(spark, sf_dir):
     with {_MATCHED_SQL}
     select instruction, output_1, output_2, ord from m order by ord limit {MAX_COMPARISONS + 2}""")
 def comparison_cap(spark, sf_dir):
-    left = matching.sample_outputs(_samples(spark, sf_dir))
+    left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
     matched = matching.match_outputs(left, _teacher(spark, sf_dir))
     return matching.cap_comparisons(matched, MAX_COMPARISONS).select("instruction", "output_1", "output_2", "ord")
 
@@ -93,7 +93,7 @@ def comparison_cap(spark, sf_dir):
     select instruction, output_2, 'teacher' from c""")
 def comparison_rows(spark, sf_dir):
     """O3: both models' rows written under one folder per generator, read back."""
-    left = matching.sample_outputs(_samples(spark, sf_dir))
+    left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
     capped = matching.cap_comparisons(matching.match_outputs(left, _teacher(spark, sf_dir)), MAX_COMPARISONS)
     rows = matching.comparison_rows(capped, "sampled", "teacher").drop("ord")
     path = io.write_comparison_inputs(rows, io.scratch_path(spark, "comparisons"))
@@ -138,7 +138,7 @@ def semi_filter(spark, sf_dir):
     turns = view(spark, sf_dir, "v_turns")
     k = dialogue.sharegpt_sft(turns, num_turns=1, data_fraction=HOLDOUT_FRACTION).count()
     allowed = matching.holdout_prefix(matching.teacher_outputs(dialogue.sharegpt_sft(turns, "combined", num_turns=1)), k)
-    left = matching.sample_outputs(_samples(spark, sf_dir))
+    left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
     return matching.allowed_only(left, allowed).select("instruction", "output")
 
 
@@ -269,7 +269,7 @@ def judge_annotations(spark, sf_dir):
     records (S7)."""
     from prefspark.sources import records
 
-    left = matching.sample_outputs(_samples(spark, sf_dir))
+    left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
     capped = matching.cap_comparisons(matching.match_outputs(left, _teacher(spark, sf_dir)), MAX_COMPARISONS)
     judged = matching.annotate(capped.select("ord", "instruction", "output_1", "output_2"),
                                matching.longer_output_judge)

@@ -44,6 +44,20 @@ def test_completion_map_files_to_sft_records(spark):
     assert sorted(r.sft_target for r in half) == ["X1", "Y1"]
 
 
+def test_single_pass_sample_outputs_equal_two_step(spark):
+    import random
+
+    from prefspark.operators import matching
+
+    rnd = random.Random(4)
+    rows = [("m", rnd.randint(0, 2), rnd.randint(0, 30), f"Human: p{rnd.randint(0, 9)}\n\nAssistant: ",
+             rnd.randint(0, 2), f"c{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, io.SAMPLE_SCHEMA)
+    one = sorted(tuple(r) for r in matching.sample_outputs_from_rows(df).collect())
+    two = sorted(tuple(r) for r in matching.sample_outputs(io.first_samples(df)).collect())
+    assert one == two
+
+
 def test_registry_names_and_unknown_name(spark):
     import pytest
 
