@@ -50,8 +50,9 @@ def test_single_pass_sample_outputs_equal_two_step(spark):
     from prefspark.operators import matching
 
     rnd = random.Random(4)
-    rows = [("m", rnd.randint(0, 2), rnd.randint(0, 30), f"Human: p{rnd.randint(0, 9)}\n\nAssistant: ",
-             rnd.randint(0, 2), f"c{i}") for i in range(300)]
+    # positions are unique per dump line, as in a real dump; samples of an entry share it
+    rows = [("m", rnd.randint(0, 2), i // 3, f"Human: p{(i // 3) % 10}\n\nAssistant: ", i % 3, f"c{i}")
+            for i in rnd.sample(range(300), 300)]
     df = spark.createDataFrame(rows, io.SAMPLE_SCHEMA)
     one = sorted(tuple(r) for r in matching.sample_outputs_from_rows(df).collect())
     two = sorted(tuple(r) for r in matching.sample_outputs(io.first_samples(df)).collect())
