@@ -100,11 +100,39 @@ def strip_html_tags(fragment: str | None) -> str | None:
     return "\n\n".join(parts)
 
 
+def outline(fragment: str | None) -> tuple[int, int, int] | None:
+    """(top-level elements, top-level paragraphs, characters of all text) of a
+    fragment: shows what T2 had to work with (unclosed inline tags can swallow
+    every later paragraph, leaving T2 nothing at top level)."""
+    if fragment is None:
+        return None
+    b = _TreeBuilder()
+    b.feed(fragment)
+    b.close()
+    tops = [el for el in b.root.children if isinstance(el, _Node)]
+    return len(tops), sum(1 for el in tops if el.tag == "p"), len(_text(b.root))
+
+
 @F.pandas_udf(T.StringType())
 def _strip_udf(html: pd.Series) -> pd.Series:
     return html.map(strip_html_tags)
 
 
+_OUTLINE = T.StructType([T.StructField("n_top", T.LongType()), T.StructField("n_top_p", T.LongType()),
+                         T.StructField("n_text_chars", T.LongType())])
+
+
+@F.pandas_udf(_OUTLINE)
+def _outline_udf(html: pd.Series) -> pd.DataFrame:
+    rows = [outline(h) or (None, None, None) for h in html]
+    return pd.DataFrame(rows, columns=["n_top", "n_top_p", "n_text_chars"])
+
+
+def html_outline(col: str | Column) -> Column:
+    """Column form of ``outline`` (struct of three counts)."""
+    return _outline_udf(F.col(col) if isinstance(col, str) else col)
+
+
 def strip_html(col: str | Column) -> Column:
     """Column form of T2 (Arrow batches, vectorised transfer; keep it after filters)."""
     return _strip_udf(F.col(col) if isinstance(col, str) else col)

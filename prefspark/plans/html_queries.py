@@ -15,5 +15,5 @@ from prefspark.sources.fixtures import table
 @register("html_paragraphs", "T2 G2")
 def html_paragraphs(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", html.article_body("html").alias("body"))
-    text = pages.select("page_id", html.strip_html("body").alias("text"))
-    return text.select("page_id", "text", F.length("text").cast("bigint").alias("n_chars"))
+    text = pages.select("page_id", html.strip_html("body").alias("text"), html.html_outline("body").alias("o"))
+    return text.select("page_id", "text", F.length("text").cast("bigint").alias("n_chars"), "o.*")

@@ -20,6 +20,14 @@ def test_entities_comments_and_plain_text():
     assert strip_html_tags(None) is None
 
 
+def test_unclosed_inline_tag_swallows_later_paragraphs():
+    from prefspark.functions.html import outline
+
+    frag = "<h1>t</h1><p><b>bold<br><p>inner</p><p>more</p>"
+    assert strip_html_tags(frag) == ""  # the only top-level <p> has no direct text
+    assert outline(frag) == (2, 1, len("tboldinnermore"))
+
+
 def test_pandas_udf_matches_python(spark):
     frags = ["<p>one</p><p>two <em>x</em></p>", "<pre><code>a</code></pre>", "", "<p>unclosed <p>inner</p>"]
     df = spark.createDataFrame([(f,) for f in frags], ["h"])
