@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, quality, sqltext
+from prefspark.llm import decontam, neardup, quality, secrets, sqltext, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op4_near_dedup": neardup.op4_near_dedup,
+    "op6_secrets": secrets.op6_secrets,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
 }
