@@ -15,9 +15,10 @@ shuffled grows with the input.
 The model is a sorted array of keys with one log-probability each (the full
 interpolated value), and dense arrays for the lower orders, which are small.
 
-Bands: per language, median +- ``BAND_MADS`` scaled median deviations of the
-mean negative log-probability, at least ``BAND_LEAST`` nats wide on each side.
-The ``MAX_LANGS`` most frequent languages have bands of their own; rarer ones
+Bands: per language, the median of the mean negative log-probability +-
+``BAND_MADS`` scaled median deviations (``BAND_LEAST`` nats at least), and one
+standard error of the mean, as short texts vary more: ``CHAR_SD`` nats, about
+what single characters vary by, over the root of the text's length. The ``MAX_LANGS`` most frequent languages have bands of their own; rarer ones
 share one. A text shorter than ``MIN_SCORED`` characters has no verdict by
 perplexity (its mean is too noisy) and passes that rule.
 
@@ -41,8 +42,9 @@ ORDER = 4
 CLASSES = 64
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-BAND_MADS = 8.0
-BAND_LEAST = 0.25
+BAND_MADS = 4.0
+BAND_LEAST = 0.05
+CHAR_SD = 1.0
 MIN_SCORED = 200
 MAX_LANGS = 1000
 _BITS = 6
@@ -280,7 +282,8 @@ def _verdicts(measured: DataFrame, lang_col: str, new: dict[str, str]) -> DataFr
     high = F.create_map(*(F.lit(v) for r in bands for v in (r._l, r._high))) if bands else None
     n, rep, nll = F.col(new["n_words"]), F.col(new["n_repeat_words"]), F.col(new["nll"])
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
-    inside = nll.isNull() | nll.between(low[group], high[group]) if bands else F.lit(True)
+    short = CHAR_SD / F.sqrt(F.greatest(n + F.col(new["word_chars"]), F.lit(1)))
+    inside = nll.isNull() | nll.between(low[group] - short, high[group] + short) if bands else F.lit(True)
     return measured.withColumn(new["kept"], ~failed & inside).withColumn(new["base_failed"], failed)
 
 
