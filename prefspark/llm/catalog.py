@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, neardup, quality, secrets, sqltext, warc
+from prefspark.llm import decontam, neardup, quality, secrets, sharding, sqltext, urlfilter, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_near_dedup": neardup.op4_near_dedup,
+    "op5_url_filters": urlfilter.op5_url_filters,
     "op6_secrets": secrets.op6_secrets,
+    "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
 }

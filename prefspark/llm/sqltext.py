@@ -36,3 +36,62 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit on hit.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
 """
+
+ORACLES["op7_sharding"] = r"""
+with recursive shards as (
+  select i, 'shard-' || lpad(cast(i as varchar), 4, '0') as name from range(32) t(i)
+), pref as (
+  select list(name order by i) as names,
+    list(cast('0x' || substr(md5(name), 1, 8) as bigint) % 4093 order by i) as offs,
+    list(cast('0x' || substr(md5(name), 9, 8) as bigint) % 4092 + 1 order by i) as skips
+  from shards
+), fill(step, owner, tried) as (
+  select 0, list_transform(range(4093), x -> -1), list_transform(range(32), x -> 0)
+  union all
+  select step + 1,
+    list_transform(owner, (o, i) -> case when i - 1 = (offs[step % 32 + 1] + free * skips[step % 32 + 1]) % 4093 then step % 32 else o end),
+    list_transform(tried, (j, i) -> case when i - 1 = step % 32 then free + 1 else j end)
+  from (select step, owner, tried, offs, skips, list_filter(range(tried[step % 32 + 1], 4093),
+      j -> owner[(offs[step % 32 + 1] + j * skips[step % 32 + 1]) % 4093 + 1] < 0)[1] as free
+    from fill, pref where step < 4093)
+), done as (select owner from fill where step = 4093)
+select doc_id, slot, names[owner[slot + 1] + 1] as shard
+from (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) % 4093 as slot from documents), done, pref
+"""
+
+_HOST = r"coalesce(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '')"
+_SEGMENT = r"coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1), '')"
+
+
+def _int(text: str, first: int, modulus: int) -> str:
+    return f"cast('0x' || substr(md5({text}), {first}, 6) as integer) % {modulus}"
+
+
+ORACLES["op5_url_filters"] = f"""
+with c as (
+  select page_id, url, date '2023-01-01' + cast(page_id % 730 as integer) as fetched_on, {_HOST} as host, {_SEGMENT} as seg
+  from pages
+), h as (
+  select distinct host as h, seg as s, array_to_string(string_split(host, '.')[-2:], '.') as d from c where host <> ''
+), e as (
+  select h as key, 1 as rank, date '2023-01-01' + {_int("h", 1, 500)} as day from h
+  union select h, 3, date '2023-01-01' + ({_int("h", 1, 500)} + 1 + {_int("h", 7, 300)}) from h
+  union select d, 1, date '2023-01-01' + {_int("d", 1, 300)} from h
+  union select d, 2, date '2023-01-01' + ({_int("d", 1, 300)} + 1 + {_int("d", 7, 300)}) from h
+  union select h || '/' || s, 2, date '2023-01-01' + {_int("h || '/' || s", 1, 1000)} from h where s <> ''
+), v as (
+  select key, day, max(rank) as rank, lead(day) over (partition by key order by day) as upto from e group by key, day
+), k as (
+  select distinct host, seg, fetched_on, unnest(list_concat(
+    [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')) + 1)],
+    case when seg <> '' then [host || '/' || seg] else [] end)) as key
+  from c where host <> ''
+), f as (
+  select host, seg, fetched_on, max(struct_pack(n := length(k.key), key := k.key, rank := rank, day := day)) as m
+  from k join v on k.key = v.key and v.day <= fetched_on and (upto is null or fetched_on < upto) and rank < 3
+  group by host, seg, fetched_on
+)
+select page_id, url, c.fetched_on, c.host, case m.rank when 1 then 'blocked' when 2 then 'allowed' else 'unlisted' end as verdict,
+  m.key as matched_key, m.day as valid_from
+from c left join f on c.host = f.host and c.seg = f.seg and c.fetched_on = f.fetched_on
+"""
