@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, neardup, quality, secrets, sharding, sqltext, urlfilter, warc
+from prefspark.llm import decontam, licenses, neardup, quality, secrets, sharding, sqltext, urlfilter, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLES = sqltext.ORACLES

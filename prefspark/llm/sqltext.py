@@ -46,13 +46,13 @@ with recursive shards as (
     list(cast('0x' || substr(md5(name), 9, 8) as bigint) % 4092 + 1 order by i) as skips
   from shards
 ), fill(step, owner, tried) as (
-  select 0, list_transform(range(4093), x -> -1), list_transform(range(32), x -> 0)
+  select 0, list_transform(range(4093), lambda x: -1), list_transform(range(32), lambda x: 0)
   union all
   select step + 1,
-    list_transform(owner, (o, i) -> case when i - 1 = (offs[step % 32 + 1] + free * skips[step % 32 + 1]) % 4093 then step % 32 else o end),
-    list_transform(tried, (j, i) -> case when i - 1 = step % 32 then free + 1 else j end)
+    list_transform(owner, lambda o, i: case when i - 1 = (offs[step % 32 + 1] + free * skips[step % 32 + 1]) % 4093 then step % 32 else o end),
+    list_transform(tried, lambda j, i: case when i - 1 = step % 32 then free + 1 else j end)
   from (select step, owner, tried, offs, skips, list_filter(range(tried[step % 32 + 1], 4093),
-      j -> owner[(offs[step % 32 + 1] + j * skips[step % 32 + 1]) % 4093 + 1] < 0)[1] as free
+      lambda j: owner[(offs[step % 32 + 1] + j * skips[step % 32 + 1]) % 4093 + 1] < 0)[1] as free
     from fill, pref where step < 4093)
 ), done as (select owner from fill where step = 4093)
 select doc_id, slot, names[owner[slot + 1] + 1] as shard

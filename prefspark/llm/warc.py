@@ -4,8 +4,8 @@
 metadata records and lets Spark's text writer put them into gzip files: a record
 is a row, and the row separator is the blank lines that end a WARC record. It
 works on any store that Spark can write. ``read_records`` reads such archives as
-a stream of pieces and restores each record by its Content-Length, so a payload
-may hold the separator itself. ``assemble`` joins the records of a transaction
+a stream of pieces between version lines and restores each record by its
+Content-Length, so a payload may hold such a line or a record's end itself. ``assemble`` joins the records of a transaction
 through WARC-Concurrent-To and gives one nested row per capture.
 
 Of captures with equal payloads of at least ``revisit_least`` bytes, that with
@@ -155,6 +155,8 @@ def parse(record: bytes, keep_payload: bool) -> tuple | None:
     size = int(f["content-length"])
     if not gap or len(block) < size:
         return None
+    if block[size:] != _END.encode():
+        raise ValueError(f"{f['warc-record-id']} is followed by {block[size : size + 40]!r}")
     block = block[:size]
     first, payload, n, digest = block.partition(b"\r\n")[0], None, None, None
     if f["warc-type"] in ("response", "revisit"):
@@ -173,28 +175,30 @@ def parse(record: bytes, keep_payload: bool) -> tuple | None:
 
 def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """One row per record. Gzip files are read whole by one task each, in order,
-    as pieces between record ends; a piece too short for its Content-Length goes
-    on in the next."""
+    as pieces between version lines; a piece too short for its Content-Length goes
+    on in the next, and one that is too long is an error."""
     prepare(spark)
-    boundary = _END + _VERSION
-    pieces = spark.read.option("lineSep", boundary).text(path)
+    # The separator must not overlap itself: after a part of it, Hadoop's reader
+    # doesn't go back over the edge of its buffer.
+    pieces = spark.read.option("lineSep", _VERSION).text(path)
     names = [n for n, _ in _COLUMNS]
 
     def run(batches):
-        open_ = b""
+        open_ = None
         for b in batches:
             rows = []
             for piece in texts_of(b.column(0)):
-                if open_ and not piece.startswith(_VERSION.encode()):
-                    piece = open_ + boundary.encode() + piece
-                piece = piece.removeprefix(_VERSION.encode())
+                if open_ is not None:
+                    piece = open_ + _VERSION.encode() + piece
+                elif not piece:  # before a file's first record
+                    continue
                 row = parse(piece, keep_payload)
-                open_ = b"" if row else piece
+                open_ = None if row else piece
                 if row:
                     rows.append(row)
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS)], names)
-        if open_:
+        if open_ is not None:
             raise ValueError("an archive ends within a record")
 
     schema = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'string'}" for n, t in _COLUMNS)
