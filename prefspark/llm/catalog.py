@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, licenses, neardup, quality, secrets, sharding, sqltext, urlfilter, warc
+from prefspark.llm import decontam, licenses, neardup, quality, secrets, sharding, sqltext, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_warc": warc.op3_warc,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_url_filters": urlfilter.op5_url_filters,
