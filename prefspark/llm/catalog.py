@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, licenses, neardup, quality, secrets, sharding, sqltext, toxicity, urlfilter, warc
+from prefspark.llm import decontam, licenses, neardup, quality, secrets, sharding, sqltext, subword, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_sentencepiece": subword.op2_sentencepiece,
     "op3_warc": warc.op3_warc,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_url_filters": urlfilter.op5_url_filters,

@@ -83,7 +83,7 @@ class Decoder:
                 j += 1
             n, i = j - i, j
             if c.isalpha():
-                ways = [(c, 0.0)] if n == 1 else [(c, _ONCE if n > 2 else 2 * _TWICE), (c + c, _TWICE if n > 2 else 0.0)]
+                ways = [(c, 0.0)] if n == 1 else [(c, _ONCE if n > 2 else 4 * _TWICE), (c + c, _TWICE if n > 2 else 0.0)]
             else:
                 ways = [(x, _SWAP) for x in LEET.get(c, "")]
                 ways += [(2 * x, _SWAP + _TWICE) for x in LEET.get(c, "") if n > 1]
@@ -133,7 +133,7 @@ class Decoder:
         if letters == len(token) and not any(token[k] == token[k - 1] == token[k - 2] for k in range(2, len(token))):
             return (token,)
         digits = sum(map(str.isdigit, token))
-        if digits > letters:  # a number or a code, not a disguised word
+        if digits > letters and len(token) > 8:  # a number or a code, not a disguised word
             return (token,)
         return tuple(self.best(self.lattice(token)).split())
 

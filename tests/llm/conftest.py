@@ -1,0 +1,33 @@
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """Documents from texts: ids from 0, and columns whose names clash with the
+    operators' own."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("kept", T.StringType()),
+        T.StructField("spans", T.StringType()),
+        T.StructField("key", T.LongType()),
+    ])
+
+    def make(texts, ids=None, langs=None):
+        ids = range(len(texts)) if ids is None else ids
+        langs = ["en"] * len(texts) if langs is None else langs
+        return spark.createDataFrame([(i, t, g, "k", "s", 7) for i, t, g in zip(ids, texts, langs)], schema)
+
+    return make
