@@ -120,7 +120,7 @@ def sketch(keys: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) ->
         h = mix64(keys[live][:, None] ^ step[None, :])
         gaps = -np.log(unit(h)) / weights[live][:, None]
         times = clock[live][:, None] + np.cumsum(gaps, axis=1)
-        slot = ((h & np.uint64(2047)) * np.uint64(registers) >> np.uint64(11)).astype(np.int64)
+        slot = ((h & np.uint64(0xFFFF)) * np.uint64(registers) >> np.uint64(16)).astype(np.int64)
         t, s = times.ravel(), slot.ravel()
         early = np.flatnonzero(t < first.max())
         order = early[np.argsort(-t[early], kind="stable")]  # the earliest is written last

@@ -2,14 +2,15 @@
 
 Three base patterns (kinds ``assign``, ``access``, ``hex``) always count. Beside
 them, every run of at least ``MIN_RUN`` characters of ``[A-Za-z0-9+/_-]`` (with
-its padding) that mixes letters and digits is a candidate. Its encoding is inferred (hex, base32 or
-base64), and three tests ask whether it could be uniform draws of that alphabet:
+its padding) that mixes letters and digits is a candidate. Its encoding is
+inferred (hex, base32 or base64), and tests ask whether it could be uniform draws of that alphabet:
 
-- chi-squared against equal counts of all symbols of the alphabet;
+- chi-squared against equal counts of all symbols of the alphabet, and of its
+  groups (capitals, small letters, digits, marks), whose counts are larger;
 - runs above and below the middle of the alphabet;
 - serial correlation of neighbouring symbol values.
 
-The smallest of the three p-values, times three, is the candidate's p-value for
+The smallest of the four p-values, times four, is the candidate's p-value for
 "random". False-discovery control is aware of length: candidates fall into
 strata by encoding and length band, the p-values of all documents are counted
 per stratum, and in each the Benjamini-Hochberg step at level ``FDR`` marks what
@@ -59,6 +60,12 @@ _VALUE = {}
 for _name, _symbols in _ALPHABETS.items():
     _VALUE[_name] = np.full(256, -1, np.int64)
     _VALUE[_name][list(_symbols)] = np.arange(len(_symbols))
+#: Group of each symbol (capital, small letter, digit, mark) and the groups' shares.
+_GROUP = {
+    name: np.array([0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 3 for c in symbols])
+    for name, symbols in _ALPHABETS.items()
+}
+_GROUP_SHARE = {name: np.bincount(g, minlength=4) / len(g) for name, g in _GROUP.items()}
 _VALUE["hex"][list(b"ABCDEF")] = np.arange(10, 16)
 _VALUE["base64"][list(b"-_")] = (62, 63)
 
@@ -78,16 +85,21 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _chi_squared(counts: np.ndarray, want: np.ndarray) -> float:
+    counts, want = counts[want > 0], want[want > 0]
+    df = len(want) - 1
+    chi = float(((counts - want) ** 2 / want).sum())
+    # Wilson and Hilferty's cube root makes the statistic close to normal.
+    return _upper(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
 def p_random(run: bytes, kind: str) -> float:
     """Combined p-value of the battery for uniform draws of the alphabet."""
     symbols = len(_ALPHABETS[kind])
     x = _VALUE[kind][np.frombuffer(run.rstrip(b"="), np.uint8)]
     n = len(x)
-    chi = float((np.bincount(x, minlength=symbols) ** 2).sum()) * symbols / n - n
-    df = symbols - 1
-    # Wilson and Hilferty's cube root makes the statistic close to normal.
-    z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    p_chi = _upper(z)
+    p_chi = _chi_squared(np.bincount(x, minlength=symbols), np.full(symbols, n / symbols))
+    p_groups = _chi_squared(np.bincount(_GROUP[kind][x], minlength=4), n * _GROUP_SHARE[kind])
     high = x >= symbols // 2
     a, b = int(high.sum()), int(n - high.sum())
     p_runs = 1.0
@@ -104,7 +116,7 @@ def p_random(run: bytes, kind: str) -> float:
     if spread > 0:
         r = float((y[1:] * y[:-1]).sum()) / spread
         p_serial = 2 * _upper(abs(r + 1 / n) * math.sqrt(n))
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    return min(1.0, 4 * min(p_chi, p_groups, p_runs, p_serial))
 
 
 def stratum(kind: str, length: int) -> str:
