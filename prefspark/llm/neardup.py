@@ -14,10 +14,13 @@ which for equal weights is the Jaccard similarity of the shingle sets.
    shares a band with probability 0.9998.
 4. Verification without all pairs: in each band bucket some members are centres
    and are compared exactly with the members of other components; linked texts
-   become one component. Members of a bucket's smaller components go on as
-   centres (twice as many each round) until all that have not been a centre
-   belong to one component. A pair in a bucket is thus either compared or already
-   known to be connected, whatever the bucket's size.
+   become one component. A centre leaves its bucket. One minus the similarity is a
+   metric, so a member that is less than 0.6 similar (1 - 2 * (1 - 0.8)) to a centre can't be linked
+   to one that is ``SIMILAR`` to it: unless a member lies between the two, all that
+   are linked to a centre leave with it. What is left chooses centres again, from
+   all but its bucket's largest component and twice as many each round, until it
+   belongs to one component. So a pair in a bucket is compared, known to be
+   connected, or known not to be similar, whatever the bucket's size.
 5. Classes are the connected components; the class id is the smallest doc id.
 
 Every join has one row per key on one side, so that a hot key's other side can
@@ -177,8 +180,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, text_key binary, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a similarity of ``least`` or more."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their texts."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -188,15 +191,16 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep, known, last = [], None, None
+            found, known, last = [], None, None
             for x, y in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))):
                 if y != known:  # rows of one centre lie together
                     known, last = y, weighted(y)
-                keep.append(similarity(weighted(x), last) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                found.append(similarity(weighted(x), last))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "s"])
 
     id_type = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    out = both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {id_type}, b {id_type}, s double")
+    return out.groupBy("a", "b").agg(F.max("s").alias("s"))  # a repeated id may have several texts
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,6 +222,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the edges (a, b) have joined components."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    between = edges.join(side("a"), "a").join(side("b"), "b").where("a_label <> b_label")
+    between = saved(between.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    if between.isEmpty():
+        return labels
+    new = components(between).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return saved(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
+def _left_open(members: DataFrame, asked: DataFrame, sims: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The members (bucket, node, label, largest) of the buckets that still hold
+    several components, without the centres of this round and those that left."""
+    placed = members.join(labels, "node")
+    told = asked.join(sims, (F.col("node") == F.col("a")) & (sims["b"] == asked["b"])).select("bucket", "node", asked["b"], "s")
+    told = told.join(labels, "node").join(labels.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b")
+    between = (F.col("s") < least) & (F.col("s") >= 1 - 2 * (1 - least)) & (F.col("label") != F.col("b_label"))
+    held = told.groupBy("bucket", "b").agg(F.max(between).alias("held"))
+    near = told.where(F.col("s") >= least).join(held.where("not held"), ["bucket", "b"]).select("bucket", "node")
+    gone = near.union(told.select("bucket", F.col("b").alias("node"))).distinct()
+    rest = placed.join(gone, ["bucket", "node"], "left_anti")
+    sizes = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("most"))
+    return rest.join(mixed.where("k > 1").select("bucket", F.col("most.label").alias("largest")), "bucket")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, text_id (the smallest id with the same
     weighted shingles) and class_id (the smallest id of its class)."""
@@ -233,34 +264,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     entries = entries.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
     met = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # A bucket's first centre is its smallest member.
-    members = saved(entries.join(met.select("bucket", "low"), "bucket").distinct())
-    pairs = saved(members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = saved(need.join(involved, "doc_id"))
-    edges = saved(verified(pairs, texts, least))
-    labels = components(edges)
-    open_ = members.where("node <> low").select("bucket", "node")
-    centres = 1
+    open_ = saved(entries.join(met.select("bucket", F.col("low").alias("b")), "bucket").distinct())
+    nodes = open_.select("node").distinct()
+    texts = saved(need.join(nodes.select(F.col("node").alias("doc_id")), "doc_id"))
+    labels = saved(nodes.select("node", F.col("node").alias("label")))
+    asked, centres = open_.where("node <> b").select("bucket", "node", "b"), 1
     while True:
-        placed = open_.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("n", "label")).alias("most"))
-        mixed = mixed.where("x < y").select("bucket", F.col("most.label").alias("largest"))
-        open_ = saved(placed.join(mixed, "bucket"))
+        sims = saved(compared(asked.select(F.col("node").alias("a"), "b").distinct(), texts))
+        labels = _joined(labels, sims.where(F.col("s") >= least))
+        open_ = saved(_left_open(open_.select("bucket", "node"), asked, sims, labels, least))
         if open_.isEmpty():
             break
+        centres *= 2
         small = open_.where("label <> largest").withColumn("part", F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)))
         chosen = small.groupBy("bucket", "part").agg(F.min(F.struct("node", "label")).alias("c"))
-        chosen = saved(chosen.select("bucket", F.col("c.node").alias("b"), F.col("c.label").alias("b_label")))
-        pairs = open_.join(chosen, "bucket").where("label <> b_label").select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = saved(verified(pairs, texts, least))
-        if not new.isEmpty():
-            edges = saved(edges.union(new).distinct())
-            labels = components(edges)
-        served = chosen.select("bucket", F.col("b").alias("node"))
-        open_ = open_.select("bucket", "node").join(served, ["bucket", "node"], "left_anti")
-        centres *= 2
+        chosen = chosen.select("bucket", F.col("c.node").alias("b"), F.col("c.label").alias("b_label"))
+        asked = saved(open_.join(chosen, "bucket").where("label <> b_label").select("bucket", "node", "b"))
     named = of_text.join(labels, of_text["text_id"] == labels["node"], "left")
     return named.select("doc_id", "text_id", F.coalesce("label", "text_id").alias("class_id"))
 
