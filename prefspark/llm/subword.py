@@ -49,6 +49,7 @@ _SPACE = 0x2581
 #: Stands for a U+2581 of the text itself, which is no space.
 _LITERAL = 0x110000
 _B = np.uint64(0x9E3779B97F4A7C15)
+_STIR = np.uint64(0xD6E8FEB86659FD93)
 #: Prefixes below this share of their set's mass (in nats) can't be told from none.
 _NEGLIGIBLE = -45.0
 
@@ -64,7 +65,9 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, int]]:
 
 def decode(ids, vocab: list[tuple[str, int]]) -> str:
     """The text of a sequence of ids."""
-    return _decoded(ids, _piece_bytes(vocab)).decode("utf-8", "surrogatepass")
+    pieces = _piece_bytes(vocab)
+    out = b"".join([pieces[i] for i in ids])
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
 
 
 def _piece_bytes(vocab) -> list[bytes]:
@@ -72,11 +75,6 @@ def _piece_bytes(vocab) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 2 else p.replace(space, " ").encode() for p, k in vocab]
 
 
-def _decoded(ids, pieces: list[bytes]) -> bytes:
-    out = b"".join([pieces[i] for i in ids])
-    return out[1:] if out[:1] == b" " else out
-
-
 class Pieces:
     """The ordinary pieces by a rolling hash of their code points."""
 
@@ -95,21 +93,19 @@ class Pieces:
             for c in p:
                 h = (h * int(_B) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             keys[n] = h
-        keys = mix64(keys)
         order = np.argsort(keys)
         self.keys, self.logp = keys[order], logp[order]
         self.ids = np.array([i for _, i in ordinary])[order]
         self.longest = max(len(p) for p, _ in ordinary)
         self.maybe = np.zeros(1 << 20, bool)  # most lookups end here
-        self.maybe[self.keys >> np.uint64(44)] = True
+        self.maybe[self.keys * _STIR >> np.uint64(44)] = True
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where, piece) of the hashes that are pieces."""
-        mixed = mix64(hashes)
-        at = np.flatnonzero(self.maybe[mixed >> np.uint64(44)])
-        mixed = mixed[at]
-        found = np.minimum(np.searchsorted(self.keys, mixed), len(self.keys) - 1)
-        ok = self.keys[found] == mixed
+        at = np.flatnonzero(self.maybe[hashes * _STIR >> np.uint64(44)])
+        hashes = hashes[at]
+        found = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        ok = self.keys[found] == hashes
         return at[ok], found[ok]
 
 
@@ -169,8 +165,8 @@ class Lattice:
         degree = sum(np.bincount(x, minlength=n) for x in src)
         self.edges = np.concatenate([[0], np.cumsum(degree)])
         free, size = self.edges[:-1].copy(), int(self.edges[-1])
-        self.src, self.dst, self.n_ids = np.empty(size, np.int64), np.empty(size, np.int64), np.ones(size, np.int64)
-        logp, single = np.empty(size), np.zeros(size, np.int64)
+        self.src, self.dst, self.n_ids = np.empty(size, np.int32), np.empty(size, np.int32), np.ones(size, np.int32)
+        logp, single = np.empty(size), np.zeros(size, np.int32)
         for k in [*range(pieces.longest, 0, -1), 0]:
             own = src[k - 1]  # 0: the last, the characters in no piece
             place = free[own]
@@ -182,7 +178,7 @@ class Lattice:
                 logp[place], self.n_ids[place], at_bytes = width * pieces.byte_logp, width, place
         self.dst[self.dst == end[self.src]] = -1
         # Ids of each edge: one, or those of the bytes.
-        self.id_at = np.cumsum(self.n_ids) - self.n_ids
+        self.id_at = np.cumsum(self.n_ids, dtype=np.int32) - self.n_ids
         self.ids = np.repeat(single, self.n_ids)
         for p, c in zip(at_bytes.tolist(), code.tolist()):
             raw = chr(c).encode("utf-8", "surrogatepass")
@@ -212,7 +208,7 @@ class Lattice:
         within[last] = 1.0  # rounding must not leave a gap
         self.within = within
         siblings = (self.edges[self.src + 1] - first) > 1
-        self.log_rest = np.full(len(self.q), -np.inf)
+        self.log_rest = np.full(len(self.q), -np.inf, np.float32)
         self.log_rest[siblings] = np.log(np.maximum(1.0 - self.q[siblings], 1e-300))
 
     def complete(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +232,7 @@ class Lattice:
         for live, _ in steps:
             sizes[live] += 1
         first = np.cumsum(sizes) - sizes
-        path = np.zeros(int(sizes.sum()), np.int64)
+        path = np.zeros(int(sizes.sum()), np.int32)
         for k, (live, e) in enumerate(steps):
             path[first[live] + k] = e
         return path, sizes
@@ -247,6 +243,9 @@ def _truncated(log_mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     return log_mass - np.logaddexp(log_mass - bound, np.log(-np.log(u)))
 
 
+_NONE = np.zeros(0, np.int32)
+
+
 def _seeds(stream: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mix64(mix64(stream) + number.astype(np.uint64))
 
@@ -276,20 +275,21 @@ def top_k(lattice: Lattice, keys: list[int], k: int) -> list[list[tuple[np.ndarr
         g = float(-np.log(-np.log(t.draws(0, 1)))[0])
         heapq.heappush(t.agenda, (-g, 0, -1, 0, 0.0, ()))
     for round_ in range(k):
-        popped, nodes, streams, sizes = [], [], [], []
+        popped, nodes, sizes = [], [], []
         for t in texts:
             if not t.agenda:
                 continue
             minus, _, sample, edge, before, excluded = heapq.heappop(t.agenda)
             if sample < 0:
-                head, head_units, skip, forced = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, None
+                head, head_units, skip, forced = _NONE, _NONE, 0, _NONE
             else:
                 path, of_unit, _, _ = t.samples[sample]
                 forced = _choose(lattice, path[edge], excluded, float(t.draws(2 * round_ + 1, 1)[0]))
                 head, head_units, skip = path[:edge], of_unit[:edge], int(of_unit[edge])
+                forced = np.array([forced], np.int32)
             start = lattice.start[lattice.type_of[t.first + skip : t.first + t.units]]
-            if forced is not None:
-                at = lattice.dst[forced]
+            if len(forced):
+                at = lattice.dst[forced[0]]
                 if at < 0:  # the forced piece ends its unit
                     start = start[1:]
                 else:
@@ -297,25 +297,25 @@ def top_k(lattice: Lattice, keys: list[int], k: int) -> list[list[tuple[np.ndarr
                     start[0] = at
             popped.append((t, -minus, edge, before, excluded, head, head_units, skip, forced))
             nodes.append(start)
-            streams.append(t.stream(2 * round_ + 2))
             sizes.append(len(start))
         if not popped:
             break
+        streams = np.array([t.stream(2 * round_ + 2) for t, *_ in popped], np.uint64)
         first = np.array([t.units - n for (t, *_), n in zip(popped, sizes)])
-        seeds = _seeds(np.repeat(np.array(streams, np.uint64), sizes), _ranges(first, np.array(sizes)))
+        seeds = _seeds(np.repeat(streams, sizes), _ranges(first, np.array(sizes)))
         path, counts = lattice.complete(np.concatenate(nodes), seeds)
         ends = np.concatenate([[0], np.cumsum(counts)])
         unit_at = np.concatenate([[0], np.cumsum(sizes)])
+        fresh = []
         for n, (t, value, edge, before, excluded, head, head_units, skip, forced) in enumerate(popped):
             a, b = unit_at[n], unit_at[n + 1]
             tail = path[ends[a] : ends[b]]
-            first_unit = t.units - (b - a)
-            tail_units = np.repeat(np.arange(first_unit, t.units), counts[a:b])
-            if forced is not None:
-                head, head_units = np.append(head, forced), np.append(head_units, skip)
-            whole, of_unit = np.concatenate([head, tail]), np.concatenate([head_units, tail_units])
+            tail_units = np.repeat(np.arange(t.units - (b - a), t.units, dtype=np.int32), counts[a:b])
+            fresh.append(np.concatenate([forced, tail]))
+            whole = np.concatenate([head, fresh[-1]])
+            of_unit = np.concatenate([head_units, np.full(len(forced), skip, np.int32), tail_units])
             t.samples.append((whole, of_unit, float(lattice.logq[whole].sum()), value))
-            _split(lattice, t, edge, before, excluded, value, round_, k)
+        _split(lattice, popped, fresh, round_, k)
     return [_finished(t, k) for t in texts]
 
 
@@ -327,34 +327,47 @@ def _choose(lattice: Lattice, edge: int, excluded: tuple, u: float) -> int:
     return options[min(int(np.searchsorted(mass, u * mass[-1])), len(options) - 1)]
 
 
-def _split(lattice, t: _Text, edge: int, before: float, excluded: tuple, value: float, round_: int, k: int) -> None:
-    """What is left of a popped set, along the newest sample from ``edge`` on: for
-    each of its edges the segmentations that part from the sample there."""
-    sample = len(t.samples) - 1
-    whole = t.samples[sample][0][edge:]
-    if not len(whole):
-        return
-    n = size = 128
-    while n >= size:  # as far as the prefix has mass
-        size *= 2
-        logq = lattice.logq[whole[:size]]
-        prefix = np.cumsum(logq) - logq
-        n = int(np.searchsorted(-prefix, -_NEGLIGIBLE))
-        if size >= len(whole):
-            break
-    path, prefix = whole[:n], before + prefix[:n]
-    mass = prefix + lattice.log_rest[path]
-    out = (*excluded, int(path[0]))
-    node = lattice.src[path[0]]
-    rest = [e for e in range(lattice.edges[node], lattice.edges[node + 1]) if e not in out]
-    with np.errstate(divide="ignore"):
-        mass[0] = before + np.log(lattice.q[rest].sum()) if rest else -np.inf
-    ok = np.flatnonzero(mass > -np.inf)
-    bound = _truncated(mass[ok], value, t.draws(1000 + round_, n)[ok])
-    best = np.argsort(-bound, kind="stable")[: k + 1]  # no more can be popped
-    for i in best.tolist():
-        at = int(ok[i])
-        heapq.heappush(t.agenda, (-float(bound[i]), round_ * (1 << 40) + at, sample, edge + at, float(prefix[at]), out if at == 0 else (int(path[at]),)))
+def _split(lattice: Lattice, popped: list, fresh: list[np.ndarray], round_: int, k: int) -> None:
+    """What is left of the popped sets, along their newest samples: for each edge of
+    a sample, from where its set began, the segmentations that part from it there."""
+    todo, width = np.array([n for n, path in enumerate(fresh) if len(path)], np.int64), 96
+    while len(todo):
+        size = np.array([len(fresh[n]) for n in todo])
+        at = np.arange(width)
+        edges = np.zeros((len(todo), width), np.int32)
+        for row, n in enumerate(todo.tolist()):
+            edges[row, : size[row]] = fresh[n][:width]
+        inside = at < size[:, None]
+        logq = np.where(inside, lattice.logq[edges], 0.0)
+        prefix = np.cumsum(logq, axis=1) - logq
+        ok = inside & (prefix >= _NEGLIGIBLE)
+        more = ok[:, -1] & (size > width)  # the prefix still has mass
+        mass = prefix + lattice.log_rest[edges]
+        for row, n in enumerate(todo.tolist()):
+            excluded = popped[n][4]
+            if excluded:
+                node = lattice.src[edges[row, 0]]
+                rest = [e for e in range(lattice.edges[node], lattice.edges[node + 1]) if e not in excluded and e != edges[row, 0]]
+                mass[row, 0] = np.log(lattice.q[rest].sum()) if rest else -np.inf
+        before = np.array([popped[n][3] for n in todo])
+        value = np.array([popped[n][1] for n in todo])
+        streams = np.array([popped[n][0].stream(1000 + round_) for n in todo], np.uint64)
+        u = unit(_seeds(streams[:, None], at[None, :]))
+        ok &= mass > -np.inf
+        bound = np.where(ok, _truncated(np.where(ok, mass, 0.0) + before[:, None], value[:, None], u), -np.inf)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, : k + 1]  # no more can be popped
+        for row, n in enumerate(todo.tolist()):
+            if more[row]:
+                continue
+            t, _, edge, start, excluded, *_ = popped[n]
+            for i in best[row].tolist():
+                if bound[row, i] == -np.inf:
+                    break
+                e = int(edges[row, i])
+                out = (*excluded, e) if i == 0 else (e,)
+                entry = (-float(bound[row, i]), round_ * (1 << 40) + i, len(t.samples) - 1, edge + i, start + float(prefix[row, i]), out)
+                heapq.heappush(t.agenda, entry)
+        todo, width = todo[more], 4 * width
 
 
 def _finished(t: _Text, k: int):
@@ -382,6 +395,49 @@ def code_points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return out, cuts + np.concatenate([[0], np.cumsum(full)])
 
 
+_NAMES = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"]
+
+
+def _rows(pieces: Pieces, table_: tuple, data, offsets, keys, i: int, j: int, k: int, doc_ids) -> pa.RecordBatch:
+    """The samples of the rows from ``i`` to ``j``."""
+    cps, cuts = code_points_of(data, offsets[i : j + 1])
+    found = [[(_NONE, 0.0, 0.0, 0.0)]] * (j - i)
+    if len(cps):
+        lattice = Lattice(pieces, cps, cuts)
+        some = top_k(lattice, keys[i:j].tolist(), k)
+        found = [f if offsets[i + n] < offsets[i + n + 1] else found[n] for n, f in enumerate(some)]
+    row = np.array([i + n for n, f in enumerate(found) for _ in f])
+    paths = [s[0] for f in found for s in f]
+    path = np.concatenate(paths)
+    ends = np.cumsum([len(p) for p in paths])
+    if len(path):
+        n_ids = lattice.n_ids[path]
+        ids = lattice.ids[_ranges(lattice.id_at[path], n_ids)]
+        ends = np.concatenate([[0], np.cumsum(n_ids)])[ends]
+    else:
+        ids = path
+    at = np.concatenate([[0], ends])
+    # Decoded: the bytes of all pieces, of which the first is the space in front.
+    raw, starts, widths = table_
+    text = raw[_ranges(starts[ids], widths[ids])]
+    byte_at = np.concatenate([[0], np.cumsum(widths[ids])])[at]
+    same = [
+        b - a == (z - y) + (z > y) and np.array_equal(text[a + 1 : b], data[y:z])
+        for a, b, y, z in zip(byte_at[:-1].tolist(), byte_at[1:].tolist(), offsets[row].tolist(), offsets[row + 1].tolist())
+    ]
+    scores = [s[1:] for f in found for s in f]
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids.take(pa.array(row)),
+            pa.array([n for f in found for n in range(len(f))], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))),
+            *(pa.array(c, pa.float64()) for c in zip(*scores)),
+            pa.array(same, pa.bool_()),
+        ],
+        _NAMES,
+    )
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, model: str = MODEL) -> DataFrame:
     """Up to ``k`` rows per document row: doc_id, sample (from 0), ids, log_prob
     (among all segmentations), perturbed, log_inclusion, and whether decoding gives
@@ -394,44 +450,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         F.col(text_col).alias("text"),
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0")), F.lit(seed)).alias("key"),
     )
-    names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"]
 
     def run(batches):
-        pieces, table_ = Pieces(shared.value), _piece_bytes(shared.value)
+        pieces, each = Pieces(shared.value), _piece_bytes(shared.value)
+        widths = np.array([len(p) for p in each])
+        table_ = np.frombuffer(b"".join(each), np.uint8), np.cumsum(widths) - widths, widths
         for b in batches:
             data, offsets = utf8_buffer(b.column(1))
             keys = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             for i, j in runs(offsets, BATCH_BYTES):
-                cps, cuts = code_points_of(data, offsets[i : j + 1])
-                rows, ids, sizes, numbers = [], [], [], []
-                if len(cps):
-                    lattice = Lattice(pieces, cps, cuts)
-                    found = top_k(lattice, keys[i:j].tolist(), k)
-                else:
-                    found = [[] for _ in range(j - i)]
-                for n, samples in enumerate(found):
-                    text = data[offsets[i + n] : offsets[i + n + 1]].tobytes()
-                    if not text:
-                        samples = [(np.zeros(0, np.int64), 0.0, 0.0, 0.0)]
-                    for s, (path, *scores) in enumerate(samples):
-                        own = lattice.ids[_ranges(lattice.id_at[path], lattice.n_ids[path])] if len(path) else path
-                        rows.append(i + n)
-                        ids.append(own)
-                        sizes.append(len(own))
-                        numbers.append((s, *scores, _decoded(own.tolist(), table_) == text))
-                columns = list(zip(*numbers))
-                values = pa.array(np.concatenate(ids).astype(np.int32), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array(rows)),
-                        pa.array(columns[0], pa.int32()),
-                        lists,
-                        *(pa.array(c, pa.float64()) for c in columns[1:4]),
-                        pa.array(columns[4], pa.bool_()),
-                    ],
-                    names,
-                )
+                yield _rows(pieces, table_, data, offsets, keys, i, j, k, b.column(0))
 
     id_type = need.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
