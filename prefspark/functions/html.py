@@ -6,9 +6,9 @@ Only top-level elements count:
                  inline ``<code>`` ... inside it are dropped);
   * ``<pre>`` -> every ``<code>`` inside it, as ``<code>text</code>``;
   * ``<code>``-> ``<code>text</code>``;
-results are joined with a blank line. Parsing needs a tree, which SQL string
-functions cannot build, so this runs as an Arrow-batched pandas UDF over the
-stdlib HTML tokenizer: one small tree per row, no state across rows.
+results are joined with a blank line. Matching open and close tags is
+beyond SQL string functions, so this runs as an Arrow-batched pandas UDF over the
+events of the stdlib HTML tokenizer: one pass per row, no state across rows.
 """
 
 from __future__ import annotations
@@ -24,121 +24,106 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-class _Node:
-    __slots__ = ("tag", "children")
+class _Paragraphs(HTMLParser):
+    """Collects the wanted text while the fragment streams by: the open tags, the
+    parts found so far, and which of them still take text. No tree is kept, so the
+    depth of a fragment costs nothing but its open tags' names."""
 
-    def __init__(self, tag):
-        self.tag = tag
-        self.children = []  # _Node or str (text) or ("comment", str)
-
-
-class _TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node(None)
-        self.stack = [self.root]
+        self.open: list[str] = []
+        self.parts: list[list[str]] = []
+        #: (depth at which it was opened, part) of the code elements that are open.
+        self.codes: list[tuple[int, list[str]]] = []
+        self.n_top = self.n_top_p = self.n_chars = 0
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag)
-        self.stack[-1].children.append(node)
+        self._begin(tag)
         if tag not in VOID:
-            self.stack.append(node)
+            self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(_Node(tag))
+        self._begin(tag)
+        self._forget()
+
+    def _begin(self, tag):
+        depth = len(self.open)
+        if depth == 0:
+            self.n_top += 1
+            self.n_top_p += tag == "p"
+        if tag == "code" and (depth == 0 or self.open[0] == "pre"):
+            part = ["<code>"]
+            self.parts.append(part)
+            self.codes.append((depth, part))
+        elif tag == "p" and depth == 0:
+            self.parts.append([])
+
+    def _forget(self):
+        while self.codes and self.codes[-1][0] >= len(self.open):
+            self.codes.pop()[1].append("</code>")
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        if tag in self.open:  # closes everything opened since
+            while self.open.pop() != tag:
+                pass
+            self._forget()
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
+        self.n_chars += len(data)
+        self._text(data)
+        for _, part in self.codes:
+            part.append(data)
 
     def handle_comment(self, data):
-        self.stack[-1].children.append(("comment", data))
-
-
-def _text(node) -> str:
-    out = []
-    for ch in node.children:
-        if isinstance(ch, str):
-            out.append(ch)
-        elif isinstance(ch, _Node):
-            out.append(_text(ch))
-    return "".join(out)
-
-
-def _codes(node, out):
-    for ch in node.children:
-        if isinstance(ch, _Node):
-            if ch.tag == "code":
-                out.append(ch)
-            _codes(ch, out)
-
-
-def strip_html_tags(fragment: str | None) -> str | None:
-    """Plain-Python T2 for one fragment (also the test oracle)."""
-    if fragment is None:
-        return None
-    b = _TreeBuilder()
-    b.feed(fragment)
-    b.close()
-    parts = []
-    for el in b.root.children:
-        if not isinstance(el, _Node):
-            continue
-        if el.tag == "p":
-            parts.append("".join(ch if isinstance(ch, str) else ch[1] for ch in el.children if not isinstance(ch, _Node)))
-        elif el.tag == "pre":
-            found = []
-            _codes(el, found)
-            parts.extend("<code>" + _text(c) + "</code>" for c in found)
-        elif el.tag == "code":
-            parts.append("<code>" + _text(el) + "</code>")
-    return "\n\n".join(parts)
-
-
-def outline(fragment: str | None) -> tuple[int, int, int] | None:
-    """(top-level elements, top-level paragraphs, characters of all text) of a
-    fragment: shows what T2 had to work with (unclosed inline tags can swallow
-    every later paragraph, leaving T2 nothing at top level)."""
-    if fragment is None:
-        return None
-    b = _TreeBuilder()
-    b.feed(fragment)
-    b.close()
-    tops = [el for el in b.root.children if isinstance(el, _Node)]
-    return len(tops), sum(1 for el in tops if el.tag == "p"), len(_text(b.root))
+        self._text(data)
+
+    def _text(self, data):
+        if self.open == ["p"]:
+            self.parts[-1].append(data)
+
+    def close(self):
+        super().close()
+        self.open.clear()
+        self._forget()
+
+
+def _parsed(fragment: str) -> _Paragraphs:
+    p = _Paragraphs()
+    p.feed(fragment)
+    p.close()
+    return p
+
+
+def paragraph_text(fragment: str | None) -> str | None:
+    """T2 of one fragment."""
+    return None if fragment is None else "\n\n".join(map("".join, _parsed(fragment).parts))
 
 
 @F.pandas_udf(T.StringType())
 def _strip_udf(html: pd.Series) -> pd.Series:
-    return html.map(strip_html_tags)
+    return html.map(paragraph_text)
 
 
-_OUTLINE = T.StructType([T.StructField("n_top", T.LongType()), T.StructField("n_top_p", T.LongType()),
-                         T.StructField("n_text_chars", T.LongType())])
+_REPORT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_top", T.LongType()),
+                        T.StructField("n_top_p", T.LongType()), T.StructField("n_text_chars", T.LongType())])
 
 
-@F.pandas_udf(_OUTLINE)
-def _outline_udf(html: pd.Series) -> pd.DataFrame:
-    rows = [outline(h) or (None, None, None) for h in html]
-    return pd.DataFrame(rows, columns=["n_top", "n_top_p", "n_text_chars"])
+@F.pandas_udf(_REPORT)
+def _report_udf(html: pd.Series) -> pd.DataFrame:
+    rows = []
+    for h in html:
+        p = None if h is None else _parsed(h)
+        rows.append((None,) * 4 if p is None else ("\n\n".join(map("".join, p.parts)), p.n_top, p.n_top_p, p.n_chars))
+    return pd.DataFrame(rows, columns=[f.name for f in _REPORT.fields])
 
 
-def html_outline(col: str | Column) -> Column:
-    """Column form of ``outline`` (struct of three counts)."""
-    return _outline_udf(F.col(col) if isinstance(col, str) else col)
+def html_report(col: str | Column) -> Column:
+    """T2's text and what it had to work with, in one parse: top-level elements,
+    top-level paragraphs, characters of all text (an unclosed inline tag can
+    swallow every later paragraph, leaving nothing at top level)."""
+    return _report_udf(F.col(col) if isinstance(col, str) else col)
 
 
 def strip_html(col: str | Column) -> Column:
     """Column form of T2 (Arrow batches, vectorised transfer; keep it after filters)."""
     return _strip_udf(F.col(col) if isinstance(col, str) else col)
-
-
-def article_body(html: str | Column) -> Column:
-    """Inner HTML of the first ``<article>`` element (empty when absent)."""
-    h = F.col(html) if isinstance(html, str) else html
-    return F.regexp_extract(h, r"(?s)<article[^>]*>(.*?)</article>", 1)

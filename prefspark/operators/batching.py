@@ -36,17 +36,20 @@ def replicate_epochs(examples: DataFrame, n_epochs: int) -> DataFrame:
 def epoch_order(examples: DataFrame, n_epochs: int, seed: int = 0, shuffle: bool = True,
                 key=EXAMPLE_KEY, order_col: str = "first_ord", n: int | None = None) -> DataFrame:
     """W4+W5: add ``epoch`` and ``rn`` (1-based position inside the epoch).
-    Without shuffle the order is insertion order (``order_col``, then pair_ix).
-    ``n`` is the number of examples when the caller already knows it; pass a
-    materialised ``examples`` (``session.materialize``) when it is expensive."""
+    Without shuffle the datasets follow one another in the mixture's list order
+    (``dataset_ix``), each in insertion order (``order_col``, then pair_ix).
+    ``key`` names an example; SFT rows have no pair_ix. ``n`` is the number of
+    examples when the caller already knows it."""
     if n is None:
         n = examples.count()
     rep = replicate_epochs(examples, n_epochs)
     if shuffle:
-        rep = rep.withColumn("_h", shuffle_key(seed, "epoch", key[:-1]))
-        order = ["epoch", "_h", *key]
+        rep = rep.withColumn("_h", shuffle_key(seed, "epoch", [c for c in key if c != "pair_ix"]))
+        # The digest covers dataset and prompt: only a prompt's pairs share it.
+        order = ["epoch", "_h", *[c for c in key if c == "pair_ix"]]
     else:
-        order = ["epoch", order_col, *key]
+        first = [c for c in ("dataset_ix",) if c in examples.columns]
+        order = ["epoch", *first, order_col, *[c for c in key if c == "pair_ix"]]
     ranked = ordinals.dense_index(rep, order, out="_g")
     out = ranked.withColumn("rn", F.col("_g") - F.col("epoch") * F.lit(n)).drop("_g")
     return out.drop("_h") if shuffle else out
@@ -77,12 +80,14 @@ def budget_stop(n_per_epoch: int, batch_size: int, n_examples: int) -> tuple[int
 
 
 def budget_schedule(examples: DataFrame, batch_size: int, n_examples: int, seed: int = 0,
-                    shuffle: bool = True) -> DataFrame:
-    """The batches the reference yields when stopping by example count."""
+                    shuffle: bool = True, n_epochs: int | None = None, key=EXAMPLE_KEY) -> DataFrame:
+    """The batches that are yielded when stopping by example count, or after
+    ``n_epochs`` epochs when these end first."""
     examples = materialize(examples)
     n = examples.count()
     epochs, stop = budget_stop(n, batch_size, n_examples)
-    batched = assign_batches(epoch_order(examples, epochs, seed, shuffle, n=n), batch_size, n)
+    epochs = epochs if n_epochs is None else min(epochs, n_epochs)
+    batched = assign_batches(epoch_order(examples, epochs, seed, shuffle, key=key, n=n), batch_size, n)
     count_after = F.col("epoch") * F.lit(n) + (F.col("batch_id") + 1) * F.lit(batch_size)
     return batched.filter(count_after <= F.lit(stop))
 

@@ -43,73 +43,29 @@ def tally(pairs: DataFrame) -> DataFrame:
                                      F.sum("ties").alias("ties"))
 
 
-def _fit_local(rows, steps: int, lr: float):
-    """Full-batch gradient descent on an aggregated pair table held in numpy."""
-    import numpy as np
-
-    items = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    pos = {v: i for i, v in enumerate(items)}
-    total = float(sum(r[2] for r in rows))
-    strict = [r for r in rows if r[0] != r[1]]
-    w = np.array([pos[r[0]] for r in strict], dtype=np.int64)
-    l_ = np.array([pos[r[1]] for r in strict], dtype=np.int64)
-    n = np.array([r[2] for r in strict], dtype=np.float64)
-    r = np.zeros(len(items))
-    for _ in range(steps):
-        g = n / (1.0 + np.exp(r[w] - r[l_]))
-        grad = np.zeros(len(items))
-        np.add.at(grad, w, -g)
-        np.add.at(grad, l_, g)
-        r = r - lr * grad / total
-    return [(v, float(r[pos[v]])) for v in items]
-
-
-def fit_bradley_terry(pairs: DataFrame, steps: int, lr: float = 0.01, checkpoint_every: int = 1,
-                      local_limit: int = 1_000_000) -> DataFrame:
+def fit_bradley_terry(pairs: DataFrame, steps: int, lr: float = 0.01) -> DataFrame:
     """``steps`` SGD steps on ``-mean logsigmoid(r_w - r_l)`` from zero
     rewards. ``pairs`` is the ``(w, l, n)`` table; ties are part of the mean's
     denominator only. Returns ``(item, reward)``.
 
-    The aggregated table has one row per distinct (winner, loser) pair, so it
-    does not grow with the number of samples. When it has at most
-    ``local_limit`` rows (checked), it is iterated in numpy on the driver,
-    which makes thousands of steps cheap. Larger tables run the distributed
-    loop: a join with the reward table and one grouped sum per step, lineage
-    cut by ``checkpoint()`` every ``checkpoint_every`` steps."""
-    pairs = materialize(pairs)  # read for the size check and by every step
-    n_rows = pairs.count()
-    if n_rows <= local_limit:
-        rows = [(r["w"], r["l"], r["n"]) for r in pairs.collect()]
-        fitted = _fit_local(rows, steps, lr)
-        schema = f"item {pairs.schema['w'].dataType.simpleString()}, reward double"
-        return pairs.sparkSession.createDataFrame(fitted, schema)
-    return _fit_distributed(pairs, steps, lr, checkpoint_every)
-
-
-def _fit_distributed(pairs: DataFrame, steps: int, lr: float, checkpoint_every: int) -> DataFrame:
+    A step is a join of the pair table with the rewards and one grouped sum. It
+    reads the rewards three times, so a plan over k steps would grow as 3^k: the
+    rewards, one row per item, are checkpointed after every step. The number of
+    steps is the caller's; nothing depends on the table's size."""
+    pairs = materialize(pairs)  # read by every step
     total = pairs.agg(F.sum("n")).first()[0] or 0
-    strict = pairs.filter(F.col("w") != F.col("l")).cache()
+    strict = pairs.filter(F.col("w") != F.col("l"))
     items = pairs.select(F.col("w").alias("item")).union(pairs.select(F.col("l").alias("item"))).distinct()
     rewards = materialize(items.withColumn("reward", F.lit(0.0)))
-    for step in range(1, steps + 1):
+    for _ in range(steps):
         rw = rewards.select(F.col("item").alias("w"), F.col("reward").alias("rw"))
         rl = rewards.select(F.col("item").alias("l"), F.col("reward").alias("rl"))
-        # n * sigmoid(-(r_w - r_l)): the pull of every (w, l) row.
-        g = strict.join(rw, "w").join(rl, "l").select(
-            "w", "l", (F.col("n") / (F.lit(1.0) + F.exp(F.col("rw") - F.col("rl")))).alias("g"))
-        grad = (
-            g.select(F.col("w").alias("item"), (-F.col("g")).alias("d"))
-            .unionByName(g.select(F.col("l").alias("item"), F.col("g").alias("d")))
-            .groupBy("item").agg(F.sum("d").alias("d"))
-        )
-        rewards = rewards.join(grad, "item", "left").select(
-            "item", (F.col("reward") - F.lit(lr) * F.coalesce(F.col("d"), F.lit(0.0)) / F.lit(float(total))).alias("reward"))
-        # Each step reads the previous rewards three times, so the plan would
-        # grow as 3^k; the table has one row per item, so cutting lineage with a
-        # reliable checkpoint is cheap (every step by default).
-        if step % checkpoint_every == 0 or step == steps:
-            rewards = materialize(rewards)
-    strict.unpersist()
+        # n * sigmoid(-(r_w - r_l)): the pull of every (w, l) row, on both items.
+        pull = F.col("n") / (F.lit(1.0) + F.exp(F.col("rw") - F.col("rl")))
+        both = F.array(F.struct(F.col("w").alias("item"), (-pull).alias("d")), F.struct(F.col("l").alias("item"), pull.alias("d")))
+        grad = strict.join(rw, "w").join(rl, "l").select(F.explode(both).alias("g")).groupBy("g.item").agg(F.sum("g.d").alias("d"))
+        step = F.lit(lr) * F.coalesce(F.col("d"), F.lit(0.0)) / F.lit(float(total))
+        rewards = materialize(rewards.join(grad, "item", "left").select("item", (F.col("reward") - step).alias("reward")))
     return rewards
 
 

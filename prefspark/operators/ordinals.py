@@ -60,14 +60,32 @@ def _located(df: DataFrame, keys: list[Column], partitions: int | None) -> DataF
     return materialize(located)
 
 
+def _keyed(df: DataFrame, keys: list[Column], prefix: str) -> tuple[DataFrame, list[str]]:
+    names = [f"_{prefix}{i}" for i in range(len(keys))]
+    return df.select("*", *[k.alias(n) for k, n in zip(keys, names)]), names
+
+
+def _with_positions(keyed: DataFrame, positions: DataFrame, names: list[str], out: str) -> DataFrame:
+    """``keyed`` joined once with the narrow table of positions; null-safe, as a
+    null key is a key and its row must not vanish."""
+    right = positions.select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_rn").alias(out))
+    rows = keyed.drop(out) if out in keyed.columns else keyed
+    same = [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names]
+    return rows.join(right, same).drop(*names, *[f"{n}r" for n in names])
+
+
 def dense_index(
     df: DataFrame,
     order_cols: str | Column | Sequence[str | Column],
     out: str = "rn",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``out``: 1-based position of each row in the total order ``order_cols``."""
-    located = _located(df, _cols(order_cols), partitions)
+    """Add ``out``: 1-based position of each row in the total order ``order_cols``.
+
+    Only the order columns are ranged and checkpointed; the rows themselves move
+    once, in the join with their positions."""
+    keyed, names = _keyed(df, _cols(order_cols), "k")
+    located = _located(keyed.select(*names), [F.col(n) for n in names], partitions)
     counts = located.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # At most `partitions` rows: the unpartitioned window is over this tiny table only.
     offsets = counts.select(
@@ -76,18 +94,8 @@ def dense_index(
             F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_off"),
     )
-    return (
-        located.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_loc") + 1).cast("bigint"))
-        .drop("_pid", "_loc", "_off")
-    )
-
-
-# A group with more rows than this is "hot": its positions come from the
-# range-split path instead of one window task.
-HOT_GROUP_ROWS = 2_000_000
-# At most this many hot keys are broadcast (their count is checked first).
-MAX_HOT_KEYS = 100_000
+    positions = located.join(F.broadcast(offsets), "_pid").withColumn("_rn", (F.col("_off") + F.col("_loc") + 1).cast("bigint"))
+    return _with_positions(keyed, positions, names, out)
 
 
 def index_within(
@@ -96,72 +104,28 @@ def index_within(
     order_cols: str | Column | Sequence[str | Column],
     out: str = "rn",
     partitions: int | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``out``: 1-based position of each row inside its group, ordered by
     ``order_cols`` (group + order must be unique).
 
-    Two tiers. A map-side count per group finds the hot groups (more than
-    ``hot_rows`` rows; there are at most n / hot_rows of them). All other groups
-    get a plain ``row_number()`` window: one shuffle, each group sorted in one
-    task. Hot groups - one may hold a third of all rows - take the range-split
-    path (``_index_within_split``), where a group is spread over many range
-    partitions and only per (partition, group) counts are combined."""
-    group_cols = list(group_cols)
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
-    # Renamed key columns: `hot` derives from `df`, so same-named columns on
-    # both sides of the join would be ambiguous.
-    hot = sizes.filter(F.col("_size") > hot_rows).select(
-        *[F.col(c).alias(f"_h_{i}") for i, c in enumerate(group_cols)])
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _index_within_window(df, group_cols, order_cols, out)
-    hot_keys = F.broadcast(hot) if n_hot <= MAX_HOT_KEYS else hot
-    same = [F.col(c).eqNullSafe(F.col(f"_h_{i}")) for i, c in enumerate(group_cols)]
-    cold_rows = df.join(hot_keys, same, "left_anti")
-    hot_rows_df = df.join(hot_keys, same, "left_semi")
-    return _index_within_window(cold_rows, group_cols, order_cols, out).unionByName(
-        _index_within_split(hot_rows_df, group_cols, order_cols, out, partitions))
-
-
-def _index_within_window(df: DataFrame, group_cols: list[str], order_cols, out: str) -> DataFrame:
-    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
-    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-
-
-def _index_within_split(
-    df: DataFrame,
-    group_cols: list[str],
-    order_cols: str | Column | Sequence[str | Column],
-    out: str,
-    partitions: int | None,
-) -> DataFrame:
-    keys = _cols(group_cols) + _cols(order_cols)
-    located = _located(df, keys, partitions)
-    per_part = located.groupBy("_pid", *group_cols).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_loc0")
-    )
+    One path for groups of any size: a digest of the group and the order columns
+    are range-partitioned, so a large group spreads over many partitions; counts
+    per (partition, group) give each part's offset. Only these narrow keys are
+    ranged and checkpointed; the rows move once, in the join with their positions."""
+    digest = F.md5(F.to_json(F.struct(*group_cols), {"ignoreNullFields": "false"}))
+    keyed, names = _keyed(df, [digest, *_cols(order_cols)], "k")
+    located = _located(keyed.select(*names), [F.col(n) for n in names], partitions)
+    group = names[0]
+    per_part = located.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_loc0"))
     # One row per (partition, group): a group spans at most `partitions` rows here.
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     before = per_part.select(
-        F.col("_pid").alias("_b_pid"),
-        *[F.col(c).alias(f"_b_{i}") for i, c in enumerate(group_cols)],
-        "_loc0",
-        F.coalesce(
-            F.sum("_cnt").over(
-                Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    # Null-safe on the group keys: a null group is a group, its rows must not vanish.
-    cond = [F.col("_pid") == F.col("_b_pid")] + [
-        F.col(c).eqNullSafe(F.col(f"_b_{i}")) for i, c in enumerate(group_cols)
-    ]
-    return (
-        located.join(before, cond)
-        .withColumn(out, (F.col("_before") + F.col("_loc") - F.col("_loc0") + 1).cast("bigint"))
-        .drop("_pid", "_loc", "_loc0", "_before", "_b_pid", *[f"_b_{i}" for i in range(len(group_cols))])
+        F.col("_pid").alias("_b_pid"), F.col(group).alias("_b_group"), "_loc0",
+        F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_before"),
     )
+    positions = located.join(before, (F.col("_pid") == F.col("_b_pid")) & (F.col(group) == F.col("_b_group"))).withColumn(
+        "_rn", (F.col("_before") + F.col("_loc") - F.col("_loc0") + 1).cast("bigint"))
+    return _with_positions(keyed, positions, names, out)
 
 
 def prefix_fraction(df: DataFrame, order_col: str, fraction: float, partitions: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import tokens as K
 from prefspark.operators import batching, ordinals
-from prefspark.plans.dialogue_queries import _sharegpt_sql
+from prefspark.plans.dialogue_queries import _ULTRACHAT_SQL, _sharegpt_sql
 from prefspark.plans.record_queries import _SHP_KEPT, _aiprefs_sql
 from prefspark.plans.registry import register
 from prefspark.sources import dialogue, registry
@@ -71,6 +71,11 @@ def _tokenized_sql(src: str, chosen: str = "chosen", rejected: str = "rejected")
            from tr2)"""
 
 
+def _pad(col: str, width: str, value: int, left: bool = False) -> str:
+    fill = f"list_transform(range(greatest({width} - len({col}), 0)), lambda i: cast({value} as bigint))"
+    return f"list_concat({fill}, {col})" if left else f"list_concat({col}, {fill})"
+
+
 def _examples(spark, sf_dir, reused: bool = True):
     """Pair rows of the annotation and two-answer datasets. A schedule reads them
     for a count, for range bounds and for the pass, so it gets them materialised
@@ -148,6 +153,74 @@ def shard_slices(spark, sf_dir):
         F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "shard", "dataset", "prompt", "pair_ix")
 
 
+# ----------------------------------------------------------------- U1, W4 without shuffle
+@register("unshuffled_order", "W4 U1", views=("v_annotations", "v_shp"), sql=f"""
+    with {_EX}
+    select cast(row_number() over (order by case dataset when 'shp' then 0 else 1 end, first_ord, pair_ix) as bigint) as rn,
+           dataset, prompt, pair_ix from ex""")
+def unshuffled_order(spark, sf_dir):
+    """Two datasets, listed out of alphabetical order: the first one's rows come
+    first, each dataset in insertion order."""
+    ex = materialize(registry.mixture(spark, sf_dir, ["shp", "sharegpt"]))
+    return batching.epoch_order(ex, 1, shuffle=False).select("rn", "dataset", "prompt", "pair_ix")
+
+
+@register("epochs_or_budget", "W7 W5", views=("v_annotations", "v_shp"), sql=f"""
+    with {_ordered_sql(f'range(0, {EPOCHS})')}
+    select epoch, batch_id, pos_in_batch, dataset, prompt, pair_ix from b""")
+def epochs_or_budget(spark, sf_dir):
+    """Both stops are set and the epochs end first."""
+    ex = _examples(spark, sf_dir)
+    out = batching.budget_schedule(ex, BATCH, ex.count() * 50, seed=SEED, n_epochs=EPOCHS)
+    return out.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "dataset", "prompt", "pair_ix")
+
+
+# ----------------------------------------------------------------- SFT mode
+_SFT_EX = f"""ex as (
+      select 'ultrachat' as dataset, 0 as dataset_ix, prompt, sft_target, sft_target as chosen, sft_target as rejected,
+             first_ord, 'keep_start' as truncation_mode from ({_ULTRACHAT_SQL}) u
+      union all
+      select 'sharegpt', 1, prompt, sft_target, sft_target, sft_target, first_ord, 'keep_end' from ({_sharegpt_sql(1)}) s)"""
+SFT_KEY = ("dataset", "prompt")
+
+
+def _sft_examples(spark, sf_dir):
+    return materialize(registry.mixture(spark, sf_dir, ["ultrachat", "sharegpt"], mode="sft"))
+
+
+@register("sft_mixture", "U1 S14 W4", views=("v_turns",), sql=f"""
+    with {_SFT_EX}
+    select cast(row_number() over (order by dataset_ix, first_ord) as bigint) as rn, dataset, prompt, sft_target, truncation_mode
+    from ex""")
+def sft_mixture(spark, sf_dir):
+    """One row per prompt of two datasets, in list order."""
+    ordered = batching.epoch_order(_sft_examples(spark, sf_dir), 1, shuffle=False, key=SFT_KEY)
+    return ordered.select("rn", "dataset", "prompt", "sft_target", "truncation_mode")
+
+
+@register("sft_collate", "U1 W4 W5 W6 K1 K2 K3 K4 K6", views=("v_turns",), sql=f"""
+    with {_SFT_EX},
+    o as (select *, cast(row_number() over (order by substr(md5(concat_ws(chr(1), '{SEED}', '0', dataset, prompt)), 1, 15)) as bigint) as rn
+          from ex),
+    n as (select cast(floor(count(*) / {BATCH}) * {BATCH} as bigint) as nfull from ex),
+    b as (select *, cast(floor((rn - 1) / {BATCH}) as bigint) as batch_id, cast((rn - 1) % {BATCH} as bigint) as pos_in_batch
+          from o where rn <= (select nfull from n)),
+    {_tokenized_sql('b')},
+    mx as (select *, max(len(p)) over (partition by batch_id) as wp, max(len(chosen_input_ids)) over (partition by batch_id) as wc from tx)
+    select batch_id, pos_in_batch, dataset,
+           array_to_string({_pad('p', 'wp', K.PAD_ID, left=True)}, ' ') as prompt_input_ids,
+           array_to_string({_pad('chosen_input_ids', 'wc', K.PAD_ID)}, ' ') as chosen_input_ids,
+           array_to_string({_pad('chosen_labels', 'wc', K.IGNORE)}, ' ') as chosen_labels
+    from mx""")
+def sft_collate(spark, sf_dir):
+    """SFT training end to end: prompt, epoch order, batch, tokens, padding."""
+    ex = _sft_examples(spark, sf_dir)
+    n = ex.count()
+    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, key=SFT_KEY, n=n), BATCH, n)
+    c = batching.collate(batching.tokenize_examples(b, MAX_LEN, MAX_PROMPT, sft_mode=True))
+    return c.select("batch_id", "pos_in_batch", "dataset", _ids("prompt_input_ids"), _ids("chosen_input_ids"), _ids("chosen_labels"))
+
+
 # ----------------------------------------------------------------- K1-K5
 @register("tokenize_truncate", "K1 K2 K3 K4 K5 G1 D9",views=("v_annotations", "v_shp"), sql=f"""
     with {_EX},
@@ -184,11 +257,6 @@ def label_mask(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- K6-K8, U3
-def _pad(col: str, width: str, value: int, left: bool = False) -> str:
-    fill = f"list_transform(range(greatest({width} - len({col}), 0)), lambda i: cast({value} as bigint))"
-    return f"list_concat({fill}, {col})" if left else f"list_concat({col}, {fill})"
-
-
 _BATCH_TOK = f"""{_ordered_sql('range(0, 1)')},
     {_tokenized_sql('b')},
     mx as (select *, max(len(p)) over (partition by epoch, batch_id) as wp,

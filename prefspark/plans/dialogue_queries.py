@@ -65,9 +65,7 @@ def first_n_split(spark, sf_dir):
     return dialogue.sharegpt_sft(view(spark, sf_dir, "v_turns"), split="test", num_turns=1)
 
 
-@register(
-    "ultrachat_first_turn", "S11 F6 A2", views=("v_turns",),
-    sql=f"""
+_ULTRACHAT_SQL = f"""
     with h as (select conv_id, pos, ord, text, {_ROLE_SQL} as r from v_turns where pos < 2),
     c as (select conv_id, max(case when pos = 0 then r end) as r0, max(case when pos = 1 then r end) as r1,
                  max(case when pos = 0 then text end) as t0, max(case when pos = 1 then text end) as t1,
@@ -75,7 +73,12 @@ def first_n_split(spark, sf_dir):
           from h group by conv_id),
     e as (select 'Human: ' || t0 || chr(10) || chr(10) || 'Assistant: ' as prompt, t1 as target, ord
           from c where r0 = 'h' and r1 = 'g')
-    select prompt, max_by(target, ord) as sft_target, min(ord) as first_ord from e group by prompt""",
+    select prompt, max_by(target, ord) as sft_target, min(ord) as first_ord from e group by prompt"""
+
+
+@register(
+    "ultrachat_first_turn", "S11 F6 A2", views=("v_turns",),
+    sql=_ULTRACHAT_SQL,
 )
 def ultrachat_first_turn(spark, sf_dir):
     return dialogue.ultrachat_first_turn(view(spark, sf_dir, "v_turns"))

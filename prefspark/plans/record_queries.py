@@ -199,7 +199,8 @@ def _wiki_sql(n: int) -> str:
                       array_to_string(list_slice({words}, 11, len({words})), ' ') as target
                from documents where length(text) > 100),
     f as (select prompt, min(ord) as first_ord from c group by prompt),
-    s as (select max(first_ord) as stop from (select first_ord from f order by first_ord limit {n}) z)
+    s as (select case when count(*) = {n} then max(first_ord) else (select max(ord) from c) end as stop
+          from (select first_ord from f order by first_ord limit {n}) z)
     select prompt, max_by(target, ord) as sft_target, min(ord) as first_ord
     from c where ord <= (select stop from s) group by prompt"""
 
@@ -221,6 +222,15 @@ def wikitext_split(spark, sf_dir):
     return test.unionByName(train)
 
 
+ALL_PROMPTS = 1_000_000_000  # more than there are: the scan must not stop early
+
+
+@register("wikitext_to_the_end", "S12", sql=_wiki_sql(ALL_PROMPTS))
+def wikitext_to_the_end(spark, sf_dir):
+    """S12 with more prompts asked for than exist."""
+    return records.wikitext(table(spark, sf_dir, "documents"), "test", test_n=ALL_PROMPTS)
+
+
 # ------------------------------------------------------------------ S13
 @register("alpaca_prompts", "S13", sql=f"""
     select {TPL_OPEN}text{TPL_CLOSE} as prompt, cast(null as varchar) as sft_target, min(item_id) as first_ord

@@ -78,7 +78,8 @@ def dataset_registry(spark, sf_dir):
         extra = {"maps": _completion_maps(spark, sf_dir, _MAP_MODELS[name])} if name in _MAP_MODELS else {}
         ds = registry.get_dataset(spark, sf_dir, name, "train", prefs=ann if name == "sharegpt" else None, **extra)
         sft_parts.append(ds.sft.select(F.lit(name).alias("dataset")))
-        pair_parts.append(ds.pairs.select(F.lit(name).alias("dataset")))
+        if ds.has_pairs:
+            pair_parts.append(ds.pairs.select(F.lit(name).alias("dataset")))
     names = spark.createDataFrame([(n,) for n in _PARTS], ["dataset"])
     sft = sft_parts[0]
     for p in sft_parts[1:]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prefspark.plans.match_queries import stub_completion
 from prefspark.plans.registry import register
 from prefspark.sources import io
-from prefspark.sources.fixtures import view
+from prefspark.sources.fixtures import table, view
 from prefspark.streaming import jobs
 
 _SAMPLED_SCHEMA = "model string, shard int, ord bigint, instruction string, output string"
@@ -46,9 +46,12 @@ def stream_metric_windows(spark, sf_dir):
     wall-clock event time is read as UTC, so the result does not depend on the
     session time zone (a watermark needs a TIMESTAMP, not TIMESTAMP_NTZ)."""
     root = io.scratch_path(spark, "stream_windows")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # The stream reads folders, the table may be one file: its rows go through a
+    # folder of several files in the shared scratch, one micro-batch each.
+    events = table(spark, sf_dir, "events")
+    events.repartition(4).write.parquet(f"{root}/in")
+    schema = events.schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     if schema["ts"].dataType.simpleString() == "timestamp_ntz":
         ts = F.make_timestamp(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.minute("ts"),
                               F.date_part(F.lit("SECOND"), F.col("ts")), F.lit("UTC"))
@@ -75,7 +78,8 @@ def stream_cache_backfill(spark, sf_dir):
     keyed = F.sha2(F.concat_ws("\u0001", F.lit("gpt4"), "instruction"), 256)
     seed = (v.filter((F.col("model") == "sampled") & (F.col("shard") == 1)).withColumn("key", keyed)
             .groupBy("key").agg(F.min_by("instruction", "ord").alias("instruction"),
-                                F.min_by("output", "ord").alias("response")))
+                                F.min_by("output", "ord").alias("response"),
+                                F.lit("stop").alias("finish_reason")))
     jobs.write_cache(seed, f"{root}/cache", -1)
     req = v.filter(F.col("model") == "teacher").select("instruction", "ord").withColumn("key", keyed)
     waves = [req.filter(F.col("ord") < 10), req]

@@ -34,7 +34,11 @@ def read_completion_maps(spark: SparkSession, path: str, glob: str | None = None
     # as a map, keeping the position that the parser produced.
     parsed = raw.select("file", F.from_json("value", "map<string,array<string>>",
                                             {"mode": "FAILFAST"}).alias("m"))
-    return parsed.select("file", F.posexplode("m").alias("pos", "prompt", "completions"))
+    entries = parsed.select("file", F.posexplode("m").alias("pos", "prompt", "completions"))
+    # A repeated key keeps its first position and its last value.
+    return entries.groupBy("file", "prompt").agg(
+        F.max_by("completions", "pos").alias("completions"), F.min("pos").alias("pos")
+    ).select("file", "pos", "prompt", "completions")
 
 
 SAMPLE_SCHEMA = "model string, shard int, ord bigint, prompt string, sample_ix int, completion string"

@@ -232,11 +232,9 @@ def wikitext(docs: DataFrame, split: str = "test", fixed_ord: int | None = None,
     n = train_n - 1 if split == "train" else test_n
     firsts = cand.groupBy("prompt").agg(F.min("ord").alias("first_ord"))
     top = ordinals.first_n(firsts, "first_ord", n)
-    stop = top.agg(F.max("first_ord")).first()[0]
-    if stop is None:
-        scanned = cand.limit(0)
-    else:
-        scanned = cand.filter(F.col("ord") <= F.lit(stop))
+    found, stop = top.agg(F.count("*"), F.max("first_ord")).first()
+    # With fewer than N prompts the scan runs to the end of the texts.
+    scanned = cand.filter(F.col("ord") <= F.lit(stop)) if found == n else cand
     rec = last_wins(scanned)
     if split == "train":
         fixed = docs.filter(F.col(order) == F.lit(fixed_ord)).select(

@@ -46,22 +46,26 @@ class Dataset:
 
     @cached_property
     def pairs(self) -> DataFrame:
+        if self._pairs is None:
+            raise ValueError(f"dataset '{self.name}' has no preference pairs")
         return _conform(self._pairs() if callable(self._pairs) else self._pairs, PAIR_SCHEMA)
 
+    @property
+    def has_pairs(self) -> bool:
+        return self._pairs is not None
+
     @property
     def truncation_mode(self) -> str:
         return "keep_end" if self.name in KEEP_END else "keep_start"
 
 
-def _empty_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PAIR_SCHEMA)
-
-
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def _pairs_with_first(pairs: DataFrame) -> DataFrame:
+    """``first_ord`` of a prompt; one row per prompt on the right, so that a
+    prompt with many pairs can be split."""
     first = pairs.groupBy("prompt").agg(F.min("ord").alias("first_ord"))
     return pairs.join(first, "prompt")
 
@@ -88,7 +92,7 @@ def _se(spark, sf_dir, split, strip_html=False, **kw):
         ans = records.se_split(view(spark, sf_dir, "v_answers"), split)
         return records.se_sft_target(records.se_clean(ans) if strip_html else ans)
 
-    return sft, _empty_pairs(spark)
+    return sft, None
 
 
 def _sharegpt(spark, sf_dir, split, prefs=None, num_turns=1, data_fraction=1.0, **kw):
@@ -97,7 +101,7 @@ def _sharegpt(spark, sf_dir, split, prefs=None, num_turns=1, data_fraction=1.0,
         pairs = rec.select("prompt", "first_ord", F.lit(0).alias("pair_ix"), "chosen", "rejected")
         return rec.select("prompt", "sft_target", "first_ord"), pairs
     sft = dialogue.sharegpt_sft(view(spark, sf_dir, "v_turns"), split, num_turns, data_fraction)
-    return sft, _empty_pairs(spark)
+    return sft, None
 
 
 def _ultrafeedback(spark, sf_dir, split, **kw):
@@ -113,16 +117,16 @@ def _ultrafeedbacknarrow(spark, sf_dir, split, **kw):
 
 
 def _ultrachat(spark, sf_dir, split, **kw):
-    return dialogue.ultrachat_first_turn(view(spark, sf_dir, "v_turns")), _empty_pairs(spark)
+    return dialogue.ultrachat_first_turn(view(spark, sf_dir, "v_turns")), None
 
 
 def _wiki(spark, sf_dir, split, fixed_ord=25, **kw):
     docs = table(spark, sf_dir, "documents")
-    return (lambda: records.wikitext(docs, split, fixed_ord=fixed_ord)), _empty_pairs(spark)
+    return (lambda: records.wikitext(docs, split, fixed_ord=fixed_ord)), None
 
 
 def _alpaca(spark, sf_dir, split, **kw):
-    return records.alpaca_prompts(table(spark, sf_dir, "benchmark")), _empty_pairs(spark)
+    return records.alpaca_prompts(table(spark, sf_dir, "benchmark")), None
 
 
 def _completion_maps(suffix: str, test_n: int):
@@ -134,7 +138,7 @@ def _completion_maps(suffix: str, test_n: int):
             if maps_dir is None:
                 raise ValueError("completion maps are needed: pass maps= or maps_dir=")
             maps = io.read_completion_maps(spark, maps_dir, f"*{suffix}")
-        return (lambda: records.completion_map_sft(maps, split, data_fraction, test_n)), _empty_pairs(spark)
+        return (lambda: records.completion_map_sft(maps, split, data_fraction, test_n)), None
 
     return build
 
@@ -163,14 +167,20 @@ def get_dataset(spark: SparkSession, sf_dir: str, name: str, split: str = "train
     return Dataset(name, sft, pairs)
 
 
-def mixture(spark: SparkSession, sf_dir: str, names: list[str], split: str = "train", **kw) -> DataFrame:
-    """Pair rows of several datasets stacked (no cross-dataset dedupe), each
-    tagged with its dataset and truncation mode."""
+def mixture(spark: SparkSession, sf_dir: str, names: list[str], split: str = "train", mode: str = "pairs", **kw) -> DataFrame:
+    """Rows of several datasets stacked (no cross-dataset dedupe), each tagged
+    with its dataset, its place in the list and its truncation mode. ``mode`` is
+    ``pairs`` (preference training) or ``sft`` (one row per prompt). A dataset
+    without pairs can't be trained on in preference mode: that is an error."""
+    if mode not in ("pairs", "sft"):
+        raise ValueError(f"Unknown mode '{mode}'")
     out = None
-    for name in names:
-        if name == "sharegpt" and "prefs" not in kw:
-            kw = {**kw, "prefs": view(spark, sf_dir, "v_annotations")}
-        ds = get_dataset(spark, sf_dir, name, split, **kw)
-        part = ds.pairs.select(F.lit(name).alias("dataset"), "*", F.lit(ds.truncation_mode).alias("truncation_mode"))
+    for ix, name in enumerate(names):
+        own = {**kw, "prefs": view(spark, sf_dir, "v_annotations")} if name == "sharegpt" and mode == "pairs" and "prefs" not in kw else kw
+        ds = get_dataset(spark, sf_dir, name, split, **own)
+        if mode == "pairs" and not ds.has_pairs:
+            raise ValueError(f"dataset '{name}' has no preference pairs; use mode='sft'")
+        rows = ds.pairs if mode == "pairs" else ds.sft
+        part = rows.select(F.lit(name).alias("dataset"), F.lit(ix).alias("dataset_ix"), "*", F.lit(ds.truncation_mode).alias("truncation_mode"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -19,10 +19,12 @@ from prefspark.operators import matching
 
 
 def _batches_of(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    """The table below ``root``; None when nothing was written yet. Any other
+    failure to read it surfaces."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    return spark.read.parquet(root)
 
 
 def keep_first_stream(spark: SparkSession, source: DataFrame, out: str, checkpoint: str,
@@ -53,23 +55,31 @@ def read_latest(spark: SparkSession, out: str, key: str) -> DataFrame:
 
 def windowed_means(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, ts: str = "ts",
                    value: str = "value", every: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """One mean per tumbling window (the throttled metric log). Update mode
-    with a watermark bounds the state; every micro-batch's updated windows are
-    written per batch id and the latest version of a window is the result."""
-    agg = (source.withWatermark(ts, delay).groupBy(F.window(ts, every).alias("w"))
-           .agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.sum(value).alias("total")))
+    """One mean per tumbling window (the throttled metric log); null values
+    count as rows, not in the mean.
+
+    Every micro-batch writes its own partial sums per window, and a window's
+    result is their sum: no state is kept and no row is lost, however late it
+    comes. Rows more than ``delay`` behind the newest event of their batch are
+    counted in ``n_late``, so that a consumer that closes windows early sees what
+    arrives after. The partial sums are one row per window and batch."""
+    seconds = F.expr(f"cast(interval {delay} as interval day to second)")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total") \
+        newest = batch.agg(F.max(ts)).first()[0]
+        late = (F.col(ts) < F.lit(newest) - seconds).cast("bigint") if newest is not None else F.lit(0).cast("bigint")
+        batch.groupBy(F.window(ts, every).alias("w")).agg(
+            F.count(F.lit(1)).alias("n"), F.count(value).alias("n_values"), F.sum(value).alias("total"), F.sum(late).alias("n_late")
+        ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "n_values", "total", "n_late") \
             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(process).option("checkpointLocation", checkpoint)
+    q = (source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    versions = spark.read.parquet(out)
-    latest = versions.groupBy("window_start", "window_end").agg(
-        F.max_by(F.struct("n", "total"), "batch_id").alias("v"))
-    return latest.select("window_start", "window_end", "v.n", (F.col("v.total") / F.col("v.n")).alias("mean_value"))
+    parts = spark.read.parquet(out).groupBy("window_start", "window_end")
+    sums = parts.agg(*[F.sum(c).alias(c) for c in ("n", "n_values", "total", "n_late")])
+    mean = F.when(F.col("n_values") > 0, F.col("total") / F.col("n_values"))
+    return sums.select("window_start", "window_end", "n", mean.alias("mean_value"), "n_late")
 
 
 def cache_bucket(key: str = "key"):
@@ -89,7 +99,8 @@ def cache_backfill(spark: SparkSession, requests: DataFrame, cache_root: str, ch
     """Resumable backfill. Each micro-batch of requests is answered from the
     cache table where possible; misses go through ``complete`` and are appended
     to the cache (``cache_root/batch_id=<id>/bucket=<xx>``), so a restart only
-    pays for requests never completed before. The cache scan is pruned to the
+    pays for requests never completed before. A cached answer keeps how it ended
+    (``finish_reason``), so one that was cut off stays cut off. The cache scan is pruned to the
     key buckets present in the micro-batch (at most 256 values), so a small
     batch reads a small part of a large cache."""
 
@@ -99,12 +110,13 @@ def cache_backfill(spark: SparkSession, requests: DataFrame, cache_root: str, ch
         stored = _batches_of(spark, cache_root)
         if stored is None:
             stored = spark.createDataFrame([], T.StructType([
-                T.StructField(key, T.StringType()), T.StructField("response", T.StringType())]))
+                T.StructField(key, T.StringType()), T.StructField("response", T.StringType()),
+                T.StructField("finish_reason", T.StringType())]))
         else:
             stored = stored.filter(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id)).select(
-                key, "response")
+                key, "response", "finish_reason")
         done = matching.cached_completions(reqs, stored, complete, key=key)
-        new = done.filter(F.col("source") == "miss").select(key, "instruction", "response")
+        new = done.filter(F.col("source") == "miss").select(key, "instruction", "response", "finish_reason")
         write_cache(new, cache_root, batch_id, key)
 
     q = (requests.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -1,5 +1,4 @@
-"""Hand-made rows for the reference's quirks, checked against small pure-Python
-re-derivations of the documented behaviour, plus properties of the ordering,
+"""Hand-made rows for the reference's quirks with their expected results, plus properties of the ordering,
 batching and metric operators."""
 
 from __future__ import annotations
@@ -28,28 +27,6 @@ def _turns(spark, convs):
     return spark.createDataFrame(rows)
 
 
-def _py_sharegpt(convs, num_turns):
-    """Independent re-derivation: dict of prompt -> target, insertion ordered."""
-    data = {}
-    for conv in convs:
-        if any(t in text for _, text in conv for t in TOKENS):
-            continue
-        prompt = ""
-        for role, text in conv[: 2 * num_turns + 1]:
-            r = {"user": "h", "human": "h", "assistant": "g", "gpt": "g"}.get(role, "o")
-            if prompt == "":
-                if r == "h":
-                    prompt = "Human: " + text + "\n\nAssistant: "
-                elif r == "g":
-                    break
-            elif r == "h":
-                prompt += text + "\n\nAssistant: "
-            elif r == "g":
-                data[prompt] = text
-                prompt += text + "\n\nHuman: "
-    return data
-
-
 CONVS = [
     [("user", "hi"), ("assistant", "hello"), ("user", "how?"), ("assistant", "fine"), ("user", "x"), ("assistant", "y")],
     [("assistant", "I start"), ("user", "q"), ("assistant", "a")],  # model-first: skipped
@@ -61,19 +38,26 @@ CONVS = [
 ]
 
 
-@pytest.mark.parametrize("num_turns", [1, 2])
-def test_sharegpt_matches_python(spark, num_turns):
+HI = "Human: hi\n\nAssistant: "
+#: (prompt, target) in order of the prompts' first occurrence.
+ONE_TURN = [(HI, "hello again"), ("Human: a\n\nAssistant: b\n\nAssistant: ", "c")]
+TWO_TURNS = [
+    (HI, "hello again"),
+    (HI + "hello\n\nHuman: how?\n\nAssistant: ", "fine"),
+    (HI + "hey\n\nHuman: z\n\nAssistant: ", "w"),
+    ("Human: a\n\nAssistant: b\n\nAssistant: ", "c"),
+]
+
+
+@pytest.mark.parametrize("num_turns, expected", [(1, ONE_TURN), (2, TWO_TURNS)])
+def test_sharegpt_rows(spark, num_turns, expected):
     got = dialogue.sharegpt_sft(_turns(spark, CONVS), num_turns=num_turns).collect()
-    expected = _py_sharegpt(CONVS, num_turns)
-    assert {r.prompt: r.sft_target for r in got} == expected
-    # insertion position = first occurrence
-    order = [r.prompt for r in sorted(got, key=lambda r: r.first_ord)]
-    assert order == list(expected)
+    assert [(r.prompt, r.sft_target) for r in sorted(got, key=lambda r: r.first_ord)] == expected
 
 
 def test_sharegpt_test_split_first_n(spark):
     got = dialogue.sharegpt_sft(_turns(spark, CONVS), split="test", num_turns=2, test_n=2).collect()
-    assert [r.prompt for r in sorted(got, key=lambda r: r.first_ord)] == list(_py_sharegpt(CONVS, 2))[:2]
+    assert [r.prompt for r in sorted(got, key=lambda r: r.first_ord)] == [p for p, _ in TWO_TURNS[:2]]
 
 
 def test_ultrachat_first_exchange(spark):
@@ -179,6 +163,13 @@ def test_wikitext_stops_at_n_distinct(spark):
     assert got["p1 " + "w " * 9].endswith("end2")
 
 
+def test_wikitext_with_too_few_prompts_reads_to_the_end(spark):
+    long = " ".join(["w"] * 60)
+    docs = spark.createDataFrame([Row(doc_id=i, text=f"p{k} {long} end{i}") for i, k in enumerate((1, 2, 1, 2))])
+    got = {r.prompt[:2]: r.sft_target for r in records.wikitext(docs, "test", test_n=128).collect()}
+    assert got["p1"].endswith("end2") and got["p2"].endswith("end3")
+
+
 # ------------------------------------------------------------------ ordinals
 def test_dense_index_matches_sort(spark):
     rnd = random.Random(5)
@@ -192,16 +183,14 @@ def test_index_within_hot_group(spark):
     rows = [("hot", i) for i in range(3000)] + [(f"g{i % 50}", 10_000 + i) for i in range(6000)]
     rows += [(None, 20_000 + i) for i in range(7)]  # a null group keeps its rows
     df = spark.createDataFrame(rows, "g string, o long")
-    # hot_rows=1000: the 3000-row group takes the range-split path, the rest the window
-    for hot_rows in (1000, 10**9):
-        got = ordinals.index_within(df, ["g"], "o", partitions=6, hot_rows=hot_rows).collect()
-        assert len(got) == len(rows)
-        by = {}
-        for r in got:
-            by.setdefault(r.g, []).append((r.o, r.rn))
-        for g, xs in by.items():
-            xs.sort()
-            assert [rn for _, rn in xs] == list(range(1, len(xs) + 1)), g
+    got = ordinals.index_within(df, ["g"], "o", partitions=6).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r.o, r.rn))
+    for g, xs in by.items():
+        xs.sort()
+        assert [rn for _, rn in xs] == list(range(1, len(xs) + 1)), g
 
 
 def test_hot_group_is_split_over_partitions(spark):
@@ -242,29 +231,29 @@ def test_epoch_shuffle_is_permutation_and_keeps_pairs_adjacent(spark):
             assert idx == list(range(idx[0], idx[0] + len(idx)))
 
 
-def _py_budget(n, b, n_examples):
-    out, count, e = [], 0, 0
-    while True:
-        batch = []
-        for j in range(n):
-            count += 1
-            batch.append(j)
-            if len(batch) == b:
-                out.append((e, j // b))
-                batch = []
-                if count >= n_examples:
-                    return out
-        e += 1
-
-
-@pytest.mark.parametrize("n,b,budget", [(23, 4, 30), (23, 4, 20), (16, 8, 16), (10, 3, 31)])
-def test_example_budget_matches_loop(spark, n, b, budget):
-    got = batching.budget_schedule(_examples(spark, n), b, budget, seed=0)
+@pytest.mark.parametrize("n, b, budget, epochs, per_epoch", [
+    (23, 4, 30, None, [5, 2]),  # 5 batches of epoch 0; then counts 27 and 31
+    (23, 4, 20, None, [5]),
+    (16, 8, 16, None, [2]),
+    (10, 3, 31, None, [3, 3, 3, 1]),  # the dropped tenth example of an epoch counts
+    (23, 4, 1000, 2, [5, 5]),  # the epochs end first
+    (23, 4, 30, 5, [5, 2]),  # the budget ends first
+])
+def test_batches_until_a_stop(spark, n, b, budget, epochs, per_epoch):
+    got = batching.budget_schedule(_examples(spark, n), b, budget, seed=0, n_epochs=epochs)
     batches = sorted({(r.epoch, r.batch_id) for r in got.collect()})
-    assert batches == _py_budget(n, b, budget)
+    assert batches == [(e, k) for e, count in enumerate(per_epoch) for k in range(count)]
     assert all(c == b for c in got.groupBy("epoch", "batch_id").count().toPandas()["count"])
 
 
+def test_unshuffled_datasets_follow_one_another(spark):
+    rows = [Row(dataset=d, dataset_ix=ix, prompt=f"{d}{k}", pair_ix=0, first_ord=k) for k in range(3) for ix, d in enumerate(("z", "a"))]
+    got = batching.epoch_order(spark.createDataFrame(rows), 2, shuffle=False).collect()
+    for e in (0, 1):
+        order = [r.prompt for r in sorted((r for r in got if r.epoch == e), key=lambda r: r.rn)]
+        assert order == ["z0", "z1", "z2", "a0", "a1", "a2"]
+
+
 def test_budget_needs_one_full_batch():
     with pytest.raises(ValueError):
         batching.budget_stop(3, 4, 10)
@@ -278,35 +267,24 @@ def test_drop_last_and_shards(spark):
     assert sorted({r.shard for r in s}) == [0, 1, 2] and len(s) == 12
 
 
-def _py_truncate(p, c, r, mode, L, mp):
-    c, r = c + [K.EOS_ID], r + [K.EOS_ID]
-    longer = max(len(c), len(r))
-    if len(p) + longer > L:
-        p = p[:mp] if mode == "keep_start" else p[-mp:]
-    if len(p) + longer > L:
-        c, r = c[: L - mp], r[: L - mp]
-    return p, p + c, p + r, [-100] * len(p) + c
-
-
-def test_truncation_matches_python(spark):
-    rnd = random.Random(1)
-    rows = []
-    for i in range(40):
-        words = lambda k: " ".join(f"w{rnd.randint(0, 50)}" for _ in range(k))
-        rows.append(Row(prompt=words(rnd.randint(0, 30)), chosen=words(rnd.randint(0, 40)),
-                        rejected=words(rnd.randint(0, 40)), truncation_mode=rnd.choice(["keep_start", "keep_end"]), i=i))
-    df = spark.createDataFrame(rows)
-    tok = df.select("i", "truncation_mode", K.default_tokenize("prompt").alias("p"),
-                    K.default_tokenize("chosen").alias("c"), K.default_tokenize("rejected").alias("r"))
-    ids = {r.i: r for r in tok.collect()}
-    got = batching.tokenize_examples(df, 32, 8).collect()
-    for g in got:
-        t = ids[g.i]
-        p, ci, ri, cl = _py_truncate(list(t.p), list(t.c), list(t.r), t.truncation_mode, 32, 8)
-        assert list(g.prompt_input_ids) == p
-        assert list(g.chosen_input_ids) == ci and list(g.rejected_input_ids) == ri
-        assert list(g.chosen_labels) == cl
-        assert list(g.chosen_attention_mask) == [1] * len(ci)
+@pytest.mark.parametrize("p, c, r, mode, kept, chosen, rejected", [
+    (10, 5, 7, "keep_start", slice(0, 10), 16, 18),  # fits
+    (30, 10, 3, "keep_start", slice(0, 8), 19, 12),  # the prompt's start is kept
+    (30, 10, 3, "keep_end", slice(22, 30), 19, 12),
+    (20, 40, 2, "keep_end", slice(12, 20), 32, 11),  # then the responses to 32 - 8
+    (3, 31, 0, "keep_start", slice(0, 3), 27, 4),
+])
+def test_truncation(spark, p, c, r, mode, kept, chosen, rejected):
+    words = lambda tag, k: " ".join(f"{tag}{i}" for i in range(k))
+    df = spark.createDataFrame([Row(prompt=words("p", p), chosen=words("c", c), rejected=words("r", r), truncation_mode=mode)])
+    ids = df.select(*[K.default_tokenize(x).alias(x) for x in ("prompt", "chosen", "rejected")]).first()
+    got = batching.tokenize_examples(df, 32, 8).first()
+    head = list(ids.prompt)[kept]
+    assert list(got.prompt_input_ids) == head
+    assert list(got.chosen_input_ids) == (head + list(ids.chosen) + [K.EOS_ID])[:chosen] and len(got.chosen_input_ids) == chosen
+    assert list(got.rejected_input_ids) == (head + list(ids.rejected) + [K.EOS_ID])[:rejected] and len(got.rejected_input_ids) == rejected
+    assert list(got.chosen_labels) == [-100] * len(head) + list(got.chosen_input_ids)[len(head):]
+    assert list(got.chosen_attention_mask) == [1] * chosen
 
 
 def test_collate_pads_to_batch_max(spark):
@@ -387,16 +365,11 @@ def test_bt_first_step_closed_form(spark):
         assert abs(r[item] - 0.01 * (t.wins - t.losses) / (2 * n)) < 1e-12
 
 
-def test_bt_local_and_distributed_paths_agree(spark):
+def test_bt_ranks_items_by_their_wins(spark):
     rnd = random.Random(11)
     samples = spark.createDataFrame([(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(500)], ["winner", "loser"])
-    pairs = bt.aggregate_pairs(samples)
-    local = {r.item: r.reward for r in bt.fit_bradley_terry(pairs, 5, lr=0.5).collect()}
-    dist = {r.item: r.reward for r in bt.fit_bradley_terry(pairs, 5, lr=0.5, local_limit=0).collect()}
-    assert local.keys() == dist.keys()
-    assert all(abs(local[k] - dist[k]) < 1e-12 for k in local)
-    # higher true rank ends with a higher learned reward
-    assert local[9] > local[0]
+    fitted = {r.item: r.reward for r in bt.fit_bradley_terry(bt.aggregate_pairs(samples), 4, lr=0.5).collect()}
+    assert fitted[9] > fitted[5] > fitted[0] and abs(sum(fitted.values())) < 1e-12
 
 
 def test_policies_sum_to_one(spark):
