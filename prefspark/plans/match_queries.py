@@ -85,17 +85,16 @@ def comparison_cap(spark, sf_dir):
     return matching.cap_comparisons(matched, MAX_COMPARISONS).select("instruction", "output_1", "output_2", "ord")
 
 
-@register("comparison_rows", "O3 W8 J1 D7",views=("v_completions",), sql=f"""
-    with {_MATCHED_SQL},
-    c as (select * from m order by ord limit {MAX_COMPARISONS + 2})
-    select instruction, output_1 as output, 'sampled' as generator from c
+@register("comparison_rows", "O3 J1 D7",views=("v_completions",), sql=f"""
+    with {_MATCHED_SQL}
+    select instruction, output_1 as output, 'sampled' as generator from m
     union all
-    select instruction, output_2, 'teacher' from c""")
+    select instruction, output_2, 'teacher' from m""")
 def comparison_rows(spark, sf_dir):
     """O3: both models' rows written under one folder per generator, read back."""
     left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
-    capped = matching.cap_comparisons(matching.match_outputs(left, _teacher(spark, sf_dir)), MAX_COMPARISONS)
-    rows = matching.comparison_rows(capped, "sampled", "teacher").drop("ord")
+    matched = matching.match_outputs(left, _teacher(spark, sf_dir))
+    rows = matching.comparison_rows(matched, "sampled", "teacher").drop("ord")
     path = io.write_comparison_inputs(rows, io.scratch_path(spark, "comparisons"))
     return spark.read.schema("instruction string, output string, generator string").json(path).select(
         "instruction", "output", "generator")
@@ -187,25 +186,32 @@ def fast_forward(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- S5/S6
-@register("teacher_sft", "S5 S6 S10 O4 A2 W11 U2 D6",views=("v_completions",), sql=f"""
-    with c as (select case model when 'teacher' then 'claude' else 'gpt4' end as model, ord, instruction, output
-               from v_completions where model in ('teacher', 'student'))
-    select model, 'Human: ' || instruction || {NN} || 'Assistant: ' as prompt, max_by(output, ord) as sft_target,
-           min(ord) as first_ord
-    from c group by model, 'Human: ' || instruction || {NN} || 'Assistant: '""")
+@register("teacher_sft", "S5 S6 S10 O4 A2 A4 W11 U2 D6", views=("v_completions",), sql=f"""
+    with c as (select case model when 'teacher' then 'claude' else 'gpt4' end as model, ord, instruction, output, file
+               from (select *, unnest([0, 1]) as file from v_completions where model in ('teacher', 'student')) z),
+    e as (select model, file, instruction, min(ord) as ord,
+                 min_by(case when file = 1 then output || ' [f1]' else output end, ord) as target
+          from c group by model, file, instruction)
+    select model, 'Human: ' || instruction || {NN} || 'Assistant: ' as prompt, max_by(target, file) as sft_target,
+           min_by(ord, file) as first_ord
+    from e group by model, instruction""")
 def teacher_sft(spark, sf_dir):
-    """Teacher completions dumped (O4) as claude/gpt4 completion files, read back
-    (S10) and turned into SFT records (S5/S6: first completion, last wins)."""
+    """Teacher completions dumped (O4) as claude/gpt4 completion files with two
+    samples per entry, read back (S10) and turned into SFT records (S5/S6). A
+    prompt repeated inside a file adds to its list of samples, of which the first
+    is taken; a prompt repeated in a later file takes that file's."""
     c = view(spark, sf_dir, "v_completions").filter(F.col("model").isin("teacher", "student"))
+    c = c.withColumn("file", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sample_ix", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.concat("output", F.when(F.col("file") == 1, " [f1]").otherwise(""), F.when(F.col("sample_ix") == 1, " [s1]").otherwise(""))
     rows = c.select(F.when(F.col("model") == "teacher", "claude").otherwise("gpt4").alias("model"),
-                    F.col("shard").cast("int").alias("shard"), "ord", F.col("instruction").alias("prompt"),
-                    F.lit(0).alias("sample_ix"), F.col("output").alias("completion"))
+                    F.col("file").cast("int").alias("shard"), "ord", F.col("instruction").alias("prompt"),
+                    F.col("sample_ix").cast("int").alias("sample_ix"), text.alias("completion"))
     path = io.write_completions(rows, io.scratch_path(spark, "teacher"))
     back = io.first_samples(io.read_completion_rows(spark, path))
-    recs = back.select("model", T.single_turn_prompt("prompt").alias("prompt"),
+    recs = back.select("model", "shard", T.single_turn_prompt("prompt").alias("prompt"),
                        F.col("completion").alias("target"), "ord")
-    return recs.groupBy("model", "prompt").agg(F.max_by("target", "ord").alias("sft_target"),
-                                               F.min("ord").alias("first_ord"))
+    return recs.groupBy("model", "prompt").agg(F.max_by("target", "shard").alias("sft_target"),
+                                               F.min_by("ord", "shard").alias("first_ord"))
 
 
 # ----------------------------------------------------------------- J4/G3/T10
@@ -244,11 +250,10 @@ def cache_misses(spark, sf_dir):
 
 # ----------------------------------------------------------------- G4 -> S7
 _JUDGE_SQL = f"""{_MATCHED_SQL},
-    c as (select * from m order by ord limit {MAX_COMPARISONS + 2}),
     a as (select ord, instruction, output_1, output_2,
                  case when length(output_1) > length(output_2) then 1.0E0
                       when length(output_1) < length(output_2) then 2.0E0 else 1.5E0 end as preference
-          from c),
+          from m),
     k as (select * from a where not (contains(instruction, '<s>') or contains(instruction, '</s>')
             or contains(instruction, '<|endoftext|>') or contains(output_1, '<s>') or contains(output_1, '</s>')
             or contains(output_1, '<|endoftext|>') or contains(output_2, '<s>') or contains(output_2, '</s>')
@@ -258,20 +263,20 @@ _JUDGE_SQL = f"""{_MATCHED_SQL},
                  case when preference = 1 then output_2 else output_1 end as rejected, output_1 as sft_target from k)"""
 
 
-@register("judge_annotations", "G4 S7 W8 J1", views=("v_completions",), sql=f"""
+@register("judge_annotations", "G4 S7 J1", views=("v_completions",), sql=f"""
     with {_JUDGE_SQL}
     select prompt, min(ord) as first_ord, max_by(chosen, ord) as chosen, max_by(rejected, ord) as rejected,
            max_by(sft_target, ord) as sft_target
     from r group by prompt""")
 def judge_annotations(spark, sf_dir):
-    """Section 3.2 closed: capped comparisons are judged (G4, a stand-in judge
+    """Section 3.2 closed: all comparisons are judged (G4, a stand-in judge
     that prefers the longer output) and the annotations become preference
     records (S7)."""
     from prefspark.sources import records
 
     left = matching.sample_outputs_from_rows(_sample_rows(spark, sf_dir))
-    capped = matching.cap_comparisons(matching.match_outputs(left, _teacher(spark, sf_dir)), MAX_COMPARISONS)
-    judged = matching.annotate(capped.select("ord", "instruction", "output_1", "output_2"),
+    matched = matching.match_outputs(left, _teacher(spark, sf_dir))
+    judged = matching.annotate(matched.select("ord", "instruction", "output_1", "output_2"),
                                matching.longer_output_judge)
     return records.aiprefs(judged).select("prompt", "first_ord", "chosen", "rejected", "sft_target")
 

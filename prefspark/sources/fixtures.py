@@ -33,18 +33,20 @@ VIEWS: dict[str, str] = {
     "v_turns": """
         with x as (
           select conv_id, turn, role, text, explode(array(0, 1, 2, 3)) as copy from {conversations})
-        select conv_id + cast(copy as bigint) * 1000000000 as conv_id, turn, role,
+        select conv_id * 4 + copy as conv_id, turn, role,
                case when copy = 1 and role = 'assistant' then text || ' [v2]'
                     when copy = 2 and turn >= 2 then text || '</s>'
                     else text end as text,
-               (conv_id + cast(copy as bigint) * 1000000000) * 1000 + turn as ord,
+               (conv_id * 4 + copy) * 1000 + turn as ord,
                turn - case when copy = 3 then 1 else 0 end as pos
         from x
         where copy <> 3 or turn >= 1""",
-    # Scored Q&A in long form: four answers per question, questions repeat.
+    # Scored Q&A in long form: four answers per question; every fifth question
+    # repeats the one before it.
     "v_answers": """
         select cast(floor(doc_id / 4) as bigint) as q_ord,
-               'Q' || cast(cast(floor(doc_id / 4) as bigint) % 200 as string) as question,
+               'Q' || cast(cast(floor(doc_id / 4) as bigint)
+                 - case when cast(floor(doc_id / 4) as bigint) % 5 = 4 then 1 else 0 end as string) as question,
                doc_id % 4 as pos, text as answer, n_chars % 3 as pm_score
         from {documents}""",
     # Two-answer preferences: consecutive documents paired, history repeats.
@@ -55,50 +57,56 @@ VIEWS: dict[str, str] = {
                case when a.n_chars % 97 >= b.n_chars % 97 then 1 else 0 end as labels
         from {documents} a join {documents} b
           on cast(floor(b.doc_id / 2) as bigint) = cast(floor(a.doc_id / 2) as bigint) and a.doc_id < b.doc_id""",
-    # Chosen/rejected transcripts; copy 1 repeats every prompt with another answer.
+    # Chosen/rejected transcripts: one for every exchange, with all turns before it;
+    # copy 1 repeats every prompt with another answer.
     "v_hh": """
-        with p as (
-          select conv_id,
-                 max(case when turn = 0 then text end) as t0, max(case when turn = 1 then text end) as t1,
-                 max(case when turn = 2 then text end) as t2, max(case when turn = 3 then text end) as t3,
-                 max(case when turn = 0 then role end) as r0
-          from {conversations} group by conv_id),
-        q as (
-          select conv_id, t0, t1, t2, t3, explode(array(0, 1)) as copy from p where r0 = 'user' and t3 is not null)
-        select conv_id * 2 + copy as ord,
-          chr(10) || chr(10) || 'Human: ' || t0 || chr(10) || chr(10) || 'Assistant: ' || t1
-            || chr(10) || chr(10) || 'Human: ' || t2 || chr(10) || chr(10) || 'Assistant: '
-            || case when copy = 1 then t3 || ' [alt]' else t3 end as chosen,
-          chr(10) || chr(10) || 'Human: ' || t0 || chr(10) || chr(10) || 'Assistant: ' || t1
-            || chr(10) || chr(10) || 'Human: ' || t2 || chr(10) || chr(10) || 'Assistant: ' || t1 as rejected
+        with s as (
+          select conv_id, turn, role, text,
+                 chr(10) || chr(10) || case when role = 'user' then 'Human: ' else 'Assistant: ' end || text as said
+          from {conversations} where role in ('user', 'assistant')),
+        h as (
+          select conv_id, turn, role, text,
+                 array_join(collect_list(said) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') as past,
+                 lag(role) over (partition by conv_id order by turn) as before,
+                 min(case when role = 'assistant' then turn end) over (partition by conv_id) as t1,
+                 min(turn) over (partition by conv_id) as t0
+          from s),
+        r as (
+          select h.conv_id, h.turn, h.past, h.text, f.text as other, f.turn as other_turn
+          from h join s f on f.conv_id = h.conv_id and f.turn = h.t1
+          where h.role = 'assistant' and h.before = 'user'),
+        q as (select conv_id, turn, past, text, other, other_turn, explode(array(0, 1)) as copy from r)
+        select (conv_id * 1000 + turn) * 2 + copy as ord,
+          past || chr(10) || chr(10) || 'Assistant: ' || case when copy = 1 then text || ' [alt]' else text end as chosen,
+          past || chr(10) || chr(10) || 'Assistant: ' || case when other_turn = turn then other || ' [first]' else other end as rejected
         from q""",
     # Outputs of two models plus overlapping sample shards (worker s starts at 5*s).
     "v_completions": """
         with b as (
-          select u.conv_id as ord, u.text as instruction, a.text as output
+          select u.conv_id * 1000 + u.turn as ord, u.text as instruction, a.text as output
           from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-          where u.turn = 0 and u.role = 'user' and a.role = 'assistant')
+          where u.role = 'user' and a.role = 'assistant')
         , g as (select ord, instruction, output, explode(array(0, 1, 2, 3, 4)) as k from b)
         select case k when 0 then 'teacher' when 1 then 'student' else 'sampled' end as model,
                case when k >= 2 then k - 2 else 0 end as shard, ord, instruction,
                case k when 0 then output when 1 then 'alt: ' || output
                       else output || ' #' || cast(k - 2 as string) end as output
         from g where k <= 2 or (k = 3 and ord >= 5) or (k = 4 and ord >= 10)
-        union all select 'sampled', 0, doc_id + 10000000, text, 'long' from {documents} where n_chars >= 7000""",
+        union all select 'sampled', 0, -1 - doc_id, text, 'long' from {documents} where n_chars >= 7000""",
     # Judge annotations: preference 1, 2, 1.5 (tie) or null; some output_2 carry a special token.
     "v_annotations": """
-        select u.conv_id as ord, u.text as instruction, a.text as output_1,
+        select u.conv_id * 1000 + u.turn as ord, u.text as instruction, a.text as output_1,
                case when u.conv_id % 11 = 0 then '<s>' else '' end || 'alt: ' || a.text as output_2,
-               case u.conv_id % 4 when 0 then 1.0E0 when 1 then 2.0E0 when 2 then 1.5E0 end as preference
+               case (u.conv_id + u.turn) % 4 when 0 then 1.0E0 when 1 then 2.0E0 when 2 then 1.5E0 end as preference
         from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-        where u.turn = 0 and u.role = 'user'""",
+        where u.role = 'user'""",
     # Binarised preferences from two sources: 'wide' (shared evaluation source)
     # and 'narrow' (train source); chosen/rejected carry the full template.
     "v_binarized": """
         with b as (
-          select u.conv_id as ord, u.text as prompt, a.text as answer
+          select u.conv_id * 1000 + u.turn as ord, u.text as prompt, a.text as answer
           from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-          where u.turn = 0 and u.role = 'user' and a.role = 'assistant')
+          where u.role = 'user' and a.role = 'assistant')
         , g as (select ord, prompt, answer, explode(array(0, 1)) as k from b)
         select case k when 0 then 'wide' else 'narrow' end as source, ord, prompt,
                'Human: ' || prompt || chr(10) || chr(10) || 'Assistant: '
@@ -134,6 +142,27 @@ VIEWS: dict[str, str] = {
 
 # DuckDB spellings of views whose Spark SQL uses Spark-only generator syntax.
 DUCK_VIEWS: dict[str, str] = {
+    "v_hh": """
+        with s as (
+          select conv_id, turn, role, text,
+                 chr(10) || chr(10) || case when role = 'user' then 'Human: ' else 'Assistant: ' end || text as said
+          from {conversations} where role in ('user', 'assistant')),
+        h as (
+          select conv_id, turn, role, text,
+                 string_agg(said, '') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as past,
+                 lag(role) over (partition by conv_id order by turn) as before,
+                 min(case when role = 'assistant' then turn end) over (partition by conv_id) as t1,
+                 min(turn) over (partition by conv_id) as t0
+          from s),
+        r as (
+          select h.conv_id, h.turn, h.past, h.text, f.text as other, f.turn as other_turn
+          from h join s f on f.conv_id = h.conv_id and f.turn = h.t1
+          where h.role = 'assistant' and h.before = 'user'),
+        q as (select conv_id, turn, past, text, other, other_turn, unnest(list_value(0, 1)) as copy from r)
+        select (conv_id * 1000 + turn) * 2 + copy as ord,
+          past || chr(10) || chr(10) || 'Assistant: ' || case when copy = 1 then text || ' [alt]' else text end as chosen,
+          past || chr(10) || chr(10) || 'Assistant: ' || case when other_turn = turn then other || ' [first]' else other end as rejected
+        from q""",
     "v_token_logps": """
         select vec_id as example_id, cast(i - 1 as bigint) as pos, -abs(cast(embedding[i] as double)) as logp,
                case when vec_id % 50 = 0 or i - 1 < vec_id % 16 then -100 else cast(i as bigint) end as label
