@@ -97,6 +97,20 @@ def response_after(decoded: str | Column, prompt: str | Column) -> Column:
     return strip_ws(d.substr(F.length(_c(prompt)) + 1, F.greatest(F.length(d) - F.length(_c(prompt)), F.lit(0))))
 
 
+def sample_path(path: str | Column) -> Column:
+    """What a sample file's path says, as a struct: the prompt set, the
+    maximum length, the temperature, and the offset of its first prompt (null for
+    files that hold a whole evaluation set)."""
+    p = _c(path)
+    found = lambda pattern: F.nullif(F.regexp_extract(p, pattern, 1), F.lit(""))
+    return F.struct(
+        found(r"([A-Za-z0-9]+)[A-Za-z0-9_]*_maxlen\d+").alias("prompt_set"),
+        found(r"_maxlen(\d+)").cast("bigint").alias("max_length"),
+        found(r"_temp(\d+(?:\.\d+)?)").cast("double").alias("temperature"),
+        found(r"fastforward(\d+)\.json").cast("bigint").alias("offset"),
+    )
+
+
 def run_model_name(key: str | Column) -> Column:
     """``key[len('llama7b_'):-3]``."""
     k = _c(key)

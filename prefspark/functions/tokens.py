@@ -97,13 +97,6 @@ def pad_left(ids, length, value: int) -> Column:
     return F.concat(F.array_repeat(F.lit(value).cast("bigint"), n), a)
 
 
-def detok_suffix(pieces_col, n_prefix) -> Column:
-    """K9 (default tokenizer): text of the pieces after the first ``n_prefix``."""
-    a = _c(pieces_col)
-    n = _c(n_prefix) if not isinstance(n_prefix, int) else F.lit(n_prefix)
-    return F.array_join(F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0))), " ")
-
-
 def ids_text(ids) -> Column:
     """Array of ids as one space-separated string (for reports and oracles)."""
     return F.array_join(F.transform(_c(ids), lambda x: x.cast("string")), " ")

@@ -68,6 +68,28 @@ def overlap_shards_merge(spark, sf_dir):
     return out.select("instruction", "output", F.col("shard").cast("bigint").alias("shard"))
 
 
+@register("sample_files", "T12 T6 S10 O1", views=("v_completions",), sql=f"""
+    select 'sharegpt2turn' as prompt_set, cast(512 as bigint) as max_length, 0.7E0 as temperature,
+           cast(shard * 5 as bigint) as "offset", instruction,
+           regexp_replace(output, '^{T.PY_WHITESPACE}+|{T.PY_WHITESPACE}+$', '', 'g') as response
+    from v_completions where model = 'sampled'""")
+def sample_files(spark, sf_dir):
+    """Decoded samples (prompt and response in one text) in files named by their
+    run, read back: the run comes from the path, the response is what follows the
+    prompt."""
+    rows = view(spark, sf_dir, "v_completions").filter(F.col("model") == "sampled")
+    prompt = T.single_turn_prompt("instruction")
+    dump = rows.select(
+        F.lit("sharegpt2turn_noeos_maxlen512_temp0.7").alias("run"),
+        F.concat(F.lit("fastforward"), (F.col("shard") * 5).cast("string"), F.lit(".json")).alias("file"),
+        prompt.alias("prompt"), F.concat(prompt, F.lit("  "), "output", F.lit("\n")).alias("decoded"))
+    path = io.scratch_path(spark, "sample_files")
+    dump.write.partitionBy("run", "file").json(path)
+    back = spark.read.schema("prompt string, decoded string").option("recursiveFileLookup", "true").json(path)
+    parsed = back.select(T.sample_path(F.col("_metadata.file_path")).alias("p"), "prompt", "decoded")
+    return parsed.select("p.*", T.strip_template("prompt").alias("instruction"), T.response_after("decoded", "prompt").alias("response"))
+
+
 @register("match_outputs", "J1 A5 F5 T5 W11", views=("v_completions",), sql=f"""
     with {_MATCHED_SQL}
     select instruction, output_1, output_2, ord from m""")
@@ -238,10 +260,9 @@ def cache_misses(spark, sf_dir):
     """Requests answered from the cache table on a hit; misses go through the
     completion function (G3, Arrow batches). Cache = the shard-1 samples."""
     v = view(spark, sf_dir, "v_completions")
-    requests = v.filter(F.col("model") == "teacher").select("instruction").distinct().withColumn(
-        "key", F.sha2(F.concat_ws("\u0001", F.lit("gpt4"), "instruction"), 256))
+    v = v.withColumn("service", F.lit("gpt4")).withColumn("key", matching.request_key("service", "instruction"))
+    requests = v.filter(F.col("model") == "teacher").select("instruction", "key").distinct()
     cache = (v.filter((F.col("model") == "sampled") & (F.col("shard") == 1))
-             .withColumn("key", F.sha2(F.concat_ws("\u0001", F.lit("gpt4"), "instruction"), 256))
              .groupBy("key").agg(F.min_by("output", "ord").alias("response")))
     cache = cache.withColumn("finish_reason", F.lit("stop"))
     out = matching.cached_completions(requests.select("key", "instruction"), cache, stub_completion)

@@ -101,7 +101,7 @@ _RUN_DIR = ("case when generator in ('m0', 'm1') then 'final_ds_' else 'DS_' end
             " || '_maxlen512_temp0.7/epoch-' || cast(3 * (event_id % 3 + 1) as varchar)")
 
 
-@register("leaderboard_scan", "S15 J5 F10 T12 O6 D14",views=("v_battles",), sql=f"""
+@register("leaderboard_scan", "S15 J5 F10 O6 D14",views=("v_battles",), sql=f"""
     with {_RUNS_SQL},
     d as (select *, {_RUN_DIR} as run_dir from runs)
     select run_dir, name, evaluator, round(100 * avg(outcome), 6) as win_rate
