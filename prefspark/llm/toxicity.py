@@ -9,8 +9,8 @@ Other tokens have one reading. Only the restored text is scored.
 
 Scoring: the features of a word are the word and its first 4, 5 and 6 letters,
 hashed into ``BUCKETS`` buckets. Spark counts, over the learning documents, how
-many toxic and clean ones hold each; a bucket's weight is the log-odds of its
-shrunk toxic share over the overall share. A document's largest word weights and
+many toxic and clean ones hold each; a bucket's weight is a cautious bound
+of the log-odds of its toxic share over the overall share. A document's largest word weights and
 their number go into a logistic regression, fitted on learning documents that the
 counts haven't seen (at most ``FIT_ROWS`` of them).
 
@@ -37,7 +37,9 @@ from prefspark.llm import quality
 from prefspark.llm.common import prepare, saved, table, texts_of
 
 BUCKETS = 1 << 20
-SHRINK = 10.0
+SHRINK = 2.0
+#: Standard errors taken off a bucket's log-odds: what few documents say counts less.
+CAUTION = 1.5
 FIT_ROWS = 50_000
 THRESHOLD = 0.3
 MAX_CACHED = 300_000
@@ -252,7 +254,7 @@ def _count(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
 def _weights(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     share = (toxic[-1] + 1) / (toxic[-1] + clean[-1] + 2)
     t, c = toxic[:-1] + SHRINK * share, clean[:-1] + SHRINK * (1 - share)
-    return (np.log(t / c) - np.log(share / (1 - share))).astype(np.float32)
+    return (np.log(t / c) - np.log(share / (1 - share)) - CAUTION * np.sqrt(1 / t + 1 / c)).astype(np.float32)
 
 
 def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -291,7 +293,8 @@ def learn(docs: DataFrame, labels: DataFrame, model):
     spark = docs.sparkSession
     fold = fold_of(F.col("doc_id"))
     marks = labels.where(F.col("toxic").isNotNull() & (fold != 2)).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    rows = saved(docs.where(fold != 2).join(marks, "doc_id").select("text", "toxic", fold.alias("fold"), F.xxhash64("doc_id").alias("h")))
+    # Texts are joined by a merge at every size: labels have no proven bound.
+    rows = saved(docs.where(fold != 2).join(marks.hint("merge"), "doc_id").select("text", "toxic", fold.alias("fold"), F.xxhash64("doc_id").alias("h")))
     toxic, clean = _count(rows.where("fold <> 3").select("text", "toxic"), model)
     weights = spark.sparkContext.broadcast(_weights(toxic, clean))
     fit = _scored(rows.where("fold = 3").select("text", "toxic", "h"), ["toxic", "h"], model, weights, None)
