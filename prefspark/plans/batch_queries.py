@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from prefspark.functions import tokens as K
@@ -11,7 +14,7 @@ from prefspark.plans.record_queries import _SHP_KEPT, _aiprefs_sql
 from prefspark.plans.registry import register
 from prefspark.sources import dialogue, registry
 from prefspark.session import materialize
-from prefspark.sources.fixtures import view
+from prefspark.sources.fixtures import table, view
 
 MAX_LEN, MAX_PROMPT = 64, 16
 BATCH, WORLD, SEED = 8, 3, 0
@@ -52,18 +55,19 @@ def _tok(col: str) -> str:
             f"else cast({K.FIRST_ID} + (('0x' || substr(md5(t), 1, 8))::bigint % {K.VOCAB - K.FIRST_ID}) as bigint) end)")
 
 
-def _tokenized_sql(src: str, chosen: str = "chosen", rejected: str = "rejected") -> str:
+def _tokenized_sql(src: str, chosen: str = "chosen", rejected: str = "rejected",
+                   max_len: int = MAX_LEN, max_prompt: int = MAX_PROMPT) -> str:
     return f"""tk as (select *, {_tok('prompt')} as p0,
                   list_append({_tok(chosen)}, cast({K.EOS_ID} as bigint)) as c0,
                   list_append({_tok(rejected)}, cast({K.EOS_ID} as bigint)) as r0 from {src}),
-    tr as (select *, case when len(p0) + greatest(len(c0), len(r0)) <= {MAX_LEN} then p0
-                          when truncation_mode = 'keep_start' then list_slice(p0, 1, {MAX_PROMPT})
-                          else list_slice(p0, greatest(len(p0) - {MAX_PROMPT}, 0) + 1, len(p0)) end as p
+    tr as (select *, case when len(p0) + greatest(len(c0), len(r0)) <= {max_len} then p0
+                          when truncation_mode = 'keep_start' then list_slice(p0, 1, {max_prompt})
+                          else list_slice(p0, greatest(len(p0) - {max_prompt}, 0) + 1, len(p0)) end as p
            from tk),
-    tr2 as (select *, case when len(p) + greatest(len(c0), len(r0)) > {MAX_LEN}
-                           then list_slice(c0, 1, {MAX_LEN - MAX_PROMPT}) else c0 end as c,
-                      case when len(p) + greatest(len(c0), len(r0)) > {MAX_LEN}
-                           then list_slice(r0, 1, {MAX_LEN - MAX_PROMPT}) else r0 end as r
+    tr2 as (select *, case when len(p) + greatest(len(c0), len(r0)) > {max_len}
+                           then list_slice(c0, 1, {max_len - max_prompt}) else c0 end as c,
+                      case when len(p) + greatest(len(c0), len(r0)) > {max_len}
+                           then list_slice(r0, 1, {max_len - max_prompt}) else r0 end as r
             from tr),
     tx as (select *, list_concat(p, c) as chosen_input_ids, list_concat(p, r) as rejected_input_ids,
                   list_concat(list_transform(p, lambda x: cast(-100 as bigint)), c) as chosen_labels,
@@ -222,7 +226,7 @@ def sft_collate(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- K1-K5
-@register("tokenize_truncate", "K1 K2 K3 K4 K5 G1 D9",views=("v_annotations", "v_shp"), sql=f"""
+@register("tokenize_truncate", "K1 K2 K3 K4 K5 D9",views=("v_annotations", "v_shp"), sql=f"""
     with {_EX},
     {_tokenized_sql('ex')}
     select dataset, prompt, pair_ix, array_to_string(p, ' ') as prompt_input_ids,
@@ -239,6 +243,36 @@ def tokenize_truncate(spark, sf_dir):
                     F.size("chosen_input_ids").cast("bigint").alias("chosen_len"))
 
 
+FULL_LEN, FULL_PROMPT = 512, 256  # the reference's defaults
+
+
+@register("tokenize_truncate_full", "K1 K2 K3 K4", views=("v_annotations", "v_shp"), sql=f"""
+    with {_EX},
+    {_tokenized_sql('ex', max_len=FULL_LEN, max_prompt=FULL_PROMPT)}
+    select dataset, prompt, pair_ix, array_to_string(chosen_input_ids, ' ') as chosen_input_ids,
+           array_to_string(rejected_input_ids, ' ') as rejected_input_ids
+    from tx""")
+def tokenize_truncate_full(spark, sf_dir):
+    t = batching.tokenize_examples(_examples(spark, sf_dir, reused=False), FULL_LEN, FULL_PROMPT)
+    return t.select("dataset", "prompt", "pair_ix", _ids("chosen_input_ids"), _ids("rejected_input_ids"))
+
+
+def _hooked(text: str) -> list[int]:
+    """The default ids by a function over one text, as a tokenizer would be."""
+    parts = re.findall(r"[^ \t\n\f\r]+", text.replace(K.EOS_TEXT, f" {K.EOS_TEXT} "))
+    return [K.EOS_ID if t == K.EOS_TEXT else K.FIRST_ID + int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % (K.VOCAB - K.FIRST_ID)
+            for t in parts]
+
+
+@register("tokenizer_hook", "G1 K1", sql=f"""
+    select conv_id, turn, array_to_string({_tok('text')}, ' ') as ids from conversations""")
+def tokenizer_hook(spark, sf_dir):
+    """G1: a user's per-text tokenizer over whole conversations."""
+    tokenize = K.pandas_tokenizer(_hooked)
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", K.ids_text(tokenize("text")).alias("ids"))
+
+
 @register("label_mask", "K4 K5", views=("v_turns",), sql=f"""
     with s as (select prompt, sft_target, sft_target as chosen, sft_target as rejected,
                       'keep_end' as truncation_mode from ({_sharegpt_sql(1)}) z),
