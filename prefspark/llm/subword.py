@@ -87,26 +87,30 @@ class Pieces:
             if k == 1:
                 self.byte_id[int(p[3:5], 16)] = i
         self.byte_logp = float(logp[-1])
-        keys = np.zeros(len(ordinary), np.uint64)
+        keys, starts = np.zeros(len(ordinary), np.uint64), set()
         for n, (p, _) in enumerate(ordinary):
             h = 0
             for c in p:
+                starts.add(h)
                 h = (h * int(_B) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             keys[n] = h
         order = np.argsort(keys)
         self.keys, self.logp = keys[order], logp[order]
         self.ids = np.array([i for _, i in ordinary])[order]
         self.longest = max(len(p) for p, _ in ordinary)
-        self.maybe = np.zeros(1 << 20, bool)  # most lookups end here
-        self.maybe[self.keys * _STIR >> np.uint64(44)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where, piece) of the hashes that are pieces."""
-        at = np.flatnonzero(self.maybe[hashes * _STIR >> np.uint64(44)])
+        #: By a short hash: 1 a piece, 2 the start of a longer one. Most lookups end here.
+        self.maybe = np.zeros(1 << 21, np.uint8)
+        self.maybe[self.keys * _STIR >> np.uint64(43)] |= np.uint8(1)
+        self.maybe[np.array(sorted(starts), np.uint64) * _STIR >> np.uint64(43)] |= np.uint8(2)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where, piece) of the hashes that are pieces, and which may go on."""
+        flags = self.maybe[hashes * _STIR >> np.uint64(43)]
+        at = np.flatnonzero(flags & np.uint8(1))
         hashes = hashes[at]
         found = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         ok = self.keys[found] == hashes
-        return at[ok], found[ok]
+        return at[ok], found[ok], flags > 1
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -149,13 +153,13 @@ class Lattice:
         covered = np.zeros(n, bool)
         for k in range(1, pieces.longest + 1):
             h = h * _B + cp[alive + k - 1] + np.uint64(1)
-            at, found = pieces.find(h)
+            at, found, longer = pieces.find(h)
             src.append(alive[at])
             piece.append(found)
             if k == 1:
                 covered[alive[at]] = True
-            more = alive + k < end[alive]
-            alive, h = alive[more], h[more]
+            longer &= alive + k < end[alive]
+            alive, h = alive[longer], h[longer]
         bare = np.flatnonzero(~covered)  # characters in no piece: by their bytes
         code = np.where(cp[bare] == _LITERAL, _SPACE, cp[bare]).astype(np.int64)
         width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
@@ -217,7 +221,9 @@ class Lattice:
         live, at, step = np.arange(len(node)), node, 0
         steps = []
         while len(live):
-            u = unit(mix64(key[live] + np.uint64((step + 1) * int(_B) & 0xFFFFFFFFFFFFFFFF)))
+            u = key[live] + np.uint64((step + 1) * int(_B) & 0xFFFFFFFFFFFFFFFF)  # keys are mixed already
+            u = (u ^ (u >> np.uint64(32))) * _STIR
+            u = unit(u ^ (u >> np.uint64(29)))
             e = self.edges[at]  # long pieces come first and are mostly it
             late = np.flatnonzero(self.within[e] < u)
             while len(late):
