@@ -169,7 +169,7 @@ def train(spark: SparkSession, rows: DataFrame, templates: DataFrame):
     data = saved(data.coalesce(1).withColumn("held", F.pmod(F.xxhash64("label", F.array_join("grams", " ")), F.lit(4)) == 0))
     model = Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES),
-        LogisticRegression(family="multinomial", regParam=1e-3, maxIter=20),
+        LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60),
     ]).fit(data.where("not held"))
     scored = model.transform(data.where("held")).select(
         _margin("probability").alias("margin"), (F.col("prediction") == F.col("label")).cast("double").alias("right")
