@@ -125,8 +125,9 @@ def _words(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat_ws(" ", words[k - 1], words[k]))
-    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+    # Not by index in a lambda: there the words would be split anew for each pair.
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
