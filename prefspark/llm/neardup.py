@@ -13,7 +13,7 @@ which for equal weights is the Jaccard similarity of the shingle sets.
 3. Banding: ``BANDS`` bands of ``ROWS`` registers; at similarity 0.8 a pair
    shares a band with probability 0.9998.
 4. Verification without all pairs: in each band bucket some members are centres
-   and are compared exactly with the members of other components; linked texts
+   (first the one that meets most others) and are compared exactly with the members of other components; linked texts
    become one component. A centre leaves its bucket. One minus the similarity is a
    metric, so a member that is less than 0.6 similar (1 - 2 * (1 - 0.8)) to a centre can't be linked
    to one that is ``SIMILAR`` to it: unless a member lies between the two, all that
@@ -234,7 +234,7 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _left_open(members: DataFrame, asked: DataFrame, sims: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """The members (bucket, node, label, largest) of the buckets that still hold
+    """The members (bucket, node, degree, label, largest) of the buckets that still hold
     several components, without the centres of this round and those that left."""
     placed = members.join(labels, "node")
     told = asked.join(sims, (F.col("node") == F.col("a")) & (sims["b"] == asked["b"])).select("bucket", "node", asked["b"], "s")
@@ -262,9 +262,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     own = of_text.where("doc_id = text_id").select("doc_id").distinct()
     entries = rows.where("size(bands) > 0").join(own, "doc_id", "left_semi")
     entries = entries.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    met = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    # A bucket's first centre is its smallest member.
-    open_ = saved(entries.join(met.select("bucket", F.col("low").alias("b")), "bucket").distinct())
+    met = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = saved(entries.join(met.where("low < high").select("bucket", "n"), "bucket").distinct())
+    # The member that meets most others comes first: a text of which many are copies
+    # is near them all, while the copies are less near to each other.
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    shared = shared.join(degree, "node").select("bucket", "node", "degree")
+    first = shared.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
+    open_ = saved(shared.join(first, "bucket"))
     nodes = open_.select("node").distinct()
     texts = saved(need.join(nodes.select(F.col("node").alias("doc_id")), "doc_id"))
     labels = saved(nodes.select("node", F.col("node").alias("label")))
@@ -272,12 +277,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     while True:
         sims = saved(compared(asked.select(F.col("node").alias("a"), "b").distinct(), texts))
         labels = _joined(labels, sims.where(F.col("s") >= least))
-        open_ = saved(_left_open(open_.select("bucket", "node"), asked, sims, labels, least))
+        open_ = saved(_left_open(open_.select("bucket", "node", "degree"), asked, sims, labels, least))
         if open_.isEmpty():
             break
         centres *= 2
         small = open_.where("label <> largest").withColumn("part", F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)))
-        chosen = small.groupBy("bucket", "part").agg(F.min(F.struct("node", "label")).alias("c"))
+        chosen = small.groupBy("bucket", "part").agg(F.max(F.struct("degree", "node", "label")).alias("c"))
         chosen = chosen.select("bucket", F.col("c.node").alias("b"), F.col("c.label").alias("b_label"))
         asked = saved(open_.join(chosen, "bucket").where("label <> b_label").select("bucket", "node", "b"))
     named = of_text.join(labels, of_text["text_id"] == labels["node"], "left")
