@@ -9,7 +9,8 @@ words covers all its words, and a short item covers its own.
 
 The benchmark is taken in blocks of at most ``block_bytes`` (counted before a
 block is collected), each block with an automaton of its own; a window lies in
-one item, so blocks lose nothing. Documents are never shuffled.
+one item, so blocks lose nothing. ``clean`` cuts and judges on what all blocks
+found in the same text. Documents are never shuffled.
 
 Defined results: a null or empty text has no words and no hits; items without
 words, and null items, match nothing; repeated items are separate items (each
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from prefspark.llm.common import prepare, saved, table, texts_of
+from prefspark.llm.common import free_name, prepare, saved, table, texts_of
 
 WINDOW = 10
 #: A document with a larger share of its words covered is dropped by ``clean``.
@@ -245,17 +247,10 @@ def _scan_block(docs: DataFrame, block, window: int, keep_text: bool, id_type) -
     return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, {'text string, ' * keep_text}{_FOUND}")
 
 
-def _cut(text: bytes, auto: Automaton, max_coverage: float) -> bytes | None:
-    """``text`` without its covered spans, None when they are too large a share.
-    What was apart may meet after a cut, so the rest is scanned again; each cut
-    leaves a line break."""
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the word spans; each cut leaves a line break."""
     normal = text.translate(_WORD)
     words = normal.split()
-    spans, _, _ = auto.scan(words)
-    if not spans:
-        return text
-    if sum(b - a for a, b in spans) > max_coverage * len(words):
-        return None
     starts, at = [], 0
     for w in words:
         at = normal.index(w, at)
@@ -265,7 +260,43 @@ def _cut(text: bytes, auto: Automaton, max_coverage: float) -> bytes | None:
     for a, b in spans:
         out += [text[done : starts[a]], b"\n"]
         done = starts[b - 1] + len(words[b - 1])
-    return _cut(b"".join([*out, text[done:]]), auto, 1.0)
+    return b"".join([*out, text[done:]])
+
+
+_SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
+
+def _clean_round(docs: DataFrame, text_col: str, spans_col: str, blocks: list, window: int, max_coverage: float) -> DataFrame:
+    """``docs`` with the spans that any of the blocks covers cut out of the texts,
+    and with the spans in ``spans_col``; without documents of which more than
+    ``max_coverage`` is covered. Every block scans the same text, so neither the
+    coverage nor the cuts depend on the number of blocks."""
+    at, names = docs.columns.index(text_col), [*docs.columns, spans_col]
+    schema = StructType([*docs.schema, StructField(spans_col, _SPANS)])
+    out = docs
+    for k, block in enumerate(blocks):
+
+        def run(batches, block=block, again=k > 0, last=k + 1 == len(blocks)):
+            auto = Automaton(block.value, window)
+            for b in batches:
+                columns = b.columns
+                had = columns.pop().to_pylist() if again else repeat([])
+                null = columns[at].is_null().to_pylist()
+                new, spans, keep = [], [], []
+                for text, n, s0 in zip(texts_of(columns[at]), null, had):
+                    words = words_of(text)
+                    found = _merged([*auto.scan(words)[0], *((s["start"], s["end"]) for s in s0)])
+                    if last:
+                        keep.append(sum(y - x for x, y in found) <= max_coverage * len(words))
+                        text = _cut(text, found) if found and keep[-1] else text
+                    new.append(None if n else text.decode("utf-8", "surrogatepass"))
+                    spans.append([{"start": x, "end": y} for x, y in found])
+                columns[at] = pa.array(new, pa.string())
+                whole = pa.RecordBatch.from_arrays([*columns, pa.array(spans, _FOUND_ARROW[1][1])], names)
+                yield whole.filter(pa.array(keep)) if last else whole
+
+        out = saved(out.mapInArrow(run, schema))
+    return out
 
 
 def clean(
@@ -280,26 +311,22 @@ def clean(
 ) -> DataFrame:
     """``docs`` with the covered spans removed from the text and without documents
     of which more than ``max_coverage`` is covered; all columns and their order
-    stay, rows without a hit are unchanged (null texts stay null)."""
+    stay, rows without a hit are unchanged (null texts stay null). What was apart
+    may meet after a cut, so texts that were cut are scanned again by all blocks
+    until none is; the coverage is judged once, on the text as it came."""
     spark = docs.sparkSession
     prepare(spark)
-    at = docs.columns.index(text_col)
-    out = docs
-    for k, block in enumerate(_broadcasts(spark, benchmark, item_col, item_text, block_bytes)):
-
-        def run(batches, block=block):
-            auto = Automaton(block.value, window)
-            for b in batches:
-                null = b.column(at).is_null().to_pylist()
-                new = [None if n else _cut(t, auto, max_coverage) for t, n in zip(texts_of(b.column(at)), null)]
-                keep = pa.array([n or t is not None for t, n in zip(new, null)])
-                text = pa.array([t if t is None else t.decode("utf-8", "surrogatepass") for t in new], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [text if i == at else c for i, c in enumerate(b.columns)], b.schema.names
-                ).filter(keep)
-
-        out = (saved(out) if k else out).mapInArrow(run, docs.schema)
-    return out
+    spans = free_name(docs.columns, "spans")
+    blocks = list(_broadcasts(spark, benchmark, item_col, item_text, block_bytes))
+    settled, left = None, docs
+    while True:
+        left = _clean_round(left, text_col, spans, blocks, window, max_coverage)
+        done = left.where(F.size(spans) == 0).drop(spans)
+        settled = done if settled is None else settled.union(done)
+        left = left.where(F.size(spans) > 0).drop(spans)
+        if left.isEmpty():
+            return settled
+        max_coverage = 1.0
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,29 @@ def test_clean_removes_spans_and_keeps_the_rest(spark, docs_of, items):
     assert decontam.scan(docs, items.limit(0)).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200, 40])
+def test_clean_does_not_depend_on_the_blocks(spark, docs_of, block_bytes):
+    def seq(p, i, j):
+        return " ".join(f"{p}{k}" for k in range(i, j))
+
+    # With blocks of 200 bytes these lie in several blocks.
+    pairs = [(f"a{k}", seq(f"a{k}x", 0, 12)) for k in range(6)]
+    over = [(f"o{k}", f"{seq('o', 2 * k, 2 * k + 10)}") for k in range(6)]
+    split = [("m", seq("m", 0, 12)), *((f"n{k}", seq(f"n{k}x", 0, 10)) for k in range(5))]
+    bench = spark.createDataFrame([*pairs, *over, *split], "item_id string, text string")
+    texts = [f"{seq(f'a{k}x', 0, 12)} {seq('free', 0, 16)} {seq(f'a{m}x', 0, 12)}" for k in range(6) for m in range(k)]  # 24 of 40 words
+    n = len(texts)
+    texts += [f"{seq('free', 0, 60)} {seq('o', 0, 20)} {seq('more', 0, 60)}"]  # overlapping windows of six items
+    # The halves of one item meet where another one is cut out.
+    texts += [f"{seq('free', 0, 60)} {seq('m', 0, 6)} {seq(f'n{k}x', 0, 10)} {seq('m', 6, 12)} end" for k in range(5)]
+    texts += [None, "", "clean text"]
+    out = {r.doc_id: r.text for r in decontam.clean(docs_of(texts), bench, block_bytes=block_bytes).collect()}
+    assert set(out) == set(range(n, len(texts)))
+    assert out[n].split() == f"{seq('free', 0, 60)} {seq('more', 0, 60)}".split()
+    assert all(out[n + 1 + k].split() == f"{seq('free', 0, 60)} end".split() for k in range(5))
+    assert [out[k] for k in range(len(texts) - 3, len(texts))] == [None, "", "clean text"]
+
+
 # -- 6: secrets ----------------------------------------------------------------
 
 SECRET_TEXTS = [
