@@ -45,6 +45,8 @@ from prefspark.llm.common import mix64, prepare, runs, saved, table, texts_of, u
 
 SHINGLE = 5
 SIMILAR = 0.8
+#: Similarities are sums of doubles: one of exactly the threshold may come out below it.
+ROUNDING = 1e-9
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -253,6 +255,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """One row per document: doc_id, text_id (the smallest id with the same
     weighted shingles) and class_id (the smallest id of its class)."""
     prepare(docs.sparkSession)
+    least -= ROUNDING  # here, so that links and the bound derived from them agree
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = saved(sketches(need))
     nodes = rows.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("text_id"))

@@ -302,6 +302,21 @@ def test_classes_are_those_of_all_pairs(spark, docs_of):
     assert {r.doc_id for r in kept.collect()} == {k for k, c in got.items() if k == c}
 
 
+def test_pairs_of_exactly_the_least_similarity_are_linked(spark, docs_of):
+    texts = []
+    for k in range(6):  # 24 common shingles of 30: equal sizes, then a subset
+        words = [f"t{k}w{i}" for i in range(34)]
+        texts += [" ".join(words[:31]), " ".join([*words[:28], f"x{k}", f"y{k}", f"z{k}"])]
+        words = [f"s{k}w{i}" for i in range(34)]
+        texts += [" ".join(words), " ".join(words[:28])]
+    # 23 common shingles of 31 are too few.
+    words = [f"u{i}" for i in range(31)]
+    texts += [" ".join(words), " ".join([*words[:27], "a", "b", "c", "d"])]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs_of(texts)).collect()}
+    assert got == {**{k: k - k % 2 for k in range(24)}, 24: 24, 25: 25}
+    assert got == neardup.brute_force(dict(enumerate(texts)))
+
+
 def test_near_dedup_edges(spark, docs_of):
     docs = docs_of(["same text here now again"] * 40 + ["other words than those"], ids=[*range(39), 0, None])
     rows = neardup.classes(docs).collect()
