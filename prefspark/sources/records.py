@@ -219,22 +219,25 @@ def binarized_narrow(pref: DataFrame, split: str, train_source: str = "narrow",
 
 # ------------------------------------------------------- S12 plain text
 def wikitext(docs: DataFrame, split: str = "test", fixed_ord: int | None = None, min_len: int = 100,
-             train_n: int = 10, test_n: int = 128, text: str = "text", order: str = "doc_id") -> DataFrame:
+             train_n: int = 10, test_n: int | None = 128, text: str = "text", order: str = "doc_id") -> DataFrame:
     """Texts longer than ``min_len`` become (first 10 words + ' ', rest);
     scanning in order stops once ``N`` distinct prompts exist, and a prompt keeps
     the last completion written before the stop. Train starts with one fixed
     entry under prompt ''. The stop point is found from the first N distinct
-    prompts only (a bounded top-N), then the prefix is aggregated in parallel."""
+    prompts only (a bounded top-N), then the prefix is aggregated in parallel.
+    ``test_n=None`` asks for all prompts: no top-N and no stop."""
     cand = docs.filter(F.length(text) > min_len).select(
         F.col(order).cast("bigint").alias("ord"),
         T.first_words(text).alias("prompt"), T.rest_words(text).alias("target"),
     )
     n = train_n - 1 if split == "train" else test_n
-    firsts = cand.groupBy("prompt").agg(F.min("ord").alias("first_ord"))
-    top = ordinals.first_n(firsts, "first_ord", n)
-    found, stop = top.agg(F.count("*"), F.max("first_ord")).first()
-    # With fewer than N prompts the scan runs to the end of the texts.
-    scanned = cand.filter(F.col("ord") <= F.lit(stop)) if found == n else cand
+    scanned = cand
+    if n is not None:
+        firsts = cand.groupBy("prompt").agg(F.min("ord").alias("first_ord"))
+        top = ordinals.first_n(firsts, "first_ord", n)
+        found, stop = top.agg(F.count("*"), F.max("first_ord")).first()
+        if found == n:  # with fewer than N prompts the scan runs to the end of the texts
+            scanned = cand.filter(F.col("ord") <= F.lit(stop))
     rec = last_wins(scanned)
     if split == "train":
         fixed = docs.filter(F.col(order) == F.lit(fixed_ord)).select(

@@ -163,6 +163,18 @@ def test_wikitext_stops_at_n_distinct(spark):
     assert got["p1 " + "w " * 9].endswith("end2")
 
 
+def test_wikitext_to_the_end_reads_all_prompts_of_a_large_table(spark, tmp_path):
+    from prefspark.plans.catalog import all_queries
+
+    n = 100_050
+    words = F.concat(F.lit("p"), F.col("id") % (n - 10), F.lit(" 1 2 3 4 5 6 7 8 9 rest "), F.col("id"), F.lit(" " + "x" * 100))
+    spark.range(n).select(F.col("id").alias("doc_id"), words.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = all_queries()["wikitext_to_the_end"].build(spark, str(tmp_path))
+    rows = {r.first_ord: r.sft_target.split(" ")[1] for r in out.where(f"first_ord < 10 or first_ord >= {n - 30}").collect()}
+    assert out.count() == n - 10
+    assert rows == {**{k: str(k + n - 10) for k in range(10)}, **{k: str(k) for k in range(n - 30, n - 10)}}
+
+
 def test_wikitext_with_too_few_prompts_reads_to_the_end(spark):
     long = " ".join(["w"] * 60)
     docs = spark.createDataFrame([Row(doc_id=i, text=f"p{k} {long} end{i}") for i, k in enumerate((1, 2, 1, 2))])
