@@ -1,6 +1,8 @@
 """Operator 10, licence scans by a trained paragraph classifier [native].
 
-A paragraph is a line of a text. Its words (lower-cased runs of letters and
+A paragraph is a line of a text, or neighbouring lines joined (none blank), as
+notices are often wrapped; joined lines count where no line of theirs, nor a shorter
+join, is a notice. The marks of comments are no words. A paragraph's words (lower-cased runs of letters and
 digits) give unigram and bigram counts, hashed into a sparse vector. A multinomial
 logistic regression over licence families and ``unknown`` scores paragraphs; it is
 trained on the template notices below (whole, and with words left out) against a
@@ -120,6 +122,24 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("words", _words(F.col("paragraph"))).where("size(words) > 0")
 
 
+def _spans(docs: DataFrame, id_col: str, text_col: str, longest: int) -> DataFrame:
+    """(row, doc_id, line, n_lines, words) of the lines that have words, and of
+    neighbouring ones joined. A notice has at most ``longest`` words: so have the
+    lines between its first and its last, and no more of those two is joined."""
+    lines = F.transform(F.split(text_col, "\n"), lambda p, k: F.struct(k.alias("line"), _words(p).alias("words")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), lines.alias("lines"))
+    spans = F.expr(f"""flatten(transform(lines, (l, i) -> aggregate(slice(lines, i + 2, {longest + 1}),
+        named_struct('open', size(l.words) > 0, 'inner', 0, 'words', slice(reverse(l.words), 1, {longest}),
+            'out', array(named_struct('line', l.line, 'n_lines', 1, 'words', l.words))),
+        (a, x) -> if(a.open and size(x.words) > 0 and a.inner <= {longest}, named_struct(
+            'open', true, 'inner', a.inner + size(x.words), 'words', concat(reverse(slice(x.words, 1, {longest})), a.words),
+            'out', concat(a.out, array(named_struct('line', l.line, 'n_lines', x.line - l.line + 1,
+                'words', reverse(concat(reverse(slice(x.words, 1, {longest})), a.words)))))),
+            named_struct('open', false, 'inner', a.inner, 'words', a.words, 'out', a.out)),
+        a -> a.out)))""")
+    return rows.select("row", "doc_id", F.explode(spans).alias("s")).select("row", "doc_id", "s.*").where("size(words) > 0")
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -161,6 +181,10 @@ def train(spark: SparkSession, rows: DataFrame, templates: DataFrame):
     known = templates.select("family", "words", cuts.alias("cut")).select("family", thin.alias("words"))
     fixed = spark.createDataFrame([(t,) for t in OTHERS], "paragraph string").select(F.lit("unknown").alias("family"), _words(F.col("paragraph")).alias("words"))
     other = rows.where(~F.arrays_overlap(F.lit(["license", "licensed", "licence", "licensed", "copyright", "reserved", "mit", "apache", "gnu", "cc", "spdx"]), "words"))
+    # A line of a wrapped notice is no example of an unknown paragraph.
+    of_notices = F.lit(sorted({b for r in templates.select("bigrams").collect() for b in r.bigrams}))  # a fixed list
+    bigrams = _bigrams(F.col("words"))
+    other = other.select("words").where((F.size(bigrams) == 0) | (2 * F.size(F.array_intersect(bigrams, of_notices)) < F.size(F.array_distinct(bigrams)))).distinct()
     # The paragraphs of the smallest hashes: the same sample wherever it is drawn.
     key = F.xxhash64(F.array_join("words", " "))
     other = other.orderBy(key, F.array_join("words", " ")).limit(MAX_UNKNOWN).select(F.lit("unknown").alias("family"), "words")
@@ -200,10 +224,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = [(r.family, r.bigrams) for r in templates.select("family", "bigrams").collect()]  # a fixed list
     rows = paragraphs(docs, id_col, text_col)
     model, (slope, intercept), families = train(spark, rows, templates)
-    found = _candidates(rows, [bigrams for _, bigrams in known]).withColumn("grams", F.concat("words", "bigrams"))
+    spans = _spans(docs, id_col, text_col, 2 * max(len(bigrams) + 1 for _, bigrams in known))
+    found = _candidates(spans, [bigrams for _, bigrams in known]).withColumn("grams", F.concat("words", "bigrams"))
     found = model.transform(found).select(
+        "row",
         "doc_id",
         "line",
+        "n_lines",
         "bigrams",
         F.element_at(F.array(*map(F.lit, families)), F.col("prediction").cast("int") + 1).alias("guess"),
         (1 / (1 + F.exp(-(slope * _margin("probability") + intercept)))).alias("confidence"),
@@ -212,7 +239,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shares = F.transform(by_family[F.col("guess")], lambda t: F.size(F.array_intersect(t, F.col("bigrams"))) / F.size(t))
     found = found.withColumn("covered", F.coalesce(F.array_max(shares), F.lit(0.0)))
     sure = (F.col("guess") != "unknown") & (F.col("confidence") >= CONFIDENT) & (F.col("covered") >= COVERED)
-    return found.select("doc_id", "line", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "confidence", "covered")
+    found = found.withColumn("family", F.when(sure, F.col("guess")).otherwise("unknown")).where("n_lines = 1 or family <> 'unknown'")
+    # Joined lines count where no line and no shorter join of theirs is a notice.
+    one = F.struct("n_lines", (-F.col("covered")).alias("uncovered"), "line", "family", "confidence")
+    by_row = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(one)).alias("all"))
+    kept = F.expr("""concat(filter(all, x -> x.family = 'unknown'), aggregate(filter(all, x -> x.family <> 'unknown'), slice(all, 1, 0),
+        (a, x) -> if(x.n_lines > 1 and exists(a, y -> x.line < y.line + y.n_lines and y.line < x.line + x.n_lines), a, concat(a, array(x)))))""")
+    out = by_row.select("doc_id", F.explode(kept).alias("x"))
+    return out.select("doc_id", "x.line", "x.family", "x.confidence", (-F.col("x.uncovered")).alias("covered"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

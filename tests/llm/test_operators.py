@@ -546,6 +546,19 @@ def test_toxicity_edges(spark, docs_of):
 # -- 10: licences --------------------------------------------------------------------
 
 
+def test_wrapped_notices_count_once(spark, docs_of):
+    mit = """// Permission is hereby granted, free of charge, to any person
+// obtaining a copy of this software and associated documentation
+// files (the "Software"), to deal in the Software"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    apart = bsd.replace("without\n", "without\n\n")
+    texts = [mit, bsd, f"{bsd}\n\nother words\n{mit}", apart, "Released under the MIT License.\nand prose\nafter it", mit]
+    rows = licenses.classify(docs_of(texts, ids=[0, 1, 2, 3, 4, 0])).where("family <> 'unknown'").collect()
+    assert sorted((r.doc_id, r.family) for r in rows) == [(0, "mit"), (0, "mit"), (1, "bsd"), (2, "bsd"), (2, "mit"), (4, "mit")]
+
+
 def test_licences(spark, docs_of):
     plain = "the weather was fine and the water ran under the bridge of the town"
     texts = ["Released under the MIT License.\n" + plain, plain, None, "", "x\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT license",
