@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, licenses, merkle, neardup, quality, secrets, sharding, sqltext, subword, toxicity, urlfilter, warc
+from prefspark.llm import decontam, jaccardjoin, licenses, merkle, neardup, quality, secrets, sharding, sqltext, subword, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
     "op12_merkle": merkle.op12_merkle,
+    "op13_jaccard_join": jaccardjoin.op13_jaccard_join,
 }
 ORACLES = sqltext.ORACLES
