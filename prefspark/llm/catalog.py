@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontam, jaccardjoin, licenses, merkle, neardup, quality, secrets, sharding, sqltext, subword, toxicity, urlfilter, warc
+from prefspark.llm import decontam, hardneg, jaccardjoin, licenses, merkle, neardup, quality, secrets, sharding, sqltext, subword, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
     "op12_merkle": merkle.op12_merkle,
     "op13_jaccard_join": jaccardjoin.op13_jaccard_join,
 }
