@@ -95,7 +95,7 @@ def _bound(g: int, margin: float) -> int:
     n = 1 << g
     p = 1 - LEAST / 100 + 1 / n
     share = p + margin * math.sqrt(p * (1 - p) / n) if p < 1 else 1.0
-    return (1 << 64) - 1 if share >= 1 else int(share * 2.0**64)
+    return (1 << 64) - 1 if share >= 1 else int(max(share, 0.0) * 2.0**64)
 
 
 def signatures(docs: DataFrame, margin: float) -> DataFrame:

@@ -13,7 +13,10 @@ the largest id is written as a response; the others are revisits of it that hold
 the HTTP header and the digest, but no payload.
 
 A capture is named ``<id>-<hash of url and payload>``: rows that repeat an id
-with another payload stay apart, rows repeated as a whole are one capture.
+with another payload stay apart. Rows repeated as a whole are captures of their own,
+named ``...-2``, ``...-3`` and so on; the first of them can be the response.
+Where several request or metadata records name one capture, the one with the
+smallest id is shown, and their number beside it.
 Defined results: a null payload is the empty one, a null URL the empty URL, a
 null id is kept and reads back as null; control characters and blanks of a URL
 become ``_`` in the headers; an empty table gives no rows.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import prepare, table, texts_of
+from prefspark.llm.common import prepare, saved, table, texts_of
 from prefspark.session import ensure_checkpoint_dir
 
 REVISIT_LEAST = 0
@@ -39,17 +42,16 @@ _VERSION = "WARC/1.1\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 digest, from its hex digits five bits at a
+def base32_sha1(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 digest, from its hex digits five bits at a
     time: bit 5i starts in hex digit 5i / 4."""
-    digest = F.sha1(payload)
 
     def symbol(i):
-        two = F.conv(F.substring(digest, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
-        down = two / F.pow(F.lit(2), 3 - F.pmod(i * 5, F.lit(4)))
-        return F.substring(F.lit(_BASE32), F.pmod(F.floor(down), F.lit(32)).cast("int") + 1, F.lit(1))
+        two = F.conv(F.substring(digest, i * 5 // 4 + 1, 2), 16, 10).cast("int")
+        down = F.shiftright(two, 3 - i * 5 % 4)
+        return F.substring(F.lit(_BASE32), F.pmod(down, F.lit(32)) + 1, F.lit(1))
 
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(31)), symbol))
+    return F.concat(*[symbol(i) for i in range(32)])
 
 
 def _record(kind: Column, capture: Column, fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -75,14 +77,23 @@ def write_archives(
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
     named = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.hex(F.xxhash64("url", "sha")))
-    narrow = rows.where(F.octet_length("payload") >= revisit_least).select("sha", "id", named.alias("capture"))
-    # One row per payload that occurs under several captures.
-    groups = narrow.groupBy("sha").agg(
-        F.max(F.struct("id", "capture")).alias("last"), F.min("capture").alias("low"), F.max("capture").alias("high")
+    large = F.octet_length("payload") >= revisit_least
+    rows = rows.withColumn("capture", named)
+    # One narrow row per capture with the number of its rows.
+    counted = saved(rows.groupBy("sha", large.alias("large"), "id", "capture").agg(F.count("*").alias("m")))
+    groups = counted.where("large").groupBy("sha").agg(F.max(F.struct("id", "capture")).alias("last"), F.sum("m").alias("n"))
+    groups = groups.where("n > 1").select("sha", F.col("last.capture").alias("keeper"))
+    again = counted.where("m > 1").select("capture", "m")
+    # Rows repeated as a whole are equal: one of them, as often as there are.
+    single = rows.join(again, "capture", "left_anti").withColumn("turn", F.lit(1).cast("bigint"))
+    kept = rows.join(again, "capture").groupBy("capture", "id", "url", "sha").agg(F.first("payload").alias("payload"), F.first("m").alias("m"))
+    repeated = kept.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), "m")))
+    rows = single.unionByName(repeated.drop("m")).join(groups.withColumnRenamed("sha", "of"), F.col("sha") == F.col("of"), "left")
+    revisit = F.col("keeper").isNotNull() & large & ((F.col("keeper") != F.col("capture")) | (F.col("turn") > 1))
+    rows = rows.withColumn("revisit", revisit).withColumn(
+        "capture", F.when(F.col("turn") > 1, F.concat_ws("-", "capture", F.col("turn").cast("string"))).otherwise(F.col("capture"))
     )
-    groups = groups.where("low <> high").select("sha", F.col("last.capture").alias("keeper"))
-    rows = rows.withColumn("capture", named).join(groups, "sha", "left")
-    revisit = F.col("keeper").isNotNull() & (F.col("keeper") != F.col("capture"))
+    revisit = F.col("revisit")
     urn = lambda capture, kind: F.concat(F.lit("<urn:capture:"), capture, F.lit(f":{kind}>"))
     kind = F.when(revisit, "revisit").otherwise("response")
     own = F.when(revisit, urn(F.col("capture"), "revisit")).otherwise(urn(F.col("capture"), "response"))
@@ -98,7 +109,7 @@ def write_archives(
         F.col("capture"),
         [
             *common,
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("sha")))),
             ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             ("WARC-Refers-To", F.when(revisit, urn(F.col("keeper"), "response"))),
             ("Content-Type", F.lit("application/http;msgtype=response")),
@@ -207,15 +218,19 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit, with the request and
-    the metadata that name it in WARC-Concurrent-To."""
-    answers = records.where(F.col("record_type").isin("response", "revisit")).dropDuplicates(["record_id"])
+    the metadata that name it in WARC-Concurrent-To, and how many there are."""
+    kind = F.col("record_type")
     answer = F.struct("record_type", "first_line", "payload_bytes", "payload_digest", "refers_to", "payload")
-    out = answers.select("record_id", "url", "date", answer.alias("response"))
-    for kind in ("request", "metadata"):
-        part = records.where(F.col("record_type") == kind).dropDuplicates(["concurrent_to"])
-        part = part.select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "first_line").alias(kind))
-        out = out.join(part, "record_id", "left")
-    return out
+    line = F.struct(F.col("record_id").alias("id"), "first_line")
+    answers = kind.isin("response", "revisit")
+    whole = F.when(answers, F.struct("url", "date", answer.alias("response")))
+    of = F.when(answers, F.col("record_id")).otherwise(F.col("concurrent_to"))
+    out = records.groupBy(of.alias("record_id")).agg(
+        F.max(whole).alias("whole"),
+        *[F.min(F.when(kind == k, line)).alias(k) for k in ("request", "metadata")],
+        *[F.count(F.when(kind == k, 1)).alias(f"n_{k}") for k in ("request", "metadata")],
+    )
+    return out.where("whole is not null").select("record_id", "whole.*", "request", "metadata", "n_request", "n_metadata")
 
 
 def _id_of(urn: Column) -> Column:

@@ -51,8 +51,8 @@ def texts_of_small(spark):
 # -- catalog -----------------------------------------------------------------
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+def test_numbered_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
@@ -345,7 +345,10 @@ def test_warc_round_trip(spark):
     records = warc.read_records(spark, path)
     assert records.count() == 3 * len(pages)
     rows = warc.assemble(records).collect()
-    assert len(rows) == len(pages) - 1  # one is repeated as a whole
+    assert len(rows) == len(pages) and len({r.record_id for r in records.collect()}) == 3 * len(pages)
+    assert {(r.n_request, r.n_metadata) for r in rows} == {(1, 1)}
+    again = [r for r in rows if r.record_id.startswith("<urn:capture:8-")]  # one is repeated as a whole
+    assert {r.response.record_type for r in again} == {"response", "revisit"} and len(again) == 2
     payload = {p[0]: p[2] or "" for p in pages}
     last = {}
     for p in pages:
@@ -357,12 +360,26 @@ def test_warc_round_trip(spark):
         assert r.response.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
         assert r.response.payload_bytes == len(body) and r.request and r.metadata
         keeper = last[payload[k.k]]
-        if keeper in (-1, k.k):
+        if keeper == k.k == k.to:
+            assert r in again and r.response.record_type == "revisit"
+        elif keeper in (-1, k.k):
             assert r.response.record_type == "response" and r.response.payload == payload[k.k] and k.to is None
         else:
             assert r.response.record_type == "revisit" and k.to == keeper and not r.response.payload
 
 
+def test_warc_rows_repeated_as_a_whole_and_small_ones(spark):
+    pages = [(1, "http://a.example/", "long text")] * 3 + [(2, "http://b.example/", "long text")] + [(3, "http://c.example/", "x")] * 2
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-{uuid.uuid4().hex}"
+    warc.write_archives(df, path, revisit_least=5)
+    records = warc.read_records(spark, path)
+    rows = warc.assemble(records).select(warc._id_of(F.col("record_id")), "response.record_type", warc._id_of(F.col("response.refers_to"))).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, "revisit", 2)] * 3 + [(2, "response", None)] + [(3, "response", None)] * 2
+    more = records.union(records.where("record_type = 'metadata'").withColumn("record_id", F.concat(F.col("record_id"), F.lit("x"))))
+    assert {(r.n_request, r.n_metadata) for r in warc.assemble(more).collect()} == {(1, 2)}
+
+
 def test_warc_empty_table_and_damage(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-{uuid.uuid4().hex}"
