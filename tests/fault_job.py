@@ -48,7 +48,7 @@ def main() -> None:
         F.concat(F.lit("t"), (F.col("id") * 7 % 1000).cast("string")).alias("target"),
     )
     ranked = ordinals.dense_index(df, "ord", "rn", partitions=5)
-    within = ordinals.index_within(ranked, ["prompt"], "ord", "k", partitions=5, hot_rows=300)
+    within = ordinals.index_within(ranked, ["prompt"], "ord", "k", partitions=5)
     agg = last_wins(within.select("prompt", "target", "ord"))
     out = {
         "rn": sorted(tuple(r) for r in within.select("ord", "rn", "k").collect()),
