@@ -51,8 +51,8 @@ from prefspark.llm.neardup import components, word_hashes
 
 SHINGLE = 4
 LEAST = 85  # percent
-#: Standard deviations by which a hash bound lies above what P shingles need.
-MARGIN = 4.5
+#: The chance that a set has fewer than P shingles below its hash bound.
+ODDS = 1e-10
 #: A block's documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 #: DivideSkip's weight of a long list's probe against the merge of short ones.
@@ -90,21 +90,27 @@ def _key(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _bound(g: int, margin: float) -> int:
-    """The hash bound of the sets of 2**g shingles or more."""
+def _bound(g: int, odds: float) -> int:
+    """The hash bound of the sets of 2**g shingles or more: by Chernoff's inequality
+    fewer than P of them lie below it with a chance of at most ``odds``."""
     n = 1 << g
-    p = 1 - LEAST / 100 + 1 / n
-    share = p + margin * math.sqrt(p * (1 - p) / n) if p < 1 else 1.0
-    return (1 << 64) - 1 if share >= 1 else int(max(share, 0.0) * 2.0**64)
+    a = (n - required(n)) / n
+    low, high = a, 1.0
+    for _ in range(50):
+        s = (low + high) / 2
+        far = (a * math.log(a / s) if a else 0.0) + (1 - a) * math.log((1 - a) / (1 - s))
+        low, high = (s, high) if n * far < -math.log(odds) else (low, s)
+    return (1 << 64) - 1 if high > 0.9 else int(high * 2.0**64)
 
 
-def signatures(docs: DataFrame, margin: float) -> DataFrame:
+def signatures(docs: DataFrame, odds: float) -> DataFrame:
     """(doc_id, key, n, need, low, next, whole): the shingles below the bound of the
     set's class and, for sets that can link with larger classes, below the next one's;
     each mixed with its class. ``whole`` is false where there are fewer than ``need``."""
 
+    bounds = [_bound(g, odds) for g in range(48)]
+
     def run(batches):
-        bounds = [_bound(g, margin) for g in range(64)]
         for b in batches:
             out = {c: [] for c in ("key", "n", "need", "low", "next", "whole")}
             for s in sets_of(b.column(1)):
@@ -129,12 +135,12 @@ def signatures(docs: DataFrame, margin: float) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    margin = MARGIN
+    odds = ODDS
     while True:
-        rows = saved(signatures(docs, margin).withColumn("row", F.monotonically_increasing_id()))
+        rows = saved(signatures(docs, odds).withColumn("row", F.monotonically_increasing_id()))
         if rows.where("not whole").isEmpty():
             return rows
-        margin += 2
+        odds **= 2
 
 
 def _groups(rows: DataFrame) -> DataFrame:

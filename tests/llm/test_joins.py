@@ -185,7 +185,7 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch, size):
 
 
 def test_bounds_that_are_too_low_are_raised(spark, monkeypatch):
-    monkeypatch.setattr(jaccardjoin, "MARGIN", -4.0)
+    monkeypatch.setattr(jaccardjoin, "ODDS", 0.5)
     texts = _near_copies(6)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in _joined(spark, list(texts.items())).collect()}
     assert got == jaccardjoin.brute_force(texts)
