@@ -82,14 +82,15 @@ def write_archives(
     # One narrow row per capture with the number of its rows.
     counted = saved(rows.groupBy("sha", large.alias("large"), "id", "capture").agg(F.count("*").alias("m")))
     groups = counted.where("large").groupBy("sha").agg(F.max(F.struct("id", "capture")).alias("last"), F.sum("m").alias("n"))
-    groups = groups.where("n > 1").select("sha", F.col("last.capture").alias("keeper"))
-    again = counted.where("m > 1").select("capture", "m")
+    groups = groups.where("n > 1").select(F.col("sha").alias("of"), F.col("last.capture").alias("keeper"))
+    told = counted.join(groups, F.col("large") & (F.col("sha") == F.col("of")), "left").where("m > 1 or keeper is not null")
+    rows = rows.join(told.select(F.col("capture").alias("named"), "m", "keeper"), F.col("capture") == F.col("named"), "left").drop("named")
     # Rows repeated as a whole are equal: one of them, as often as there are.
-    single = rows.join(again, "capture", "left_anti").withColumn("turn", F.lit(1).cast("bigint"))
-    kept = rows.join(again, "capture").groupBy("capture", "id", "url", "sha").agg(F.first("payload").alias("payload"), F.first("m").alias("m"))
-    repeated = kept.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), "m")))
-    rows = single.unionByName(repeated.drop("m")).join(groups.withColumnRenamed("sha", "of"), F.col("sha") == F.col("of"), "left")
-    revisit = F.col("keeper").isNotNull() & large & ((F.col("keeper") != F.col("capture")) | (F.col("turn") > 1))
+    again = F.coalesce(F.col("m"), F.lit(1)) > 1
+    single = rows.where(~again).withColumn("turn", F.lit(1).cast("bigint"))
+    kept = rows.where(again).groupBy("capture", "id", "url", "sha", "m", "keeper").agg(F.first("payload").alias("payload"))
+    rows = single.unionByName(kept.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), "m"))))
+    revisit = F.col("keeper").isNotNull() & ((F.col("keeper") != F.col("capture")) | (F.col("turn") > 1))
     rows = rows.withColumn("revisit", revisit).withColumn(
         "capture", F.when(F.col("turn") > 1, F.concat_ws("-", "capture", F.col("turn").cast("string"))).otherwise(F.col("capture"))
     )
