@@ -11,21 +11,17 @@ which for equal weights is the Jaccard similarity of the shingle sets.
    one. Two registers agree with the probability Jaccard.
 2. Texts with equal weighted shingles are one node (the smallest id).
 3. Banding: ``BANDS`` bands of ``ROWS`` registers; at similarity 0.8 a pair
-   shares a band with probability 0.9998.
-4. Verification without all pairs: in each band bucket some members are centres
-   (first the one that meets most others) and are compared exactly with the members of other components; linked texts
-   become one component. A centre leaves its bucket. One minus the similarity is a
-   metric, so a member that is less than 0.6 similar (1 - 2 * (1 - 0.8)) to a centre can't be linked
-   to one that is ``SIMILAR`` to it: unless a member lies between the two, all that
-   are linked to a centre leave with it. What is left chooses centres again, from
-   all but its bucket's largest component and twice as many each round, until it
-   belongs to one component. So a pair in a bucket is compared, known to be
-   connected, or known not to be similar, whatever the bucket's size.
+   shares a band with probability 0.9998. Texts that share buckets, directly or
+   through others, are a group; each text is tied to its buckets' smallest ids only.
+4. Verification inside the groups. A group is dealt into blocks of bounded size; every
+   two of them meet in one task, which carries sorted shingle hashes and counts instead of
+   texts. Inverted lists give a text's shared mass, the sum of the smaller shares of
+   the common shingles, with all texts of the other block at once. Similarity is at most
+   this mass m and at least m / (2 - m); between these bounds it is computed.
+   Texts that are connected already are not compared any more, and a task
+   returns a spanning forest of its links, not its pairs.
 5. Classes are the connected components; the class id is the smallest doc id.
 
-Every join has one row per key on one side, so that a hot key's other side can
-be split; minima and counts are aggregated before the shuffle.
-
 Defined results: a null, empty or blank text has no shingles and is a class of
 its own; rows that repeat a doc id are one document; a null id is kept, with a
 null class, and never compared; an empty table gives no rows; other columns are
@@ -41,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import mix64, prepare, runs, saved, table, texts_of, unit, utf8_buffer
+from prefspark.llm.common import mix64, prepare, runs, saved, table, unit, utf8_buffer
 
 SHINGLE = 5
 SIMILAR = 0.8
 #: Similarities are sums of doubles: one of exactly the threshold may come out below it.
 ROUNDING = 1e-9
 BANDS, ROWS = 36, 7
+#: A block's texts and shingles.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 REGISTERS = BANDS * ROWS
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -154,16 +152,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, bands) per row; a null key and no bands without words."""
+    """(doc_id, text_key, n, bands) per row; n is the number of different shingles. A
+    null key and no bands without words."""
 
     def run(batches):
         for b in batches:
             data, offsets = utf8_buffer(b.column(1))
-            keys, bands = [], []
+            keys, sizes, bands = [], [], []
             for i, j in runs(offsets, 1 << 21):
                 hashes, at = word_hashes(data, offsets[i : j + 1])
                 for k in range(j - i):
                     s, w = shingles(hashes[at[k] : at[k + 1]])
+                    sizes.append(len(s))
                     if not len(s):
                         keys.append(None)
                         bands.append([])
@@ -175,34 +175,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                         band = mix64(band ^ rows[:, r])
                     bands.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "bands"]
+                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "bands"]
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, text_key binary, bands array<bigint>")
-
-
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the similarity of their texts."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def weighted(text: bytes):
-        data = np.frombuffer(text, np.uint8)
-        return shingles(word_hashes(data, np.array([0, len(data)]))[0])
-
-    def run(batches):
-        for batch in batches:
-            found, known, last = [], None, None
-            for x, y in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b"))):
-                if y != known:  # rows of one centre lie together
-                    known, last = y, weighted(y)
-                found.append(similarity(weighted(x), last))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "s"])
-
-    id_type = pairs.schema["a"].dataType.simpleString()
-    out = both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {id_type}, b {id_type}, s double")
-    return out.groupBy("a", "b").agg(F.max("s").alias("s"))  # a repeated id may have several texts
+    return docs.mapInArrow(run, f"doc_id {id_type}, text_key binary, n bigint, bands array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,70 +201,110 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after the edges (a, b) have joined components."""
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    between = edges.join(side("a"), "a").join(side("b"), "b").where("a_label <> b_label")
-    between = saved(between.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
-    if between.isEmpty():
-        return labels
-    new = components(between).select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return saved(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
-
-
-def _left_open(members: DataFrame, asked: DataFrame, sims: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """The members (bucket, node, degree, label, largest) of the buckets that still hold
-    several components, without the centres of this round and those that left."""
-    placed = members.join(labels, "node")
-    told = asked.join(sims, (F.col("node") == F.col("a")) & (sims["b"] == asked["b"])).select("bucket", "node", asked["b"], "s")
-    told = told.join(labels, "node").join(labels.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b")
-    between = (F.col("s") < least) & (F.col("s") >= 1 - 2 * (1 - least)) & (F.col("label") != F.col("b_label"))
-    held = told.groupBy("bucket", "b").agg(F.max(between).alias("held"))
-    near = told.where(F.col("s") >= least).join(held.where("not held"), ["bucket", "b"]).select("bucket", "node")
-    gone = near.union(told.select("bucket", F.col("b").alias("node"))).distinct()
-    rest = placed.join(gone, ["bucket", "node"], "left_anti")
-    sizes = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("most"))
-    return rest.join(mixed.where("k > 1").select("bucket", F.col("most.label").alias("largest")), "bucket")
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """(doc_id, grp) of the nodes (doc_id, bands) that share a bucket with others."""
+    entries = nodes.select("doc_id", F.explode("bands").alias("bucket"))
+    met = entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    edges = entries.join(met.select("bucket", "low"), "bucket").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    return components(edges.distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
+
+
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (doc_id, grp, n) with ``tasks``: each (i, j, asks), the meeting of
+    blocks i and j of the group, in which the texts of block j ask those of block i."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = nodes.groupBy("grp").agg(parts.alias("k"))
+    placed = nodes.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    told = F.transform(F.sequence("block", F.col("k") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(False).alias("asks")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("asks")))
+    return placed.withColumn("tasks", F.when(F.col("block") == 0, told).otherwise(F.concat(told, asking)))
+
+
+def _with_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``nodes`` with their texts' sorted shingle hashes and counts."""
+    rows = docs.join(nodes, "doc_id")
+    keep = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        for b in batches:
+            data, offsets = utf8_buffer(b.column("text"))
+            keys, counts = [], []
+            for i, j in runs(offsets, 1 << 21):
+                hashes, at = word_hashes(data, offsets[i : j + 1])
+                for k in range(j - i):
+                    s, w = shingles(hashes[at[k] : at[k + 1]])
+                    keys.append(s.view(np.int64))
+                    counts.append(w.astype(np.int32))
+            more = [pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *more], [*keep, "shingles", "counts"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{schema}, shingles array<bigint>, counts array<int>")
+
+
+def _linked(least: float):
+    """The function of a meeting and its rows that gives a spanning forest of the links."""
+
+    def run(meeting, group):
+        _, i, j = (x.as_py() for x in meeting)
+        ids = group.column("doc_id").to_pylist()
+        sets = [(s.view(np.uint64), w) for s, w in zip(group.column("shingles").to_numpy(), group.column("counts").to_numpy())]
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        root = list(range(len(ids)))
+
+        def top(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        first = {}
+        for k, d in enumerate(ids):  # the texts of one id are one node
+            root[k] = first.setdefault(d, k)
+        told = np.flatnonzero(~asks)
+        sizes = np.array([len(sets[k][0]) for k in told], np.int64)
+        keys = np.concatenate([sets[k][0] for k in told] or [np.zeros(0, np.uint64)])
+        share = np.concatenate([sets[k][1] / sets[k][1].sum() for k in told] or [np.zeros(0)])
+        order = np.argsort(keys, kind="stable")
+        keys, share, of = keys[order], share[order], np.repeat(np.arange(len(told)), sizes)[order]
+        edges = []
+        for k in told if i == j else np.flatnonzero(asks):
+            s, w = sets[k]
+            a, b = np.searchsorted(keys, s), np.searchsorted(keys, s, side="right")
+            n = b - a
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            mass = np.bincount(of[at], np.minimum(share[at], np.repeat(w / w.sum(), n)), len(told))
+            for c in np.flatnonzero(mass >= least):
+                x, y = top(k), top(told[c])
+                if x != y and (mass[c] / (2 - mass[c]) >= least or similarity(sets[k], sets[told[c]]) >= least):
+                    root[x] = y
+                    edges.append((ids[k], ids[told[c]]))
+        kind = group.schema.field("doc_id").type
+        return pa.table({"a": pa.array([x for x, _ in edges], kind), "b": pa.array([y for _, y in edges], kind)})
+
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, text_id (the smallest id with the same
     weighted shingles) and class_id (the smallest id of its class)."""
     prepare(docs.sparkSession)
-    least -= ROUNDING  # here, so that links and the bound derived from them agree
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = saved(sketches(need))
     nodes = rows.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("text_id"))
     of_text = rows.select("doc_id", "text_key").distinct().join(nodes, "text_key", "left")
     of_text = saved(of_text.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id")))
-
     own = of_text.where("doc_id = text_id").select("doc_id").distinct()
-    entries = rows.where("size(bands) > 0").join(own, "doc_id", "left_semi")
-    entries = entries.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    met = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = saved(entries.join(met.where("low < high").select("bucket", "n"), "bucket").distinct())
-    # The member that meets most others comes first: a text of which many are copies
-    # is near them all, while the copies are less near to each other.
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    shared = shared.join(degree, "node").select("bucket", "node", "degree")
-    first = shared.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
-    open_ = saved(shared.join(first, "bucket"))
-    nodes = open_.select("node").distinct()
-    texts = saved(need.join(nodes.select(F.col("node").alias("doc_id")), "doc_id"))
-    labels = saved(nodes.select("node", F.col("node").alias("label")))
-    asked, centres = open_.where("node <> b").select("bucket", "node", "b"), 1
-    while True:
-        sims = saved(compared(asked.select(F.col("node").alias("a"), "b").distinct(), texts))
-        labels = _joined(labels, sims.where(F.col("s") >= least))
-        open_ = saved(_left_open(open_.select("bucket", "node", "degree"), asked, sims, labels, least))
-        if open_.isEmpty():
-            break
-        centres *= 2
-        small = open_.where("label <> largest").withColumn("part", F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)))
-        chosen = small.groupBy("bucket", "part").agg(F.max(F.struct("degree", "node", "label")).alias("c"))
-        chosen = chosen.select("bucket", F.col("c.node").alias("b"), F.col("c.label").alias("b_label"))
-        asked = saved(open_.join(chosen, "bucket").where("label <> b_label").select("bucket", "node", "b"))
+    distinct = rows.where("size(bands) > 0").join(own, "doc_id", "left_semi")
+    groups = saved(_grouped(distinct.select("doc_id", "bands")))
+    sizes = distinct.groupBy("doc_id").agg(F.max("n").alias("n"))
+    placed = _meetings(groups.join(sizes, "doc_id")).select("doc_id", "grp", "tasks")
+    met = _with_shingles(placed, need).select("doc_id", "grp", "shingles", "counts", F.explode("tasks").alias("t"))
+    met = met.select("doc_id", "grp", "shingles", "counts", "t.*")
+    id_type = need.schema["doc_id"].dataType.simpleString()
+    # A sum of doubles may come out below a similarity of exactly the least.
+    edges = saved(met.groupBy("grp", "i", "j").applyInArrow(_linked(least - ROUNDING), f"a {id_type}, b {id_type}"))
+    labels = components(edges)
     named = of_text.join(labels, of_text["text_id"] == labels["node"], "left")
     return named.select("doc_id", "text_id", F.coalesce("label", "text_id").alias("class_id"))
 
