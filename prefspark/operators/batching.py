@@ -1,10 +1,9 @@
 """Training-example ordering and batching (W4-W9) and tokenised examples (K1-K8).
 
 The reference walks a Python list epoch by epoch. Here the whole schedule is
-one DataFrame: epochs are a generator column, the shuffle is an md5 rank,
-positions come from ``ordinals.dense_index`` (no single-partition window),
-and batch ids, drop-last, example budget and rank slices are arithmetic on
-those positions.
+one DataFrame of narrow rows (``operators.epochs``): epochs are a generator column, the
+shuffle is a keyed permutation of the prompts' numbers, and batch ids, drop-last,
+example budget and rank slices are arithmetic on positions. Texts are joined last.
 """
 
 from __future__ import annotations
@@ -15,44 +14,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions import tokens as K
-from prefspark.operators import ordinals
-from prefspark.session import materialize
+from prefspark.operators import epochs
 
-EXAMPLE_KEY = ("dataset", "prompt", "pair_ix")
 
+def schedule(examples: DataFrame, seed: int = 0, shuffle: bool = True, order_col: str = "first_ord") -> epochs.Schedule:
+    """W4+W5: the epochs over a table of examples. A prompt is a (dataset_ix,
+    ``order_col``); its pairs stay adjacent, in the order of ``pair_ix`` (dense from 0). SFT
+    rows have no pair_ix. Only these narrow columns are read and kept."""
+    keys = [c for c in ("dataset_ix", order_col) if c in examples.columns]
+    return epochs.Schedule(examples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs")), keys, seed, shuffle)
 
-def shuffle_key(seed: int, epoch="epoch", cols=("dataset", "prompt")):
-    """Per-epoch pseudo-random rank of a prompt; pairs of one prompt share it
-    (stay adjacent) and are ordered by ``pair_ix`` after it."""
-    parts = [F.lit(str(seed)), F.col(epoch).cast("string")] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
-    return F.substring(F.md5(F.concat_ws("\u0001", *parts)), 1, 15)
 
-
-def replicate_epochs(examples: DataFrame, n_epochs: int) -> DataFrame:
-    """One copy of every example per epoch (a generator, not a join)."""
-    return examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))))
-
-
-def epoch_order(examples: DataFrame, n_epochs: int, seed: int = 0, shuffle: bool = True,
-                key=EXAMPLE_KEY, order_col: str = "first_ord", n: int | None = None) -> DataFrame:
-    """W4+W5: add ``epoch`` and ``rn`` (1-based position inside the epoch).
+def epoch_order(examples: DataFrame, n_epochs: int, seed: int = 0, shuffle: bool = True, order_col: str = "first_ord",
+                plan: epochs.Schedule | None = None) -> DataFrame:
+    """W4+W5: the examples with ``epoch`` and ``rn`` (1-based position inside the epoch).
     Without shuffle the datasets follow one another in the mixture's list order
     (``dataset_ix``), each in insertion order (``order_col``, then pair_ix).
-    ``key`` names an example; SFT rows have no pair_ix. ``n`` is the number of
-    examples when the caller already knows it."""
-    if n is None:
-        n = examples.count()
-    rep = replicate_epochs(examples, n_epochs)
-    if shuffle:
-        rep = rep.withColumn("_h", shuffle_key(seed, "epoch", [c for c in key if c != "pair_ix"]))
-        # The digest covers dataset and prompt: only a prompt's pairs share it.
-        order = ["epoch", "_h", *[c for c in key if c == "pair_ix"]]
-    else:
-        first = [c for c in ("dataset_ix",) if c in examples.columns]
-        order = ["epoch", *first, order_col, *[c for c in key if c == "pair_ix"]]
-    ranked = ordinals.dense_index(rep, order, out="_g")
-    out = ranked.withColumn("rn", F.col("_g") - F.col("epoch") * F.lit(n)).drop("_g")
-    return out.drop("_h") if shuffle else out
+
+    The positions are narrow rows; the examples are joined to them once, after whatever
+    is filtered by position (Catalyst moves such filters below the join)."""
+    plan = plan or schedule(examples, seed, shuffle, order_col)
+    places = plan.drawn(n_epochs).select("epoch", "rn", *[F.col(c).alias(f"_{c}") for c in plan.keys], F.col("pair").alias("_pair"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in plan.keys]
+    if "pair_ix" in examples.columns:
+        same.append(F.col("pair_ix") == F.col("_pair"))
+    return examples.join(places, same).drop("_pair", *[f"_{c}" for c in plan.keys])
 
 
 def assign_batches(ordered: DataFrame, batch_size: int, n_per_epoch: int) -> DataFrame:
@@ -80,14 +66,14 @@ def budget_stop(n_per_epoch: int, batch_size: int, n_examples: int) -> tuple[int
 
 
 def budget_schedule(examples: DataFrame, batch_size: int, n_examples: int, seed: int = 0,
-                    shuffle: bool = True, n_epochs: int | None = None, key=EXAMPLE_KEY) -> DataFrame:
+                    shuffle: bool = True, n_epochs: int | None = None, plan: epochs.Schedule | None = None) -> DataFrame:
     """The batches that are yielded when stopping by example count, or after
     ``n_epochs`` epochs when these end first."""
-    examples = materialize(examples)
-    n = examples.count()
-    epochs, stop = budget_stop(n, batch_size, n_examples)
-    epochs = epochs if n_epochs is None else min(epochs, n_epochs)
-    batched = assign_batches(epoch_order(examples, epochs, seed, shuffle, key=key, n=n), batch_size, n)
+    plan = plan or schedule(examples, seed, shuffle)
+    n = plan.n
+    needed, stop = budget_stop(n, batch_size, n_examples)
+    needed = needed if n_epochs is None else min(needed, n_epochs)
+    batched = assign_batches(epoch_order(examples, needed, plan=plan), batch_size, n)
     count_after = F.col("epoch") * F.lit(n) + (F.col("batch_id") + 1) * F.lit(batch_size)
     return batched.filter(count_after <= F.lit(stop))
 

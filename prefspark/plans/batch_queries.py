@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import tokens as K
 from prefspark.operators import batching, ordinals
+from prefspark.operators import epochs as EP
 from prefspark.plans.dialogue_queries import _ULTRACHAT_SQL, _sharegpt_sql
 from prefspark.plans.record_queries import _SHP_KEPT, _aiprefs_sql
 from prefspark.plans.registry import register
 from prefspark.sources import dialogue, registry
-from prefspark.session import materialize
 from prefspark.sources.fixtures import table, view
 
 MAX_LEN, MAX_PROMPT = 64, 16
@@ -22,24 +22,53 @@ EPOCHS = 2
 BUDGET = 300
 
 # ----------------------------------------------------------------- SQL pieces
+_SHP_ROWS = f"""
+      select 'shp' as dataset, 1 as dataset_ix, prompt, min(ord) over (partition by prompt) as first_ord, cast(pair_ix as bigint) as pair_ix,
+             case when labels = 1 then ' ' || human_ref_a else ' ' || human_ref_b end as chosen,
+             case when labels = 1 then ' ' || human_ref_b else ' ' || human_ref_a end as rejected, 'keep_start' as truncation_mode
+      from (with {_SHP_KEPT} select * from k) s"""
 _EX = f"""ex as (
-      select 'sharegpt' as dataset, prompt, first_ord, cast(0 as bigint) as pair_ix, chosen, rejected,
+      select 'sharegpt' as dataset, 0 as dataset_ix, prompt, first_ord, cast(0 as bigint) as pair_ix, chosen, rejected,
              'keep_end' as truncation_mode
       from ({_aiprefs_sql()}) a
-      union all
-      select 'shp', prompt, min(ord) over (partition by prompt) as first_ord, cast(pair_ix as bigint),
-             case when labels = 1 then ' ' || human_ref_a else ' ' || human_ref_b end,
-             case when labels = 1 then ' ' || human_ref_b else ' ' || human_ref_a end, 'keep_start'
-      from (with {_SHP_KEPT} select * from k) s)"""
+      union all by name {_SHP_ROWS})"""
+
+
+def _walked_sql(ix: str, n: str, epoch: str, seed: int = SEED) -> str:
+    """``epochs.permuted`` in SQL: a Feistel network over a grid a x b, in columns of
+    ``grid`` (a, b, n), with cycle walking."""
+    f = lambda y: f"(('0x' || substr(md5(concat_ws(chr(1), '{seed}', cast({epoch} as varchar), cast(s.j as varchar), cast({y} as varchar))), 1, 15))::bigint)"
+    rounds = ", ".join(f"{{'l': 0::bigint, 'r': 0::bigint, 'j': {j}}}" for j in range(EP.ROUNDS))
+
+    def once(x):
+        start = f"{{'l': ({x}) // b, 'r': ({x}) % b, 'j': -1}}"
+        left = f"case when s.j % 2 = 0 then (t.l + {f('t.r')}) % a else t.l end"
+        right = f"case when s.j % 2 = 0 then t.r else (t.r + {f('t.l')}) % b end"
+        step = f"{{'l': {left}, 'r': {right}, 'j': s.j}}"
+        done = f"list_reduce([{start}, {rounds}], lambda t, s: {step})"
+        return f"({done}['l'] * b + {done}['r'])"
+
+    walk = f"list_transform(range({EP.WALK}), lambda z: 0::bigint)"
+    return f"list_reduce(list_concat([{once(ix)}], {walk}), lambda w, z: case when w < {n} then w else {once('w')} end)"
+
+
+def _epochs_sql(epochs: str, ex: str = "ex") -> str:
+    """CTEs up to ``pos`` (epoch, dataset_ix, first_ord, rank, ...): a rank per prompt."""
+    return f"""grp as (select dataset_ix, first_ord, cast(row_number() over (order by dataset_ix, first_ord) - 1 as bigint) as ix,
+                   cast(count(*) over () as bigint) as n
+            from (select distinct dataset_ix, first_ord from {ex})),
+    side as (select distinct n, cast(ceil(sqrt(n)) as bigint) as a from grp),
+    pos as (select epoch, dataset_ix, first_ord, {_walked_sql('ix', 'n', 'epoch')} as rank
+            from (select grp.dataset_ix, grp.first_ord, grp.ix, grp.n, side.a, cast(ceil(grp.n / side.a) as bigint) as b,
+                         unnest({epochs}) as epoch
+                  from grp, side))"""
 
 
 def _ordered_sql(epochs: str) -> str:
     return f"""{_EX},
-    rep as (select ex.*, unnest({epochs}) as epoch from ex),
-    o as (select *, cast(row_number() over (partition by epoch order by
-                 substr(md5(concat_ws(chr(1), '{SEED}', cast(epoch as varchar), dataset, prompt)), 1, 15),
-                 dataset, prompt, pair_ix) as bigint) as rn
-          from rep),
+    {_epochs_sql(epochs)},
+    o as (select ex.*, pos.epoch, cast(row_number() over (partition by pos.epoch order by pos.rank, pair_ix) as bigint) as rn
+          from ex join pos on ex.dataset_ix = pos.dataset_ix and ex.first_ord = pos.first_ord),
     n as (select count(*) as n, cast(floor(count(*) / {BATCH}) * {BATCH} as bigint) as nfull from ex),
     b as (select o.*, cast(floor((rn - 1) / {BATCH}) as bigint) as batch_id,
                  cast((rn - 1) % {BATCH} as bigint) as pos_in_batch
@@ -80,12 +109,16 @@ def _pad(col: str, width: str, value: int, left: bool = False) -> str:
     return f"list_concat({fill}, {col})" if left else f"list_concat({col}, {fill})"
 
 
-def _examples(spark, sf_dir, reused: bool = True):
-    """Pair rows of the annotation and two-answer datasets. A schedule reads them
-    for a count, for range bounds and for the pass, so it gets them materialised
-    once; a single-pass consumer (``reused=False``) streams them."""
-    mix = registry.mixture(spark, sf_dir, ["sharegpt", "shp"])
-    return materialize(mix) if reused else mix
+def _examples(spark, sf_dir):
+    """Pair rows of the annotation and two-answer datasets. A schedule reads their
+    narrow keys once and joins the texts to the positions that are left."""
+    return registry.mixture(spark, sf_dir, ["sharegpt", "shp"])
+
+
+def _batched(spark, sf_dir, n_epochs):
+    ex = _examples(spark, sf_dir)
+    plan = batching.schedule(ex, SEED)
+    return batching.assign_batches(batching.epoch_order(ex, n_epochs, plan=plan), BATCH, plan.n)
 
 
 def _ids(c):
@@ -114,8 +147,7 @@ def hash_split_1pct(spark, sf_dir):
     with {_ordered_sql(f'range(0, {EPOCHS})')}
     select epoch, rn, dataset, prompt, pair_ix from o""")
 def epoch_shuffle(spark, sf_dir):
-    ex = _examples(spark, sf_dir)
-    ordered = batching.epoch_order(ex, EPOCHS, seed=SEED, n=ex.count())
+    ordered = batching.epoch_order(_examples(spark, sf_dir), EPOCHS, seed=SEED)
     return ordered.select(F.col("epoch").cast("bigint").alias("epoch"), "rn", "dataset", "prompt", "pair_ix")
 
 
@@ -123,9 +155,7 @@ def epoch_shuffle(spark, sf_dir):
     with {_ordered_sql(f'range(0, {EPOCHS})')}
     select epoch, rn, batch_id, pos_in_batch, dataset, prompt, pair_ix from b""")
 def batch_assign(spark, sf_dir):
-    ex = _examples(spark, sf_dir)
-    n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, EPOCHS, seed=SEED, n=n), BATCH, n)
+    b = _batched(spark, sf_dir, EPOCHS)
     return b.select(F.col("epoch").cast("bigint").alias("epoch"), "rn", "batch_id", "pos_in_batch",
                     "dataset", "prompt", "pair_ix")
 
@@ -150,9 +180,7 @@ def example_budget(spark, sf_dir):
            dataset, prompt, pair_ix
     from b where floor(pos_in_batch / {BATCH // WORLD}) < {WORLD}""")
 def shard_slices(spark, sf_dir):
-    ex = _examples(spark, sf_dir)
-    n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, n=n), BATCH, n)
+    b = _batched(spark, sf_dir, 1)
     return batching.shard_slices(b, WORLD, BATCH).select(
         F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "shard", "dataset", "prompt", "pair_ix")
 
@@ -165,7 +193,7 @@ def shard_slices(spark, sf_dir):
 def unshuffled_order(spark, sf_dir):
     """Two datasets, listed out of alphabetical order: the first one's rows come
     first, each dataset in insertion order."""
-    ex = materialize(registry.mixture(spark, sf_dir, ["shp", "sharegpt"]))
+    ex = registry.mixture(spark, sf_dir, ["shp", "sharegpt"])
     return batching.epoch_order(ex, 1, shuffle=False).select("rn", "dataset", "prompt", "pair_ix")
 
 
@@ -175,7 +203,8 @@ def unshuffled_order(spark, sf_dir):
 def epochs_or_budget(spark, sf_dir):
     """Both stops are set and the epochs end first."""
     ex = _examples(spark, sf_dir)
-    out = batching.budget_schedule(ex, BATCH, ex.count() * 50, seed=SEED, n_epochs=EPOCHS)
+    plan = batching.schedule(ex, SEED)
+    out = batching.budget_schedule(ex, BATCH, plan.n * 50, n_epochs=EPOCHS, plan=plan)
     return out.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "dataset", "prompt", "pair_ix")
 
 
@@ -185,11 +214,10 @@ _SFT_EX = f"""ex as (
              first_ord, 'keep_start' as truncation_mode from ({_ULTRACHAT_SQL}) u
       union all
       select 'sharegpt', 1, prompt, sft_target, sft_target, sft_target, first_ord, 'keep_end' from ({_sharegpt_sql(1)}) s)"""
-SFT_KEY = ("dataset", "prompt")
 
 
 def _sft_examples(spark, sf_dir):
-    return materialize(registry.mixture(spark, sf_dir, ["ultrachat", "sharegpt"], mode="sft"))
+    return registry.mixture(spark, sf_dir, ["ultrachat", "sharegpt"], mode="sft")
 
 
 @register("sft_mixture", "U1 S14 W4", views=("v_turns",), sql=f"""
@@ -198,14 +226,14 @@ def _sft_examples(spark, sf_dir):
     from ex""")
 def sft_mixture(spark, sf_dir):
     """One row per prompt of two datasets, in list order."""
-    ordered = batching.epoch_order(_sft_examples(spark, sf_dir), 1, shuffle=False, key=SFT_KEY)
+    ordered = batching.epoch_order(_sft_examples(spark, sf_dir), 1, shuffle=False)
     return ordered.select("rn", "dataset", "prompt", "sft_target", "truncation_mode")
 
 
 @register("sft_collate", "U1 W4 W5 W6 K1 K2 K3 K4 K6", views=("v_turns",), sql=f"""
     with {_SFT_EX},
-    o as (select *, cast(row_number() over (order by substr(md5(concat_ws(chr(1), '{SEED}', '0', dataset, prompt)), 1, 15)) as bigint) as rn
-          from ex),
+    {_epochs_sql('range(0, 1)')},
+    o as (select ex.*, rank + 1 as rn from ex join pos on ex.dataset_ix = pos.dataset_ix and ex.first_ord = pos.first_ord),
     n as (select cast(floor(count(*) / {BATCH}) * {BATCH} as bigint) as nfull from ex),
     b as (select *, cast(floor((rn - 1) / {BATCH}) as bigint) as batch_id, cast((rn - 1) % {BATCH} as bigint) as pos_in_batch
           from o where rn <= (select nfull from n)),
@@ -219,8 +247,8 @@ def sft_mixture(spark, sf_dir):
 def sft_collate(spark, sf_dir):
     """SFT training end to end: prompt, epoch order, batch, tokens, padding."""
     ex = _sft_examples(spark, sf_dir)
-    n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, key=SFT_KEY, n=n), BATCH, n)
+    plan = batching.schedule(ex, SEED)
+    b = batching.assign_batches(batching.epoch_order(ex, 1, plan=plan), BATCH, plan.n)
     c = batching.collate(batching.tokenize_examples(b, MAX_LEN, MAX_PROMPT, sft_mode=True))
     return c.select("batch_id", "pos_in_batch", "dataset", _ids("prompt_input_ids"), _ids("chosen_input_ids"), _ids("chosen_labels"))
 
@@ -237,7 +265,7 @@ def sft_collate(spark, sf_dir):
            cast(len(chosen_input_ids) as bigint) as chosen_len
     from tx""")
 def tokenize_truncate(spark, sf_dir):
-    t = batching.tokenize_examples(_examples(spark, sf_dir, reused=False), MAX_LEN, MAX_PROMPT)
+    t = batching.tokenize_examples(_examples(spark, sf_dir), MAX_LEN, MAX_PROMPT)
     return t.select("dataset", "prompt", "pair_ix", _ids("prompt_input_ids"), _ids("chosen_input_ids"),
                     _ids("chosen_labels"), _ids("rejected_input_ids"), _ids("rejected_labels"),
                     F.size("chosen_input_ids").cast("bigint").alias("chosen_len"))
@@ -253,7 +281,7 @@ FULL_LEN, FULL_PROMPT = 512, 256  # the reference's defaults
            array_to_string(rejected_input_ids, ' ') as rejected_input_ids
     from tx""")
 def tokenize_truncate_full(spark, sf_dir):
-    t = batching.tokenize_examples(_examples(spark, sf_dir, reused=False), FULL_LEN, FULL_PROMPT)
+    t = batching.tokenize_examples(_examples(spark, sf_dir), FULL_LEN, FULL_PROMPT)
     return t.select("dataset", "prompt", "pair_ix", _ids("chosen_input_ids"), _ids("rejected_input_ids"))
 
 
@@ -309,9 +337,7 @@ _BATCH_TOK = f"""{_ordered_sql('range(0, 1)')},
            array_to_string({_pad('rejected_input_ids', 'wr', K.PAD_ID)}, ' ') as rejected_input_ids
     from mx""")
 def collate_pad(spark, sf_dir):
-    ex = _examples(spark, sf_dir)
-    n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, n=n), BATCH, n)
+    b = _batched(spark, sf_dir, 1)
     c = batching.collate(batching.tokenize_examples(b, MAX_LEN, MAX_PROMPT))
     return c.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch",
                     _ids("prompt_input_ids"), _ids("prompt_attention_mask"), _ids("chosen_input_ids"),
@@ -334,9 +360,7 @@ def collate_pad(spark, sf_dir):
            array_to_string({_pad('rl', 'wj', K.IGNORE)}, ' ')
     from j""")
 def concat_pad(spark, sf_dir):
-    ex = _examples(spark, sf_dir)
-    n = ex.count()
-    b = batching.assign_batches(batching.epoch_order(ex, 1, seed=SEED, n=n), BATCH, n)
+    b = _batched(spark, sf_dir, 1)
     c = batching.concat_pad(batching.collate(batching.tokenize_examples(b, MAX_LEN, MAX_PROMPT)))
     return c.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "side",
                     _ids("concatenated_input_ids"), _ids("concatenated_labels"))
@@ -366,3 +390,56 @@ def pair_explode(spark, sf_dir):
         F.element_at("responses", F.col("p.c") + 1).alias("chosen"),
         F.element_at("responses", F.col("p.r") + 1).alias("rejected"),
     )
+
+
+# ----------------------------------------------------------------- S1, J7, U1: pairs of scored answers
+PAIR_EPOCHS = 3
+
+
+_PROMPT = "chr(10) || chr(10) || 'Human: ' || question || chr(10) || chr(10) || 'Assistant:'"
+
+
+def _pair_batches_sql(numbers: str, size: int, others: str = "") -> str:
+    """All pairs written and ordered; Spark draws the same batches without them."""
+    return f"""t as (select question, max(q_ord) as q_ord from v_threads group by question),
+    a as (select v.*, cast(row_number() over (partition by v.q_ord order by pos) - 1 as bigint) as k
+          from v_threads v join t on t.question = v.question and t.q_ord = v.q_ord),
+    p as (select i.q_ord as first_ord, i.question, i.k as i, j.k as j, i.pm_score > j.pm_score as left_wins,
+                 ' ' || i.answer as ti, ' ' || j.answer as tj
+          from a i join a j on i.q_ord = j.q_ord and i.k < j.k),
+    ex as ({others}select 0 as dataset_ix, 'se' as dataset, first_ord,
+                  row_number() over (partition by first_ord order by i, j) - 1 as pair,
+                  {_PROMPT} as prompt, case when left_wins then i else j end as chosen_ix,
+                  case when left_wins then j else i end as rejected_ix,
+                  case when left_wins then ti else tj end as chosen, case when left_wins then tj else ti end as rejected from p),
+    {_epochs_sql(f'range(0, {PAIR_EPOCHS})')},
+    o as (select ex.*, pos.epoch, cast(row_number() over (partition by pos.epoch order by pos.rank, pair) - 1 as bigint) as place
+          from ex join pos on ex.dataset_ix = pos.dataset_ix and ex.first_ord = pos.first_ord),
+    n as (select count(*) as n from ex)
+    select epoch, cast(place // {size} as bigint) as batch_id, cast(place % {size} as bigint) as pos_in_batch, dataset, prompt,
+           chosen_ix, rejected_ix, chosen, rejected
+    from o, n where place // {size} in ({numbers}) and place // {size} < n // {size}"""
+
+
+@register("se_pair_batches", "S1 J7 U1 W4 W5 W6", views=("v_threads",),
+          sql="with " + _pair_batches_sql("0, 1, n // 16", 8))
+def se_pair_batches(spark, sf_dir):
+    """The first two batches and one in the middle of three shuffled epochs over all
+    answer pairs of long threads; no other pair is made."""
+    train = registry.PairBatches(spark, sf_dir, ["se"], split="all", seed=SEED, answers=view(spark, sf_dir, "v_threads"))
+    out = train.batches([0, 1, train.n // 16], 8, PAIR_EPOCHS)
+    return out.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "dataset", "prompt",
+                      "chosen_ix", "rejected_ix", "chosen", "rejected")
+
+
+@register("preference_mixture", "U1 S1 S2 W4 W6", views=("v_threads", "v_shp"),
+          sql="with " + _pair_batches_sql("n // 64, n // 32 - 1", 32, f"""
+              select dataset_ix, dataset, first_ord, pair_ix as pair, prompt, cast(null as bigint) as chosen_ix,
+                cast(null as bigint) as rejected_ix, chosen, rejected from ({_SHP_ROWS}) s union all by name """))
+def preference_mixture(spark, sf_dir):
+    """Preference training on scored answers and two-answer rows together: a batch
+    from the middle and the last whole batch of three epochs."""
+    train = registry.PairBatches(spark, sf_dir, ["se", "shp"], split="all", seed=SEED, answers=view(spark, sf_dir, "v_threads"))
+    out = train.batches([train.n // 64, train.n // 32 - 1], 32, PAIR_EPOCHS)
+    return out.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_id", "pos_in_batch", "dataset", "prompt",
+                      "chosen_ix", "rejected_ix", "chosen", "rejected")

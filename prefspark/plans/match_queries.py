@@ -7,12 +7,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from prefspark.functions import text as T
-from prefspark.operators import matching
+from prefspark.operators import matching, ordinals
 from prefspark.plans.batch_queries import _pieces
 from prefspark.plans.dialogue_queries import _sharegpt_sql
+from prefspark.plans.record_queries import _aiprefs_sql
 from prefspark.plans.registry import register
-from prefspark.sources import dialogue, io
+from prefspark.sources import dialogue, io, jsonfiles, records
 from prefspark.sources.fixtures import view
+from prefspark.sources.registry import get_dataset
 
 NN = "chr(10) || chr(10)"
 MAX_COMPARISONS = 20
@@ -208,32 +210,52 @@ def fast_forward(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- S5/S6
-@register("teacher_sft", "S5 S6 S10 O4 A2 A4 W11 U2 D6", views=("v_completions",), sql=f"""
+_TEACHER_SQL = f"""
     with c as (select case model when 'teacher' then 'claude' else 'gpt4' end as model, ord, instruction, output, file
                from (select *, unnest([0, 1]) as file from v_completions where model in ('teacher', 'student')) z),
     e as (select model, file, instruction, min(ord) as ord,
                  min_by(case when file = 1 then output || ' [f1]' else output end, ord) as target
           from c group by model, file, instruction)
     select model, 'Human: ' || instruction || {NN} || 'Assistant: ' as prompt, max_by(target, file) as sft_target,
-           min_by(ord, file) as first_ord
-    from e group by model, instruction""")
+           cast(row_number() over (partition by model order by min_by(ord, file)) as bigint) as place
+    from e group by model, instruction"""
+
+
+@register("teacher_sft", "S5 S6 S10 O1 O4 A2 A4 W11 U2 D6", views=("v_completions",), sql=_TEACHER_SQL)
 def teacher_sft(spark, sf_dir):
-    """Teacher completions dumped (O4) as claude/gpt4 completion files with two
-    samples per entry, read back (S10) and turned into SFT records (S5/S6). A
+    """Teacher completions dumped as ``{prompt: [sample, ...]}`` files of claude and gpt4
+    with two samples per entry, read back (S10) and turned into SFT records (S5/S6). A
     prompt repeated inside a file adds to its list of samples, of which the first
     is taken; a prompt repeated in a later file takes that file's."""
     c = view(spark, sf_dir, "v_completions").filter(F.col("model").isin("teacher", "student"))
-    c = c.withColumn("file", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("sample_ix", F.explode(F.array(F.lit(0), F.lit(1))))
-    text = F.concat("output", F.when(F.col("file") == 1, " [f1]").otherwise(""), F.when(F.col("sample_ix") == 1, " [s1]").otherwise(""))
-    rows = c.select(F.when(F.col("model") == "teacher", "claude").otherwise("gpt4").alias("model"),
-                    F.col("file").cast("int").alias("shard"), "ord", F.col("instruction").alias("prompt"),
-                    F.col("sample_ix").cast("int").alias("sample_ix"), text.alias("completion"))
-    path = io.write_completions(rows, io.scratch_path(spark, "teacher"))
-    back = io.first_samples(io.read_completion_rows(spark, path))
-    recs = back.select("model", "shard", T.single_turn_prompt("prompt").alias("prompt"),
-                       F.col("completion").alias("target"), "ord")
-    return recs.groupBy("model", "prompt").agg(F.max_by("target", "shard").alias("sft_target"),
-                                               F.min_by("ord", "shard").alias("first_ord"))
+    c = c.withColumn("sample_ix", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = None
+    for model, source in (("claude", "teacher"), ("gpt4", "student")):
+        path = io.scratch_path(spark, f"teacher-{model}")
+        for dump in (0, 1):
+            text = F.concat("output", F.lit(" [f1]" if dump else ""), F.when(F.col("sample_ix") == 1, " [s1]").otherwise(""))
+            rows = c.where(F.col("model") == source).select("ord", F.col("instruction").alias("prompt"), "sample_ix", text.alias("completion"))
+            io.write_completion_maps(rows, f"{path}/dump{dump}", files=2)
+        sft = get_dataset(spark, sf_dir, {"claude": "shareclaude", "gpt4": "sharegpt4"}[model], maps=io.read_completion_maps(spark, f"{path}/*")).sft
+        sft = ordinals.dense_index(sft, "first_ord", out="place").select(F.lit(model).alias("model"), "prompt", "sft_target", "place")
+        out = sft if out is None else out.unionByName(sft)
+    return out
+
+
+@register("dialogue_files", "S10 S4 F1 A2", views=("v_turns",), sql=f"select prompt, sft_target from ({_sharegpt_sql(2)}) s")
+def dialogue_files(spark, sf_dir):
+    """Conversations written as arrays of objects, read back by many tasks, folded."""
+    path = io.write_dialogues(view(spark, sf_dir, "v_turns"), io.scratch_path(spark, "dialogues"), files=3)
+    return dialogue.sharegpt_sft(io.read_dialogues(spark, path), num_turns=2).select("prompt", "sft_target")
+
+
+@register("annotation_files", "S10 S7 F2 A2", views=("v_annotations",),
+          sql=f"select prompt, chosen, rejected, sft_target from ({_aiprefs_sql()}) a")
+def annotation_files(spark, sf_dir):
+    """Judge annotations as JSON arrays, read back and folded into pairs."""
+    rows = view(spark, sf_dir, "v_annotations").repartitionByRange(3, "ord").sortWithinPartitions("ord").drop("ord")
+    path = jsonfiles.write_array(rows, io.scratch_path(spark, "annotations"))
+    return records.aiprefs(io.read_annotations(spark, path)).select("prompt", "chosen", "rejected", "sft_target")
 
 
 # ----------------------------------------------------------------- J4/G3/T10

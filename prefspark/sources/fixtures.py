@@ -49,6 +49,15 @@ VIEWS: dict[str, str] = {
                  - case when cast(floor(doc_id / 4) as bigint) % 5 = 4 then 1 else 0 end as string) as question,
                doc_id % 4 as pos, text as answer, n_chars % 3 as pm_score
         from {documents}""",
+    # Threads of many scored answers: one question per language and source, positions
+    # with gaps, equal scores; the first row of a question repeats it (older answers).
+    "v_threads": """
+        with d as (select doc_id, lang || '/' || source as question, text, n_chars,
+                          min(doc_id) over (partition by lang, source) as first_id
+                   from {documents})
+        select first_id as q_ord, question, doc_id as pos, text as answer, n_chars % 31 as pm_score from d
+        union all
+        select -1 - first_id, question, doc_id, 'older: ' || text, n_chars % 7 from d where doc_id < first_id + 40""",
     # Two-answer preferences: consecutive documents paired, history repeats.
     "v_shp": """
         select cast(floor(a.doc_id / 2) as bigint) as ord, a.lang || '/' || a.source as history,

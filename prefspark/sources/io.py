@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.session import ensure_checkpoint_dir
+from prefspark.sources import jsonfiles
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -25,20 +26,51 @@ def read_completion_maps(spark: SparkSession, path: str, glob: str | None = None
     """Files that each hold one JSON object ``{prompt: [completion, ...]}``.
     Rows ``(file, pos, prompt, completions)``; files are ordered by path and keys
     by their position in the file (dict order). Duplicate keys keep the last
-    value, as ``json.load`` does."""
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    # Keys in file order: parse as an array of entries by re-reading the object
-    # as a map, keeping the position that the parser produced.
-    parsed = raw.select("file", F.from_json("value", "map<string,array<string>>",
-                                            {"mode": "FAILFAST"}).alias("m"))
-    entries = parsed.select("file", F.posexplode("m").alias("pos", "prompt", "completions"))
-    # A repeated key keeps its first position and its last value.
-    return entries.groupBy("file", "prompt").agg(
-        F.max_by("completions", "pos").alias("completions"), F.min("pos").alias("pos")
-    ).select("file", "pos", "prompt", "completions")
+    value, as ``json.load`` does. Large files are read by many tasks."""
+    return jsonfiles.read_object(spark, path, "array<string>", glob).select(
+        "file", "pos", F.col("key").alias("prompt"), F.col("value").alias("completions"))
+
+
+def write_completion_maps(samples: DataFrame, path: str, files: int = 1) -> str:
+    """O1 in the reference's layout: ``{prompt: [sample, ...]}``, keys in the order of
+    their first row, a prompt's samples in the order (ord, sample_ix). Prompts are
+    ranged over ``files`` files; use ``write_completions`` where a prompt may have very
+    many samples."""
+    entries = samples.groupBy("prompt").agg(
+        F.min("ord").alias("ord"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_ix", "completion"))), lambda x: x["completion"]).alias("samples"),
+    )
+    return jsonfiles.write_object(entries.repartitionByRange(files, "ord").sortWithinPartitions("ord"), path, "prompt", "samples")
+
+
+DIALOGUE = "id bigint, conversations array<struct<`from`: string, value: string>>"
+
+
+def write_dialogues(turns: DataFrame, path: str, files: int = 1) -> str:
+    """Conversations as arrays of ``{id, conversations: [{from, value}, ...]}``."""
+    said = F.struct("pos", F.col("role").alias("from"), F.col("text").alias("value"))
+    convs = turns.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(said)).alias("t"))
+    convs = convs.select("id", F.transform("t", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations"))
+    return jsonfiles.write_array(convs.repartitionByRange(files, "id").sortWithinPartitions("id"), path)
+
+
+def read_dialogues(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """S10 for dialogue files: turns (conv_id, pos, role, text, ord). ``conv_id`` and
+    ``ord`` are places (file, record) and (file, record, turn); an entry's index is its pos."""
+    rows = jsonfiles.read_array(spark, path, DIALOGUE, glob)
+    turns = rows.select("file", F.col("pos").alias("record"), F.posexplode("record.conversations").alias("pos", "turn"))
+    return turns.select(
+        F.struct("file", "record").alias("conv_id"), F.col("pos").cast("bigint").alias("pos"), F.col("turn.from").alias("role"),
+        F.col("turn.value").alias("text"), F.struct("file", "record", "pos").alias("ord"))
+
+
+ANNOTATION = "instruction string, output_1 string, output_2 string, preference double"
+
+
+def read_annotations(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """S10 for judge annotations: (ord, instruction, output_1, output_2, preference)."""
+    rows = jsonfiles.read_array(spark, path, ANNOTATION, glob)
+    return rows.select(F.struct("file", "pos").alias("ord"), "record.*")
 
 
 SAMPLE_SCHEMA = "model string, shard int, ord bigint, prompt string, sample_ix int, completion string"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions import text as T
-from prefspark.operators import ordinals
+from prefspark.operators import epochs, ordinals
 from prefspark.sources.dialogue import last_wins, split_prompts
 
 
@@ -94,6 +94,60 @@ def se_pair_tally(answers: DataFrame) -> DataFrame:
     )
 
 
+class ScoredPairs:
+    """The i<j answer pairs of every question as a space of positions.
+
+    ``groups`` has one row per question of two answers or more: first_ord (its row)
+    and n_pairs = n(n-1)/2. ``rows`` turns positions into pairs: the triangular root
+    gives the two answers' places, and only the questions asked for have their answers numbered
+    and read. In pair (i, j) the chosen one is i when ``score_i > score_j``, else j."""
+
+    def __init__(self, answers: DataFrame):
+        self._answers = se_latest(answers).withColumnRenamed("q_ord", "first_ord")
+
+    @property
+    def groups(self) -> DataFrame:
+        n = F.count(F.lit(1))
+        sizes = self._answers.groupBy("first_ord").agg(n.alias("n"))
+        return sizes.where("n > 1").select("first_ord", F.expr("n * (n - 1) div 2").alias("n_pairs"), "n")
+
+    def rows(self, drawn: DataFrame) -> DataFrame:
+        """``drawn`` (first_ord, pair, n, ...) with prompt, chosen_ix, rejected_ix, chosen, rejected."""
+        i, j = epochs.unrank(F.col("pair"), F.col("n"))
+        asked = drawn.withColumn("_i", i).withColumn("_j", j)
+        wanted = self._answers.join(drawn.select("first_ord").distinct(), "first_ord", "left_semi")
+        placed = ordinals.index_within(wanted, ["first_ord"], "pos", out="_k").select(
+            "first_ord", (F.col("_k") - 1).alias("_k"), "question", F.concat(F.lit(" "), F.col("answer")).alias("text"), F.col("pm_score").alias("score"))
+        side = lambda k: placed.select(F.col("first_ord").alias(f"_f{k}"), F.col("_k").alias(f"_k{k}"), *[F.col(c).alias(f"_{c}{k}") for c in ("question", "text", "score")])
+        both = asked.join(side("i"), (F.col("first_ord") == F.col("_fi")) & (F.col("_i") == F.col("_ki")))
+        both = both.join(side("j"), (F.col("first_ord") == F.col("_fj")) & (F.col("_j") == F.col("_kj")))
+        first = F.coalesce(F.col("_scorei") > F.col("_scorej"), F.lit(False))
+        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+        return both.select(
+            *drawn.columns, T.dialogue_prompt("_questioni").alias("prompt"),
+            pick("_i", "_j").alias("chosen_ix"), pick("_j", "_i").alias("rejected_ix"),
+            pick("_texti", "_textj").alias("chosen"), pick("_textj", "_texti").alias("rejected"),
+        )
+
+
+class ListedPairs:
+    """Pairs that exist as rows, in the same form as ``ScoredPairs``. Pair k of a
+    prompt uses the responses (2k, 2k + 1); which of them is chosen is not known here."""
+
+    def __init__(self, pairs: DataFrame):
+        self._pairs = pairs
+
+    @property
+    def groups(self) -> DataFrame:
+        return self._pairs.groupBy("first_ord").agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("n", 2 * F.col("n_pairs"))
+
+    def rows(self, drawn: DataFrame) -> DataFrame:
+        mine = self._pairs.select(F.col("first_ord").alias("_f"), F.col("pair_ix").alias("_p"), "prompt", "chosen", "rejected")
+        both = drawn.join(mine, (F.col("first_ord") == F.col("_f")) & (F.col("pair") == F.col("_p")))
+        none = F.lit(None).cast("bigint")
+        return both.select(*drawn.columns, "prompt", none.alias("chosen_ix"), none.alias("rejected_ix"), "chosen", "rejected")
+
+
 def se_sft_target(answers: DataFrame) -> DataFrame:
     """S1 sft_target: best answer of the last occurrence of every question."""
     a = se_latest(answers).select(

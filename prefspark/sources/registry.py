@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.operators import epochs
+from prefspark.session import materialize
 from prefspark.sources import dialogue, io, records
 from prefspark.sources.fixtures import table, view
 
@@ -83,16 +85,17 @@ def _shp(spark, sf_dir, split, **kw):
     return (lambda: records.shp_sft_target(shp)), (lambda: _pairs_with_first(records.shp_pairs(shp)))
 
 
-def _se(spark, sf_dir, split, strip_html=False, **kw):
-    # Pair sets of scored answers are represented by per-answer tallies
-    # (see records.se_pair_tally); the training pairs table stays empty.
+def _se_answers(spark, sf_dir, split, strip_html=False, answers=None, **kw):
     # The fixture bodies are plain text, where T2 would empty them: strip only
     # when the source is HTML.
-    def sft():
-        ans = records.se_split(view(spark, sf_dir, "v_answers"), split)
-        return records.se_sft_target(records.se_clean(ans) if strip_html else ans)
+    ans = records.se_split(view(spark, sf_dir, "v_answers") if answers is None else answers, split)
+    return records.se_clean(ans) if strip_html else ans
 
-    return sft, None
+
+def _se(spark, sf_dir, split, **kw):
+    # The pairs of scored answers are never written as a table; preference
+    # training draws its batches from them (pair_sets, pair_batches).
+    return (lambda: records.se_sft_target(_se_answers(spark, sf_dir, split, **kw))), None
 
 
 def _sharegpt(spark, sf_dir, split, prefs=None, num_turns=1, data_fraction=1.0, **kw):
@@ -167,6 +170,54 @@ def get_dataset(spark: SparkSession, sf_dir: str, name: str, split: str = "train
     return Dataset(name, sft, pairs)
 
 
+def pair_sets(spark: SparkSession, sf_dir: str, names: list[str], split: str = "train", **kw):
+    """U1 in preference mode: the pair set of each dataset. Scored answers have theirs
+    as a space of positions, the others as rows; datasets without pairs raise."""
+    out = []
+    for name in names:
+        if name == "se":
+            out.append(records.ScoredPairs(_se_answers(spark, sf_dir, split, **kw)))
+            continue
+        own = {**kw, "prefs": view(spark, sf_dir, "v_annotations")} if name == "sharegpt" and "prefs" not in kw else kw
+        out.append(records.ListedPairs(get_dataset(spark, sf_dir, name, split, **own).pairs))
+    return out
+
+
+class PairBatches:
+    """Preference training over several datasets: any batch of any epoch, without
+    building what comes before it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, names: list[str], split: str = "train", seed: int = 0,
+                 shuffle: bool = True, **kw):
+        self.names, self._sets = names, pair_sets(spark, sf_dir, names, split, **kw)
+        groups = [s.groups.withColumn("dataset_ix", F.lit(ix)) for ix, s in enumerate(self._sets)]
+        every = groups[0]
+        for g in groups[1:]:
+            every = every.unionByName(g)
+        self.schedule = epochs.Schedule(every, ["dataset_ix", "first_ord"], seed, shuffle)
+
+    @property
+    def n(self) -> int:
+        """Pairs in an epoch."""
+        return self.schedule.n
+
+    def batches(self, numbers: list[int], batch_size: int, n_epochs: int = 1) -> DataFrame:
+        """The rows of the given batches (from 0) of each epoch; batches beyond the last
+        whole one have none."""
+        ranges = epochs.batch_ranges(self.n, batch_size, numbers)
+        drawn = self.schedule.drawn(n_epochs, ranges or [(0, 0)])
+        place = F.col("rn") - 1
+        drawn = materialize(drawn.withColumn("batch_id", F.call_function("div", place, F.lit(batch_size))).withColumn(
+            "pos_in_batch", F.pmod(place, F.lit(batch_size))))
+        out = None
+        for ix, (name, pairs) in enumerate(zip(self.names, self._sets)):
+            rows = pairs.rows(drawn.where(F.col("dataset_ix") == ix)).withColumn("dataset", F.lit(name))
+            out = rows if out is None else out.unionByName(rows)
+        mode = {n: "keep_end" if n in KEEP_END else "keep_start" for n in self.names}
+        ends = F.col("dataset").isin([n for n, m in mode.items() if m == "keep_end"])
+        return out.withColumn("truncation_mode", F.when(ends, "keep_end").otherwise("keep_start"))
+
+
 def mixture(spark: SparkSession, sf_dir: str, names: list[str], split: str = "train", mode: str = "pairs", **kw) -> DataFrame:
     """Rows of several datasets stacked (no cross-dataset dedupe), each tagged
     with its dataset, its place in the list and its truncation mode. ``mode`` is
@@ -179,7 +230,7 @@ def mixture(spark: SparkSession, sf_dir: str, names: list[str], split: str = "tr
         own = {**kw, "prefs": view(spark, sf_dir, "v_annotations")} if name == "sharegpt" and mode == "pairs" and "prefs" not in kw else kw
         ds = get_dataset(spark, sf_dir, name, split, **own)
         if mode == "pairs" and not ds.has_pairs:
-            raise ValueError(f"dataset '{name}' has no preference pairs; use mode='sft'")
+            raise ValueError(f"dataset '{name}' has no table of preference pairs; use mode='sft', or PairBatches for scored answers")
         rows = ds.pairs if mode == "pairs" else ds.sft
         part = rows.select(F.lit(name).alias("dataset"), F.lit(ix).alias("dataset_ix"), "*", F.lit(ds.truncation_mode).alias("truncation_mode"))
         out = part if out is None else out.unionByName(part)
