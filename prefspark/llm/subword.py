@@ -44,7 +44,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF_SHIFT = 2.7
 #: Power of the probabilities: below 1 the samples differ more.
 ALPHA = 0.5
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 18
 _SPACE = 0x2581
 #: Stands for a U+2581 of the text itself, which is no space.
 _LITERAL = 0x110000
