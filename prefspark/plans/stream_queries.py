@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefspark.plans.match_queries import stub_completion
+from prefspark.operators import throttle
 from prefspark.plans.registry import register
 from prefspark.sources import io
 from prefspark.sources.fixtures import table, view
@@ -53,15 +54,65 @@ def stream_metric_windows(spark, sf_dir):
     schema = events.schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     if schema["ts"].dataType.simpleString() == "timestamp_ntz":
-        ts = F.make_timestamp(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.minute("ts"),
-                              F.date_part(F.lit("SECOND"), F.col("ts")), F.lit("UTC"))
-        raw = raw.withColumn("ts", ts)
+        raw = raw.withColumn("ts", _utc("ts"))
     means = jobs.windowed_means(spark, raw, f"{root}/out", f"{root}/ckpt")
     return means.select(F.unix_seconds("window_start").alias("window_start"),
                         F.unix_seconds("window_end").alias("window_end"),
                         "n", F.round("mean_value", 6).alias("mean_value"))
 
 
+# ----------------------------------------------------------------- X2: the throttled log
+LOG_SECONDS = 5400
+_LOG_SQL = f"""
+    with recursive steps as (
+      select user_id % 4 as run, cast(epoch_us(ts) as bigint) as t, count(*) as n, avg(value) as mean from events
+      where ts is not null group by 1, 2),
+    chain(run, t) as (
+      select run, min(t) from steps group by run
+      union all
+      select run, t from (
+        select c.run, (select min(s.t) from steps s where s.run = c.run and s.t > c.t + {LOG_SECONDS * 10**6}) as t from chain c) z
+      where t is not null)
+    select s.run, s.t as logged_at, s.n, round(s.mean, 6) as mean from steps s join chain c on s.run = c.run and s.t = c.t"""
+
+
+def _metric_rows(spark, sf_dir):
+    """Events as metric rows of four runs, times in microseconds."""
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(_utc("ts") if events.schema["ts"].dataType.simpleString() == "timestamp_ntz" else F.col("ts"))
+    return events.select((F.col("user_id") % 4).alias("run"), at.alias("at"), "value")
+
+
+def _utc(ts: str):
+    """A wall-clock time as the instant at which UTC clocks show it."""
+    return F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.date_part(F.lit("SECOND"), F.col(ts)), F.lit("UTC"))
+
+
+@register("metric_log", "X2 A7", sql=_LOG_SQL)
+def metric_log(spark, sf_dir):
+    """A step's means when more than 90 minutes have passed since the run's last log."""
+    steps = throttle.steps_of(_metric_rows(spark, sf_dir), "run", "at", "value")
+    return throttle.throttled(steps, LOG_SECONDS * 10**6).select("run", F.col("at").alias("logged_at"), "n", F.round("mean", 6).alias("mean"))
+
+
+@register("stream_metric_log", "X2", sql=_LOG_SQL)
+def stream_metric_log(spark, sf_dir):
+    """The same log from a stream of files in the order of their times."""
+    root = io.scratch_path(spark, "stream_log")
+    rows = _metric_rows(spark, sf_dir)
+    # Files are taken in the order of their times of writing, so each range is its own write.
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    parts = 3
+    for k in range(parts if low is not None else 0):
+        edge = lambda j: low + (high - low + 1) * j // parts
+        rows.where((F.col("at") >= edge(k)) & (F.col("at") < edge(k + 1))).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    if low is None:
+        rows.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = jobs.throttled_log(spark, stream, f"{root}/out", f"{root}/ckpt", LOG_SECONDS * 10**6)
+    return out.select("run", F.col("at").alias("logged_at"), "n", F.round("mean", 6).alias("mean"))
+
+
 @register("stream_cache_backfill", "X3 J4 G3", views=("v_completions",), sql="""
     with r as (select distinct instruction, sha256(concat_ws(chr(1), 'gpt4', instruction)) as key
                from v_completions where model = 'teacher'),

@@ -209,6 +209,8 @@ def with_views(names: list[str], body: str) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{n} as ({duck_sql(n)})" for n in names)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

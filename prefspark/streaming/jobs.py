@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.operators import matching
+from prefspark.operators import matching, throttle
 
 
 def _batches_of(spark: SparkSession, root: str) -> DataFrame | None:
@@ -46,13 +46,41 @@ def keep_first_stream(spark: SparkSession, source: DataFrame, out: str, checkpoi
     q.awaitTermination()
 
 
-def read_latest(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Latest version of every key in an update-mode ``foreachBatch`` table."""
-    versions = spark.read.parquet(out)
+def read_latest(spark: SparkSession, out: str, key: str, schema: str | None = None) -> DataFrame:
+    """Latest version of every key in an update-mode ``foreachBatch`` table; an empty
+    table of ``schema`` when nothing was written yet."""
+    versions = _batches_of(spark, out)
+    if versions is None:
+        return spark.createDataFrame([], schema or f"{key} string")
     cols = [c for c in versions.columns if c not in (key, "batch_id")]
     return versions.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v")).select(key, "_v.*")
 
 
+def throttled_log(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, interval: int, run: str = "run",
+                  at: str = "at", value: str = "value") -> DataFrame:
+    """X2 as a stream: the log with a minimum interval between its lines
+    (``operators.throttle``). The only state is each run's last log, a row per run,
+    written with the lines of its micro-batch; a retried batch starts from the state of
+    the batch before it and rewrites the same folders. Steps are expected in the order of
+    their times, a step's rows in one micro-batch. An empty stream gives no rows."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        steps = throttle.steps_of(batch, run, at, value)
+        logged = _batches_of(spark, f"{out}/lines")
+        last = None
+        if logged is not None:
+            last = logged.where(F.col("batch_id") < batch_id).groupBy("run").agg(F.max("at").alias("at"))
+        throttle.throttled(steps, interval, last).write.mode("overwrite").parquet(f"{out}/lines/batch_id={batch_id}")
+
+    q = (source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    lines = _batches_of(spark, f"{out}/lines")
+    if lines is None:
+        kind = source.schema[run].dataType.simpleString()
+        return spark.createDataFrame([], f"run {kind}, at bigint, n bigint, mean double")
+    return lines.drop("batch_id")
+
+
 def windowed_means(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, ts: str = "ts",
                    value: str = "value", every: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """One mean per tumbling window (the throttled metric log); null values
@@ -76,7 +104,10 @@ def windowed_means(spark: SparkSession, source: DataFrame, out: str, checkpoint:
     q = (source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    parts = spark.read.parquet(out).groupBy("window_start", "window_end")
+    written = _batches_of(spark, out)
+    if written is None:  # an empty stream
+        return spark.createDataFrame([], "window_start timestamp, window_end timestamp, n bigint, mean_value double, n_late bigint")
+    parts = written.groupBy("window_start", "window_end")
     sums = parts.agg(*[F.sum(c).alias(c) for c in ("n", "n_values", "total", "n_late")])
     mean = F.when(F.col("n_values") > 0, F.col("total") / F.col("n_values"))
     return sums.select("window_start", "window_end", "n", mean.alias("mean_value"), "n_late")
