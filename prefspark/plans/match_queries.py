@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import text as T
 from prefspark.operators import matching, ordinals
+from prefspark.operators.cache import CompletionCache
 from prefspark.plans.batch_queries import _pieces
 from prefspark.plans.dialogue_queries import _sharegpt_sql
 from prefspark.plans.record_queries import _aiprefs_sql
@@ -268,6 +269,31 @@ def stub_completion(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+@register("cache_replace", "J4 G3 T10", views=("v_completions",), sql="""
+    with r as (select instruction, sha256(concat_ws(chr(1), 'gpt4', instruction)) as key, min(ord) as ord
+               from v_completions where model = 'teacher' group by instruction),
+    c as (select sha256(concat_ws(chr(1), 'gpt4', instruction)) as key, min_by(output, ord) as response, any_value(instruction) as instruction
+          from v_completions where model = 'sampled' and shard = 1 group by sha256(concat_ws(chr(1), 'gpt4', instruction)))
+    select coalesce(r.key, c.key) as key, coalesce(r.instruction, c.instruction) as instruction,
+           case when r.key is not null and (c.key is null or r.ord % 2 = 0) then 'stub:' || cast(length(r.instruction) as varchar)
+                else c.response end as response
+    from r full join c on r.key = c.key""")
+def cache_replace(spark, sf_dir):
+    """A store seeded with the samples of shard 1 answers the requests and keeps what
+    was missing; half of the requests are asked again with ``no_cache``, which replaces what
+    is stored; then the deltas are compacted. The result is the store."""
+    store = CompletionCache(spark, io.scratch_path(spark, "cache"))
+    v = view(spark, sf_dir, "v_completions").withColumn("key", F.sha2(F.concat_ws("\u0001", F.lit("gpt4"), "instruction"), 256))
+    seed = v.filter((F.col("model") == "sampled") & (F.col("shard") == 1)).groupBy("key").agg(
+        F.min_by("instruction", "ord").alias("instruction"), F.min_by("output", "ord").alias("response"), F.lit("stop").alias("finish_reason"))
+    store.put(seed)
+    asked = v.filter(F.col("model") == "teacher").groupBy("key").agg(F.min("instruction").alias("instruction"), F.min("ord").alias("ord"))
+    store.complete(asked.select("key", "instruction"), stub_completion)
+    store.complete(asked.where(F.col("ord") % 2 == 0).select("key", "instruction"), stub_completion, no_cache=True)
+    store.compact()
+    return store.rows().select("key", "instruction", "response")
+
+
 @register("cache_misses", "J4 G3 T10 F7 D16",views=("v_completions",), sql="""
     with r as (select distinct instruction, sha256(concat_ws(chr(1), 'gpt4', instruction)) as key
                from v_completions where model = 'teacher'),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from prefspark.session import ensure_checkpoint_dir
 from prefspark.sources import jsonfiles
+from prefspark.sources.snapshots import Snapshots
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -79,16 +80,17 @@ SAMPLE_SCHEMA = "model string, shard int, ord bigint, prompt string, sample_ix i
 def read_completion_rows(spark: SparkSession, path: str) -> DataFrame:
     """S10 for the JSON-lines layout written by ``write_completions``: one line
     per sample ``(model, shard, ord, prompt, sample_ix, completion)``."""
-    return spark.read.schema(SAMPLE_SCHEMA).json(path)
+    return Snapshots(spark, path).read(lambda folders: spark.read.schema(SAMPLE_SCHEMA).json(folders[0]), SAMPLE_SCHEMA)
 
 
 # ------------------------------------------------------------------- O1/O4
 def write_completions(df: DataFrame, path: str) -> str:
     """The completion dump as JSON lines, one line per sample, partitioned
-    by model; a rewrite replaces the previous dump (overwrite). The reference's
-    ``{prompt: [samples...]}`` object is the same data grouped; writing samples
+    by model. A rewrite is a new folder that replaces the old one in one step
+    (``sources.snapshots``): a reader, or a crash, sees the old dump or the new one. The
+    reference's ``{prompt: [samples...]}`` object is the same data grouped; writing samples
     as lines keeps a prompt repeated many times from becoming one huge row."""
-    df.write.mode("overwrite").partitionBy("model").json(path)
+    Snapshots(df.sparkSession, path).replace(lambda folder: df.write.partitionBy("model").json(folder))
     return path
 
 
