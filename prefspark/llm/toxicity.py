@@ -26,6 +26,7 @@ labels every score is 0.1; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -142,10 +143,13 @@ class Decoder:
     def words(self, text: bytes) -> set[str]:
         """The distinct words of the restored text."""
         tokens = text.decode("utf-8", "surrogatepass").lower().split()
-        out: set[str] = set()
-        for t in set(tokens):
-            out.update(self.token(t))
-        out.update(self._spaced(tokens))
+        distinct = set(tokens)
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            found = list(map(self.token, distinct))
+        out: set[str] = set().union(*found)
+        if 1 in map(len, distinct):
+            out.update(self._spaced(tokens))
         return out
 
     def _spaced(self, tokens: list[str]):
@@ -201,9 +205,12 @@ class Lexicon:
 
     def inputs(self, words: set[str]) -> list[float]:
         """What the regression sees: the largest weights and their number."""
-        top = sorted(map(self.of, words), reverse=True)
-        first = [max(x, 0.0) for x in (top[:3] + [0.0] * 3)[:3]]
-        strong = sum(x > 2.0 for x in top)
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = list(map(self.of, words))
+        found.sort()
+        first = [max(x, 0.0) for x in (found[:-4:-1] + [0.0] * 3)[:3]]
+        strong = len(found) - bisect.bisect_right(found, 2.0)
         return [*first, np.log1p(strong), strong / np.sqrt(len(words) + 1)]
 
 
@@ -222,15 +229,13 @@ def _count(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for text, toxic in zip(texts_of(b.column("text")), b.column("toxic").to_pylist()):
                 side = 1 if toxic else 0
-                ids: set[int] = set()
-                for w in decoder.words(text):
-                    f = known.get(w)
-                    if f is None:
-                        if len(known) >= MAX_CACHED:
-                            known.clear()
-                        f = known[w] = features(w)
-                    ids.update(f)
-                held[side, list(ids)] += 1
+                words = decoder.words(text)
+                parts = list(map(known.get, words))
+                if None in parts:
+                    if len(known) >= MAX_CACHED:
+                        known.clear()
+                    parts = [known.get(w) or known.setdefault(w, features(w)) for w in words]
+                held[side, list(set().union(*parts))] += 1
                 docs[side] += 1
         at = np.flatnonzero(held.any(axis=0))
         for k in range(0, len(at), 1 << 16):
