@@ -35,6 +35,8 @@ from prefspark.llm.common import prepare, saved, table
 
 #: Paragraphs of the corpus, beside the fixed ones, that stand for ``unknown``.
 MAX_UNKNOWN = 2000
+#: Different lines of the corpus among which these are found.
+LINES = 8000
 FEATURES = 1 << 14
 CONFIDENT = 0.7
 COVERED = 0.7
@@ -116,27 +118,31 @@ OTHERS = [
 ]
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line, words) of the lines that have words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
-    return rows.withColumn("words", _words(F.col("paragraph"))).where("size(words) > 0")
-
-
-def _spans(docs: DataFrame, id_col: str, text_col: str, longest: int) -> DataFrame:
-    """(row, doc_id, line, n_lines, words) of the lines that have words, and of
-    neighbouring ones joined. A notice has at most ``longest`` words: so have the
-    lines between its first and its last, and no more of those two is joined."""
-    lines = F.transform(F.split(text_col, "\n"), lambda p, k: F.struct(k.alias("line"), _words(p).alias("words")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), lines.alias("lines"))
-    spans = F.expr(f"""flatten(transform(lines, (l, i) -> aggregate(slice(lines, i + 2, {longest + 1}),
-        named_struct('open', size(l.words) > 0, 'inner', 0, 'words', slice(reverse(l.words), 1, {longest}),
-            'out', array(named_struct('line', l.line, 'n_lines', 1, 'words', l.words))),
-        (a, x) -> if(a.open and size(x.words) > 0 and a.inner <= {longest}, named_struct(
-            'open', true, 'inner', a.inner + size(x.words), 'words', concat(reverse(slice(x.words, 1, {longest})), a.words),
-            'out', concat(a.out, array(named_struct('line', l.line, 'n_lines', x.line - l.line + 1,
-                'words', reverse(concat(reverse(slice(x.words, 1, {longest})), a.words)))))),
-            named_struct('open', false, 'inner', a.inner, 'words', a.words, 'out', a.out)),
-        a -> a.out)))""")
+def _spans(docs: DataFrame, id_col: str, text_col: str, longest: int, telling: list[str]) -> DataFrame:
+    """(row, doc_id, line, n_lines, words) of the lines and of neighbouring ones
+    joined, as far as they hold a ``telling`` word. A notice has at most ``longest``
+    words: so have the lines between its first and its last, and no more of those two
+    is joined. Only texts with such a word are split, and only lines from which one is in reach
+    are joined."""
+    some = F.lit(False)
+    for w in telling:
+        some = some | F.contains(F.col("folded"), F.lit(w))
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    named = named.withColumn("folded", F.lower("text")).where(some)
+    with_words = F.transform(F.split("text", "\n"), lambda p, k: F.struct(k.alias("line"), _words(p).alias("words")))
+    hot = F.lit(telling)
+    lines = F.transform(F.col("lines"), lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.arrays_overlap(x["words"], hot).alias("hot")))
+    rows = named.select("row", "doc_id", with_words.alias("lines")).select("row", "doc_id", lines.alias("lines"))
+    spans = F.expr(f"""flatten(transform(lines, (l, i) -> if(exists(slice(lines, i + 1, {longest + 2}), x -> x.hot),
+        aggregate(slice(lines, i + 2, {longest + 1}),
+            named_struct('open', size(l.words) > 0, 'hot', l.hot, 'inner', 0, 'words', slice(reverse(l.words), 1, {longest}),
+                'out', if(l.hot, array(named_struct('line', l.line, 'n_lines', 1, 'words', l.words)), array())),
+            (a, x) -> if(a.open and size(x.words) > 0 and a.inner <= {longest}, named_struct(
+                'open', true, 'hot', a.hot or x.hot, 'inner', a.inner + size(x.words), 'words', concat(reverse(slice(x.words, 1, {longest})), a.words),
+                'out', if(a.hot or x.hot, concat(a.out, array(named_struct('line', l.line, 'n_lines', x.line - l.line + 1,
+                    'words', reverse(concat(reverse(slice(x.words, 1, {longest})), a.words))))), a.out)),
+                named_struct('open', false, 'hot', a.hot, 'inner', a.inner, 'words', a.words, 'out', a.out)),
+            a -> a.out), array())))""")
     return rows.select("row", "doc_id", F.explode(spans).alias("s")).select("row", "doc_id", "s.*").where("size(words) > 0")
 
 
@@ -163,15 +169,28 @@ def _telling(bigrams: list[str]) -> list[str]:
     return rare if len(rare) > (1 - COVERED) * len(bigrams) else bigrams
 
 
+def _telling_words(known: list[list[str]]) -> list[str]:
+    """One word of each telling bigram: a paragraph without any confirms nothing."""
+    telling = {b for bigrams in known for b in _telling(bigrams)}
+    return sorted({max(b.split(" "), key=lambda w: (w.isdigit(), len(w), w)) for b in telling})
+
+
 def _candidates(rows: DataFrame, known: list[list[str]]) -> DataFrame:
     """The paragraphs that may confirm one of the templates (lists of bigrams)."""
     telling = sorted({b for bigrams in known for b in _telling(bigrams)})
-    # One word of each bigram makes a cheaper test before it.
-    words = sorted({max(b.split(" "), key=lambda w: (w.isdigit(), len(w), w)) for b in telling})
-    some = rows.where(F.arrays_overlap("words", F.lit(words))).withColumn("bigrams", _bigrams(F.col("words")))
+    some = rows.withColumn("bigrams", _bigrams(F.col("words")))
     return some.where(F.arrays_overlap("bigrams", F.lit(telling)))
 
 
+def _lines_sample(docs: DataFrame, text_col: str) -> DataFrame:
+    """The words of the ``LINES`` different lines with the smallest hashes: the hashes
+    first, then the lines that have them."""
+    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).withColumn("key", F.xxhash64("line"))
+    keys = lines.where("line <> ''").groupBy("key").agg(F.count("*").alias("n")).orderBy("key").limit(LINES).select("key")
+    found = lines.join(F.broadcast(saved(keys)), "key").groupBy("key").agg(F.min("line").alias("line"))
+    return found.select(_words(F.col("line")).alias("words")).where("size(words) > 0")
+
+
 def train(spark: SparkSession, rows: DataFrame, templates: DataFrame):
     """The fitted classifier, its calibration (slope, intercept) and its families."""
     families = [*TEMPLATES, "unknown"]
@@ -222,9 +241,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prepare(spark)
     templates = _templates(spark)
     known = [(r.family, r.bigrams) for r in templates.select("family", "bigrams").collect()]  # a fixed list
-    rows = paragraphs(docs, id_col, text_col)
-    model, (slope, intercept), families = train(spark, rows, templates)
-    spans = _spans(docs, id_col, text_col, 2 * max(len(bigrams) + 1 for _, bigrams in known))
+    model, (slope, intercept), families = train(spark, _lines_sample(docs, text_col), templates)
+    telling = _telling_words([bigrams for _, bigrams in known])
+    spans = _spans(docs, id_col, text_col, 2 * max(len(bigrams) + 1 for _, bigrams in known), telling)
     found = _candidates(spans, [bigrams for _, bigrams in known]).withColumn("grams", F.concat("words", "bigrams"))
     found = model.transform(found).select(
         "row",
