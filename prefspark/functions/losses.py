@@ -93,6 +93,14 @@ def mean_metrics(bag: DataFrame, keys=("step",)) -> DataFrame:
                           .otherwise(F.col("value")))
 
 
+def mean_of_metrics(df: DataFrame, metrics: dict[str, Column], keys=("step",)) -> DataFrame:
+    """``mean_metrics`` of metrics that are columns: one row per key with all means,
+    and only these rows are turned into (keys..., metric, value)."""
+    means = df.groupBy(*keys).agg(*[F.avg(c.cast("double")).alias(f"_{k}") for k, c in enumerate(metrics.values())])
+    bag = metric_bag(means, {name: F.exp(-F.col(f"_{k}")) if "ppl" in name else F.col(f"_{k}") for k, name in enumerate(metrics)}, keys)
+    return bag.select(*keys, "metric", "value")
+
+
 def sequence_logps(tokens: DataFrame, keys=("example_id",)) -> DataFrame:
     """A6/M9 over long token rows ``(example_id, pos, logp, label)``: the label
     sequence is shifted by one (position 0 never counts) and -100 is masked.
@@ -106,15 +114,6 @@ def sequence_logps(tokens: DataFrame, keys=("example_id",)) -> DataFrame:
     ).withColumn("logp_mean", F.try_divide(F.col("logp_sum"), F.col("n_tokens")))
 
 
-def sequence_logps_arrays(logp="logp", labels="labels") -> tuple[Column, Column]:
-    """A6 for array columns: (sum, mean) of ``logp[t]`` over ``t >= 1`` where
-    ``labels[t] != -100``."""
-    pairs = F.arrays_zip(_c(logp).alias("lp"), _c(labels).alias("lb"))
-    kept = F.filter(F.slice(pairs, 2, F.greatest(F.size(_c(labels)) - 1, F.lit(0))), lambda z: z["lb"] != -100)
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, z: acc + z["lp"].cast("double"))
-    return total, F.try_divide(total, F.size(kept))
-
-
 def perplexity_macro(seq: DataFrame, keys=("step",)) -> DataFrame:
     """``exp(-mean over examples of the per-example mean log-prob)``."""
     return seq.groupBy(*keys).agg(F.exp(-F.avg("logp_mean")).alias("ppl_macro"))

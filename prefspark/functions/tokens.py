@@ -36,6 +36,39 @@ def pieces(s) -> Column:
     return F.regexp_extract_all(spaced, F.lit(r"(\S+)"), 1)
 
 
+_EOS_MARK = "\ue000"  # stands for the EOS text while a text is cut into pieces
+
+
+def spans(s) -> Column:
+    """The pieces of ``s`` with the white space before each, so that the first k of them
+    are a slice of the text; as many as ``pieces`` has."""
+    marked = F.replace(F.coalesce(_c(s), F.lit("")), F.lit(EOS_TEXT), F.lit(_EOS_MARK))
+    return F.regexp_extract_all(marked, F.lit(rf"(\s*(?:{_EOS_MARK}|[^\s{_EOS_MARK}]+))"), 1)
+
+
+def decode_first(s, k) -> Column:
+    """K9: the text of the first ``k`` tokens of ``s``, white space as it was. EOS is a
+    special token and leaves no text."""
+    kept = F.array_join(F.slice(spans(s), 1, _c(k)), "")
+    return F.replace(kept, F.lit(_EOS_MARK), F.lit(""))
+
+
+def pandas_span_tokenizer(encode: Callable[[str], list[tuple[int, int]]]):
+    """G1 with a way back: wrap a per-text ``encode`` that gives (id, end of the token
+    in the text) per token. Returns (tokenize, decode_first) for one column each."""
+    token = T.StructType([T.StructField("id", T.LongType()), T.StructField("end", T.IntegerType())])
+
+    @F.pandas_udf(T.ArrayType(token))
+    def tok(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: [{"id": int(i), "end": int(e)} for i, e in encode(t)])
+
+    def first(s, k) -> Column:
+        end = F.try_element_at(tok(_c(s)), F.greatest(_c(k), F.lit(1)).cast("int"))["end"]
+        return F.when(_c(k) > 0, F.substring(_c(s), F.lit(1), F.coalesce(end, F.length(_c(s))))).otherwise(F.lit(""))
+
+    return (lambda s: F.transform(tok(_c(s)), lambda t: t["id"])), first
+
+
 def piece_id(p: Column) -> Column:
     h = F.conv(F.substring(F.md5(p), 1, 8), 16, 10).cast("bigint")
     return F.when(p == EOS_TEXT, F.lit(EOS_ID).cast("bigint")).otherwise(

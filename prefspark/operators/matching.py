@@ -62,19 +62,20 @@ def too_long_count(firsts: DataFrame, max_words: int = T.MAX_WORDS, max_chars: i
     )
 
 
-def teacher_outputs(sft: DataFrame, max_length: int = 1024, max_prompt_length: int = 256) -> DataFrame:
+def teacher_outputs(sft: DataFrame, max_length: int = 1024, max_prompt_length: int = 256,
+                    tokenize=K.default_tokenize, decode_first=K.decode_first) -> DataFrame:
     """``get_ai_outputs``: SFT prompts in insertion order; instruction = trimmed
-    template (T5); output = the decoded target tokens left after K2/K3
-    truncation (T6/K9; EOS is a special token and not decoded)."""
-    p = K.pieces("prompt")
-    c = K.pieces("sft_target")
-    longer = F.size(c) + 1
-    p2 = F.when(F.size(p) + longer <= max_length, p).otherwise(K.take_last(p, max_prompt_length))
-    still = F.size(p2) + longer > max_length
-    kept = F.when(still, F.least(F.lit(max_length - max_prompt_length), F.size(c))).otherwise(F.size(c))
-    return sft.select(
+    template (T5); output = the text of the target tokens left after K2/K3
+    truncation (T6/K9), a slice of the target with its white space. A tokenizer of one's
+    own comes with its way back (``tokens.pandas_span_tokenizer``)."""
+    sizes = sft.withColumn("_p", F.size(tokenize(F.col("prompt")))).withColumn("_c", F.size(tokenize(F.col("sft_target"))))
+    longer = F.col("_c") + 1
+    cut = F.least(F.col("_p"), F.lit(max_prompt_length)) if max_prompt_length else F.col("_p")
+    left = F.when(F.col("_p") + longer <= max_length, F.col("_p")).otherwise(cut)
+    kept = F.when(left + longer > max_length, F.least(F.lit(max_length - max_prompt_length), F.col("_c"))).otherwise(F.col("_c"))
+    return sizes.withColumn("_k", kept).select(
         T.strip_template("prompt").alias("instruction"),
-        F.array_join(F.slice(c, 1, kept), " ").alias("output"),
+        decode_first(F.col("sft_target"), F.col("_k")).alias("output"),
         F.col("first_ord").alias("ord"),
     )
 
@@ -113,13 +114,18 @@ def comparison_rows(capped: DataFrame, model1: str, model2: str) -> DataFrame:
 
 
 def fast_forward(prompts: DataFrame, ff: int, order: str = "ord") -> DataFrame:
-    """1-based prompt index; prompts with index < ff are skipped."""
-    return ordinals.dense_index(prompts, order, "prompt_idx").filter(F.col("prompt_idx") >= ff)
+    """1-based prompt index; prompts with index < ff are skipped. Prompts that
+    have their ``prompt_idx`` already are not numbered again."""
+    return _numbered(prompts, order).filter(F.col("prompt_idx") >= ff)
+
+
+def _numbered(prompts: DataFrame, order: str) -> DataFrame:
+    return prompts if "prompt_idx" in prompts.columns else ordinals.dense_index(prompts, order, "prompt_idx")
 
 
 def fast_forward_batches(prompts: DataFrame, ff: int, chunk: int, order: str = "ord") -> DataFrame:
     """batches of ``chunk`` prompts; batch b (1-based) runs when ``b*chunk >= ff``."""
-    idx = ordinals.dense_index(prompts, order, "prompt_idx")
+    idx = _numbered(prompts, order)
     batch = F.ceil(F.col("prompt_idx") / chunk)
     return idx.withColumn("batch_idx", batch.cast("bigint")).filter(F.col("batch_idx") * chunk >= ff)
 

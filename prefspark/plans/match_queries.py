@@ -7,14 +7,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from prefspark.functions import text as T
+from prefspark.functions import tokens as K
 from prefspark.operators import matching, ordinals
 from prefspark.operators.cache import CompletionCache
 from prefspark.plans.batch_queries import _pieces
 from prefspark.plans.dialogue_queries import _sharegpt_sql
 from prefspark.plans.record_queries import _aiprefs_sql
 from prefspark.plans.registry import register
+from prefspark.session import materialize
 from prefspark.sources import dialogue, io, jsonfiles, records
-from prefspark.sources.fixtures import view
+from prefspark.sources.fixtures import table, view
 from prefspark.sources.registry import get_dataset
 
 NN = "chr(10) || chr(10)"
@@ -133,14 +135,33 @@ def _holdout_sql(with_outputs: bool = True) -> str:
                     row_number() over (order by first_ord) as rn from full_rec)"""
 
 
+def _slice_sql(text: str, k: str) -> str:
+    """``tokens.decode_first`` in SQL."""
+    mark = "chr(57344)"
+    found = f"regexp_extract_all(replace(coalesce({text}, ''), '{K.EOS_TEXT}', {mark}), '(\\s*(?:' || {mark} || '|[^\\s' || {mark} || ']+))', 1)"
+    return f"replace(array_to_string(list_slice({found}, 1, {k}), ''), {mark}, '')"
+
+
+@register("decoded_targets", "K9 T6 K3", sql=f"""
+    with t as (select doc_id, lang, replace(replace(text, '. ', '.' || chr(9)), ', ', ',' || chr(10) || chr(10) || ' ') || '</s> end' as target from documents),
+    q as (select *, len({_pieces('target')}) as n from t)
+    select doc_id, lang as instruction, {_slice_sql('target', 'case when n + 2 + 1 + 1 > 64 then least(48, n) else n end')} as output from q""")
+def decoded_targets(spark, sf_dir):
+    """K9 over whole texts with tabs, blank lines and an EOS text: the kept tokens'
+    text is a slice of the target."""
+    target = F.replace(F.replace("text", F.lit(". "), F.lit(".\t")), F.lit(", "), F.lit(",\n\n "))
+    sft = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("first_ord"), T.single_turn_prompt("lang").alias("prompt"), F.concat(target, F.lit("</s> end")).alias("sft_target"))
+    return matching.teacher_outputs(sft, 64, 16).select(F.col("ord").alias("doc_id"), "instruction", "output")
+
+
 @register("holdout_prefix", "J3 T6 K9 A11", views=("v_turns",), sql=f"""
     with {_holdout_sql()},
     p as (select 'Human: ' || instruction || {NN} || 'Assistant: ' as prompt, * from tchr),
     q as (select *, {_pieces('sft_target')} as cc, len({_pieces('prompt')}) as np from p),
     r as (select *, case when np + len(cc) + 1 <= 64 then np else least(np, 16) end as np2 from q)
     select instruction,
-           array_to_string(list_slice(cc, 1, case when np2 + len(cc) + 1 > 64 then least(48, len(cc)) else len(cc) end),
-                           ' ') as output,
+           {_slice_sql('sft_target', 'case when np2 + len(cc) + 1 > 64 then least(48, len(cc)) else len(cc) end')} as output,
            ord
     from r where rn > (select count(*) from part_rec)""")
 def holdout_prefix(spark, sf_dir):
@@ -193,7 +214,10 @@ def template_strip(spark, sf_dir):
         "shard", T.single_turn_prompt("instruction").alias("prompt"),
         F.concat(F.lit("  "), "output", F.lit(" ")).alias("completion"))
     form = io.alpaca_form(s, keep=("shard", "completion"))
-    return form.select("shard", "instruction", "output", T.strip_ws("completion").alias("output_ws"))
+    rows = form.select("instruction", "output", "shard", T.strip_ws("completion").alias("output_ws"))
+    path = jsonfiles.write_array(rows, io.scratch_path(spark, "alpaca"))  # O2 as the reference has it: an array of objects
+    back = jsonfiles.read_array(spark, path, "instruction string, output string, shard int, output_ws string")
+    return back.select("record.shard", "record.instruction", "record.output", "record.output_ws")
 
 
 @register("fast_forward", "F11 F12", views=("v_turns",), sql=f"""
@@ -204,6 +228,7 @@ def template_strip(spark, sf_dir):
     select 'batch', prompt, cast(prompt_idx as bigint) from i where ceil(prompt_idx / {CHUNK}) * {CHUNK} >= {FF}""")
 def fast_forward(spark, sf_dir):
     sft = dialogue.sharegpt_sft(view(spark, sf_dir, "v_turns"), "combined", num_turns=1)
+    sft = materialize(ordinals.dense_index(sft.select("prompt", "first_ord"), "first_ord", "prompt_idx"))
     a = matching.fast_forward(sft, FF, "first_ord").select(F.lit("prompt").alias("kind"), "prompt", "prompt_idx")
     b = matching.fast_forward_batches(sft, FF, CHUNK, "first_ord").select(F.lit("batch").alias("kind"), "prompt",
                                                                           "prompt_idx")

@@ -81,8 +81,7 @@ def _metric_sql() -> str:
 @register("dpo_metrics", "M7 M8 A7 A10 D13", views=("v_logps",), sql=_metric_sql())
 def dpo_metrics(spark, sf_dir):
     df = _policy_reference(spark, sf_dir)
-    bag = L.metric_bag(df, L.dpo_metric_columns(BETA))
-    return L.mean_metrics(bag).select("step", "metric", F.round("value", 6).alias("value"))
+    return L.mean_of_metrics(df, L.dpo_metric_columns(BETA)).select("step", "metric", F.round("value", 6).alias("value"))
 
 
 _SEQ_SQL = """seq as (select example_id, example_id % 4 as step,
@@ -156,12 +155,9 @@ def throughput(spark, sf_dir):
 def eval_predictions(spark, sf_dir):
     """Per-example accuracies and losses zipped by example id, written as
     ``acc,loss`` lines (O5) and read back."""
-    df = _policy_reference(spark, sf_dir)
     chosen, rejected = L.rewards(BETA)
-    acc = df.select("example_id", (chosen > rejected).cast("double").alias("acc"))
-    loss = df.select("example_id", L.preference_loss(BETA).alias("loss"))
-    zipped = acc.join(loss, "example_id")
-    path = io.write_predictions(zipped.select(F.round("acc", 6).alias("acc"), F.round("loss", 6).alias("loss")),
-                                io.scratch_path(spark, "predictions"))
+    zipped = _policy_reference(spark, sf_dir).select(
+        F.round((chosen > rejected).cast("double"), 6).alias("acc"), F.round(L.preference_loss(BETA), 6).alias("loss"))
+    path = io.write_predictions(zipped, io.scratch_path(spark, "predictions"))
     back = spark.read.schema("acc double, loss double").csv(path)
     return back.select("acc", "loss")

@@ -377,6 +377,31 @@ def test_bt_first_step_closed_form(spark):
         assert abs(r[item] - 0.01 * (t.wins - t.losses) / (2 * n)) < 1e-12
 
 
+def test_bt_fit_reaches_the_loops_end_and_the_optimum(spark):
+    import numpy as np
+
+    counts = {(0, 1): 9, (1, 0): 4, (1, 2): 7, (2, 1): 6, (0, 2): 8, (2, 0): 3}
+    pairs = spark.createDataFrame([(w, l, n) for (w, l), n in counts.items()], "w int, l int, n bigint")
+    total = sum(counts.values())
+
+    def gradient(r):
+        g = np.zeros(3)
+        for (w, l), n in counts.items():
+            pull = n / total / (1 + np.exp(r[w] - r[l]))
+            g[w] -= pull
+            g[l] += pull
+        return g
+
+    r = np.zeros(3)
+    for _ in range(1500):
+        r -= 0.02 * gradient(r)
+    got = {x.item: x.reward for x in bt.fit_to_the_end(pairs, 1500, 0.02, spans=4).collect()}
+    assert max(abs(got[k] - r[k]) for k in range(3)) < 2e-4
+    fitted = bt.fit_to_the_end(pairs, 10_000, 0.02, spans=12, tol=1e-4)
+    at = np.array([x.reward for x in fitted.orderBy("item").collect()])
+    assert np.abs(gradient(at)).max() <= 1e-4  # the loss has its optimum where this is 0
+
+
 def test_bt_ranks_items_by_their_wins(spark):
     rnd = random.Random(11)
     samples = spark.createDataFrame([(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(500)], ["winner", "loser"])

@@ -60,5 +60,48 @@ def test_repeated_key_keeps_first_place_and_last_value(spark, tmp_path):
 
 
 def test_preference_mode_needs_pairs(spark):
-    with pytest.raises(ValueError, match="no preference pairs"):
+    with pytest.raises(ValueError, match="no table of preference pairs"):
         registry.mixture(spark, SMALL, ["hh", "ultrachat"])
+
+
+def test_empty_streams_give_no_rows(spark):
+    root = io.scratch_path(spark, "t-empty")
+    schema = "run int, at bigint, ts timestamp, value double"
+    spark.createDataFrame([], schema).write.parquet(f"{root}/in")
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{root}/none")
+    spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/none"))
+    assert jobs.windowed_means(spark, stream(), f"{root}/w", f"{root}/c1").count() == 0
+    log = jobs.throttled_log(spark, stream(), f"{root}/l", f"{root}/c2", 10)
+    assert log.columns == ["run", "at", "n", "mean"] and log.count() == 0
+    assert jobs.read_latest(spark, f"{root}/nothing", "instruction").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_throttled_log_follows_the_last_log(spark, seed):
+    import random
+
+    from prefspark.operators import throttle
+
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([None, "a", "b"]), rnd.randrange(0, 400) * rnd.choice([1, 1, 7]), float(k)) for k in range(250)]
+    df = spark.createDataFrame(rows, "run string, at bigint, value double")
+    got = {(r.run, r["at"]) for r in throttle.throttled(throttle.steps_of(df, "run", "at", "value"), 25).collect()}
+    want = set()
+    for run in {r[0] for r in rows}:
+        last = None
+        for at in sorted({r[1] for r in rows if r[0] == run}):
+            if last is None or at - last > 25:
+                want.add((run, at))
+                last = at
+    assert got == want
+
+
+def test_streamed_log_equals_the_whole_one(spark):
+    from prefspark.operators import throttle
+
+    root = io.scratch_path(spark, "t-log")
+    rows = [(1, at, float(at)) for at in (0, 3, 9, 10, 11, 30, 31, 42, 100, 101)]
+    source = _stream(spark, rows, "run int, at bigint, value double", root)
+    got = jobs.throttled_log(spark, source, f"{root}/out", f"{root}/ckpt", 10)
+    whole = throttle.throttled(throttle.steps_of(spark.createDataFrame(rows, "run int, at bigint, value double"), "run", "at", "value"), 10)
+    assert sorted(r["at"] for r in got.collect()) == sorted(r["at"] for r in whole.collect()) == [0, 11, 30, 42, 100]
