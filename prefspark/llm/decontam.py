@@ -13,7 +13,7 @@ one item, so blocks lose nothing. ``clean`` cuts and judges on what all blocks
 found in the same text. Documents are never shuffled.
 
 Defined results: a null or empty text has no words and no hits; items without
-words, and null items, match nothing; repeated items are separate items (each
+words or without text match nothing; an item with a null id counts for the hits only; repeated items are separate items (each
 id counts once); repeated document rows are answered row by row; an empty
 benchmark or document table gives zero hits or no rows. Columns besides the id
 and the text are ignored by ``scan`` and carried unchanged by ``clean``.
@@ -162,17 +162,31 @@ class Automaton:
         return spans, found, longest
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """The benchmark as lists of (item id, text), each of a bounded size: the sum
-    of the lengths sets the number of blocks, a hash of the id deals items out."""
-    items = benchmark.select(
-        F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")
-    ).where("text is not null and item is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes))  # half full on average, so that uneven blocks fit
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item, r.text.encode()) for r in rows.toLocalIterator()]
+class Blocks:
+    """The benchmark as lists of (item id, text), each of a bounded size: the sum of the
+    lengths sets the number of blocks, a hash deals the items out. With several blocks
+    the items are saved once, sorted by block, so that each block's read skips the
+    others. One block at a time is on the driver and broadcast; it is released when
+    the next one is asked for. Items with a null id are kept: their windows are hits."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
+        items = benchmark.select(
+            F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")
+        ).where("text is not null")
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n = max(1, -(-2 * total // block_bytes))  # half full on average, so that uneven blocks fit
+        if self.n > 1:
+            block = F.pmod(F.xxhash64("item", "text"), F.lit(self.n))
+            items = saved(items.withColumn("block", block).sort("block"))
+        self._items, self._open = items, None
+
+    def __getitem__(self, k: int):
+        if self._open is not None:
+            self._open.unpersist()
+        rows = self._items.where(F.col("block") == k) if self.n > 1 else self._items
+        block = [(r.item, r.text.encode()) for r in rows.select("item", "text").toLocalIterator()]
+        self._open = self._items.sparkSession.sparkContext.broadcast(block)
+        return self._open
 
 
 def _merged(spans):
@@ -211,18 +225,13 @@ def scan(
     prepare(spark)
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = out.schema["doc_id"].dataType
-    blocks = list(_broadcasts(spark, benchmark, item_col, item_text, block_bytes))
-    for k, block in enumerate(blocks):
-        last = k + 1 == len(blocks)
-        out = _scan_block(saved(out) if k else out, block, window, keep_text=not last, id_type=id_type)
+    blocks = Blocks(benchmark, item_col, item_text, block_bytes)
+    for k in range(blocks.n):
+        before = saved(out) if k else out  # ends the use of the block before
+        out = _scan_block(before, blocks[k], window, keep_text=k + 1 < blocks.n, id_type=id_type)
     return out
 
 
-def _broadcasts(spark, benchmark, item_col, item_text, block_bytes):
-    for items in blocks_of(benchmark, item_col, item_text, block_bytes):
-        yield spark.sparkContext.broadcast(items)
-
-
 def _scan_block(docs: DataFrame, block, window: int, keep_text: bool, id_type) -> DataFrame:
     again = "spans" in docs.columns
 
@@ -238,7 +247,7 @@ def _scan_block(docs: DataFrame, block, window: int, keep_text: bool, id_type) -
                 spans, items, longest = auto.scan(words)
                 cols[0].append(len(words))
                 cols[1].append([{"start": x, "end": y} for x, y in _merged([*spans, *((s["start"], s["end"]) for s in s0)])])
-                cols[2].append(sorted(items.union(i0)))
+                cols[2].append(sorted(items.union(i0) - {None}))
                 cols[3].append(max(longest, l0))
             arrays = [pa.array(c, t) for c, (_, t) in zip(cols, _FOUND_ARROW)]
             kept = ["doc_id", *["text"] * keep_text]
@@ -266,7 +275,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 _SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 
-def _clean_round(docs: DataFrame, text_col: str, spans_col: str, blocks: list, window: int, max_coverage: float) -> DataFrame:
+def _clean_round(docs: DataFrame, text_col: str, spans_col: str, blocks: Blocks, window: int, max_coverage: float) -> DataFrame:
     """``docs`` with the spans that any of the blocks covers cut out of the texts,
     and with the spans in ``spans_col``; without documents of which more than
     ``max_coverage`` is covered. Every block scans the same text, so neither the
@@ -274,9 +283,10 @@ def _clean_round(docs: DataFrame, text_col: str, spans_col: str, blocks: list, w
     at, names = docs.columns.index(text_col), [*docs.columns, spans_col]
     schema = StructType([*docs.schema, StructField(spans_col, _SPANS)])
     out = docs
-    for k, block in enumerate(blocks):
+    for k in range(blocks.n):
+        block = blocks[k]
 
-        def run(batches, block=block, again=k > 0, last=k + 1 == len(blocks)):
+        def run(batches, block=block, again=k > 0, last=k + 1 == blocks.n):
             auto = Automaton(block.value, window)
             for b in batches:
                 columns = b.columns
@@ -317,7 +327,7 @@ def clean(
     spark = docs.sparkSession
     prepare(spark)
     spans = free_name(docs.columns, "spans")
-    blocks = list(_broadcasts(spark, benchmark, item_col, item_text, block_bytes))
+    blocks = Blocks(benchmark, item_col, item_text, block_bytes)
     settled, left = None, docs
     while True:
         left = _clean_round(left, text_col, spans, blocks, window, max_coverage)

@@ -29,7 +29,7 @@ with d as (
   group by doc_id
 ), its as (
   select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha
-  from (select distinct doc_id, cast(item_id as varchar) as item from m) group by doc_id
+  from (select distinct doc_id, cast(item_id as varchar) as item from m where item_id is not null) group by doc_id
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256,

@@ -74,6 +74,15 @@ def test_oracle(spark, name):
 
 # -- 8: decontamination --------------------------------------------------------
 
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_items_without_an_id_count_for_the_hits(spark, docs_of, block_bytes):
+    items = spark.createDataFrame([(None, "a b c d e f g h i j"), (None, "q r s"), (7, "k l m"), (8, None)], "item_id bigint, text string")
+    docs = docs_of(["x a b c d e f g h i j y", "k l m q r s", "z"])
+    got = {r.doc_id: ([(x.start, x.end) for x in r.spans], r["items"]) for r in decontam.scan(docs, items, block_bytes=block_bytes).collect()}
+    assert got == {0: ([(1, 11)], []), 1: ([(0, 6)], ["7"]), 2: ([], [])}
+
+
 ITEMS = [
     ("a", "one two three four five six seven eight nine ten eleven twelve"),
     ("b", "Short item, here!"),
