@@ -32,8 +32,9 @@ def stream_dedupe(spark, sf_dir):
     for s in shards:
         sampled.filter(F.col("shard") == s).write.mode("append").json(src_dir)
         stream = spark.readStream.schema(_SAMPLED_SCHEMA).json(src_dir)
-        jobs.keep_first_stream(spark, stream, out, ckpt)
-    res = jobs.read_latest(spark, out, "instruction")
+        jobs.keep_first_stream(spark, stream, out, ckpt, lambda files: spark.read.schema(_SAMPLED_SCHEMA).json(files))
+    jobs.compact_latest(spark, out, "instruction")
+    res = jobs.read_latest(spark, out, "instruction", "instruction string, output string, shard int, ord bigint")
     return res.select("instruction", "output", F.col("shard").cast("bigint").alias("shard"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefspark.operators import matching, throttle
+from prefspark.session import materialize
 
 
 def _batches_of(spark: SparkSession, root: str) -> DataFrame | None:
@@ -28,22 +29,52 @@ def _batches_of(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def keep_first_stream(spark: SparkSession, source: DataFrame, out: str, checkpoint: str,
-                      key: str = "instruction", order=("shard", "ord"), value: str = "output") -> None:
-    """Incremental keep-first ingest as a stateful streaming aggregate: the
-    state store keeps, per key, the row that comes first in (file, position)
-    order; update mode emits only keys whose first row changed in the
-    micro-batch, written as ``out/batch_id=<id>`` (work per batch is bounded by
-    the batch, not by everything ingested so far). Use ``read_latest`` to read
-    the table."""
-    first = source.groupBy(key).agg(
-        F.min_by(F.struct(F.col(value).alias(value), *[F.col(c) for c in order]), F.struct(*order)).alias("_f"))
+                      fetch: Callable[[list[str]], DataFrame], key: str = "instruction", order=("shard", "ord"),
+                      value: str = "output") -> dict | None:
+    """Incremental keep-first ingest of files. The state store keeps, per key, its
+    digest and the place (``order``, file) of the row that comes first, no text: its
+    size doesn't depend on how long texts are. Update mode emits the keys whose
+    first row changed in the micro-batch; only then the texts are read, by
+    ``fetch(files)`` from the micro-batch's own files, and written as
+    ``out/batch_id=<id>`` (work per batch is bounded by the batch, not by everything
+    ingested so far). ``read_latest`` reads the table, ``compact_latest`` merges it.
+    Returns the last progress of the stream."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256))
+    place = F.struct(*order)
+    first = source.select(digest.alias("_key"), F.col("_metadata.file_path").alias("_file"), *order).groupBy("_key").agg(
+        F.min(F.struct(place.alias("at"), F.col("_file").alias("file"))).alias("_f"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        batch.select(key, "_f.*").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        changed = materialize(batch.select("_key", "_f.file", *[F.col(f"_f.at.{c}").alias(f"_{c}") for c in order]))
+        files = [r[0] for r in changed.select("file").distinct().collect()]  # of this micro-batch
+        if not files:
+            return
+        rows = fetch(files).withColumn("_d", digest)
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
+        found = rows.join(changed, [F.col("_d") == F.col("_key"), *same]).dropDuplicates(["_key"])
+        found.select(key, value, *order).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (first.writeStream.outputMode("update").foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return q.lastProgress
+
+
+def compact_latest(spark: SparkSession, out: str, key: str) -> None:
+    """Merge the batches of an update-mode table. The merged rows become a folder
+    with a number below all others, so whatever is still there wins over them; then
+    the merged folders go, the oldest first. Readers between two steps, and a run after
+    a failure at any of them, find every key's latest version."""
+    whole = _batches_of(spark, out)
+    if whole is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path(out))]
+    old = sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+    read_latest(spark, out, key).write.parquet(f"{out}/batch_id={min(old[0], 0) - 1}")
+    for number in old:
+        fs.delete(path(f"{out}/batch_id={number}"), True)
 
 
 def read_latest(spark: SparkSession, out: str, key: str, schema: str | None = None) -> DataFrame:

@@ -105,3 +105,28 @@ def test_streamed_log_equals_the_whole_one(spark):
     got = jobs.throttled_log(spark, source, f"{root}/out", f"{root}/ckpt", 10)
     whole = throttle.throttled(throttle.steps_of(spark.createDataFrame(rows, "run int, at bigint, value double"), "run", "at", "value"), 10)
     assert sorted(r["at"] for r in got.collect()) == sorted(r["at"] for r in whole.collect()) == [0, 11, 30, 42, 100]
+
+
+def test_state_of_keep_first_holds_no_texts(spark):
+    schema = "shard int, ord bigint, instruction string, output string"
+    sizes = []
+    for text in ("x", "x" * 20_000):
+        root = io.scratch_path(spark, "t-state")
+        spark.createDataFrame([(0, k, f"{text}{k}", f"out {k}") for k in range(60)], schema).write.json(f"{root}/in")
+        last = jobs.keep_first_stream(spark, spark.readStream.schema(schema).json(f"{root}/in"), f"{root}/out", f"{root}/ckpt",
+                                      lambda files: spark.read.schema(schema).json(files))
+        sizes.append(sum(s["memoryUsedBytes"] for s in last["stateOperators"]))
+        assert jobs.read_latest(spark, f"{root}/out", "instruction").count() == 60
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_an_earlier_row_replaces_and_compaction_keeps_it(spark):
+    root, schema = io.scratch_path(spark, "t-first"), "shard int, ord bigint, instruction string, output string"
+    for wave in ([(1, 5, "a", "late"), (1, 6, "b", "b1")], [(0, 9, "a", "early"), (2, 0, "b", "b2"), (2, 1, None, "none")]):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").json(f"{root}/in")
+        jobs.keep_first_stream(spark, spark.readStream.schema(schema).json(f"{root}/in"), f"{root}/out", f"{root}/ckpt",
+                               lambda files: spark.read.schema(schema).json(files))
+    want = {("a", "early"), ("b", "b1"), (None, "none")}
+    for _ in range(2):
+        assert {(r.instruction, r.output) for r in jobs.read_latest(spark, f"{root}/out", "instruction").collect()} == want
+        jobs.compact_latest(spark, f"{root}/out", "instruction")
