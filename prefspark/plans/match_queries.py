@@ -290,7 +290,7 @@ def stub_completion(pdf: pd.DataFrame) -> pd.DataFrame:
     out = pdf.copy()
     n = out["instruction"].str.len()
     out["response"] = "stub:" + n.astype(str)
-    out["finish_reason"] = n.map(lambda k: "length" if k >= 400 else "stop")
+    out["finish_reason"] = n.map(lambda k: "length" if k >= 300 else "stop")
     return out
 
 
@@ -328,7 +328,7 @@ def cache_replace(spark, sf_dir):
     select r.key, r.instruction, coalesce(c.response, 'stub:' || cast(length(r.instruction) as varchar)) as response,
            case when c.key is null then 'miss' else 'hit' end as source
     from r left join c on r.key = c.key
-    where c.key is not null or length(r.instruction) < 400""")
+    where c.key is not null or length(r.instruction) < 300""")
 def cache_misses(spark, sf_dir):
     """Requests answered from the cache table on a hit; misses go through the
     completion function (G3, Arrow batches). Cache = the shard-1 samples."""
