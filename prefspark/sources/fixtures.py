@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {
                case when copy = 1 and role = 'assistant' then text || ' [v2]'
                     when copy = 2 and turn >= 2 then text || '</s>'
                     else text end as text,
-               (conv_id * 4 + copy) * 1000 + turn as ord,
+               (conv_id * 4 + copy) * 1000000 + turn as ord,
                turn - case when copy = 3 then 1 else 0 end as pos
         from x
         where copy <> 3 or turn >= 1""",
@@ -85,14 +85,14 @@ VIEWS: dict[str, str] = {
           from h join s f on f.conv_id = h.conv_id and f.turn = h.t1
           where h.role = 'assistant' and h.before = 'user'),
         q as (select conv_id, turn, past, text, other, other_turn, explode(array(0, 1)) as copy from r)
-        select (conv_id * 1000 + turn) * 2 + copy as ord,
+        select (conv_id * 1000000 + turn) * 2 + copy as ord,
           past || chr(10) || chr(10) || 'Assistant: ' || case when copy = 1 then text || ' [alt]' else text end as chosen,
           past || chr(10) || chr(10) || 'Assistant: ' || case when other_turn = turn then other || ' [first]' else other end as rejected
         from q""",
     # Outputs of two models plus overlapping sample shards (worker s starts at 5*s).
     "v_completions": """
         with b as (
-          select u.conv_id * 1000 + u.turn as ord, u.text as instruction, a.text as output
+          select u.conv_id * 1000000 + u.turn as ord, u.text as instruction, a.text as output
           from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
           where u.role = 'user' and a.role = 'assistant')
         , g as (select ord, instruction, output, explode(array(0, 1, 2, 3, 4)) as k from b)
@@ -104,7 +104,7 @@ VIEWS: dict[str, str] = {
         union all select 'sampled', 0, -1 - doc_id, text, 'long' from {documents} where n_chars >= 7000""",
     # Judge annotations: preference 1, 2, 1.5 (tie) or null; some output_2 carry a special token.
     "v_annotations": """
-        select u.conv_id * 1000 + u.turn as ord, u.text as instruction, a.text as output_1,
+        select u.conv_id * 1000000 + u.turn as ord, u.text as instruction, a.text as output_1,
                case when u.conv_id % 11 = 0 then '<s>' else '' end || 'alt: ' || a.text as output_2,
                case (u.conv_id + u.turn) % 4 when 0 then 1.0E0 when 1 then 2.0E0 when 2 then 1.5E0 end as preference
         from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
@@ -113,7 +113,7 @@ VIEWS: dict[str, str] = {
     # and 'narrow' (train source); chosen/rejected carry the full template.
     "v_binarized": """
         with b as (
-          select u.conv_id * 1000 + u.turn as ord, u.text as prompt, a.text as answer
+          select u.conv_id * 1000000 + u.turn as ord, u.text as prompt, a.text as answer
           from {conversations} u join {conversations} a on a.conv_id = u.conv_id and a.turn = u.turn + 1
           where u.role = 'user' and a.role = 'assistant')
         , g as (select ord, prompt, answer, explode(array(0, 1)) as k from b)
@@ -168,7 +168,7 @@ DUCK_VIEWS: dict[str, str] = {
           from h join s f on f.conv_id = h.conv_id and f.turn = h.t1
           where h.role = 'assistant' and h.before = 'user'),
         q as (select conv_id, turn, past, text, other, other_turn, unnest(list_value(0, 1)) as copy from r)
-        select (conv_id * 1000 + turn) * 2 + copy as ord,
+        select (conv_id * 1000000 + turn) * 2 + copy as ord,
           past || chr(10) || chr(10) || 'Assistant: ' || case when copy = 1 then text || ' [alt]' else text end as chosen,
           past || chr(10) || chr(10) || 'Assistant: ' || case when other_turn = turn then other || ' [first]' else other end as rejected
         from q""",
