@@ -13,10 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from prefspark.session import ensure_checkpoint_dir, ship_package
 
 
+#: Texts sent to a Python worker at once. The operators' arrays take several times as much.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder (only set where unset) and the package on the workers."""
+    """Checkpoint folder (only set where unset), the package on the workers, and
+    smaller Arrow batches where the session has Spark's default."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if (spark.conf.get(_BATCH_CONF, None) or f"{_BATCH_DEFAULT}b").removesuffix("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -75,7 +75,7 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 def sets_of(column):
     """The sets of a column of texts, one after the other."""
     data, offsets = utf8_buffer(column)
-    for i, j in runs(offsets, 1 << 21):
+    for i, j in runs(offsets, 1 << 20):
         hashes, at = word_hashes(data, offsets[i : j + 1])
         for k in range(j - i):
             yield shingle_set(hashes[at[k] : at[k + 1]])

@@ -159,7 +159,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offsets = utf8_buffer(b.column(1))
             keys, sizes, bands = [], [], []
-            for i, j in runs(offsets, 1 << 21):
+            for i, j in runs(offsets, 1 << 20):
                 hashes, at = word_hashes(data, offsets[i : j + 1])
                 for k in range(j - i):
                     s, w = shingles(hashes[at[k] : at[k + 1]])
@@ -229,7 +229,7 @@ def _with_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offsets = utf8_buffer(b.column("text"))
             keys, counts = [], []
-            for i, j in runs(offsets, 1 << 21):
+            for i, j in runs(offsets, 1 << 20):
                 hashes, at = word_hashes(data, offsets[i : j + 1])
                 for k in range(j - i):
                     s, w = shingles(hashes[at[k] : at[k + 1]])

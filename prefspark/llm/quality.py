@@ -114,7 +114,7 @@ def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
 
         for b in batches:
             data, offsets = utf8_buffer(b.column(0))
-            for i, j in runs(offsets, 1 << 22):
+            for i, j in runs(offsets, 1 << 20):
                 if offsets[j] == offsets[i]:
                     continue
                 key, _ = grams(data, offsets[i : j + 1])
@@ -241,7 +241,7 @@ def _measured(docs: DataFrame, text_col: str, model, keep: list[str], new: list[
             mean = np.full(n, np.nan)
             for i in range(n):
                 counts[:, i] = base_counts(data[offsets[i] : offsets[i + 1]].tobytes())
-            for i, j in runs(offsets, 1 << 22):
+            for i, j in runs(offsets, 1 << 20):
                 if offsets[j] == offsets[i]:
                     continue
                 key, sizes = grams(data, offsets[i : j + 1])
