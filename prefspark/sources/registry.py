@@ -66,10 +66,10 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _pairs_with_first(pairs: DataFrame) -> DataFrame:
-    """``first_ord`` of a prompt; one row per prompt on the right, so that a
-    prompt with many pairs can be split."""
-    first = pairs.groupBy("prompt").agg(F.min("ord").alias("first_ord"))
-    return pairs.join(first, "prompt")
+    """``first_ord`` of a prompt, the place of its first pair; one row per prompt on
+    the right, so that a prompt with many pairs can be split."""
+    first = pairs.where("pair_ix = 0").select(F.col("prompt").alias("_prompt"), F.col("ord").alias("first_ord"))
+    return pairs.join(first, F.col("prompt").eqNullSafe(F.col("_prompt"))).drop("_prompt")
 
 
 # Builders return the two tables, or zero-argument callables for tables whose

