@@ -27,6 +27,7 @@ labels every score is 0.1; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import bisect
+import uuid
 import zlib
 
 import numpy as np
@@ -214,6 +215,18 @@ class Lexicon:
         return [*first, np.log1p(strong), strong / np.sqrt(len(words) + 1)]
 
 
+_HELD: dict[str, object] = {}
+
+
+def _held(name: str, make):
+    """An object that a worker's tasks share, with what it has cached; the two last ones."""
+    if name not in _HELD:
+        if len(_HELD) >= 2:
+            _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
@@ -221,8 +234,10 @@ def fold_of(doc_id: Column) -> Column:
 def _count(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     """Per bucket the toxic and the clean documents that hold it."""
 
+    name = f"decoder {model.value.name}"
+
     def run(batches):
-        decoder = Decoder(model.value)
+        decoder = _held(name, lambda: Decoder(model.value))
         known: dict[str, list[int]] = {}
         held = np.zeros((2, BUCKETS), np.int32)
         docs = np.zeros(2, np.int64)
@@ -279,8 +294,10 @@ def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _scored(rows: DataFrame, keep: list[str], model, weights, beta) -> DataFrame:
     """``keep`` with the inputs (without ``beta``) or the score of each text."""
 
+    name, made = f"decoder {model.value.name}", uuid.uuid4().hex
+
     def run(batches):
-        decoder, lexicon = Decoder(model.value), Lexicon(weights.value)
+        decoder, lexicon = _held(name, lambda: Decoder(model.value)), _held(made, lambda: Lexicon(weights.value))
         for b in batches:
             x = np.array([lexicon.inputs(decoder.words(t)) for t in texts_of(b.column("text"))]).reshape(-1, 5)
             if beta is None:
@@ -315,7 +332,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = spark.sparkContext.broadcast(quality.fit(rows, "text"))
+    fitted = quality.fit(rows, "text")
+    fitted.name = uuid.uuid4().hex  # tells the tasks' decoders of different models apart
+    model = spark.sparkContext.broadcast(fitted)
     weights, beta = learn(rows, labels.select("doc_id", "toxic"), model)
     out = _scored(rows, ["doc_id"], model, weights, beta)
     held = F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False))
