@@ -10,11 +10,12 @@ raw samples."""
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.session import materialize
+from prefspark.session import ensure_checkpoint_dir, materialize
 
 
 #: Items whose rewards are broadcast, 16 bytes each; more are joined by a shuffle.
@@ -86,6 +87,14 @@ def _descent(strict: DataFrame, state: DataFrame, total: float, few: bool) -> Da
     return state.join(sent(sums), "item", "left").withColumn("g", F.coalesce("d", F.lit(0.0))).drop("d")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a small table in the shared folder. A checkpoint would hand the
+    constraints of its plan on to the next step's, where they multiply."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/bt-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fit_to_the_end(pairs: DataFrame, steps: int = 7500, lr: float = 0.01, spans: int | None = None, tol: float = 0.0) -> DataFrame:
     """A17 over thousands of steps: the rewards after ``steps`` of gradient descent
     with rate ``lr``, by integrating the flow that they follow over the time
@@ -103,14 +112,14 @@ def fit_to_the_end(pairs: DataFrame, steps: int = 7500, lr: float = 0.01, spans:
     the evaluation before.
 
     An evaluation is two joins of the pair table with the items and a grouped sum; its
-    result, a row per item, is checkpointed, so plans don't grow. Only the gradient's
+    result, a row per item, is written, so plans don't grow. Only the gradient's
     largest component comes to the driver."""
     pairs = materialize(pairs)
     total = float(pairs.agg(F.sum("n")).first()[0] or 1)
     strict = pairs.filter(F.col("w") != F.col("l"))
     items = pairs.select(F.col("w").alias("item")).union(pairs.select(F.col("l").alias("item"))).distinct()
     zero = [F.lit(0.0).alias(c) for c in ("y", "start", "sum")]
-    state = materialize(items.select("item", *zero))
+    state = _written(items.select("item", *zero))
     few = state.limit(MAX_SENT + 1).count() <= MAX_SENT
     if spans is None:
         both = F.explode(F.array("w", "l")).alias("item")
@@ -123,7 +132,7 @@ def fit_to_the_end(pairs: DataFrame, steps: int = 7500, lr: float = 0.01, spans:
         gathered = F.col("sum") + weight * F.col("g")
         start = F.col("start") if reach else F.col("start") + F.lit(h / 6) * gathered
         ahead = (h * reach if reach else 0.0) - lr / 2
-        state = materialize(moved.select(
+        state = _written(moved.select(
             "item", (start + F.lit(ahead) * F.col("g")).alias("y"), start.alias("start"),
             (gathered if reach else F.lit(0.0)).alias("sum"), F.abs("g").alias("g")))
         if tol and number % 4 == 0 and (state.agg(F.max("g")).first()[0] or 0.0) <= tol:

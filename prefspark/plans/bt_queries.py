@@ -83,7 +83,7 @@ FULL_STEPS = 7500  # those of the reference's notebook
     select item, round(r[ix], 3) as reward from fit, items where step = {FULL_STEPS}""")
 def bt_fit_full(spark, sf_dir):
     """A17 to the reference's last step; the SQL takes all 7500 of them."""
-    r = bt.fit_to_the_end(_pairs(spark, sf_dir), FULL_STEPS, LR)
+    r = bt.fit_to_the_end(_pairs(spark, sf_dir), FULL_STEPS, LR, spans=5)
     return r.select("item", F.round("reward", 3).alias("reward"))
 
 
