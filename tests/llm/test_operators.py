@@ -61,7 +61,7 @@ def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     out = catalog.QUERIES[name](spark, SMALL)
     columns = sorted(out.columns)
