@@ -142,3 +142,12 @@ def test_a_miss_costs_no_scan(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(CompletionCache, "_maybe", lambda self, keys, folder: keys.limit(0))
     monkeypatch.setattr(CompletionCache, "_rows", lambda *a: pytest.fail("answers were read"))
     assert store.get(keyed(["unknown"])).count() == 0
+
+
+def test_longer_requests_are_answered_too():
+    from prefspark.plans import match_queries
+    from prefspark.plans.registry import QUERIES
+
+    answers = match_queries.stub_completion(pd.DataFrame({"instruction": ["x" * 350, "x" * 400]}))
+    assert list(answers["finish_reason"]) == ["stop", "length"]
+    assert "length(r.instruction) < 400" in QUERIES["cache_misses"].oracle
