@@ -33,10 +33,12 @@ def _pointers(times: DataFrame, interval: int) -> DataFrame:
     bucket = F.call_function("div", F.col("at") - F.pmod(F.col("at"), F.lit(interval)), F.lit(interval))
     own = times.withColumn("bucket", bucket)
     # A step asks the next bucket for the first time after at + interval; at equal
-    # times the question comes after the step, as "more than" is strict.
+    # times the question comes after the step, as "more than" is strict. The rows are
+    # taken from the last time back, so that the frame only grows (a frame that
+    # shrinks towards the end is summed up anew for every row of the bucket).
     asked = own.select("run", "at", (F.col("bucket") + 1).alias("bucket"), (F.col("at") + interval).alias("when"), F.lit(1).alias("asks"))
     told = own.select("run", F.lit(None).cast("bigint").alias("at"), "bucket", F.col("at").alias("when"), F.lit(0).alias("asks"))
-    later = Window.partitionBy("run", "bucket").orderBy("when", "asks").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("run", "bucket").orderBy(F.desc("when"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
     near = asked.unionByName(told).withColumn("near", F.min(F.when(F.col("asks") == 0, F.col("when"))).over(later)).where("asks = 1")
     # Else the first step of the next bucket that has any, two or more after the own.
     firsts = own.groupBy("run", "bucket").agg(F.min("at").alias("first"))

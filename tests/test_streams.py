@@ -130,3 +130,12 @@ def test_an_earlier_row_replaces_and_compaction_keeps_it(spark):
     for _ in range(2):
         assert {(r.instruction, r.output) for r in jobs.read_latest(spark, f"{root}/out", "instruction").collect()} == want
         jobs.compact_latest(spark, f"{root}/out", "instruction")
+
+
+def test_pointers_use_growing_frames_only(spark):
+    from prefspark.operators import throttle
+
+    times = spark.createDataFrame([("a", k) for k in (0, 5, 10, 11, 25)], "run string, at bigint")
+    pointers = throttle._pointers(times, 10)
+    assert {r["at"]: r["to"] for r in pointers.collect()} == {0: 11, 5: 25, 10: 25, 11: 25, 25: None}
+    assert "unboundedfollowing" not in pointers._jdf.queryExecution().toString().lower()
