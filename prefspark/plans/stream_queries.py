@@ -101,16 +101,16 @@ def stream_metric_log(spark, sf_dir):
     """The same log from a stream of files in the order of their times."""
     root = io.scratch_path(spark, "stream_log")
     rows = _metric_rows(spark, sf_dir)
-    # Files are taken in the order of their times of writing, so each range is its own write.
+    # Each range of times is written as many files, then the stream goes on from its
+    # checkpoint and takes them as one micro-batch.
     low, high = rows.agg(F.min("at"), F.max("at")).first()
-    parts = 3
-    for k in range(parts if low is not None else 0):
+    parts = 3 if low is not None else 1
+    for k in range(parts):
         edge = lambda j: low + (high - low + 1) * j // parts
-        rows.where((F.col("at") >= edge(k)) & (F.col("at") < edge(k + 1))).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    if low is None:
-        rows.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = jobs.throttled_log(spark, stream, f"{root}/out", f"{root}/ckpt", LOG_SECONDS * 10**6)
+        part = rows.where((F.col("at") >= edge(k)) & (F.col("at") < edge(k + 1))) if low is not None else rows
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        out = jobs.throttled_log(spark, stream, f"{root}/out", f"{root}/ckpt", LOG_SECONDS * 10**6)
     return out.select("run", F.col("at").alias("logged_at"), "n", F.round("mean", 6).alias("mean"))
 
 

@@ -139,3 +139,19 @@ def test_pointers_use_growing_frames_only(spark):
     pointers = throttle._pointers(times, 10)
     assert {r["at"]: r["to"] for r in pointers.collect()} == {0: 11, 5: 25, 10: 25, 11: 25, 25: None}
     assert "unboundedfollowing" not in pointers._jdf.queryExecution().toString().lower()
+
+
+def test_stream_log_takes_its_ranges_in_many_files(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from prefspark.plans import stream_queries
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(minutes=k), k % 8, float(k)) for k in range(900)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, value double")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stream_queries.io, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = sorted(map(tuple, stream_queries.stream_metric_log(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, stream_queries.metric_log(spark, str(tmp_path)).collect())) and len(got) == 4 * 10
+    assert len(list((tmp_path / "stream_log" / "in").glob("part-*"))) > 3
+    assert len(list((tmp_path / "stream_log" / "out" / "lines").glob("batch_id=*"))) == 3
