@@ -279,7 +279,8 @@ def dialogue_files(spark, sf_dir):
           sql=f"select prompt, chosen, rejected, sft_target from ({_aiprefs_sql()}) a")
 def annotation_files(spark, sf_dir):
     """Judge annotations as JSON arrays, read back and folded into pairs."""
-    rows = view(spark, sf_dir, "v_annotations").repartitionByRange(3, "ord").sortWithinPartitions("ord").drop("ord")
+    rows = view(spark, sf_dir, "v_annotations")
+    rows = jsonfiles.ranged(rows, "ord", 3, jsonfiles.text_bytes(rows, "instruction", "output_1", "output_2")).drop("ord")
     path = jsonfiles.write_array(rows, io.scratch_path(spark, "annotations"))
     return records.aiprefs(io.read_annotations(spark, path)).select("prompt", "chosen", "rejected", "sft_target")
 

@@ -35,24 +35,27 @@ def read_completion_maps(spark: SparkSession, path: str, glob: str | None = None
 def write_completion_maps(samples: DataFrame, path: str, files: int = 1) -> str:
     """O1 in the reference's layout: ``{prompt: [sample, ...]}``, keys in the order of
     their first row, a prompt's samples in the order (ord, sample_ix). Prompts are
-    ranged over ``files`` files; use ``write_completions`` where a prompt may have very
+    ranged over ``files`` files, or more where there is much text; use ``write_completions`` where a prompt may have very
     many samples."""
     entries = samples.groupBy("prompt").agg(
         F.min("ord").alias("ord"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_ix", "completion"))), lambda x: x["completion"]).alias("samples"),
     )
-    return jsonfiles.write_object(entries.repartitionByRange(files, "ord").sortWithinPartitions("ord"), path, "prompt", "samples")
+    size = jsonfiles.text_bytes(samples, "completion")
+    return jsonfiles.write_object(jsonfiles.ranged(entries, "ord", files, size), path, "prompt", "samples")
 
 
 DIALOGUE = "id bigint, conversations array<struct<`from`: string, value: string>>"
 
 
 def write_dialogues(turns: DataFrame, path: str, files: int = 1) -> str:
-    """Conversations as arrays of ``{id, conversations: [{from, value}, ...]}``."""
+    """Conversations as arrays of ``{id, conversations: [{from, value}, ...]}``, ranged
+    over ``files`` files, or more where there is much text."""
     said = F.struct("pos", F.col("role").alias("from"), F.col("text").alias("value"))
     convs = turns.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(said)).alias("t"))
     convs = convs.select("id", F.transform("t", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations"))
-    return jsonfiles.write_array(convs.repartitionByRange(files, "id").sortWithinPartitions("id"), path)
+    size = jsonfiles.text_bytes(turns, "role", "text")
+    return jsonfiles.write_array(jsonfiles.ranged(convs, "id", files, size), path)
 
 
 def read_dialogues(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

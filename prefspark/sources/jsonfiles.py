@@ -10,10 +10,14 @@ What a piece means depends on everything before it, but only through sums:
 2. outside of strings, opened less closed brackets are the depth;
 3. commas at depth 1 count the records.
 
-Each sum is made within a block (one task's rows) and completed by the sums of the
-file's earlier blocks, a row per block. The pieces of a record are then put together
-and parsed. A record must fit into a row, as it does in the file; text between two
-quotation marks as well.
+Each sum is made within a chunk (up to ``CHUNK`` pieces of the block that one task
+read) and completed by the sums of the file's earlier chunks, a row per chunk: how
+much a task sorts doesn't depend on the size of a block or a file. The pieces of a
+record are then put together and parsed. A record must fit into a row, as it does in
+the file; text between two quotation marks as well.
+
+A file is written by one task, so more files are written where there is more text
+(``ranged``).
 """
 
 from __future__ import annotations
@@ -26,19 +30,22 @@ from pyspark.sql import functions as F
 
 from prefspark.session import materialize
 
-_BLOCK = ["file", "block"]
+CHUNK_BITS = 13
+CHUNK = 1 << CHUNK_BITS
+FILE_BYTES = 32 << 20
+_BLOCK = ["file", "block", "chunk"]
 
 
 def _sum_before(df: DataFrame, value: Column, order: list[str], out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all earlier rows of the file."""
     df = df.withColumn("_v", value)
     earlier = Window.partitionBy(*_BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.groupBy(F.col("file").alias("_f"), F.col("block").alias("_b")).agg(F.sum("_v").alias("_t"))
-    previous = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_f", "_b", F.coalesce(F.sum("_t").over(previous), F.lit(0)).alias("_o"))
+    blocks = df.groupBy(F.col("file").alias("_f"), F.col("block").alias("_b"), F.col("chunk").alias("_c")).agg(F.sum("_v").alias("_t"))
+    previous = Window.partitionBy("_f").orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_f", "_b", "_c", F.coalesce(F.sum("_t").over(previous), F.lit(0)).alias("_o"))
     rows = df.withColumn("_w", F.coalesce(F.sum("_v").over(earlier), F.lit(0)))
-    rows = rows.join(blocks, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
-    return rows.withColumn(out, F.col("_w") + F.col("_o")).drop("_v", "_w", "_f", "_b", "_o")
+    rows = rows.join(blocks, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")) & (F.col("chunk") == F.col("_c")))
+    return rows.withColumn(out, F.col("_w") + F.col("_o")).drop("_v", "_w", "_f", "_b", "_c", "_o")
 
 
 def records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -49,7 +56,7 @@ def records(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
         reader = reader.option("pathGlobFilter", glob)
     pieces = materialize(reader.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.col("value")))
+        F.monotonically_increasing_id().alias("at"), F.col("value")).withColumn("chunk", F.shiftright("at", CHUNK_BITS)))
     # The mark after a piece is real unless an odd number of backslashes ends the piece.
     real = (F.length(F.regexp_extract("value", r"(\\*)$", 1)) + 1) % 2
     marked = _sum_before(pieces, real, ["at"], "marks").withColumn("inside", F.col("marks") % 2 == 1)
@@ -83,6 +90,18 @@ def read_object(spark: SparkSession, path: str, value: str, glob: str | None = N
         "file", "pos", "key", "value")
 
 
+def ranged(df: DataFrame, key: str, files: int, size: int) -> DataFrame:
+    """``df`` in ranges of ``key``, one per file to write: ``files``, or more where
+    ``size`` bytes of text would give a file more than ``FILE_BYTES``."""
+    return df.repartitionByRange(max(files, -(-size // FILE_BYTES)), key).sortWithinPartitions(key)
+
+
+def text_bytes(df: DataFrame, *columns: str) -> int:
+    """Bytes in the text columns."""
+    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in columns]
+    return sum(df.agg(*(x.alias(f"_{k}") for k, x in enumerate(sizes))).first())
+
+
 def _written(df: DataFrame, path: str, opens: str, closes: str, item) -> str:
     """One file per partition: ``opens``, the items and ``closes``, a line each."""
 

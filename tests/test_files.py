@@ -144,6 +144,23 @@ def test_a_miss_costs_no_scan(spark, tmp_path, monkeypatch):
     assert store.get(keyed(["unknown"])).count() == 0
 
 
+def test_more_text_gives_more_files_and_small_chunks_read_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jsonfiles, "FILE_BYTES", 2000)
+    monkeypatch.setattr(jsonfiles, "CHUNK_BITS", 3)
+    rng = random.Random(5)
+    said = [(c, p, rng.choice(["human", "gpt"]), _odd_text(rng) + "x" * 40) for c in range(60) for p in range(rng.randrange(1, 6))]
+    turns = spark.createDataFrame(said, "conv_id bigint, pos bigint, role string, text string")
+    path = io.write_dialogues(turns, str(tmp_path / "d"), files=3)
+    back = io.read_dialogues(spark, path).orderBy("ord").select("role", "text").collect()
+    assert len(list((tmp_path / "d").glob("part-*"))) > 3
+    assert [tuple(r) for r in back] == [r[2:] for r in sorted(said, key=lambda r: r[:2])]
+    maps = spark.createDataFrame([(k, 0, f"p{k}", "y" * 100) for k in range(90)], "ord bigint, sample_ix int, prompt string, completion string")
+    path = io.write_completion_maps(maps, str(tmp_path / "m"), files=2)
+    assert len(list((tmp_path / "m").glob("part-*"))) > 2
+    got = io.read_completion_maps(spark, path).orderBy("file", "pos").collect()
+    assert [(r.prompt, list(r.completions)) for r in got] == [(f"p{k}", ["y" * 100]) for k in range(90)]
+
+
 def test_longer_requests_are_answered_too():
     from prefspark.plans import match_queries
     from prefspark.plans.registry import QUERIES
