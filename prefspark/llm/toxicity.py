@@ -4,7 +4,7 @@ Noisy-channel deobfuscation: a token with digits or symbols among its letters,
 with a letter three times or more in a row, or a row of single letters, becomes a
 lattice of what it may stand for (leetspeak, repetition, separators, spacing),
 each way with a channel cost. Viterbi over the character 4-gram model of
-``quality`` (counted by Spark over all documents) picks the likeliest reading.
+``charmodel`` (counted by Spark over all documents) picks the likeliest reading.
 Other tokens have one reading. Only the restored text is scored.
 
 Scoring: the features of a word are the word and its first 4, 5 and 6 letters,
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import quality
+from prefspark.llm import charmodel
 from prefspark.llm.common import prepare, saved, table, texts_of
 
 BUCKETS = 1 << 20
@@ -61,7 +61,7 @@ _SPACE = 29
 class Decoder:
     """Viterbi decoding of token lattices under the character model."""
 
-    def __init__(self, model: quality.Model):
+    def __init__(self, model: charmodel.Model):
         self.model = model
         self.known: dict[str, tuple[str, ...]] = {}
         self.costs: dict[int, float] = {}
@@ -70,7 +70,7 @@ class Decoder:
     def _class(self, c: str) -> int:
         k = self.classes.get(c)
         if k is None:
-            k = self.classes[c] = int(quality._CLASS[ord(c)])
+            k = self.classes[c] = int(charmodel._CLASS[ord(c)])
         return k
 
     def _cost(self, key: int) -> float:
@@ -332,7 +332,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    fitted = quality.fit(rows, "text")
+    fitted = charmodel.fit(rows, "text")
     fitted.name = uuid.uuid4().hex  # tells the tasks' decoders of different models apart
     model = spark.sparkContext.broadcast(fitted)
     weights, beta = learn(rows, labels.select("doc_id", "toxic"), model)

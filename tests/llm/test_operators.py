@@ -266,6 +266,54 @@ def test_quality_keeps_usual_and_rejects_odd(spark, docs_of):
     assert quality.score(docs.limit(0)).count() == 0 and quality.filter_docs(docs.limit(0)).count() == 0
 
 
+def _kneser_ney(texts, order=quality.ORDER):
+    """Mean negative log-probability per text of one language, by hand."""
+    padded = ["\0" * (order - 1) + t for t in texts]
+    counts = {order: collections.Counter(t[k : k + order] for t in padded for k in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    p, q = {}, {}
+    for n in range(1, order + 1):
+        c = counts[n]
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        d = [0.5, 0.75, 0.9]
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
+            d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
+        total, gone = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            gone[g[:-1]] += d[min(v, 3) - 1]
+        for g, v in c.items():
+            gamma = gone[g[:-1]] / total[g[:-1]]
+            less, left = (p[g[1:]], q[g[1:]]) if n > 1 else (1 / (len(c) + 1),) * 2
+            p[g] = (v - d[min(v, 3) - 1]) / total[g[:-1]] + gamma * less
+            q[g] = (gamma if total[g[:-1]] > 1 else 1.0) * left if v == 1 else p[g]
+    return [-sum(np.log(q[t[k : k + order]]) for k in range(len(t) - order + 1)) / (len(t) - order + 1) for t in padded]
+
+
+def test_perplexity_is_kneser_ney_over_whole_characters(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(quality, "UNIT_BYTES", 2000)  # several units a task
+    rng = np.random.default_rng(4)
+    words = ["Été", "école", "ÉCOLE", "naïve", "слово", "слава", "\U0001f600", "漢字", "the", "The", "THE", "a"]
+    texts = {lang: [" ".join(rng.choice(words, 90)) for _ in range(12)] for lang in ("fr", None)}
+    docs = docs_of([*texts["fr"], *texts[None]], langs=["fr"] * 12 + [None] * 12)
+    want = [*_kneser_ney(texts["fr"]), *_kneser_ney(texts[None])]
+    got = {r.doc_id: r.perplexity for r in quality.score(docs).collect()}
+    assert np.allclose(np.log([got[k] for k in range(24)]), want, atol=1e-4)
+
+
+def test_random_letters_of_any_script_are_odd(spark, docs_of):
+    rng = np.random.default_rng(5)
+    letters = "абвгдежзиклмнопрстуфхцчшщыьэюя"
+    words = ["".join(rng.choice(list(letters), 5)) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(50)]
+    junk = " ".join("".join(rng.choice(list(letters), 5)) for _ in range(120))
+    rows = {r.doc_id: r for r in quality.score(docs_of([*texts, junk], langs=["ru"] * 51)).collect()}
+    assert all(rows[k].kept for k in range(50)) and not rows[50].kept and not rows[50].base_failed
+
+
 # -- 4: near duplicates ------------------------------------------------------------
 
 
