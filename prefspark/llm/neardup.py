@@ -182,23 +182,40 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, text_key binary, n bigint, bands array<bigint>")
 
 
+def _rooted(up: DataFrame) -> DataFrame:
+    """``up`` (node, up), where every ``up`` is smaller than its node, with the last
+    node of each chain as ``up``; a chain's length doubles with every saved table."""
+    while True:
+        jump = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        step = saved(up.join(jump, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")))
+        if step.where("moved").isEmpty():
+            return step.select("node", "up")
+        up = step.select("node", "up")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): the smallest id of each
-    connected component. Labels go over the edges and then to their own label,
-    until none changes; every round is a saved table."""
-    ways = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = saved(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
-    while True:
-        heard = ways.join(labels, ways["b"] == labels["node"]).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("other"))
-        step = labels.join(heard, labels["node"] == heard["at"], "left").select(
-            "node", "label", F.least("label", F.coalesce("other", "label")).alias("near")
-        )
-        jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        step = saved(step.join(jump, "near", "left").select("node", "label", F.least("near", F.coalesce("far", "near")).alias("new")))
-        done = step.where(F.col("new") != F.col("label")).isEmpty()
-        labels = step.select("node", F.col("new").alias("label"))
-        if done:
-            return labels
+    connected component. Every node with smaller neighbours hooks to the smallest of
+    them, the trees of hooks shrink to their roots, and the edges between roots are
+    the next round's: each round has only what the one before left apart."""
+    ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    links = saved(edges.select(*ends).distinct())
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    links, rounds = links.where("a <> b"), []
+    while not links.isEmpty():
+        up = _rooted(saved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))))
+        rounds.append(up)
+        above = up.select(F.col("node").alias("a"), F.col("up").alias("at"))
+        below = up.select(F.col("node").alias("b"), F.col("up").alias("bt"))
+        met = links.join(above, "a").join(below, "b", "left").select(F.col("at").alias("a"), F.coalesce("bt", "b").alias("b"))
+        links = saved(met.where("a <> b").select(*ends).distinct())
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("label"))
+    found = rounds.pop()
+    for up in reversed(rounds):  # a later round's nodes are roots of this one
+        last = found.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        found = saved(up.join(last, "up", "left").select("node", F.coalesce("root", "up").alias("up")).union(found))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("up", "node").alias("label"))
 
 
 def _grouped(nodes: DataFrame) -> DataFrame:
@@ -206,7 +223,7 @@ def _grouped(nodes: DataFrame) -> DataFrame:
     entries = nodes.select("doc_id", F.explode("bands").alias("bucket"))
     met = entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     edges = entries.join(met.select("bucket", "low"), "bucket").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    return components(edges.distinct()).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:

@@ -388,6 +388,37 @@ def test_components(spark):
     assert all(got[k] == 1 for k in range(1, 31)) and {got[k] for k in (40, 41, 50, 60)} == {40}
 
 
+def test_components_of_many_shapes_and_the_rows_they_take(spark, monkeypatch):
+    kept, save = [], neardup.saved
+
+    def counted(df):
+        out = save(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "saved", counted)
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(3000)
+    chain = [(int(a), int(b)) for a, b in zip(ids, ids[1:1500])]  # far apart in any order
+    star = [(int(ids[1500]), int(x)) for x in ids[1501:2000]]
+    sparse = [(int(a), int(b)) for a, b in rng.choice(ids[2000:2900], (600, 2))]
+    edges = [*chain, *star, *sparse, (5000, 5000)]
+    root = {}
+
+    def top(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = [tuple(r) for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()]
+    assert sorted(got) == sorted((k, top(k)) for k in root)
+    assert sum(kept) < 8 * len(edges)  # rounds over all edges again would take more
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 # -- 3: WARC -----------------------------------------------------------------------
 
 
