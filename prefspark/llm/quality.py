@@ -44,11 +44,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from prefspark.llm.charmodel import _CLASS, Model, count_grams, fit, grams  # noqa: F401  (op1's model, known by these names)
+from prefspark.llm.charmodel import _CLASS, Model, fit, grams  # noqa: F401  (op1's model, known by these names)
 from prefspark.llm.common import free_name, prepare, runs, saved, table, utf8_buffer
 
 ORDER = 4
 UNIT_BYTES = 32 << 20
+#: zstd's level for the saved texts, which are written twice: saved, and dealt to the scores.
+PACKED_LEVEL = 12
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BAND_MADS = 4.0
@@ -72,7 +74,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         unit, held = uuid.uuid4().int >> 66, 0
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACKED_LEVEL))
         for b in batches:
             _, offsets = utf8_buffer(b.column(b.num_columns - 1))
             for i, j in runs(offsets, 4 * _RUN):
