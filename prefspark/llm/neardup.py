@@ -46,6 +46,8 @@ ROUNDING = 1e-9
 BANDS, ROWS = 36, 7
 #: A block's texts and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: Text that is hashed, or sent on as shingles, at once; both take many times its size.
+RUN_BYTES = 1 << 18
 REGISTERS = BANDS * ROWS
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -159,7 +161,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, offsets = utf8_buffer(b.column(1))
             keys, sizes, bands = [], [], []
-            for i, j in runs(offsets, 1 << 20):
+            for i, j in runs(offsets, RUN_BYTES):
                 hashes, at = word_hashes(data, offsets[i : j + 1])
                 for k in range(j - i):
                     s, w = shingles(hashes[at[k] : at[k + 1]])
@@ -237,26 +239,29 @@ def _meetings(nodes: DataFrame) -> DataFrame:
     return placed.withColumn("tasks", F.when(F.col("block") == 0, told).otherwise(F.concat(told, asking)))
 
 
-def _with_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``nodes`` with their texts' sorted shingle hashes and counts."""
-    rows = docs.join(nodes, "doc_id")
-    keep = [c for c in rows.columns if c != "text"]
+def _shingled(keep: list[str]):
+    """The function of batches with ``text`` that gives the columns ``keep`` and the
+    shingles, a batch for each run of text."""
 
     def run(batches):
         for b in batches:
             data, offsets = utf8_buffer(b.column("text"))
-            keys, counts = [], []
-            for i, j in runs(offsets, 1 << 20):
+            for i, j in runs(offsets, RUN_BYTES):
                 hashes, at = word_hashes(data, offsets[i : j + 1])
-                for k in range(j - i):
-                    s, w = shingles(hashes[at[k] : at[k + 1]])
-                    keys.append(s.view(np.int64))
-                    counts.append(w.astype(np.int32))
-            more = [pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *more], [*keep, "shingles", "counts"])
+                found = [shingles(hashes[at[k] : at[k + 1]]) for k in range(j - i)]
+                keys = pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64()))
+                counts = pa.array([w.astype(np.int32) for _, w in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in keep), keys, counts], [*keep, "shingles", "counts"])
 
+    return run
+
+
+def _with_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``nodes`` with their texts' sorted shingle hashes and counts."""
+    rows = docs.join(nodes, "doc_id")
+    keep = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, shingles array<bigint>, counts array<int>")
+    return rows.mapInArrow(_shingled(keep), f"{schema}, shingles array<bigint>, counts array<int>")
 
 
 def _linked(least: float):

@@ -60,7 +60,9 @@ MIN_SCORED = 200
 MAX_LANGS = 1000
 _WHITE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
-_RUN = 1 << 20
+#: Text in one saved blob, and of that in memory at once, with arrays of 100 times its size.
+_BLOB = 4 << 20
+_RUN = 1 << 18
 
 
 def _language(lang_col: str):
@@ -69,7 +71,7 @@ def _language(lang_col: str):
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(unit, rows): the rows as Arrow batches of about a run of text, the last column
+    """(unit, rows): the rows as Arrow batches of about ``_BLOB`` of text, the last column
     being the text. ``saved`` once, as units are numbered anew each time."""
 
     def run(batches):
@@ -77,7 +79,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACKED_LEVEL))
         for b in batches:
             _, offsets = utf8_buffer(b.column(b.num_columns - 1))
-            for i, j in runs(offsets, 4 * _RUN):
+            for i, j in runs(offsets, _BLOB):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=options) as out:
                     out.write_batch(b.slice(i, j - i))
@@ -184,7 +186,7 @@ def _grams(packed: DataFrame) -> DataFrame:
                     languages, sizes = t.which
                     ids = np.array([names.setdefault(x, len(names)) for x in languages], np.int32)
                     parts.append((key, n, t.grams(at), np.repeat(ids, sizes)[at]))
-                    if len(parts) == 8:
+                    if sum(len(p[0]) for p in parts[1:]) > max(2 * _RUN, len(parts[0][0])):
                         merge()
         yield from out()
 
@@ -311,7 +313,9 @@ def _sorted(model: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(spelt, pa.ChunkedArray):
         spelt = spelt.combine_chunks()
     key = np.array([_seed(x) for x in spelt.dictionary.to_pylist()], np.uint64)[spelt.indices.to_numpy()] if len(spelt) else np.zeros(0, np.uint64)
-    codes = model.column("gram").to_numpy().astype(f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+    data, offsets = utf8_buffer(model.column("gram"))  # all of ORDER characters
+    spelt = data[offsets[0] : offsets[-1]].tobytes().decode("utf-8").encode("utf-32-le")
+    codes = np.frombuffer(spelt, np.uint32).reshape(-1, ORDER)
     for k in range(ORDER):
         key = _mixed(key, codes[:, k].astype(np.uint64))
     key, first = np.unique(key, return_index=True)
