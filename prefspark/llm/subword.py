@@ -195,15 +195,21 @@ class Lattice:
         beta = np.zeros(len(to_end) + 1)  # the last entry, -1, is any unit's end
         order = np.argsort(to_end, kind="stable")
         levels = np.flatnonzero(np.diff(to_end[order], prepend=0))
-        for a, b in zip(levels, np.append(levels[1:], len(order))):
-            nodes = order[a:b]
-            sizes = self.edges[nodes + 1] - self.edges[nodes]
-            e = _ranges(self.edges[nodes], sizes)
-            starts = np.cumsum(sizes) - sizes
-            x = logp[e] + beta[self.dst[e]]
+        # The edges level by level, gathered once; each level is a slice of them.
+        sizes = np.diff(self.edges)[order]
+        e = _ranges(self.edges[order], sizes)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        step, to = logp[e], self.dst[e]
+        for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(order)]):
+            first, last = cuts[a], cuts[b]
+            x = beta.take(to[first:last])
+            x += step[first:last]
+            starts = cuts[a:b] - first
             top = np.maximum.reduceat(x, starts)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, sizes)), starts))
-        self.logq = logp + beta[self.dst] - beta[self.src]
+            x -= np.repeat(top, sizes[a:b])
+            beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(x, out=x), starts))
+        self.logq = logp + beta.take(self.dst)
+        self.logq -= beta.take(self.src)
         self.q = np.exp(self.logq)
         total = np.cumsum(self.q)
         first = self.edges[self.src]

@@ -676,6 +676,18 @@ def test_samples_follow_sequential_sampling_without_replacement(pieces):
                 assert abs(second[a, b] / n - want) < 4 * np.sqrt(want / n) + 1e-3
 
 
+def test_backward_masses_gather_the_edges_once(pieces, monkeypatch):
+    calls, ranges = [], subword._ranges
+    monkeypatch.setattr(subword, "_ranges", lambda *a: calls.append(1) or ranges(*a))
+    word = "segmentation" * 30  # one unit of 361 levels
+    cps, cuts = subword.code_points_of(*utf8_buffer(pa.array([word])))
+    lattice = subword.Lattice(pieces, cps, cuts)
+    assert len(calls) < 10
+    for n in range(len(cps)):
+        e = slice(lattice.edges[n], lattice.edges[n + 1])
+        assert abs(lattice.q[e].sum() - 1) < 1e-9 and lattice.within[e][-1] == 1
+
+
 def test_all_segmentations_of_a_short_text(pieces):
     lattice, found = sampled(pieces, ["ab c"], [5], 1000)
     p = all_paths(lattice)
