@@ -50,6 +50,7 @@ _SPACE = 0x2581
 _LITERAL = 0x110000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _STIR = np.uint64(0xD6E8FEB86659FD93)
+_SLOT_BITS = 21
 #: Prefixes below this share of their set's mass (in nats) can't be told from none.
 _NEGLIGIBLE = -45.0
 
@@ -94,23 +95,38 @@ class Pieces:
                 starts.add(h)
                 h = (h * int(_B) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             keys[n] = h
-        order = np.argsort(keys)
-        self.keys, self.logp = keys[order], logp[order]
-        self.ids = np.array([i for _, i in ordinary])[order]
+        # By a short hash: 1 a piece, 2 the start of a longer one (most lookups end
+        # here), and the first of the pieces with that short hash, which are neighbours.
+        slot = _slots(keys)
+        order = np.argsort(slot, kind="stable")
+        self.count, self.keys = len(ordinary), keys[order]
+        used, at, shared = np.unique(slot[order], return_index=True, return_counts=True)
+        self.maybe, self.first = np.zeros(1 << _SLOT_BITS, np.uint8), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.maybe[used] |= np.uint8(1)
+        self.maybe[_slots(np.array(sorted(starts), np.uint64))] |= np.uint8(2)
+        self.first[used], self.most = at, int(shared.max())
+        # After the pieces: characters of one to four bytes that are in no piece.
+        self.logp = np.concatenate([logp[order], self.byte_logp * np.arange(1, 5)])
+        self.ids = np.concatenate([np.array([i for _, i in ordinary])[order], np.zeros(4, np.int64)])
         self.longest = max(len(p) for p, _ in ordinary)
-        #: By a short hash: 1 a piece, 2 the start of a longer one. Most lookups end here.
-        self.maybe = np.zeros(1 << 21, np.uint8)
-        self.maybe[self.keys * _STIR >> np.uint64(43)] |= np.uint8(1)
-        self.maybe[np.array(sorted(starts), np.uint64) * _STIR >> np.uint64(43)] |= np.uint8(2)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(where, piece) of the hashes that are pieces, and which may go on."""
-        flags = self.maybe[hashes * _STIR >> np.uint64(43)]
+        slot = _slots(hashes)
+        flags = self.maybe.take(slot)
         at = np.flatnonzero(flags & np.uint8(1))
-        hashes = hashes[at]
-        found = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        ok = self.keys[found] == hashes
-        return at[ok], found[ok], flags > 1
+        hashes, found = hashes.take(at), self.first.take(slot.take(at)).astype(np.int64)
+        ok = self.keys.take(found) == hashes
+        for _ in range(1, self.most):
+            other = np.flatnonzero(~ok)
+            found[other] += 1
+            ok[other] = self.keys.take(found[other], mode="clip") == hashes[other]
+        ok = np.flatnonzero(ok)
+        return at.take(ok), found.take(ok), flags > 1
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * _STIR >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -124,7 +140,9 @@ class Lattice:
 
     ``texts`` are the code points of all texts, one after the other; ``cuts`` where
     each starts (one entry more). Node ``n`` is a character of a unit type; the end
-    of a unit is no node, but ``-1``."""
+    of a unit is no node, but ``-1``. Nodes are numbered by their distance to the end
+    of the unit (their level), then by type, longer types first: what the masses of a
+    level need is a slice, and a type has the same place in each of its levels."""
 
     def __init__(self, pieces: Pieces, texts: np.ndarray, cuts: np.ndarray):
         space = texts == _SPACE
@@ -140,194 +158,221 @@ class Lattice:
         down = np.multiply.accumulate(np.full(len(texts) + 1, np.uint64(pow(int(_B), -1, 1 << 64))))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((texts.astype(np.uint64) + np.uint64(1)) * up[:-1])])
         key = mix64((total[begin + size] - total[begin]) * down[begin] + size.astype(np.uint64))
-        _, at, self.type_of = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]])
+        at = order[new]
+        by_size = np.argsort(-size[at], kind="stable")
+        number = np.empty(len(at), np.int64)
+        number[by_size] = np.arange(len(at))
+        self.type_of = np.empty(len(order), np.int64)
+        self.type_of[order] = number.take(np.cumsum(new) - 1)
+        at = at[by_size]
         size = size[at]
-        cp = texts[_ranges(begin[at], size)].astype(np.uint64)
+        # Types of at least each size, and the first node of each level.
+        at_least = np.bincount(size)[::-1].cumsum()[::-1]
+        at_least[0] = 0
+        level = np.concatenate([[0], np.cumsum(at_least)])
+        n = int(level[-1])
         #: First node of each type.
-        self.start = np.cumsum(size) - size
-        end = np.repeat(self.start + size, size)
-        n = len(cp)
-        node = np.arange(n)
-        src, piece = [], []
-        alive, h = node, np.zeros(n, np.uint64)
-        covered = np.zeros(n, bool)
+        self.start = level.take(size) + np.arange(len(size))
+        # Characters type by type.
+        cp = texts.take(_ranges(begin[at], size)).astype(np.uint64)
+        to_end = np.repeat(np.cumsum(size), size) - np.arange(n)
+        node = level.take(to_end) + np.repeat(np.arange(len(size)), size)
+        # An edge as one number: node, then long pieces first, then the piece. Sorted,
+        # they are in the order of their nodes.
+        piece_bits, bits = len(pieces.logp).bit_length(), len(pieces.logp).bit_length() + pieces.longest.bit_length()
+        packed = []
+        alive, left, h = np.arange(n), to_end, np.zeros(n, np.uint64)
         for k in range(1, pieces.longest + 1):
-            h = h * _B + cp[alive + k - 1] + np.uint64(1)
+            h = h * _B + cp.take(alive + (k - 1)) + np.uint64(1)
             at, found, longer = pieces.find(h)
-            src.append(alive[at])
-            piece.append(found)
+            src = alive.take(at)
+            packed.append((node.take(src) << bits) + ((pieces.longest - k) << piece_bits) + found)
             if k == 1:
-                covered[alive[at]] = True
-            longer &= alive + k < end[alive]
-            alive, h = alive[longer], h[longer]
+                covered = np.zeros(n, bool)
+                covered[src] = True
+            longer &= left > k
+            longer = np.flatnonzero(longer)
+            alive, left, h = alive.take(longer), left.take(longer), h.take(longer)
         bare = np.flatnonzero(~covered)  # characters in no piece: by their bytes
+        bare = bare[np.argsort(node[bare])]
         code = np.where(cp[bare] == _LITERAL, _SPACE, cp[bare]).astype(np.int64)
         width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        # Edges in the order of their nodes, long pieces first. A node has at most
-        # one edge of each length, so they are placed length by length.
-        src.append(bare)
-        degree = sum(np.bincount(x, minlength=n) for x in src)
-        self.edges = np.concatenate([[0], np.cumsum(degree)])
-        free, size = self.edges[:-1].copy(), int(self.edges[-1])
-        self.src, self.dst, self.n_ids = np.empty(size, np.int32), np.empty(size, np.int32), np.ones(size, np.int32)
-        logp, single = np.empty(size), np.zeros(size, np.int32)
-        for k in [*range(pieces.longest, 0, -1), 0]:
-            own = src[k - 1]  # 0: the last, the characters in no piece
-            place = free[own]
-            free[own] += 1
-            self.src[place], self.dst[place] = own, own + max(k, 1)
-            if k:
-                logp[place], single[place] = pieces.logp[piece[k - 1]], pieces.ids[piece[k - 1]]
-            else:
-                logp[place], self.n_ids[place], at_bytes = width * pieces.byte_logp, width, place
-        self.dst[self.dst == end[self.src]] = -1
-        # Ids of each edge: one, or those of the bytes.
-        self.id_at = np.cumsum(self.n_ids, dtype=np.int32) - self.n_ids
-        self.ids = np.repeat(single, self.n_ids)
-        for p, c in zip(at_bytes.tolist(), code.tolist()):
+        packed.append((node[bare] << bits) + ((pieces.longest - 1) << piece_bits) + pieces.count + width - 1)
+        packed = np.concatenate(packed)
+        packed.sort()
+        self.src = packed >> bits
+        #: Piece of each edge.
+        self.piece = packed & ((1 << piece_bits) - 1)
+        length = pieces.longest - (packed >> piece_bits & ((1 << (bits - piece_bits)) - 1))
+        self.degree = np.bincount(self.src, minlength=n)
+        self.edges = np.concatenate([[0], np.cumsum(self.degree)])
+        # The level below by the edge's length; no node is there at the end.
+        below = np.repeat(np.arange(len(at_least)), np.diff(self.edges[level])) - length
+        self.dst = self.src - level.take(below + length)
+        self.dst += level.take(below)
+        self.dst[below == 0] = -1
+        # Edges of characters in no piece, and the ids of their bytes.
+        self.bare = np.flatnonzero(self.piece >= pieces.count)
+        self.bare_ids = np.zeros((len(bare), 4), np.int64)
+        for row, c in enumerate(code.tolist()):
             raw = chr(c).encode("utf-8", "surrogatepass")
-            self.ids[self.id_at[p] : self.id_at[p] + len(raw)] = pieces.byte_id[list(raw)]
-        self._masses(logp, end - node)
+            self.bare_ids[row, : len(raw)] = pieces.byte_id[list(raw)]
+        self.pieces = pieces
+        self._masses(pieces.logp.take(self.piece), level)
 
-    def _masses(self, logp: np.ndarray, to_end: np.ndarray) -> None:
+    def _masses(self, logp: np.ndarray, level: np.ndarray) -> None:
         """Backward log-masses of the nodes, from a unit's end to its start, and the
         probability of each edge among those of its node."""
-        beta = np.zeros(len(to_end) + 1)  # the last entry, -1, is any unit's end
-        order = np.argsort(to_end, kind="stable")
-        levels = np.flatnonzero(np.diff(to_end[order], prepend=0))
-        # The edges level by level, gathered once; each level is a slice of them.
-        sizes = np.diff(self.edges)[order]
-        e = _ranges(self.edges[order], sizes)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        step, to = logp[e], self.dst[e]
-        for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(order)]):
-            first, last = cuts[a], cuts[b]
-            x = beta.take(to[first:last])
-            x += step[first:last]
-            starts = cuts[a:b] - first
+        beta = np.zeros(len(self.degree) + 1)  # the last entry, -1, is any unit's end
+        nodes, cuts = level.tolist(), self.edges.take(level).tolist()
+        for a, b, first, last in zip(nodes[1:], nodes[2:], cuts[1:], cuts[2:]):
+            x = logp[first:last]
+            x += beta.take(self.dst[first:last])
+            starts = self.edges[a:b] - first
             top = np.maximum.reduceat(x, starts)
-            x -= np.repeat(top, sizes[a:b])
-            beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(x, out=x), starts))
-        self.logq = logp + beta.take(self.dst)
+            x = x - np.repeat(top, self.degree[a:b])
+            beta[a:b] = top + np.log(np.add.reduceat(np.exp(x, out=x), starts))
+        self.logq = logp
         self.logq -= beta.take(self.src)
         self.q = np.exp(self.logq)
-        total = np.cumsum(self.q)
-        first = self.edges[self.src]
-        within = total - (total[first] - self.q[first])
-        last = self.edges[self.src + 1] - 1
-        within[last] = 1.0  # rounding must not leave a gap
-        self.within = within
-        siblings = (self.edges[self.src + 1] - first) > 1
-        self.log_rest = np.full(len(self.q), -np.inf, np.float32)
-        self.log_rest[siblings] = np.log(np.maximum(1.0 - self.q[siblings], 1e-300))
+        self.within = np.cumsum(self.q)
+        first = self.edges[:-1]
+        self.within -= (self.within.take(first) - self.q.take(first)).take(self.src)
+        self.within[self.edges[1:] - 1] = 1.0  # rounding must not leave a gap
+
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log-mass of all other edges of the edges' nodes."""
+        rest = np.log(np.maximum(1.0 - self.q.take(edges), 1e-300)).astype(np.float32)
+        rest[self.degree.take(self.src.take(edges)) == 1] = -np.inf
+        return rest
+
+    def ids_of(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a path's edges, and where those of each edge start (one entry
+        more): an edge has one id, or those of a character's bytes."""
+        piece = self.piece.take(path)
+        ids = self.pieces.ids.take(piece)
+        bare = np.flatnonzero(piece >= self.pieces.count)
+        if not len(bare):
+            return ids, np.arange(len(ids) + 1)
+        n_ids = np.ones(len(ids), np.int64)
+        n_ids[bare] = width = piece[bare] - self.pieces.count + 1
+        ids, at = np.repeat(ids, n_ids), np.concatenate([[0], np.cumsum(n_ids)])
+        of = np.searchsorted(self.bare, path[bare])
+        ids[_ranges(at[bare], width)] = self.bare_ids.ravel()[_ranges(4 * of, width)]
+        return ids, at
 
     def complete(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled paths from nodes to their units' ends: edges one after the other,
         and the number of each path's edges. ``key`` seeds each path."""
         live, at, step = np.arange(len(node)), node, 0
-        steps = []
+        steps, sizes = [], np.zeros(len(node), np.int64)
         while len(live):
-            u = key[live] + np.uint64((step + 1) * int(_B) & 0xFFFFFFFFFFFFFFFF)  # keys are mixed already
-            u = (u ^ (u >> np.uint64(32))) * _STIR
-            u = unit(u ^ (u >> np.uint64(29)))
-            e = self.edges[at]  # long pieces come first and are mostly it
-            late = np.flatnonzero(self.within[e] < u)
+            u = key + np.uint64((step + 1) * int(_B) & 0xFFFFFFFFFFFFFFFF)  # keys are mixed already
+            u ^= u >> np.uint64(32)
+            u *= _STIR
+            u ^= u >> np.uint64(29)
+            u = unit(u)
+            e = self.edges.take(at)  # long pieces come first and are mostly it
+            late = np.flatnonzero(self.within.take(e) < u)
+            next_, u = e.take(late), u.take(late)
             while len(late):
-                e[late] += 1
-                late = late[self.within[e[late]] < u[late]]
+                next_ += 1
+                e[late] = next_
+                later = np.flatnonzero(self.within.take(next_) < u)
+                late, next_, u = late.take(later), next_.take(later), u.take(later)
             steps.append((live, e))
-            at = self.dst[e]
-            more = at >= 0
-            live, at = live[more], at[more]
             step += 1
-        sizes = np.zeros(len(node), np.int64)
-        for live, _ in steps:
-            sizes[live] += 1
+            at = self.dst.take(e)
+            sizes[live.take(np.flatnonzero(at < 0))] = step
+            more = np.flatnonzero(at >= 0)
+            live, at, key = live.take(more), at.take(more), key.take(more)
         first = np.cumsum(sizes) - sizes
-        path = np.zeros(int(sizes.sum()), np.int32)
+        path = np.zeros(int(sizes.sum()), np.int64)
         for k, (live, e) in enumerate(steps):
-            path[first[live] + k] = e
+            path[first.take(live) + k] = e
         return path, sizes
 
 
-def _truncated(log_mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _truncated(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables of location ``log_mass``, given that they are below ``bound``."""
     return log_mass - np.logaddexp(log_mass - bound, np.log(-np.log(u)))
 
 
-_NONE = np.zeros(0, np.int32)
+_NONE = np.zeros(0, np.int64)
+
 
+def _draws(keys: np.ndarray, what: int) -> np.ndarray:
+    """Where the random numbers of one purpose start, for each text's key."""
+    return mix64(keys ^ np.uint64(what * int(_B) & 0xFFFFFFFFFFFFFFFF))
 
-def _seeds(stream: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return mix64(mix64(stream) + number.astype(np.uint64))
+
+def _numbered(draws: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix64(draws + number.astype(np.uint64))
 
 
 class _Text:
     """One text's search: its samples and its agenda."""
 
-    def __init__(self, key: int, first: int, units: int):
-        self.key, self.first, self.units = key, first, units
+    def __init__(self, first: int, units: int):
+        self.first, self.units = first, units
         self.agenda: list[tuple] = []  # (-bound, number, sample, edge, log-mass before it, excluded)
-        self.samples: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # path, unit of each edge, log p, value
-
-    def stream(self, what: int) -> int:
-        """Where the random numbers of one purpose start."""
-        return self.key ^ (what * int(_B) & 0xFFFFFFFFFFFFFFFF)
-
-    def draws(self, what: int, n: int) -> np.ndarray:
-        return unit(_seeds(np.array([self.stream(what)], np.uint64), np.arange(n)))
+        self.samples: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # path, end of each unit in it, log p, value
 
 
 def top_k(lattice: Lattice, keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: edges, log-probability, perturbed value and
     log-inclusion, by decreasing perturbed value."""
-    cuts = lattice.unit_cuts
-    texts = [_Text(key, int(cuts[t]), int(cuts[t + 1] - cuts[t])) for t, key in enumerate(keys)]
-    for t in texts:
-        g = float(-np.log(-np.log(t.draws(0, 1)))[0])
+    cuts = lattice.unit_cuts.tolist()
+    keys = np.array(keys, np.uint64)
+    texts = [_Text(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+    zero = np.zeros(len(keys), np.int64)
+    for t, g in zip(texts, (-np.log(-np.log(unit(_numbered(_draws(keys, 0), zero))))).tolist()):
         heapq.heappush(t.agenda, (-g, 0, -1, 0, 0.0, ()))
+    unit_start = lattice.start.take(lattice.type_of)
     for round_ in range(k):
-        popped, nodes, sizes = [], [], []
-        for t in texts:
-            if not t.agenda:
-                continue
+        popped, nodes, inside, sizes = [], [], [], []
+        chosen = unit(_numbered(_draws(keys, 2 * round_ + 1), zero)).tolist()
+        searched = np.array([n for n, t in enumerate(texts) if t.agenda], np.int64)
+        if not len(searched):
+            break
+        for n in searched.tolist():
+            t = texts[n]
             minus, _, sample, edge, before, excluded = heapq.heappop(t.agenda)
-            if sample < 0:
-                head, head_units, skip, forced = _NONE, _NONE, 0, _NONE
-            else:
-                path, of_unit, _, _ = t.samples[sample]
-                forced = _choose(lattice, path[edge], excluded, float(t.draws(2 * round_ + 1, 1)[0]))
-                head, head_units, skip = path[:edge], of_unit[:edge], int(of_unit[edge])
-                forced = np.array([forced], np.int32)
-            start = lattice.start[lattice.type_of[t.first + skip : t.first + t.units]]
-            if len(forced):
-                at = lattice.dst[forced[0]]
+            head, head_ends, forced, skip = _NONE, _NONE, _NONE, 0
+            if sample >= 0:
+                path, unit_ends, _, _ = t.samples[sample]
+                skip = int(np.searchsorted(unit_ends, edge, side="right"))
+                choice = _choose(lattice, int(path[edge]), excluded, chosen[n])
+                head, head_ends, forced = path[:edge], unit_ends[:skip], np.array([choice])
+                at = int(lattice.dst[choice])
                 if at < 0:  # the forced piece ends its unit
-                    start = start[1:]
+                    skip += 1
+                    head_ends = np.append(head_ends, edge + 1)
                 else:
-                    start = start.copy()
-                    start[0] = at
-            popped.append((t, -minus, edge, before, excluded, head, head_units, skip, forced))
-            nodes.append(start)
-            sizes.append(len(start))
-        if not popped:
-            break
-        streams = np.array([t.stream(2 * round_ + 2) for t, *_ in popped], np.uint64)
-        first = np.array([t.units - n for (t, *_), n in zip(popped, sizes)])
-        seeds = _seeds(np.repeat(streams, sizes), _ranges(first, np.array(sizes)))
-        path, counts = lattice.complete(np.concatenate(nodes), seeds)
-        ends = np.concatenate([[0], np.cumsum(counts)])
+                    inside.append((len(nodes), at))
+            popped.append((t, -minus, edge, before, excluded, head, head_ends, forced))
+            nodes.append(unit_start[t.first + skip : t.first + t.units])
+            sizes.append(t.units - skip)
+        sizes = np.array(sizes)
         unit_at = np.concatenate([[0], np.cumsum(sizes)])
+        node = np.concatenate(nodes)
+        for n, at in inside:
+            node[unit_at[n]] = at
+        first = np.array([t.units for t, *_ in popped]) - sizes
+        seeds = _numbered(np.repeat(_draws(keys[searched], 2 * round_ + 2), sizes), _ranges(first, sizes))
+        path, counts = lattice.complete(node, seeds)
+        ends = np.concatenate([[0], np.cumsum(counts)])
         fresh = []
-        for n, (t, value, edge, before, excluded, head, head_units, skip, forced) in enumerate(popped):
-            a, b = unit_at[n], unit_at[n + 1]
+        for (t, value, edge, _, _, head, head_ends, forced), a, b in zip(popped, unit_at[:-1].tolist(), unit_at[1:].tolist()):
             tail = path[ends[a] : ends[b]]
-            tail_units = np.repeat(np.arange(t.units - (b - a), t.units, dtype=np.int32), counts[a:b])
-            fresh.append(np.concatenate([forced, tail]))
-            whole = np.concatenate([head, fresh[-1]])
-            of_unit = np.concatenate([head_units, np.full(len(forced), skip, np.int32), tail_units])
-            t.samples.append((whole, of_unit, float(lattice.logq[whole].sum()), value))
-        _split(lattice, popped, fresh, round_, k)
+            fresh.append(np.concatenate([forced, tail]) if len(forced) else tail)
+            whole = np.concatenate([head, fresh[-1]]) if len(head) else fresh[-1]
+            unit_ends = np.concatenate([head_ends, ends[a + 1 : b + 1] + (edge + len(forced) - ends[a])])
+            t.samples.append((whole, unit_ends, float(lattice.logq.take(whole).sum()), value))
+        _split(lattice, popped, fresh, _draws(keys[searched], 1000 + round_), round_, k)
     return [_finished(t, k) for t in texts]
 
 
@@ -339,42 +384,45 @@ def _choose(lattice: Lattice, edge: int, excluded: tuple, u: float) -> int:
     return options[min(int(np.searchsorted(mass, u * mass[-1])), len(options) - 1)]
 
 
-def _split(lattice: Lattice, popped: list, fresh: list[np.ndarray], round_: int, k: int) -> None:
+def _split(lattice: Lattice, popped: list, fresh: list[np.ndarray], draws: np.ndarray, round_: int, k: int) -> None:
     """What is left of the popped sets, along their newest samples: for each edge of
     a sample, from where its set began, the segmentations that part from it there."""
     todo, width = np.array([n for n, path in enumerate(fresh) if len(path)], np.int64), 96
+    before, value = np.array([p[3] for p in popped]), np.array([p[1] for p in popped])
+    most = k - round_  # as many can be popped yet, or be the threshold
     while len(todo):
-        size = np.array([len(fresh[n]) for n in todo])
-        at = np.arange(width)
-        edges = np.zeros((len(todo), width), np.int32)
+        size = np.array([len(fresh[n]) for n in todo.tolist()])
+        edges = np.zeros((len(todo), width), np.int64)
         for row, n in enumerate(todo.tolist()):
             edges[row, : size[row]] = fresh[n][:width]
-        inside = at < size[:, None]
-        logq = np.where(inside, lattice.logq[edges], 0.0)
+        inside = np.arange(width) < size[:, None]
+        logq = np.where(inside, lattice.logq.take(edges), 0.0)
         prefix = np.cumsum(logq, axis=1) - logq
         ok = inside & (prefix >= _NEGLIGIBLE)
         more = ok[:, -1] & (size > width)  # the prefix still has mass
-        mass = prefix + lattice.log_rest[edges]
-        for row, n in enumerate(todo.tolist()):
-            excluded = popped[n][4]
+        ok[more] = False
+        row, at = np.nonzero(ok)  # the first edge of a row is always one of them
+        e, start = edges[row, at], prefix[row, at]
+        mass = start + lattice.log_rest(e)
+        for i in np.flatnonzero(at == 0).tolist():
+            excluded = popped[todo[row[i]]][4]
             if excluded:
-                node = lattice.src[edges[row, 0]]
-                rest = [e for e in range(lattice.edges[node], lattice.edges[node + 1]) if e not in excluded and e != edges[row, 0]]
-                mass[row, 0] = np.log(lattice.q[rest].sum()) if rest else -np.inf
-        before = np.array([popped[n][3] for n in todo])
-        value = np.array([popped[n][1] for n in todo])
-        streams = np.array([popped[n][0].stream(1000 + round_) for n in todo], np.uint64)
-        u = unit(_seeds(streams[:, None], at[None, :]))
-        ok &= mass > -np.inf
-        bound = np.where(ok, _truncated(np.where(ok, mass, 0.0) + before[:, None], value[:, None], u), -np.inf)
-        best = np.argsort(-bound, axis=1, kind="stable")[:, : k + 1]  # no more can be popped
+                node = lattice.src[e[i]]
+                rest = [x for x in range(lattice.edges[node], lattice.edges[node + 1]) if x not in excluded and x != e[i]]
+                mass[i] = np.log(lattice.q[rest].sum()) if rest else -np.inf
+        some = np.flatnonzero(mass > -np.inf)
+        row, at, mass = row[some], at[some], mass[some]
+        of = todo[row]
+        bound = np.full(edges.shape, -np.inf)
+        bound[row, at] = _truncated(mass + before[of], value[of], unit(_numbered(draws[of], at)))
+        best = np.argpartition(-bound, min(most, width - 1), axis=1)[:, :most]
         for row, n in enumerate(todo.tolist()):
             if more[row]:
                 continue
             t, _, edge, start, excluded, *_ = popped[n]
             for i in best[row].tolist():
                 if bound[row, i] == -np.inf:
-                    break
+                    continue
                 e = int(edges[row, i])
                 out = (*excluded, e) if i == 0 else (e,)
                 entry = (-float(bound[row, i]), round_ * (1 << 40) + i, len(t.samples) - 1, edge + i, start + float(prefix[row, i]), out)
@@ -410,7 +458,7 @@ def code_points_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 _NAMES = ["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"]
 
 
-def _rows(pieces: Pieces, table_: tuple, data, offsets, keys, i: int, j: int, k: int, doc_ids) -> pa.RecordBatch:
+def _rows(pieces: Pieces, piece_bytes: pa.Array, data, offsets, keys, i: int, j: int, k: int, doc_ids) -> pa.RecordBatch:
     """The samples of the rows from ``i`` to ``j``."""
     cps, cuts = code_points_of(data, offsets[i : j + 1])
     found = [[(_NONE, 0.0, 0.0, 0.0)]] * (j - i)
@@ -423,26 +471,27 @@ def _rows(pieces: Pieces, table_: tuple, data, offsets, keys, i: int, j: int, k:
     path = np.concatenate(paths)
     ends = np.cumsum([len(p) for p in paths])
     if len(path):
-        n_ids = lattice.n_ids[path]
-        ids = lattice.ids[_ranges(lattice.id_at[path], n_ids)]
-        ends = np.concatenate([[0], np.cumsum(n_ids)])[ends]
+        ids, starts = lattice.ids_of(path)
+        ends = starts[ends]
     else:
         ids = path
-    at = np.concatenate([[0], ends])
+    at = np.concatenate([[0], ends]).astype(np.int32)
+    ids = pa.array(ids.astype(np.int32))
     # Decoded: the bytes of all pieces, of which the first is the space in front.
-    raw, starts, widths = table_
-    text = raw[_ranges(starts[ids], widths[ids])]
-    byte_at = np.concatenate([[0], np.cumsum(widths[ids])])[at]
+    decoded = piece_bytes.take(ids)
+    byte_at = np.frombuffer(decoded.buffers()[1], np.int64)[at].tolist()
+    text, base = decoded.buffers()[2].to_pybytes(), int(offsets[i])
+    source = data[base : offsets[j]].tobytes()
     same = [
-        b - a == (z - y) + (z > y) and np.array_equal(text[a + 1 : b], data[y:z])
-        for a, b, y, z in zip(byte_at[:-1].tolist(), byte_at[1:].tolist(), offsets[row].tolist(), offsets[row + 1].tolist())
+        b - a == (z - y) + (z > y) and text[a + 1 : b] == source[y - base : z - base]
+        for a, b, y, z in zip(byte_at[:-1], byte_at[1:], offsets[row].tolist(), offsets[row + 1].tolist())
     ]
     scores = [s[1:] for f in found for s in f]
     return pa.RecordBatch.from_arrays(
         [
             doc_ids.take(pa.array(row)),
             pa.array([n for f in found for n in range(len(f))], pa.int32()),
-            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))),
+            pa.ListArray.from_arrays(pa.array(at), ids),
             *(pa.array(c, pa.float64()) for c in zip(*scores)),
             pa.array(same, pa.bool_()),
         ],
@@ -464,14 +513,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     )
 
     def run(batches):
-        pieces, each = Pieces(shared.value), _piece_bytes(shared.value)
-        widths = np.array([len(p) for p in each])
-        table_ = np.frombuffer(b"".join(each), np.uint8), np.cumsum(widths) - widths, widths
+        pieces, piece_bytes = Pieces(shared.value), pa.array(_piece_bytes(shared.value), pa.large_binary())
         for b in batches:
             data, offsets = utf8_buffer(b.column(1))
             keys = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             for i, j in runs(offsets, BATCH_BYTES):
-                yield _rows(pieces, table_, data, offsets, keys, i, j, k, b.column(0))
+                yield _rows(pieces, piece_bytes, data, offsets, keys, i, j, k, b.column(0))
 
     id_type = need.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"

@@ -688,6 +688,32 @@ def test_backward_masses_gather_the_edges_once(pieces, monkeypatch):
         assert abs(lattice.q[e].sum() - 1) < 1e-9 and lattice.within[e][-1] == 1
 
 
+def test_steps_of_the_search_are_shared_by_the_texts_of_a_batch(pieces, monkeypatch):
+    texts = [f"some text number {n}, 日本 añb 𓀀 unlike the {n * n} others" for n in range(200)]
+    keys = list(range(1, 201))
+    calls, mix = [], subword.mix64
+    monkeypatch.setattr(subword, "mix64", lambda x: calls.append(len(x)) or mix(x))
+    lattice, found = sampled(pieces, texts, keys, 4)
+    assert len(calls) < 100  # not some for each text
+    monkeypatch.undo()
+    vocab = subword.vocabulary()
+    for n in (0, 7, 199):
+        alone, same = sampled(pieces, [texts[n]], [keys[n]], 4)
+        for a, b in zip(found[n], same[0], strict=True):
+            assert abs(a[1] - b[1]) < 1e-9 and a[2] == b[2]
+            ids = lattice.ids_of(a[0])[0]
+            assert ids.tolist() == alone.ids_of(b[0])[0].tolist() and subword.decode(ids, vocab) == texts[n]
+
+
+def test_levels_of_a_lattice_are_slices(pieces):
+    cps, cuts = subword.code_points_of(*utf8_buffer(pa.array(["a text of words", "words of 日本 length", ""])))
+    lattice = subword.Lattice(pieces, cps, cuts)
+    node = np.arange(len(lattice.edges) - 1)
+    inner = lattice.dst >= 0
+    assert (lattice.dst[inner] < lattice.src[inner]).all()  # masses go from the first node to the last
+    assert (np.repeat(node, np.diff(lattice.edges)) == lattice.src).all()
+
+
 def test_all_segmentations_of_a_short_text(pieces):
     lattice, found = sampled(pieces, ["ab c"], [5], 1000)
     p = all_paths(lattice)
