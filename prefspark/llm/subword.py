@@ -51,6 +51,8 @@ _LITERAL = 0x110000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _STIR = np.uint64(0xD6E8FEB86659FD93)
 _SLOT_BITS = 21
+#: Memory that a worker keeps between batches instead of faulting it in again.
+_KEPT = 31 << 20
 #: Prefixes below this share of their set's mass (in nats) can't be told from none.
 _NEGLIGIBLE = -45.0
 
@@ -95,20 +97,31 @@ class Pieces:
                 starts.add(h)
                 h = (h * int(_B) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             keys[n] = h
-        # By a short hash: 1 a piece, 2 the start of a longer one (most lookups end
-        # here), and the first of the pieces with that short hash, which are neighbours.
         slot = _slots(keys)
         order = np.argsort(slot, kind="stable")
-        self.count, self.keys = len(ordinary), keys[order]
-        used, at, shared = np.unique(slot[order], return_index=True, return_counts=True)
-        self.maybe, self.first = np.zeros(1 << _SLOT_BITS, np.uint8), np.zeros(1 << _SLOT_BITS, np.int32)
-        self.maybe[used] |= np.uint8(1)
-        self.maybe[_slots(np.array(sorted(starts), np.uint64))] |= np.uint8(2)
-        self.first[used], self.most = at, int(shared.max())
+        self.count, self.keys, self.starts = len(ordinary), keys[order], np.array(sorted(starts), np.uint64)
         # After the pieces: characters of one to four bytes that are in no piece.
         self.logp = np.concatenate([logp[order], self.byte_logp * np.arange(1, 5)])
-        self.ids = np.concatenate([np.array([i for _, i in ordinary])[order], np.zeros(4, np.int64)])
+        self.ids = np.concatenate([np.array([i for _, i in ordinary])[order], np.zeros(4, np.int64)]).astype(np.int32)
         self.longest = max(len(p) for p, _ in ordinary)
+        self._index()
+
+    def _index(self) -> None:
+        """By a short hash: 1 a piece, 2 the start of a longer one (most lookups end
+        here), and the first of the pieces with that short hash, which are neighbours."""
+        used, at, shared = np.unique(_slots(self.keys), return_index=True, return_counts=True)
+        self.maybe, self.first = np.zeros(1 << _SLOT_BITS, np.uint8), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.maybe[used] |= np.uint8(1)
+        self.maybe[_slots(self.starts)] |= np.uint8(2)
+        self.first[used], self.most = at, int(shared.max())
+
+    def __getstate__(self) -> dict:
+        """Without the index, which is large and quickly made."""
+        return {k: v for k, v in vars(self).items() if k not in ("maybe", "first")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._index()
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(where, piece) of the hashes that are pieces, and which may go on."""
@@ -216,7 +229,7 @@ class Lattice:
         self.dst[below == 0] = -1
         # Edges of characters in no piece, and the ids of their bytes.
         self.bare = np.flatnonzero(self.piece >= pieces.count)
-        self.bare_ids = np.zeros((len(bare), 4), np.int64)
+        self.bare_ids = np.zeros((len(bare), 4), np.int32)
         for row, c in enumerate(code.tolist()):
             raw = chr(c).encode("utf-8", "surrogatepass")
             self.bare_ids[row, : len(raw)] = pieces.byte_id[list(raw)]
@@ -249,20 +262,19 @@ class Lattice:
         rest[self.degree.take(self.src.take(edges)) == 1] = -np.inf
         return rest
 
-    def ids_of(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a path's edges, and where those of each edge start (one entry
-        more): an edge has one id, or those of a character's bytes."""
+    def ids_of(self, path: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some paths, one after the other, and where each path ends in
+        them: an edge has one id, or those of a character's bytes."""
         piece = self.piece.take(path)
         ids = self.pieces.ids.take(piece)
         bare = np.flatnonzero(piece >= self.pieces.count)
         if not len(bare):
-            return ids, np.arange(len(ids) + 1)
-        n_ids = np.ones(len(ids), np.int64)
-        n_ids[bare] = width = piece[bare] - self.pieces.count + 1
-        ids, at = np.repeat(ids, n_ids), np.concatenate([[0], np.cumsum(n_ids)])
+            return ids, ends
         of = np.searchsorted(self.bare, path[bare])
-        ids[_ranges(at[bare], width)] = self.bare_ids.ravel()[_ranges(4 * of, width)]
-        return ids, at
+        ids[bare] = self.bare_ids[of, 0]
+        more = piece[bare] - self.pieces.count
+        ids = np.insert(ids, np.repeat(bare + 1, more), self.bare_ids.ravel()[_ranges(4 * of + 1, more)])
+        return ids, ends + np.concatenate([[0], np.cumsum(more)])[np.searchsorted(bare, ends)]
 
     def complete(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled paths from nodes to their units' ends: edges one after the other,
@@ -296,9 +308,10 @@ class Lattice:
         return path, sizes
 
 
-def _truncated(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables of location ``log_mass``, given that they are below ``bound``."""
-    return log_mass - np.logaddexp(log_mass - bound, np.log(-np.log(u)))
+def _truncated(log_mass: np.ndarray, bound: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Gumbel variables of location ``log_mass``, given that they are below ``bound``;
+    ``noise`` is log(-log(u)) of uniform variables."""
+    return log_mass - np.logaddexp(log_mass - bound, noise)
 
 
 _NONE = np.zeros(0, np.int64)
@@ -387,7 +400,7 @@ def _choose(lattice: Lattice, edge: int, excluded: tuple, u: float) -> int:
 def _split(lattice: Lattice, popped: list, fresh: list[np.ndarray], draws: np.ndarray, round_: int, k: int) -> None:
     """What is left of the popped sets, along their newest samples: for each edge of
     a sample, from where its set began, the segmentations that part from it there."""
-    todo, width = np.array([n for n, path in enumerate(fresh) if len(path)], np.int64), 96
+    todo, width = np.array([n for n, path in enumerate(fresh) if len(path)], np.int64), min(384, max(map(len, fresh)))
     before, value = np.array([p[3] for p in popped]), np.array([p[1] for p in popped])
     most = k - round_  # as many can be popped yet, or be the threshold
     while len(todo):
@@ -412,10 +425,18 @@ def _split(lattice: Lattice, popped: list, fresh: list[np.ndarray], draws: np.nd
                 mass[i] = np.log(lattice.q[rest].sum()) if rest else -np.inf
         some = np.flatnonzero(mass > -np.inf)
         row, at, mass = row[some], at[some], mass[some]
-        of = todo[row]
+        # Within a row the bounds go down as this goes up; only the best are made.
+        late = np.full(edges.shape, np.inf)
+        noise = np.log(-np.log(unit(_numbered(draws[todo[row]], at))))
+        late[row, at] = noise - mass
+        place = np.zeros(edges.shape, np.int64)
+        place[row, at] = np.arange(len(row))
+        best = np.argpartition(late, min(most, width) - 1, axis=1)[:, :most]
+        best_row, best_at = np.nonzero(np.take_along_axis(late, best, axis=1) < np.inf)
+        best_at = best[best_row, best_at]
+        drawn, of = place[best_row, best_at], todo[best_row]
         bound = np.full(edges.shape, -np.inf)
-        bound[row, at] = _truncated(mass + before[of], value[of], unit(_numbered(draws[of], at)))
-        best = np.argpartition(-bound, min(most, width - 1), axis=1)[:, :most]
+        bound[best_row, best_at] = _truncated(mass[drawn] + before[of], value[of], noise[drawn])
         for row, n in enumerate(todo.tolist()):
             if more[row]:
                 continue
@@ -471,12 +492,11 @@ def _rows(pieces: Pieces, piece_bytes: pa.Array, data, offsets, keys, i: int, j:
     path = np.concatenate(paths)
     ends = np.cumsum([len(p) for p in paths])
     if len(path):
-        ids, starts = lattice.ids_of(path)
-        ends = starts[ends]
+        ids, ends = lattice.ids_of(path, ends)
     else:
-        ids = path
+        ids = path.astype(np.int32)
     at = np.concatenate([[0], ends]).astype(np.int32)
-    ids = pa.array(ids.astype(np.int32))
+    ids = pa.array(ids)
     # Decoded: the bytes of all pieces, of which the first is the space in front.
     decoded = piece_bytes.take(ids)
     byte_at = np.frombuffer(decoded.buffers()[1], np.int64)[at].tolist()
@@ -505,7 +525,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     the text again."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(vocabulary(model))  # a fixed vocabulary
+    vocab = vocabulary(model)  # a fixed vocabulary
+    shared = spark.sparkContext.broadcast((Pieces(vocab), _piece_bytes(vocab)))
     need = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
@@ -513,7 +534,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     )
 
     def run(batches):
-        pieces, piece_bytes = Pieces(shared.value), pa.array(_piece_bytes(shared.value), pa.large_binary())
+        pieces, piece_bytes = shared.value[0], pa.array(shared.value[1], pa.large_binary())
+        np.empty(_KEPT, np.uint8)  # freed at once: from then on freed arrays of a batch are kept for the next
         for b in batches:
             data, offsets = utf8_buffer(b.column(1))
             keys = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)

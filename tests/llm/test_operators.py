@@ -701,8 +701,8 @@ def test_steps_of_the_search_are_shared_by_the_texts_of_a_batch(pieces, monkeypa
         alone, same = sampled(pieces, [texts[n]], [keys[n]], 4)
         for a, b in zip(found[n], same[0], strict=True):
             assert abs(a[1] - b[1]) < 1e-9 and a[2] == b[2]
-            ids = lattice.ids_of(a[0])[0]
-            assert ids.tolist() == alone.ids_of(b[0])[0].tolist() and subword.decode(ids, vocab) == texts[n]
+            ids = lattice.ids_of(a[0], np.array([len(a[0])]))[0]
+            assert ids.tolist() == alone.ids_of(b[0], np.array([len(b[0])]))[0].tolist() and subword.decode(ids, vocab) == texts[n]
 
 
 def test_levels_of_a_lattice_are_slices(pieces):
